@@ -37,7 +37,7 @@ class Words(NamedTuple):
 
     def head(self, n: int) -> np.ndarray:
         """The hash of each word's first n bytes."""
-        return _hash(self.sums, self.start, np.minimum(self.start + n, self.end))
+        return between(self.sums, self.start, np.minimum(self.start + n, self.end))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -53,12 +53,23 @@ def _powers(n: int, base: int) -> np.ndarray:
     return np.concatenate([np.ones(1, _U), np.cumprod(np.full(n, base, _U))])
 
 
-def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    n = 1 << max(16, int(len(sums)).bit_length())
-    back = _powers(n, pow(_BASE, -1, 1 << 64))
+def prefix_sums(data: np.ndarray, lower: bool = True) -> np.ndarray:
+    """Sums over the first bytes, from which between() has the hash of any stretch."""
+    sums = np.zeros(len(data) + 1, _U)
+    folded = LOWER[data] if lower else data
+    np.cumsum((folded.astype(_U) + _U(1)) * _powers(_room(len(data)), _BASE)[: len(data)], out=sums[1:])
+    return sums
+
+
+def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    back = _powers(_room(len(sums) - 1), pow(_BASE, -1, 1 << 64))
     return mix((sums[end] - sums[start]) * back[start])
 
 
+def _room(n: int) -> int:
+    return 1 << max(16, int(n + 1).bit_length())
+
+
 def slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text + 1, bytes, offsets) of runs of texts of about ``most`` bytes."""
     if isinstance(column, pa.ChunkedArray):
@@ -89,9 +100,8 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD_BYTE)
     begins = is_in & (~before | first)
     ends = before & (~is_in | first)
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum((LOWER[data].astype(_U) + _U(1)) * _powers(1 << max(16, int(n + 1).bit_length()), _BASE)[:n], out=sums[1:])
-    return Words(start, end, np.searchsorted(start, offsets), _hash(sums, start, end), sums)
+    sums = prefix_sums(data)
+    return Words(start, end, np.searchsorted(start, offsets), between(sums, start, end), sums)
 
 
 def grams(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
