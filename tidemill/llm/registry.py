@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.decontam import op2_latent_decontamination
 from tidemill.llm.jaccard import op8_ngram_jaccard
+from tidemill.llm.tokens import op6_token_planes
 from tidemill.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_latent_decontamination": op2_latent_decontamination,
+    "op6_token_planes": op6_token_planes,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
 }
