@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +33,39 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).unionByName(now.select(F.least("a", "b").alias("node"), F.least("a", "b").alias("root"))).distinct()
 
 
+def memberships(rows: DataFrame, classes: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``rows`` (with the id column ``name`` and a class key fp) with class_id, n_links, component_id and kept.
+
+    ``classes`` has a row for each fp: its smallest id and its number n of rows. ``links`` has, any number of times, an
+    fp, how many rows of other classes it is linked with there, and one class of its local group (anchor). A row whose
+    fp is null or stands in no class is alone.
+    """
+    total = links.groupBy("fp").agg(F.sum("links").alias("links"))
+    group = components(links.select(F.col("fp").alias("a"), F.col("anchor").alias("b")))
+    rooted = classes.join(group.withColumnRenamed("node", "fp"), "fp").select("fp", "root", name)
+    least = rooted.groupBy("root").agg(F.min(name).alias("component_id"))
+    joined = rooted.join(least, "root").select("fp", "component_id")
+    info = classes.join(total, "fp", "left").join(joined, "fp", "left").where("n > 1 or links is not null")
+    info = info.select("fp", F.col(name).alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component_id", name).alias("component_id"), F.lit(True).alias("linked"))
+    out = rows.join(info, "fp", "left")
+    mine = lambda c: F.when(F.col("linked"), F.col(c)).otherwise(F.col(name))
+    out = out.withColumns({"class_id": mine("class_id"), "n_links": F.coalesce("n_links", F.lit(0).cast("long")), "component_id": mine("component_id")})
+    return out.withColumn("kept", F.col(name).eqNullSafe(F.col("component_id"))).drop("linked")
+
+
+def local_groups(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of n points the smallest point that the given pairs join it with."""
+    root = np.arange(n)
+    while len(left):
+        was = root.copy()
+        np.minimum.at(root, left, root[right])
+        np.minimum.at(root, right, root[left])
+        root = root[root]
+        if (was == root).all():
+            break
+    return root
+
+
 def _clean(edges: DataFrame) -> DataFrame:
     return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
 

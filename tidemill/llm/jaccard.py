@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.graph import components
+from tidemill.llm.graph import local_groups, memberships
 from tidemill.llm.store import materialise, table, texts
 from tidemill.llm.words import NOT_SPACE, grams, mix, slices, words
 
@@ -187,14 +187,7 @@ def _verifier(n: int, threshold: float):
                 left, right = left[ok], right[ok]
                 cls = counts[rows]
                 links = np.bincount(left, cls[right], len(rows)) + np.bincount(right, cls[left], len(rows))
-                root = np.arange(len(rows))
-                while len(left):
-                    was = root.copy()
-                    np.minimum.at(root, left, root[right])
-                    np.minimum.at(root, right, root[left])
-                    root = root[root]
-                    if (was == root).all():
-                        break
+                root = local_groups(len(rows), left, right)
                 for k in np.flatnonzero(links):
                     out["fp"].append(fps[rows[k]])
                     out["links"].append(int(links[k]))
@@ -251,22 +244,8 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     work = work.select("piece", "place", "fp", "n", "others", "text").repartition("piece").sortWithinPartitions("piece", "place")
     verified = materialise(work.mapInArrow(_verifier(n, threshold), "fp binary, links long, anchor binary"), "links")
 
-    links = verified.groupBy("fp").agg(F.sum("links").alias("links"))
-    group = components(verified.select(F.col("fp").alias("a"), F.col("anchor").alias("b")))
-    ids = classes.select("fp", "doc_id", "n")
-    rooted = ids.join(group.withColumnRenamed("node", "fp"), "fp").select("fp", "root", "doc_id")
-    least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    joined = rooted.join(least, "root").select("fp", "component_id")
-    info = ids.join(links, "fp", "left").join(joined, "fp", "left").where("n > 1 or links is not null")
-    info = info.select("fp", F.col("doc_id").alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component_id", "doc_id").alias("component_id"))
-    out = signed.drop("sig").join(info, "fp", "left")
-    one = F.col("class_id").isNull()
-    return out.select(
-        "doc_id", "row",
-        F.when(one, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.when(one, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-    ).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = memberships(signed.drop("sig"), classes.select("fp", "doc_id", "n"), verified, "doc_id")
+    return out.select("doc_id", "row", "class_id", "n_links", "component_id", "kept")
 
 
 def without_copies(docs: DataFrame) -> DataFrame:

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemill.llm.decontam import op2_latent_decontamination
 from tidemill.llm.jaccard import op8_ngram_jaccard
 from tidemill.llm.mixing import OP4_SQL, op4_temperature_mixing
+from tidemill.llm.quality import op3_compression_quality
 from tidemill.llm.tokens import op6_token_planes
 from tidemill.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_latent_decontamination": op2_latent_decontamination,
+    "op3_compression_quality": op3_compression_quality,
     "op4_temperature_mixing": op4_temperature_mixing,
     "op6_token_planes": op6_token_planes,
     "op8_ngram_jaccard": op8_ngram_jaccard,
