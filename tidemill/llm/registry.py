@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidemill.llm.covertree import op10_cover_tree
 from tidemill.llm.decontam import op2_latent_decontamination
 from tidemill.llm.jaccard import op8_ngram_jaccard
 from tidemill.llm.mixing import OP4_SQL, op4_temperature_mixing
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_planes": op6_token_planes,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
+    "op10_cover_tree": op10_cover_tree,
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_temperature_mixing": OP4_SQL,
