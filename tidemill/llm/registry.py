@@ -10,6 +10,7 @@ from tidemill.llm.covertree import op10_cover_tree
 from tidemill.llm.decontam import op2_latent_decontamination
 from tidemill.llm.jaccard import op8_ngram_jaccard
 from tidemill.llm.mixing import OP4_SQL, op4_temperature_mixing
+from tidemill.llm.pages import op7_page_differencing
 from tidemill.llm.quality import op3_compression_quality
 from tidemill.llm.tokens import op6_token_planes
 from tidemill.llm.toxicity import op9_toxicity
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_compression_quality": op3_compression_quality,
     "op4_temperature_mixing": op4_temperature_mixing,
     "op6_token_planes": op6_token_planes,
+    "op7_page_differencing": op7_page_differencing,
     "op8_ngram_jaccard": op8_ngram_jaccard,
     "op9_toxicity": op9_toxicity,
     "op10_cover_tree": op10_cover_tree,
