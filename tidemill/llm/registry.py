@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemill.llm.covertree import op10_cover_tree
 from tidemill.llm.decontam import op2_latent_decontamination
 from tidemill.llm.jaccard import op8_ngram_jaccard
+from tidemill.llm.lm import op5_deleted_interpolation
 from tidemill.llm.mixing import OP4_SQL, op4_temperature_mixing
 from tidemill.llm.pages import op7_page_differencing
 from tidemill.llm.quality import op3_compression_quality
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_latent_decontamination": op2_latent_decontamination,
     "op3_compression_quality": op3_compression_quality,
     "op4_temperature_mixing": op4_temperature_mixing,
+    "op5_deleted_interpolation": op5_deleted_interpolation,
     "op6_token_planes": op6_token_planes,
     "op7_page_differencing": op7_page_differencing,
     "op8_ngram_jaccard": op8_ngram_jaccard,
