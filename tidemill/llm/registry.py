@@ -12,11 +12,13 @@ from tidemill.llm.jaccard import op8_ngram_jaccard
 from tidemill.llm.lm import op5_deleted_interpolation
 from tidemill.llm.mixing import OP4_SQL, op4_temperature_mixing
 from tidemill.llm.pages import op7_page_differencing
+from tidemill.llm.pii import op1_surrogates
 from tidemill.llm.quality import op3_compression_quality
 from tidemill.llm.tokens import op6_token_planes
 from tidemill.llm.toxicity import op9_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_surrogates": op1_surrogates,
     "op2_latent_decontamination": op2_latent_decontamination,
     "op3_compression_quality": op3_compression_quality,
     "op4_temperature_mixing": op4_temperature_mixing,
