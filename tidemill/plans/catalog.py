@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemill.plans import events
+from tidemill.plans import events, numbers, rules
 
-_MODULES = (events,)
+_MODULES = (events, numbers, rules)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
