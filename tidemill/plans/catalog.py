@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemill.plans import events, numbers, rules, texts
+from tidemill.plans import events, numbers, rules, social, texts
 
-_MODULES = (events, numbers, rules, texts)
+_MODULES = (events, numbers, rules, texts, social)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
