@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemill.llm.store import fold, table, texts
-from tidemill.llm.words import slices, words
+from tidemill.llm.words import distinct, slices, words
 
 BITS, HEADS = 18, (4, 5)
 
@@ -53,7 +53,7 @@ def place_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for _, _, data, offsets in slices(b["text"]):
             doc, place = places(data, offsets)
-            key = np.unique(doc << BITS | place)
+            key = distinct(doc << BITS | place)
             cut = np.searchsorted(key, np.arange(len(offsets)) << BITS)
             flat = (key & ((1 << BITS) - 1)).astype("<u4")
             out += [flat[i:j].tobytes() for i, j in zip(cut[:-1], cut[1:], strict=True)]
@@ -133,7 +133,7 @@ def scores(m: Machine, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     f = m.slot[place]
     on = f >= 0
     k = max(1, len(m.w))
-    key = np.unique(doc[on] * k + f[on])
+    key = distinct(doc[on] * k + f[on])
     d, f = key // k, key % k
     z = m.bias + np.bincount(d, weights=m.w[f], minlength=n)
     for j in range(m.v.shape[1]):

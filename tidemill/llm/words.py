@@ -48,6 +48,12 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(32))
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; NumPy's sort is many times as fast here as its unique."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 @lru_cache(4)
 def _powers(n: int, base: int) -> np.ndarray:
     return np.concatenate([np.ones(1, _U), np.cumprod(np.full(n, base, _U))])
