@@ -241,7 +241,8 @@ def _scorer(bits: int, n: int, v: int, weights: np.ndarray):
 
 def language_scores(docs: DataFrame, train: Column, deleted: Column) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score; ``train`` and ``deleted`` tell rows by doc_id."""
-    rows = texts(docs).withColumns({"train": train, "deleted": train & deleted})
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    rows = texts(docs).withColumns({"train": yes(train), "deleted": yes(train & deleted)})
     size = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(62, 14 + max(16, int(size).bit_length()))
     ranges = max(8, min(1 << 14, -(-size // (PACK // 2))))

@@ -26,6 +26,8 @@ from tidemill.llm.store import materialise, table
 
 STEPS, PROBES, BUCKET = 1_000_000, 31, 4096
 ENTROPY, REPEATS, BLOCK_TOKENS, SEED = 0.9, 4.0, 200_000, "mix"
+#: So that a quota that is a whole number but for rounding isn't cut by one.
+WHOLE = 1 + 1e-12
 MADE = ("epoch", "block", "position", "n_tokens")
 
 
@@ -76,7 +78,7 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     shares = sources.select((F.col("t@") / total).alias("p"))
     a = exponent(shares, entropy, repeats, budget / total)
     z = shares.agg(F.sum(F.pow("p", F.lit(a)))).first()[0]
-    quota = sources.withColumn("q@", F.floor(F.pow(F.col("t@") / total, F.lit(a)) / z * budget).cast("long")).withColumn("b@", F.ceil(F.col("c@") / BUCKET).cast("long"))
+    quota = sources.withColumn("q@", F.floor(F.pow(F.col("t@") / total, F.lit(a)) / z * budget * WHOLE).cast("long")).withColumn("b@", F.ceil(F.col("c@") / BUCKET).cast("long"))
 
     bucket = F.pmod(F.conv(F.substring("key@", 1, 8), 16, 10).cast("long"), F.col("b@"))
     on = F.col("source").eqNullSafe(F.col("s@"))
@@ -122,7 +124,7 @@ hf AS (SELECT what, i, ln(sum(pow(p, i / 1e6))) - i / 1e6 * sum(pow(p, i / 1e6)
 a AS (SELECT greatest(0, least(1000000, greatest(
         coalesce((SELECT max(i) FROM hf, tot WHERE what = 'e' AND h >= {ENTROPY} * ln(n) - 1e-12), -1),
         coalesce((SELECT max(i) FROM hf WHERE what = 'f' AND r > {REPEATS}), -1) + 1))) / 1e6 AS a),
-q AS (SELECT source, t, floor(pow(t / b::DOUBLE, a) / (SELECT sum(pow(p, a)) FROM p, a) * b)::BIGINT AS q,
+q AS (SELECT source, t, floor(pow(t / b::DOUBLE, a) / (SELECT sum(pow(p, a)) FROM p, a) * b * {WHOLE})::BIGINT AS q,
              ceil(c / {BUCKET}.0)::BIGINT AS nb, (b + {BLOCK_TOKENS - 1}) // {BLOCK_TOKENS} AS blocks FROM s, tot, a),
 u AS (SELECT d.*, t, q, blocks, ('0x' || substr(k, 1, 8))::BIGINT % nb AS u FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 e AS (SELECT *, sum(n_tokens) OVER (PARTITION BY source ORDER BY u, k, n_tokens ROWS UNBOUNDED PRECEDING)::BIGINT AS e FROM u),
