@@ -196,6 +196,10 @@ SELECT vec_id FROM e WHERE EXISTS (SELECT 1 FROM e s WHERE s.vec_id % 20 = 0 AND
 SELECT strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, user_id::VARCHAR AS session, CASE event_type WHEN 'view' THEN 'start' WHEN 'click' THEN 'on' ELSE 'off' END AS state, '2' AS a, event_id AS id
 FROM events WHERE event_id % 20 <> 1 AND event_id % 7 <> 0 AND (event_type IN ('view', 'click') OR (event_type = 'error' AND event_id % 3 = 0))""",
     "append_once": "SELECT DISTINCT user_id, 1::BIGINT AS n FROM events",
+    "absent_partner_stream": """
+WITH w AS (SELECT min(m) AS wm FROM (SELECT max(ts) AS m FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type))
+SELECT DISTINCT s.user_id, s.ts FROM events s, w WHERE s.event_type = 'view' AND s.ts + INTERVAL 25200 SECOND < wm
+AND NOT EXISTS (SELECT 1 FROM events o WHERE o.event_type = 'click' AND o.user_id = s.user_id AND o.ts BETWEEN s.ts - INTERVAL 30 SECOND AND s.ts + INTERVAL 21600 SECOND)""",
     "first_start_stream": "SELECT DISTINCT user_id FROM events",
     "daily_states_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'view') AS starts, count(*) FILTER (event_type = 'click') AS ons, count(*) FILTER (event_type = 'error') AS offs FROM events GROUP BY 1",
 }

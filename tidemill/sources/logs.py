@@ -21,7 +21,7 @@ def parse_state_log(lines: DataFrame, line: str = "value") -> tuple[DataFrame, D
     """
     tokens = F.filter(F.split(F.trim(F.col(line)), r"\s+"), lambda x: x != "")
     rows = lines.withColumn("t", tokens)
-    rows = rows.withColumns({"iso": F.get("t", F.lit(0)), "state": F.element_at("t", -1), "mid": F.when(F.size("t") > 2, F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(1))))})
+    rows = rows.withColumns({"iso": F.get("t", F.lit(0)), "state": F.try_element_at("t", F.lit(-1)), "mid": F.when(F.size("t") > 2, F.slice("t", 2, F.greatest(F.size("t") - 2, F.lit(1))))})
     pairs = F.transform(F.filter("mid", lambda x: F.instr(x, "=") > 1), lambda x: F.struct(F.substring_index(x, "=", 1).alias("key"), F.regexp_replace(x, "^[^=]*=", "").alias("value")))
     rows = rows.withColumn("p", pairs)
     rows = rows.withColumn("kv", F.map_from_entries(F.filter("p", lambda x, i: ~F.exists(F.slice("p", i + 2, F.size("p")), lambda y: y["key"] == x["key"]))))
