@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 
 def connection(folder):
@@ -16,7 +17,7 @@ def connection(folder):
 
 
 def plain(v):
-    if v is None or (isinstance(v, float) and np.isnan(v)):
+    if v is None or v is pd.NA or v is pd.NaT or (isinstance(v, float) and np.isnan(v)):
         return "NULL"
     if isinstance(v, float):
         return f"{v:.7g}"
