@@ -192,3 +192,23 @@ def test_fixed_records(spark, tmp_path):
     got = binary.read_fixed_records(spark, str(tmp_path / "p.bin"), b"MAGC", [("magic", "S4"), ("type", "<u4"), ("start", ("<f4", 3)), ("rest", "S52")]).orderBy("rec_no").collect()
     assert [(r["rec_no"], r["type"], list(r["start"])) for r in got] == [(i, i + 1, [i + 1.0, 2.0, 3.0]) for i in range(3)]
     assert np.diff([r["offset"] for r in got]).tolist() == [72, 72]
+
+
+def test_surface_deviation(spark):
+    v, f = cube()
+    verts = lambda k: spark.createDataFrame([("m", i, *(k * x for x in p)) for i, p in enumerate(v)], "model string, v_id long, x double, y double, z double")
+    faces = spark.createDataFrame([("m", i, list(t)) for i, t in enumerate(f)], "model string, face_id long, v array<long>")
+    got = meshes.surface_deviation(faces, verts(1.0), faces, verts(1.5), 0.3).toPandas()
+    back = sorted(got[got.direction == "b to a"].distance.round(6))
+    # corners of the larger cube: its origin corner touches, those along one axis stand 1 off, and so on
+    assert back == sorted([0.0] + [1.0] * 3 + [round(2**0.5, 6)] * 3 + [round(3**0.5, 6)])
+    forth = got[got.direction == "a to b"].distance.round(6)
+    assert sorted(forth) == [0.0] * 7 + [1.0]
+    rng = np.random.default_rng(5)
+    points = rng.normal(size=(40, 3)) * 2
+    p = spark.createDataFrame([("m", i, *map(float, x)) for i, x in enumerate(points)], "model string, p_id long, x double, y double, z double")
+    fast = {r["p_id"]: r["distance"] for r in meshes.surface_distance(p, meshes.corners(faces, verts(1.0)), 0.5).collect()}
+    for i, x in enumerate(points):
+        outside = np.maximum(0, np.maximum(-x, x - 2.0))
+        want = np.linalg.norm(outside) if outside.any() else min(min(x), min(2 - x))
+        assert abs(fast[i] - want) < 1e-9

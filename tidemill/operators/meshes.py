@@ -99,3 +99,61 @@ def halo(points: DataFrame, seeds: DataFrame, strength: str, least: float, r: fl
             break
         least, r = 2 * least, 0.6 * r
     return out, least, r
+
+
+def _to_triangle(p: list[Column], a: list[Column], b: list[Column], c: list[Column]) -> Column:
+    """Squared distance from a point to a triangle: to its plane where the foot lies inside, else to the nearest side."""
+    sub = lambda u, v: [x - y for x, y in zip(u, v, strict=True)]
+    n = _cross(sub(b, a), sub(c, a))
+    nn = _dot(n, n)
+    within = F.lit(True)
+    sides = []
+    for u, v in ((a, b), (b, c), (c, a)):
+        edge, rel = sub(v, u), sub(p, u)
+        within = within & (_dot(_cross(edge, rel), n) >= 0)
+        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(_dot(edge, rel), _dot(edge, edge)), F.lit(0.0))))
+        d = [r - t * e for r, e in zip(rel, edge, strict=True)]
+        sides.append(_dot(d, d))
+    h = _dot(sub(p, a), n)
+    return F.when((nn > 0) & within, h * h / nn).otherwise(F.least(*sides))
+
+
+def surface_distance(points: DataFrame, triangles: DataFrame, size: float, most_rounds: int = 24) -> DataFrame:
+    """Each point (model, p_id, x, y, z) with its distance to the nearest of its model's triangles (ax … cz).
+
+    Triangles stand in every grid cell that their box touches, points look in the cells around their own. What is found
+    within the cell size is exact; points with nothing so near look again on a grid twice as coarse, until none is left.
+    """
+    from tidemill.plans.store import written
+
+    left, out = points, None
+    box = {c: (F.least(*[F.col(n + c) for n in "abc"]), F.greatest(*[F.col(n + c) for n in "abc"])) for c in "xyz"}
+    known = written(triangles, "triangles")
+    models = known.select("model").distinct()
+    left = left.join(models, "model", "left_semi")
+    for _ in range(most_rounds):
+        t = known
+        for c in "xyz":
+            lo, hi = box[c]
+            t = t.withColumn(f"g{c}", F.explode(F.sequence(cell(lo, size), cell(hi, size))))
+        p = left
+        for c in "xyz":
+            p = p.withColumn(f"g{c}", F.explode(F.sequence(cell(F.col(c) - size, size), cell(F.col(c) + size, size))))
+        d2 = _to_triangle(*[[F.col(n + c) for c in "xyz"] for n in ("", "a", "b", "c")])
+        near = p.join(t, ["model", "gx", "gy", "gz"]).groupBy("model", "p_id").agg(F.sqrt(F.min(d2)).alias("distance"))
+        found = written(left.join(near, ["model", "p_id"], "left"), "distances")
+        sure = found.where(F.col("distance") <= size).select("model", "p_id", "distance")
+        out = sure if out is None else out.unionByName(sure)
+        left = found.where(F.col("distance").isNull() | (F.col("distance") > size)).drop("distance")
+        if left.isEmpty():
+            return out
+        size *= 2
+    raise RuntimeError("points are too far from every triangle; start with a larger cell")
+
+
+def surface_deviation(faces_a: DataFrame, vertices_a: DataFrame, faces_b: DataFrame, vertices_b: DataFrame, size: float) -> DataFrame:
+    """Both directions: the distance of each vertex of either mesh to the other's surface."""
+    a, b = (v.withColumnRenamed("v_id", "p_id") for v in (vertices_a, vertices_b))
+    forth = surface_distance(a, corners(faces_b, vertices_b), size).withColumn("direction", F.lit("a to b"))
+    back = surface_distance(b, corners(faces_a, vertices_a), size).withColumn("direction", F.lit("b to a"))
+    return forth.unionByName(back)

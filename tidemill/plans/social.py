@@ -178,6 +178,9 @@ SELECT *, row_number() OVER (PARTITION BY quote_uri ORDER BY like_count DESC, ur
 WITH r AS (SELECT conv_id, turn, (conv_id + turn) % 6 <> 5 AS tried, (conv_id + turn) % 6 <> 5 AND length(text) % 7 <> 0 AS ok FROM conversations),
 f AS (SELECT conv_id, min(turn) FILTER (NOT ok) AS t, coalesce(arg_min(tried, turn) FILTER (NOT ok), false) AS uncertain FROM r GROUP BY 1)
 SELECT f.conv_id, coalesce(string_agg('r' || turn, '|' ORDER BY turn) FILTER (t IS NULL OR turn < t), '') AS written, t + 1 AS failed_at, uncertain FROM f JOIN r USING (conv_id) GROUP BY f.conv_id, t, uncertain""",
+    "validate_posts": """
+SELECT conv_id, turn, concat_ws('; ', CASE WHEN length(text) > 300 THEN 'text has more than 300 characters' END, CASE WHEN trim(text) = '' AND conv_id % 6 = 0 THEN 'neither text nor image' END,
+ CASE WHEN conv_id % 6 > 4 THEN 'more than 4 images' END, CASE WHEN conv_id % 6 > 0 AND (turn % 2 = 1 OR trim(coalesce(role, '')) = '') THEN 'image without path or alt text' END) AS violations FROM conversations""",
     "resolve_refs": """
 WITH e AS (SELECT event_id, user_id, event_id % 4 AS m FROM events)
 SELECT event_id, CASE m WHEN 0 THEN 'https://bsky.app/profile/User' || user_id || '/post/' || event_id WHEN 1 THEN 'at://did:User' || user_id || '/app.bsky.feed.post/k' WHEN 2 THEN 'https://bsky.app:99/profile/a/post/b' ELSE 'at://User' || user_id || '/app.bsky.feed.post/k' END AS ref,
