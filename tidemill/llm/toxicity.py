@@ -82,7 +82,7 @@ def choose(y: np.ndarray, rows: np.ndarray, cols: np.ndarray, features: int, lea
     return np.sort(best[chi[best] > 0])
 
 
-def fit(y: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, features: int = 1024, factors: int = 4, steps: int = 300, l2: float = 2e-3, least: int = 5, seed: int = 7) -> Machine:
+def fit(y: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, features: int = 1024, factors: int = 4, steps: int = 300, l2: float = 5e-4, least: int = 5, seed: int = 7) -> Machine:
     y = y.astype(np.float64)
     slot = np.full(1 << BITS, -1, np.int32)
     share = float((y * weight).sum() / weight.sum()) if len(y) else 0.0
