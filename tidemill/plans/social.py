@@ -89,7 +89,7 @@ def _mesh(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A model a nation: customers as points of a strip of triangles, ten keys apart."""
     c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("model"), F.col("c_custkey").alias("k"))
     v = c.select("model", F.floor(F.col("k") / 3).alias("v_id")).distinct().select("model", "v_id", (F.col("v_id") % 7).cast("double").alias("x"), (F.col("v_id") % 11).cast("double").alias("y"), (F.col("v_id") % 5).cast("double").alias("z"))
-    w = v.groupBy("model").agg(F.array_sort(F.collect_list("v_id")).alias("ids"))
+    w = v.groupBy("model").agg(F.array_sort(F.collect_list("v_id")).alias("ids")).where("size(ids) > 2")
     f = w.select("model", F.explode(F.transform(F.sequence(F.lit(1), F.size("ids") - 2), lambda i: F.struct(i.cast("long").alias("face_id"), F.slice("ids", i, F.when(i % 13 == 0, F.least(F.lit(4), F.size("ids") - i + 1)).otherwise(3)).alias("v")))).alias("f"))
     f = f.select("model", "f.face_id", "f.v")
     again = f.where("face_id % 5 = 0").select("model", (F.col("face_id") + 10000).alias("face_id"), F.reverse("v").alias("v"))
@@ -166,7 +166,27 @@ QUERIES = {f.__name__: f for f in (flatten_posts, flatten_images, alt_text_cover
 _P = "SELECT *, conv_id || '/' || turn AS uri FROM conversations WHERE conv_id % 17 <> 5"
 _IMG = f"""SELECT uri, role AS handle, 0 AS pos, role AS alt, 'f/' || uri AS fullsize FROM ({_P}) WHERE turn % 3 = 0
 UNION ALL SELECT uri, role, 1, NULL, 'f/' || uri FROM ({_P}) WHERE turn % 3 = 0 UNION ALL SELECT uri, role, 0, 'm', 'f/' || uri FROM ({_P}) WHERE turn % 3 = 1"""
+_MESH = """
+WITH vs AS (SELECT DISTINCT c_nationkey AS model, c_custkey // 3 AS v_id FROM customer), w AS (SELECT model, list(v_id ORDER BY v_id) AS ids FROM vs GROUP BY 1),
+f AS (SELECT model, i AS face_id, ids[i : i + CASE WHEN i % 13 = 0 THEN least(4, len(ids) - i + 1) ELSE 3 END - 1] AS v FROM w, range(1, (SELECT max(len(ids)) FROM w)) r(i) WHERE i <= len(ids) - 2),
+faces AS (SELECT * FROM f UNION ALL SELECT model, face_id + 10000, list_reverse(v) FROM f WHERE face_id % 5 = 0),
+sides AS (SELECT model, face_id, v, unnest(range(1, len(v) + 1)) AS i FROM faces),
+e AS (SELECT model, face_id, least(v[i], v[i % len(v) + 1]) AS a, greatest(v[i], v[i % len(v) + 1]) AS b FROM sides),
+c AS (SELECT model, face_id, v[1] % 7 AS ax, v[1] % 11 AS ay, v[1] % 5 AS az, v[2] % 7 AS bx, v[2] % 11 AS by_, v[2] % 5 AS bz, v[3] % 7 AS cx, v[3] % 11 AS cy, v[3] % 5 AS cz FROM faces WHERE len(v) = 3),
+n AS (SELECT *, (by_ - ay) * (cz - az) - (bz - az) * (cy - ay) AS nx, (bz - az) * (cx - ax) - (bx - ax) * (cz - az) AS ny, (bx - ax) * (cy - ay) - (by_ - ay) * (cx - ax) AS nz FROM c),
+t AS (SELECT *, sqrt(nx * nx + ny * ny + nz * nz) AS l FROM n)
+"""
 ORACLE_SQL = {
+    "mesh_quality": _MESH + """, u AS (SELECT model, a, b, count(*) AS uses, sqrt((a % 7 - b % 7) ** 2 + (a % 11 - b % 11) ** 2 + (a % 5 - b % 5) ** 2) AS d FROM e GROUP BY ALL)
+SELECT g.model, coalesce((SELECT count(*) FILTER (l / 2 < 2) FROM t WHERE t.model = g.model), 0) AS small_faces, (SELECT count(*) FILTER (d < 2) FROM u WHERE u.model = g.model) AS short_edges,
+ (SELECT count(*) FILTER (uses <> 2) FROM u WHERE u.model = g.model) AS bad_edges, count(*) FILTER (len(v) <> 3) AS not_triangles FROM faces g GROUP BY 1""",
+    "mesh_measures": _MESH + """, m AS (SELECT model, sum(ax * (by_ * cz - bz * cy) + ay * (bz * cx - bx * cz) + az * (bx * cy - by_ * cx)) / 6.0 AS volume, sum(l / 2) AS area, sum(CASE WHEN l > 0 AND nz / l < -0.707 THEN l / 2 ELSE 0 END) AS down_area FROM t GROUP BY 1),
+b AS (SELECT model, max(v_id % 7) AS x1, min(v_id % 7) AS x0, max(v_id % 11) AS y1, min(v_id % 11) AS y0, max(v_id % 5) AS z1, min(v_id % 5) AS z0 FROM vs GROUP BY 1)
+SELECT b.model, (x1 - x0)::DOUBLE AS size_x, (y1 - y0)::DOUBLE AS size_y, (z1 - z0)::DOUBLE AS size_z, (x1 + x0) / 2.0 AS off_x, (y1 + y0) / 2.0 AS off_y, z0::DOUBLE AS off_z,
+ round(volume, 6) AS volume, round(area, 6) AS area, round(down_area, 6) AS down_area FROM b LEFT JOIN m ON b.model = m.model""",
+    "duplicate_faces": _MESH + """, o AS (SELECT model, a, b FROM e GROUP BY ALL HAVING count(*) > 2),
+s AS (SELECT DISTINCT e.model, e.face_id FROM e JOIN o ON e.model = o.model AND e.a = o.a AND e.b = o.b)
+SELECT model, face_id FROM (SELECT g.model, g.face_id, row_number() OVER (PARTITION BY g.model, list_sort(v) ORDER BY g.face_id) AS rn FROM faces g JOIN s ON g.model = s.model AND g.face_id = s.face_id) WHERE rn > 1""",
     "flatten_posts": f"""SELECT uri, 'did:' || conv_id AS did, role AS handle, text, CASE WHEN turn > 0 THEN conv_id || '/' || (turn - 1) END AS parent_uri,
  CASE WHEN turn > 0 THEN conv_id || '/0' END AS root_uri, CASE WHEN turn % 2 = 0 THEN (conv_id + 1) || '/0' END AS quote_uri, turn AS like_count FROM ({_P})""",
     "flatten_images": f"SELECT uri, pos, alt, fullsize, CASE WHEN alt IS NOT NULL THEN fullsize END AS url FROM ({_IMG})",

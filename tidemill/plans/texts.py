@@ -192,6 +192,10 @@ SELECT event_id, event_id % 50 <> 0 AND event_type <> 'error' AS ok, CASE WHEN e
 WITH RECURSIVE w AS (SELECT c_custkey AS start, c_custkey // 2 AS "at", 1 AS hops FROM customer WHERE c_custkey // 2 <> 0 AND c_custkey // 2 <> c_custkey
  UNION ALL SELECT start, w."at" // 2, hops + 1 FROM w JOIN customer ON c_custkey = w."at" WHERE c_nationkey <> 3 AND w."at" // 2 <> 0 AND w."at" // 2 <> w."at" AND hops < 12)
 SELECT start, w."at" AS ancestor, hops FROM w JOIN customer ON c_custkey = w."at" WHERE c_nationkey = 3""",
+    "connected_parts": """
+WITH RECURSIVE x AS (SELECT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity > 49), e AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
+r AS (SELECT a AS node, a AS near FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.near)
+SELECT node, min(near) AS part FROM r GROUP BY 1""",
     "thread_view": """
 SELECT s.conv_id || '/' || s.turn AS start, t.conv_id || '/' || t.turn AS uri, (t.turn - s.turn)::INT AS level
 FROM conversations s JOIN conversations t ON s.conv_id = t.conv_id AND t.turn BETWEEN s.turn - 2 AND s.turn + 3 WHERE s.turn = 2
