@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tidemill.llm.graph import local_groups, memberships
 from tidemill.llm.store import materialise, table, texts
-from tidemill.llm.words import NOT_SPACE, grams, mix, slices, words
+from tidemill.llm.words import NOT_SPACE, distinct, grams, mix, slices, words
 
 BANDS, ROWS, STEP, BLOCK = 24, 4, 16, 256
 HASHES = BANDS * ROWS
@@ -37,7 +37,7 @@ _XOR = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(column: pa.Array, n: int, most: int = 1 << 19) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def shingles(column: pa.Array, n: int, most: int = (1 << 19) - 2) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of runs of texts: word hashes and bounds, shingle hashes and bounds."""
     for _, _, data, offsets in slices(column, most):
         w = words(data, offsets, NOT_SPACE)
@@ -114,7 +114,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pruner(need: list[int], most: int = 400_000):
+def _pruner(need: list[int], most: int = 65_536):
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "piece"):
             t = t.combine_chunks()
@@ -169,7 +169,7 @@ def _verifier(n: int, threshold: float):
             now: list[bytes] = []
             for h, hb, g, gb in shingles(t["text"].combine_chunks(), n):
                 now += fingerprints(h, hb)
-                sets += [np.unique(g[a:b]) for a, b in zip(gb[:-1], gb[1:], strict=True)]
+                sets += [distinct(g[a:b]) for a, b in zip(gb[:-1], gb[1:], strict=True)]
             cuts = [*np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])), len(piece)]
             out: dict[str, list] = {"fp": [], "links": [], "anchor": []}
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):

@@ -142,7 +142,7 @@ def _writer(path: str, end_id: int, kind: str):
         enc, no, docs, parts, size = encoder(path), 0, [], [], 0
         for b in batches:
             ids_of = b["doc_id"].to_pylist()
-            for i, j, data, offsets in slices(b["text"]):
+            for i, j, data, offsets in slices(b["text"], (1 << 21) - 2):
                 ids, cuts = enc.encode(data, offsets)
                 for d, x, y in zip(ids_of[i:j], cuts[:-1], cuts[1:], strict=True):
                     docs.append(d)

@@ -76,7 +76,7 @@ def _room(n: int) -> int:
     return 1 << max(16, int(n + 1).bit_length())
 
 
-def slices(column: pa.Array, most: int = 1 << 21) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def slices(column: pa.Array, most: int = (1 << 20) - 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first text, last text + 1, bytes, offsets) of runs of texts of about ``most`` bytes."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
