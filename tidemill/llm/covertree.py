@@ -216,3 +216,16 @@ def near_vectors(df: DataFrame, threshold: float = 0.95) -> DataFrame:
 
 def op10_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept", "class_id")
+
+
+OP10_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.v) = len(b.v) WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r AS (SELECT vec_id AS node, vec_id AS near FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.near),
+c AS (SELECT node, min(near) AS component_id FROM r GROUP BY 1)
+SELECT e.vec_id, (SELECT count(*) FROM l WHERE a = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept,
+ coalesce((SELECT min(w.vec_id) FROM v w JOIN v x ON w.v = x.v WHERE x.vec_id = e.vec_id), e.vec_id) AS class_id
+FROM embeddings e JOIN c ON c.node = e.vec_id
+"""

@@ -264,3 +264,17 @@ def without_copies(docs: DataFrame) -> DataFrame:
 
 def op8_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(table(spark, sf_dir, "documents")).drop("row")
+
+
+OP8_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM t),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS i FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE i >= 0.8 * (x.n + y.n - i) - 1e-9),
+r AS (SELECT doc_id AS node, doc_id AS near FROM t UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.near),
+c AS (SELECT node, min(near) AS component_id FROM r GROUP BY 1)
+SELECT t.doc_id, CASE WHEN len(w) = 0 THEN t.doc_id ELSE min(t.doc_id) OVER (PARTITION BY w) END AS class_id, (SELECT count(*) FROM l WHERE a = t.doc_id) AS n_links, component_id, t.doc_id = component_id AS kept
+FROM t JOIN c ON c.node = t.doc_id
+"""

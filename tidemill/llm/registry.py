@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemill.llm.covertree import op10_cover_tree
+from tidemill.llm.covertree import OP10_SQL, op10_cover_tree
 from tidemill.llm.decontam import op2_latent_decontamination
-from tidemill.llm.jaccard import op8_ngram_jaccard
+from tidemill.llm.jaccard import OP8_SQL, op8_ngram_jaccard
 from tidemill.llm.lm import op5_deleted_interpolation
 from tidemill.llm.mixing import OP4_SQL, op4_temperature_mixing
 from tidemill.llm.pages import op7_page_differencing
@@ -31,4 +31,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op4_temperature_mixing": OP4_SQL,
+    "op8_ngram_jaccard": OP8_SQL,
+    "op10_cover_tree": OP10_SQL,
 }
