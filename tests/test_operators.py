@@ -212,3 +212,15 @@ def test_surface_deviation(spark):
         outside = np.maximum(0, np.maximum(-x, x - 2.0))
         want = np.linalg.norm(outside) if outside.any() else min(min(x), min(2 - x))
         assert abs(fast[i] - want) < 1e-9
+
+
+def test_streams(spark, tmp_path):
+    from tidemill.streaming import jobs
+
+    rows = [(1, "git reset --hard"), (2, "tsc a.ts"), (3, "sls deploy"), (4, "ls"), (1, "git reset --hard")]
+    spark.createDataFrame(rows, "id long, command string").write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # the second run finds every key there
+        s = spark.readStream.schema("id long, command string").parquet(f"{tmp_path}/in")
+        jobs.append_once_sink(jobs.screen_stream(s, "command"), f"{tmp_path}/out", ["id"], f"{tmp_path}/check{_}").awaitTermination()
+    got = sorted((r["id"], r["rule"], r["compiler"], r["deploy"]) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+    assert got == [(1, "reset", None, False), (2, None, "tsc", False), (3, None, None, True), (4, None, None, False)]

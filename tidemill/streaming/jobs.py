@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemill.operators import screening
 from tidemill.plans.store import shared_folder
 from tidemill.sources.logs import append_once
 
@@ -35,6 +36,13 @@ def daily_states_stream(df: DataFrame, lateness: int = 3600) -> DataFrame:
     return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "starts", "ons", "offs")
 
 
+def screen_stream(df: DataFrame, cmd_col: str) -> DataFrame:
+    """Commands with what each rule set says of them: rule, compiler, deploy. Stateless, so any output mode will do."""
+    out = screening.screen_vcs_commands(df, cmd_col).drop("reason")
+    out = screening.screen_compiler_commands(out, cmd_col).withColumnRenamed("tool", "compiler").drop("denied")
+    return screening.screen_deploys(out, cmd_col).withColumnRenamed("denied", "deploy")
+
+
 def append_once_sink(df: DataFrame, path: str, keys: list[str], checkpoint: str):
     """Start a query that appends each batch's new keys; a batch that is run again adds nothing."""
     return df.writeStream.foreachBatch(lambda batch, _: append_once(batch, path, keys) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
