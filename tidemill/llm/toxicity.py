@@ -16,6 +16,7 @@ share of positives (0 where there is none). Rows that repeat are scored each; co
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
@@ -69,10 +70,15 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_ro
     return texts(docs).join(few[0].unionByName(few[1]), "doc_id")
 
 
-def choose(y: np.ndarray, rows: np.ndarray, cols: np.ndarray, features: int, least: int) -> np.ndarray:
+def choose(y: np.ndarray, sets: list[np.ndarray], features: int, least: int, at_once: int = 500) -> np.ndarray:
     """The places whose presence tells the classes apart best, by the chi-squared statistic."""
     size = 1 << BITS
-    hit, pos = np.bincount(cols, minlength=size), np.bincount(cols, weights=y[rows], minlength=size)
+    hit, pos = np.zeros(size), np.zeros(size)
+    for i in range(0, len(sets), at_once):
+        some = sets[i : i + at_once]
+        cols = np.concatenate(some)
+        hit += np.bincount(cols, minlength=size)
+        pos += np.bincount(cols, weights=np.repeat(y[i : i + at_once], [len(s) for s in some]), minlength=size)
     n, p = len(y), y.sum()
     neg = hit - pos
     det = pos * (n - p - neg) - neg * (p - pos)
@@ -89,12 +95,12 @@ def fit(y: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, features: int
     if not len(y) or y.min() == y.max():
         share = min(max(share, 0.0), 1.0)
         return Machine(slot, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(0), np.zeros((0, factors)))
-    rows, cols = np.repeat(np.arange(len(sets)), [len(s) for s in sets]), np.concatenate(sets).astype(np.int64)
-    best = choose(y, rows, cols, features, least)
+    best = choose(y, sets, features, least)
     slot[best] = np.arange(len(best))
-    on = slot[cols] >= 0
     x = np.zeros((len(y), len(best)), np.float32)
-    x[rows[on], slot[cols[on]]] = 1
+    for i, s in enumerate(sets):
+        f = slot[s]
+        x[i, f[f >= 0]] = 1
     rng = np.random.default_rng(seed)
     params = [np.full(1, np.log(share / (1 - share))), np.zeros(len(best)), rng.normal(0, 0.05, (len(best), factors))]
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -120,7 +126,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_row
     got = sample(docs, labels, label, learn, max_rows).select("y", "text").mapInArrow(place_sets, "y int, places binary").toArrow()
     y = got["y"].to_numpy().astype(int)
     sets = [np.frombuffer(p, "<u4") for p in got["places"].to_pylist()]
-    order = sorted(range(len(y)), key=lambda i: (y[i], sets[i].tobytes()))  # the same machine however rows arrive
+    del got
+    order = sorted(range(len(y)), key=lambda i: (y[i], len(sets[i]), zlib.crc32(sets[i])))  # the same machine however rows arrive
     y, sets = y[order], [sets[i] for i in order]
     seen = np.bincount(y, minlength=2) if len(y) else np.ones(2)
     weight = np.array([counts.get(k, 0) / max(1, seen[k]) for k in (0, 1)])[y] if len(y) else np.zeros(0)
