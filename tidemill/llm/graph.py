@@ -47,7 +47,8 @@ def memberships(rows: DataFrame, classes: DataFrame, links: DataFrame, name: str
     joined = rooted.join(least, "root").select("fp", "component_id")
     info = classes.join(total, "fp", "left").join(joined, "fp", "left").where("n > 1 or links is not null")
     info = info.select("fp", F.col(name).alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component_id", name).alias("component_id"), F.lit(True).alias("linked"))
-    out = rows.join(info, "fp", "left")
+    # written, so that the join below has an exchange of its own on either side, which Spark can split where a class is large
+    out = rows.join(materialise(info, "info"), "fp", "left")
     mine = lambda c: F.when(F.col("linked"), F.col(c)).otherwise(F.col(name))
     out = out.withColumns({"class_id": mine("class_id"), "n_links": F.coalesce("n_links", F.lit(0).cast("long")), "component_id": mine("component_id")})
     return out.withColumn("kept", F.col(name).eqNullSafe(F.col("component_id"))).drop("linked")
