@@ -137,6 +137,26 @@ def test_decontamination_paraphrase_and_odd_rows(spark, odd, empty):
     assert decontam.without_leaks(d, bench.limit(0)).count() == 5
 
 
+def test_decontamination_finds_long_items(spark):
+    rng = np.random.default_rng(5)
+    draw = lambda n: [f"w{k}" for k in (rng.random(n) ** 3 * 5000).astype(int)]
+    items = {n: draw(n) for n in (33, 64, 100, 200, 300, 400, 1000)}
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id long, text string")
+    rows, truth = [], set()
+    for n, x in items.items():
+        for k, share in enumerate((0, 0.1, 0.2, 0.3, 0.35)):
+            said = [f"new{rng.integers(1000)}" if c < share else t for c, t in zip(rng.random(n), x, strict=True)]
+            around = [draw(int(rng.integers(20, 200))) for _ in range(2)]
+            rows.append((n * 10 + k, " ".join(around[0] + said + around[1])))
+            if sum(t == u for t, u in zip(x, said, strict=True)) >= decontam.LCS * n:
+                truth.add((n * 10 + k, n))
+    rows += [(-1 - k, " ".join(draw(600))) for k in range(60)]
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert len(truth) > 30
+    assert truth <= got
+    assert all(d // 10 == i for d, i in got)
+
+
 def test_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(50):
