@@ -326,6 +326,17 @@ def test_page_differencing(spark):
     assert pages.main_text(spark.createDataFrame([], "page_id long, url string, html string, text string")).count() == 0
 
 
+def test_page_differencing_beside_marked_pages(spark):
+    marked = "<div>Top bar</div><article><p>{}</p></article><div>Small print</div>"
+    rows = [
+        (1, "http://a.b/x", "<div>Top bar</div><p>List of x</p><div>Small print</div>"),
+        (2, "http://a.b/x/1", marked.format("first")), (3, "http://a.b/x/2", marked.format("Top bar")),
+        (4, "http://c.d/p/q/1", "<div>Other bar</div><p>index</p>"), (5, "http://c.d/p/q/2", "<div>Other bar</div><main>m</main>"), (6, "http://c.d/a", "<p>index</p>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "List of x", 2: "first", 3: "Top bar", 4: "index", 5: "m", 6: ""}
+
+
 def test_cover_tree_is_exact():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(500, 8))
