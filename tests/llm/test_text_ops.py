@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import covertree, decontam, jaccard, lm, mixing, pages, pii, quality, tokens, toxicity, words
+from tidemill.llm import covertree, decontam, graph, jaccard, lm, mixing, pages, pii, quality, tokens, toxicity, words
 from tidemill.llm.graph import components
 from tidemill.llm.registry import ORACLE_SQL, QUERIES
 
@@ -337,20 +337,69 @@ def test_page_differencing_beside_marked_pages(spark):
     assert got == {1: "List of x", 2: "first", 3: "Top bar", 4: "index", 5: "m", 6: ""}
 
 
-def test_cover_tree_is_exact():
-    rng = np.random.default_rng(1)
-    x = rng.normal(size=(500, 8))
-    x = np.concatenate([x, x[:200] + 0.1 * rng.normal(size=(200, 8)), np.repeat(x[:1], 150, 0) + 0.2 * rng.normal(size=(150, 8))])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    same, t = x @ x.T >= 0.95, covertree.Tree(x)
-    left, right = covertree.near_pairs(t, t, 0.95)
-    assert sorted(zip(np.minimum(left, right), np.maximum(left, right), strict=True)) == sorted(zip(*np.nonzero(np.triu(same, 1)), strict=True))
-    left, right = covertree.near_pairs(covertree.Tree(x[:400]), covertree.Tree(x[400:]), 0.95)
-    assert sorted(zip(left, right, strict=True)) == sorted(zip(*np.nonzero(same[:400, 400:]), strict=True))
+def planted(rng, n, d):
+    """Random unit vectors, near copies of some, a ball of near copies of one, and its wider surroundings."""
+    x = rng.normal(size=(n, d))
+    ball = lambda k, spread: np.repeat(x[:1], k, 0) + spread * rng.normal(size=(k, d))
+    x = np.concatenate([x, x[: n // 5] + 0.1 * rng.normal(size=(n // 5, d)), ball(n // 4, 0.15), ball(n // 10, 0.5)])
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("d", [3, 8, 64])
+def test_cover_tree_is_exact(d):
+    x = planted(np.random.default_rng(1), 1500, d)
+    t, turn = covertree.Tree.build(x), covertree.axes(x[:300])
+    for p in range(len(t.nodes)):
+        kids = range(t.first[p], t.last[p])
+        assert all(t.radius[k] <= t.radius[p] / 2 + 1e-6 for k in kids)
+        assert not kids or (t.lo[kids[0]], t.hi[kids[-1]]) == (t.lo[p], t.hi[p])
+        assert np.linalg.norm(t.x[t.lo[p] : t.hi[p]] - t.x[t.centre[p]], axis=1).max() <= t.radius[p] + 1e-12
+    t.sketch(turn)
+    same = x @ x.T >= 0.95
+    own = covertree.Links(np.ones(len(x), int), 0)
+    compared, followed = covertree.dual(t, t, 0.95, own)
+    assert (own.links == same.sum(1)[t.order] - 1).all()
+    assert d < 64 or followed < compared / 5
+    u, v = covertree.Tree.build(x[:1000]), covertree.Tree.build(x[1000:])
+    u.sketch(turn)
+    v.sketch(turn)
+    both = covertree.Links(np.ones(len(x), int), 1000)
+    covertree.dual(u, v, 0.95, both)
+    assert (both.links[:1000] == same[:1000, 1000:].sum(1)[u.order]).all()
+    assert (both.links[1000:] == same[:1000, 1000:].sum(0)[v.order]).all()
+    root = both.groups.roots()
+    place = np.concatenate([np.argsort(u.order), 1000 + np.argsort(v.order)])
+    i, j = np.nonzero(same[:1000, 1000:])
+    assert (root[place[i]] == root[place[1000 + j]]).all()
+
+
+def test_many_vectors(spark, monkeypatch):
+    """Some thousand vectors of 64 components with planted groups, over several blocks, against brute force."""
+    monkeypatch.setattr(covertree, "LEAST", 512)
+    x = planted(np.random.default_rng(4), 2000, 64).astype(np.float32)
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = covertree.near_vectors(df).orderBy("vec_id").toPandas()
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    same = u @ u.T >= 0.95
+    assert got.n_links.tolist() == (same.sum(1) - 1).tolist()
+    assert got.n_links.max() > 100
+    root = np.arange(len(x))
+    for _ in range(60):
+        root = np.array([root[r].min() for r in same])
+    assert got.component_id.tolist() == root.tolist()
+
+
+def test_a_hub_is_dealt_to_several_tasks(spark):
+    rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)] + [(None, 5)], "k long, x long")
+    unique = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n@")).withColumn("y", F.col("k") * 2)
+    for how, n in (("inner", 300), ("left", 301)):
+        got = graph.spread(rows, unique, "k", 10, how).collect()
+        assert len(got) == n
+        assert all(r["y"] == (None if r["k"] is None else 2 * r["k"]) for r in got)
 
 
 def test_vectors(spark, monkeypatch):
-    monkeypatch.setattr(covertree, "BLOCK", 20)
+    monkeypatch.setattr(covertree, "LEAST", 20)
     rng = np.random.default_rng(2)
     x = rng.normal(size=(120, 6))
     x[60:90] = x[0] + 0.1 * rng.normal(size=(30, 6))

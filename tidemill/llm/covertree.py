@@ -3,12 +3,17 @@
 Equal vectors form a class, and only classes are compared, by unit vectors: a cosine threshold is a distance.
 The tree's first level has up to ``MOST`` centres, taken farthest first from a bounded sample; every vector goes to its
 nearest centre, and a centre's covering radius is the largest distance there. A centre's vectors are dealt to blocks of
-about ``BLOCK``; each block holds nested levels below it, in which a node's members go to at most ``FAN`` centres that
-cover them at half its radius where so few can. A node keeps the radius that it has in fact, so bounds are exact.
-
-Two blocks meet only if their centres' distance is at most the two radii and the threshold's distance; inside, pairs
-of nodes are followed down from both trees by the same bound, and what is left is compared in double precision. Pairs
-never become rows: a piece of work gives each class its number of links and one class of its local group.
+at most about ``BLOCK``, and each block's nested levels below it are built once and stored: a node's members go to as
+many centres as it takes to cover them at half its radius. A node keeps the radius that it has in fact (often much
+less than the level's, 0 for a vector alone), so bounds are as tight as they can be.
+
+Two blocks meet only if their centres' distance is at most the two radii and the threshold's distance, and if the same
+holds for some pair of their upper nodes, which are stored by themselves. Inside, pairs of nodes are followed down from
+both trees: a pair is dropped if its distance less both radii is over the threshold's, and linked as a whole if its
+distance and both radii are not over it. For nodes of one vector the distance over the ``SKETCH`` leading rotated
+coordinates, in single precision with slack, is a lower bound that costs little and loses nothing. What is left is
+compared in double precision. Pairs never become rows: a piece of work gives each class its number of links and one
+class of its local group.
 
 Defined results: a vector that is null, empty or zero, or has a null or non-finite component, links with nothing;
 vectors of other lengths don't link; a repeated vec_id is one vector for each row; a row without vec_id is compared but
@@ -17,17 +22,17 @@ names no component while there is one with an id; other columns are ignored; an
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.llm.graph import local_groups, memberships
+from tidemill.llm.graph import Groups, memberships
 from tidemill.llm.store import materialise, table
 
-MOST, SAMPLE, BLOCK, FAN, LEAF, SLACK = 256, 4096, 4096, 16, 64, 1e-9
+MOST, SAMPLE, BLOCK, LEAST, LEAF, TOP, SKETCH, SLACK, ROUND = 256, 4096, 32_768, 2048, 16, 64, 16, 1e-9, 2e-5
 
 
 def unit(raw: list[bytes], dim: int) -> np.ndarray:
@@ -59,86 +64,176 @@ def centres(x: np.ndarray, most: int) -> np.ndarray:
     return x[chosen]
 
 
+def axes(x: np.ndarray) -> np.ndarray:
+    """Orthonormal directions in which a sample spreads most."""
+    return np.ascontiguousarray(np.linalg.svd(x, full_matrices=False)[2][:SKETCH].T)
+
+
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(0, 2 - 2 * (x @ y.T)))
 
 
+def cover(x: np.ndarray, radius: float, step: int = 256) -> tuple[list[int], np.ndarray]:
+    """Rows of x that cover all others within the radius, and for each row which of them does."""
+    chosen, near = [], np.zeros(len(x), np.int32)
+    for s in range(0, len(x), step):
+        part, left = x[s : s + step], np.arange(s, min(s + step, len(x)))
+        if chosen:
+            dot = part @ x[chosen].T
+            best = dot.argmax(1)
+            fits = 2 - 2 * dot[np.arange(len(part)), best] <= radius * radius
+            near[left[fits]] = best[fits]
+            left = left[~fits]
+        if len(left):
+            square = 2 - 2 * (x[left] @ x[left].T)
+            open_ = np.ones(len(left), dtype=bool)
+            for i in range(len(left)):
+                if open_[i]:
+                    fits = open_ & (square[i] <= radius * radius)
+                    fits[i] = True
+                    near[left[fits]] = len(chosen)
+                    chosen.append(int(left[i]))
+                    open_ &= ~fits
+    return chosen, near
+
+
 class Tree:
-    """Nested levels over unit vectors: rows in ``order``; a node covers order[lo:hi] within radius of its centre."""
+    """Nested levels over unit vectors, in the order ``order``: node k covers x[lo:hi] within its radius of row ``centre``."""
 
-    def __init__(self, x: np.ndarray):
-        self.order = np.arange(len(x))
-        self.lo, self.hi, self.radius, self.centre, self.kids = [], [], [], [], []
-        self._node(x, 0, len(x), x[0])
+    def __init__(self, x: np.ndarray, order: np.ndarray, nodes: np.ndarray, radius: np.ndarray):
+        self.x, self.order, self.radius = x, order, radius
+        self.lo, self.hi, self.centre, self.first, self.last = nodes.T  # first:last are the node's children
+        self.nodes = nodes
+
+    @classmethod
+    def build(cls, x: np.ndarray) -> Tree:
+        order, nodes, radius = np.arange(len(x)), [], []
+
+        def node(lo: int, hi: int, centre: int) -> None:
+            nodes.append([lo, hi, centre, 0, 0])
+            # the true distance, without the cancellation of 2 - 2 x.y, so that the radius covers what it should
+            radius.append(float(np.linalg.norm(x[order[lo:hi]] - x[centre], axis=1).max()) if hi - lo > 1 else 0.0)
+
+        node(0, len(x), 0)
         at = 0
-        while at < len(self.lo):
-            self._split(x, at)
+        while at < len(nodes):
+            lo, hi = nodes[at][:2]
+            half = radius[at] / 2
+            if hi - lo > LEAF and half > 1e-6:
+                own = order[lo:hi].copy()
+                chosen, near = cover(x[own], half)
+                rank = np.argsort(near, kind="stable")
+                order[lo:hi] = own[rank]
+                cuts = lo + np.searchsorted(near[rank], np.arange(len(chosen) + 1))
+                nodes[at][3] = len(nodes)
+                for a, b, c in zip(cuts[:-1].tolist(), cuts[1:].tolist(), own[chosen].tolist(), strict=True):
+                    node(a, b, c)
+                nodes[at][4] = len(nodes)
             at += 1
-        self.centre, self.radius = np.array(self.centre), np.array(self.radius)
-        self.x = x[self.order]
-
-    def _node(self, x: np.ndarray, lo: int, hi: int, centre: np.ndarray) -> int:
-        self.lo.append(lo)
-        self.hi.append(hi)
-        self.centre.append(centre)
-        # the true distance, without the cancellation of 2 - 2 x.y, so that the radius covers what it should
-        self.radius.append(float(np.linalg.norm(x[self.order[lo:hi]] - centre, axis=1).max()))
-        self.kids.append([])
-        return len(self.lo) - 1
-
-    def _split(self, x: np.ndarray, node: int) -> None:
-        lo, hi, half = self.lo[node], self.hi[node], self.radius[node] / 2
-        if hi - lo <= LEAF or half < 1e-7:
-            return
-        own = x[self.order[lo:hi]]
-        chosen, far = [0], np.linalg.norm(own - own[0], axis=1)
-        near = np.zeros(hi - lo, int)
-        while len(chosen) < FAN and far.max() > half:
-            chosen.append(int(far.argmax()))
-            d = np.linalg.norm(own - own[chosen[-1]], axis=1)
-            near[d < far] = len(chosen) - 1
-            far = np.minimum(far, d)
-        order = np.argsort(near, kind="stable")
-        self.order[lo:hi] = self.order[lo:hi][order]
-        cuts = np.searchsorted(near[order], np.arange(len(chosen) + 1))
-        self.kids[node] = [self._node(x, lo + int(a), lo + int(b), own[c]) for a, b, c in zip(cuts[:-1], cuts[1:], chosen, strict=True) if b > a]
-
-
-def dual(a: Tree, b: Tree, reach: float) -> list[tuple[int, list[int]]]:
-    """For leaves of a: the leaves of b that can hold a vector within reach. If a is b, each pair of leaves once."""
-    pairs, found = [(0, 0)], {}
-    while pairs:
-        i, j = np.array(pairs).T
-        gap = np.linalg.norm(a.centre[i] - b.centre[j], axis=1) - a.radius[i] - b.radius[j]
-        following = []
-        for p, q in [pairs[k] for k in np.flatnonzero(gap <= reach + SLACK)]:
-            ka, kb = a.kids[p], b.kids[q]
-            if not ka and not kb:
-                found.setdefault(p, []).append(q)
-            elif a is b and p == q:
-                following += [(x, y) for n, x in enumerate(ka) for y in ka[n:]]
-            elif ka and (not kb or a.radius[p] >= b.radius[q]):
-                following += [(x, q) for x in ka]
-            else:
-                following += [(p, y) for y in kb]
-        pairs = following
-    return list(found.items())
-
-
-def near_pairs(a: Tree, b: Tree, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows (of the vectors given to each tree) whose cosine reaches the threshold; if a is b, each pair once."""
-    left, right = [np.zeros(0, int)], [np.zeros(0, int)]
-    for p, qs in dual(a, b, float(np.sqrt(2 - 2 * threshold))):
-        rows = np.concatenate([np.arange(b.lo[q], b.hi[q]) for q in qs])
-        i, j = np.nonzero(a.x[a.lo[p] : a.hi[p]] @ b.x[rows].T >= threshold)
-        i, j = i + a.lo[p], rows[j]
-        if a is b:
-            i, j = np.minimum(i, j), np.maximum(i, j)
-            key = np.unique(i[i != j] * len(a.x) + j[i != j])
-            i, j = key // len(a.x), key % len(a.x)
-        left.append(a.order[i])
-        right.append(b.order[j])
-    return np.concatenate(left), np.concatenate(right)
+        nodes = np.array(nodes, np.int32)
+        nodes[:, 2] = np.argsort(order)[nodes[:, 2]]
+        return cls(x[order], order, nodes, np.array(radius))
+
+    def top(self) -> np.ndarray:
+        """The upper nodes: those below the root, or the root where there are too many."""
+        below = np.arange(self.first[0], self.last[0])
+        return below if 0 < len(below) <= TOP else np.zeros(1, int)
+
+    def sketch(self, turn: np.ndarray) -> None:
+        """Single-precision rows whose products are squared distances: over the rotated coordinates, and over all."""
+        self.part, self.whole = _squares(self.x @ turn), _squares(self.x)
+
+
+def _squares(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    norm, one = (x * x).sum(1, keepdims=True), np.ones((len(x), 1))
+    return np.hstack([-2 * x, norm, one]).astype(np.float32), np.hstack([x, one, norm]).astype(np.float32)
+
+
+def _near_nodes(a: Tree, b: Tree, p: np.ndarray, q: np.ndarray, reach: float, single: bool, step: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the nodes p and q that their bound doesn't part; single: all are of one vector."""
+    one, two = (a.part, b.part) if single else (a.whole, b.whole)
+    two = two[1][b.centre[q]].T
+    for s in range(0, len(p), step):
+        some = p[s : s + step]
+        square = one[0][a.centre[some]] @ two
+        limit = np.float32(reach * reach + ROUND) if single else ((a.radius[some][:, None] + b.radius[q][None, :] + reach) ** 2 + ROUND).astype(np.float32)
+        i, j = np.divmod(np.flatnonzero(square <= limit), len(q))
+        yield some[i], q[j]
+
+
+def dual(a: Tree, b: Tree, threshold: float, linked: Callable[[slice | np.ndarray, slice | np.ndarray, np.ndarray | None], None]) -> tuple[int, int]:
+    """Calls linked(rows of a, rows of b, which pairs: None for all of two slices) for all pairs that reach the threshold.
+
+    If a is b, each pair comes once, and a row with itself may come too. Returns how many pairs of nodes were compared,
+    and how many of them had to be followed.
+    """
+    reach, same, compared, followed = float(np.sqrt(2 - 2 * threshold)), a is b, 0, 0
+    stack = [(0, 0)]
+    while stack:
+        p, q = stack.pop()
+        (alo, ahi), (blo, bhi) = (a.lo[p], a.hi[p]), (b.lo[q], b.hi[q])
+        self_pair = same and p == q
+        if (ahi - alo) * (bhi - blo) <= LEAF * LEAF * 16 or (a.first[p] == a.last[p] and b.first[q] == b.last[q]):
+            for s in range(alo, ahi, 1024):
+                hit = a.x[s : min(s + 1024, ahi)] @ b.x[blo:bhi].T >= threshold
+                if hit.any():
+                    i, j = np.nonzero(hit)
+                    i, j = i + s, j + blo
+                    linked(i[i < j] if self_pair else i, j[i < j] if self_pair else j, np.ones(0))
+            continue
+        if not self_pair:
+            gap, both = float(np.linalg.norm(a.x[a.centre[p]] - b.x[b.centre[q]])), a.radius[p] + b.radius[q]
+            if gap > both + reach + SLACK:
+                continue
+            if gap + both <= reach - SLACK:
+                linked(slice(alo, ahi), slice(blo, bhi), None)
+                continue
+        elif 2 * a.radius[p] <= reach - SLACK:
+            linked(slice(alo, ahi), slice(blo, bhi), None)
+            continue
+        ps = np.arange(a.first[p], a.last[p]) if a.first[p] < a.last[p] else np.array([p])
+        qs = np.arange(b.first[q], b.last[q]) if b.first[q] < b.last[q] else np.array([q])
+        compared += len(ps) * len(qs)
+        for single_p in (True, False):
+            for single_q in (True, False):
+                mine, other = ps[(a.hi[ps] - a.lo[ps] == 1) == single_p], qs[(b.hi[qs] - b.lo[qs] == 1) == single_q]
+                for i, j in _near_nodes(a, b, mine, other, reach, single_p and single_q) if len(mine) and len(other) else ():
+                    if self_pair:  # the mirrored pair comes too
+                        i, j = i[i <= j], j[i <= j]
+                    followed += len(i)
+                    if single_p and single_q:
+                        x, y = a.lo[i], b.lo[j]
+                        for s in range(0, len(x), 65_536):
+                            u, v = x[s : s + 65_536], y[s : s + 65_536]
+                            ok = np.einsum("ij,ij->i", a.x[u], b.x[v]) >= threshold
+                            if same:
+                                ok &= u != v
+                            linked(u[ok], v[ok], np.ones(0))
+                    else:
+                        stack += zip(i.tolist(), j.tolist(), strict=True)
+    return compared, followed
+
+
+class Links:
+    """Links and local groups of a piece's classes, added up as pairs come; ``n`` is the number of rows of each class."""
+
+    def __init__(self, n: np.ndarray, shift: int):
+        self.n, self.shift = n, shift  # rows of the second tree follow those of the first
+        self.links, self.groups = np.zeros(len(n), np.int64), Groups(len(n))
+
+    def __call__(self, i, j, which) -> None:
+        n, k = self.n, self.shift
+        if which is None:
+            i, j = np.arange(i.start, i.stop), np.arange(j.start, j.stop) + k
+            own = k == 0 and i[0] == j[0]
+            self.links[i] += n[j].sum() - (n[i] if own else 0)
+            if not own:
+                self.links[j] += n[i].sum()
+            self.groups.add(np.concatenate([i, j]), np.full(len(i) + len(j), min(i[0], j[0])))
+        elif len(i):
+            j = j + k
+            self.links += (np.bincount(i, n[j], len(n)) + np.bincount(j, n[i], len(n))).astype(np.int64)
+            self.groups.add(i, j)
 
 
 def _assigner(shared):
@@ -148,7 +243,7 @@ def _assigner(shared):
             node, far = np.zeros(len(dims), np.int32), np.zeros(len(dims))
             for d in np.unique(dims):
                 at = np.flatnonzero(dims == d)
-                x, (first, c) = unit([raw[i] for i in at], int(d)), shared.value[int(d)]
+                x, (first, c, _) = unit([raw[i] for i in at], int(d)), shared.value[int(d)]
                 for s in range(0, len(at), 4096):
                     near = distances(x[s : s + 4096], c).argmin(1)
                     node[at[s : s + 4096]] = first + near
@@ -158,19 +253,46 @@ def _assigner(shared):
     return assign
 
 
-def _joiner(threshold: float):
+TREE = "block long, dim int, x binary, fps binary, ns binary, nodes binary, radius binary, tops binary, top_radius binary"
+
+
+def _tree(t: pa.Table) -> pa.Table:
+    """A block's tree as one row."""
+    dim = t["dim"][0].as_py()
+    order = np.argsort(np.array(t["fp"].to_pylist(), dtype="S16"), kind="stable")  # the same tree however rows arrive
+    raw, fps, n = t["vec"].to_pylist(), t["fp"].to_pylist(), t["n"].to_numpy()[order]
+    tree = Tree.build(unit([raw[i] for i in order], dim))
+    rows, top = order[tree.order], tree.top()
+    row = [t["block"][0].as_py(), dim, tree.x.tobytes(), b"".join(fps[i] for i in rows), n[tree.order].astype("<i8").tobytes(), tree.nodes.tobytes(), tree.radius.tobytes(), tree.x[tree.centre[top]].tobytes(), tree.radius[top].tobytes()]
+    return pa.table({c.split()[0]: pa.array([v], pa.int64() if "long" in c else pa.int32() if c == "dim int" else pa.binary()) for c, v in zip(TREE.split(", "), row, strict=True)})
+
+
+def _meeting(reach: float):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for r in b.to_pylist():
+                x, y = (np.frombuffer(r[c], "<f8").reshape(-1, r["dim"]) for c in ("tops_a", "tops_b"))
+                both = np.frombuffer(r["radius_a"], "<f8")[:, None] + np.frombuffer(r["radius_b"], "<f8")[None, :]
+                keep.append(r["a"] == r["b"] or bool((distances(x, y) <= both + reach + 1e-6).any()))
+            yield b.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+
+    return meet
+
+
+def _joiner(threshold: float, shared):
     def join(t: pa.Table) -> pa.Table:
-        dim = t["dim"][0].as_py()
-        fps, n, side = t["fp"].to_pylist(), t["n"].to_numpy(), t["side"].to_numpy()
-        x = unit(t["vec"].to_pylist(), dim)
-        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        a = Tree(x[one])
-        left, right = near_pairs(a, a if not len(two) else Tree(x[two]), threshold)
-        left, right = one[left], (two if len(two) else one)[right]
-        links = np.bincount(left, n[right], len(n)) + np.bincount(right, n[left], len(n))
-        root = local_groups(len(n), left, right)
-        at = np.flatnonzero(links)
-        return pa.table({"fp": pa.array([fps[i] for i in at], pa.binary()), "links": pa.array(links[at].astype(np.int64)), "anchor": pa.array([fps[root[i]] for i in at], pa.binary())})
+        trees, fps, ns = [], b"", []
+        for r in t.sort_by("block").to_pylist():
+            x = np.frombuffer(r["x"], "<f8").reshape(-1, r["dim"])
+            trees.append(Tree(x, np.arange(len(x)), np.frombuffer(r["nodes"], np.int32).reshape(-1, 5), np.frombuffer(r["radius"], "<f8")))
+            trees[-1].sketch(shared.value[r["dim"]][2])
+            fps += r["fps"]
+            ns.append(np.frombuffer(r["ns"], "<i8"))
+        links = Links(np.concatenate(ns), len(ns[0]) if len(ns) > 1 else 0)
+        dual(trees[0], trees[-1], threshold, links)
+        root, at = links.groups.roots(), np.flatnonzero(links.links)
+        return pa.table({"fp": pa.array([fps[16 * i : 16 * i + 16] for i in at], pa.binary()), "links": pa.array(links.links[at]), "anchor": pa.array([fps[16 * i : 16 * i + 16] for i in root[at]], pa.binary())})
 
     return join
 
@@ -182,34 +304,40 @@ def near_vectors(df: DataFrame, threshold: float = 0.95) -> DataFrame:
     classes = materialise(rows.where("fp is not null").groupBy("fp").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("n"), F.first("dim").alias("dim"), F.first("vec").alias("vec")), "classes")
 
     first, known, all_centres = 0, {}, []
-    for r in classes.groupBy("dim").count().orderBy("dim").collect():
-        few = classes.where(F.col("dim") == r["dim"]).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("vec").collect()
-        c = centres(unit([x["vec"] for x in few], r["dim"]), max(1, min(MOST, r["count"] // BLOCK)))
-        known[r["dim"]] = (first, c)
-        all_centres += [(first + i, r["dim"], v) for i, v in enumerate(c)]
+    counts = {r["dim"]: r["count"] for r in classes.groupBy("dim").count().collect()}
+    size = min(BLOCK, max(LEAST, -(-sum(counts.values()) // 6)))
+    for dim, count in sorted(counts.items()):
+        few = classes.where(F.col("dim") == dim).orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).select("vec").collect()
+        x = unit([v["vec"] for v in few], dim)
+        c = centres(x, max(1, min(MOST, count // size)))
+        known[dim] = (first, c, axes(x))
+        all_centres += [(first + i, dim, v) for i, v in enumerate(c)]
         first += len(c)
-    shape = "fp binary, n long, dim int, vec binary, node int, far double"
-    dealt = materialise(classes.select("fp", "n", "dim", "vec").mapInArrow(_assigner(spark.sparkContext.broadcast(known)), shape), "nodes")
-    stats = {r["node"]: (r["far"], r["count"]) for r in dealt.groupBy("node").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("count")).collect()}
+    shared = spark.sparkContext.broadcast(known)  # at most MOST centres and SKETCH directions a length
+    dealt = materialise(classes.select("fp", "n", "dim", "vec").mapInArrow(_assigner(shared), "fp binary, n long, dim int, vec binary, node int, far double"), "nodes")
+    stats = {r["node"]: (r["far"], -(-r["count"] // size)) for r in dealt.groupBy("node").agg(F.max("far").alias("far"), F.count(F.lit(1)).alias("count")).collect()}
+
+    chunks = spark.createDataFrame([(k, c) for k, (_, c) in stats.items()], "node int, chunks long")
+    block = F.shiftleft(F.col("node").cast("long"), 32) + F.pmod(F.xxhash64("fp"), F.col("chunks"))
+    members = dealt.drop("far").join(F.broadcast(chunks), "node").withColumn("block", block).drop("node", "chunks")
+    trees = materialise(members.groupBy("block").applyInArrow(_tree, TREE), "trees", compression="uncompressed")
 
-    # at most MOST nodes a length: their pairs are a small table
-    reach = float(np.sqrt(2 - 2 * threshold)) + SLACK
+    # at most MOST nodes a length: their pairs are a small table, and pairs of their blocks are made by Spark
+    reach = float(np.sqrt(2 - 2 * threshold))
     used = [(k, d, v) for k, d, v in all_centres if k in stats]
     meet = []
     for i, (k, d, v) in enumerate(used):
         for m, e, w in used[i:]:
-            if d == e and np.linalg.norm(v - w) <= stats[k][0] + stats[m][0] + reach:
-                meet.append((k, m, -(-stats[k][1] // BLOCK), -(-stats[m][1] // BLOCK)))
-    pairs = spark.createDataFrame(meet, "a int, b int, ka long, kb long")
-    pairs = pairs.withColumn("ca", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ka") - 1))).withColumn("cb", F.explode(F.sequence(F.lit(0).cast("long"), F.col("kb") - 1)))
-    pairs = pairs.where("a < b or ca <= cb").withColumn("piece", F.xxhash64("a", "b", "ca", "cb"))
-    one = pairs.select("piece", F.lit(0).alias("side"), F.col("a").alias("node"), F.col("ca").alias("chunk"), F.col("ka").alias("chunks"))
-    two = pairs.where("a != b or ca != cb").select("piece", F.lit(1).alias("side"), F.col("b").alias("node"), F.col("cb").alias("chunk"), F.col("kb").alias("chunks"))
-    sides = one.unionByName(two)
-    sizes = sides.select("node", "chunks").distinct()
-    member = dealt.drop("far").join(sizes, "node").withColumn("chunk", F.pmod(F.xxhash64("fp"), F.col("chunks"))).drop("chunks")
-    member = member.join(sides.drop("chunks"), ["node", "chunk"]).select("piece", "side", "fp", "n", "dim", "vec")
-    found = member.groupBy("piece").applyInArrow(_joiner(threshold), "fp binary, links long, anchor binary")
+            if d == e and np.linalg.norm(v - w) <= stats[k][0] + stats[m][0] + reach + SLACK:
+                meet.append((k, m, stats[k][1], stats[m][1]))
+    pairs = spark.createDataFrame(meet, "ka long, kb long, na long, nb long")
+    each = lambda k, n: F.explode(F.sequence(F.shiftleft(k, 32), F.shiftleft(k, 32) + F.col(n) - 1))
+    pairs = pairs.withColumn("a", each("ka", "na")).withColumn("b", each("kb", "nb")).where("a <= b").select("a", "b")
+    tops = [trees.select(F.col("block").alias(c), *(["dim"] if c == "a" else []), F.col("tops").alias(f"tops_{c}"), F.col("top_radius").alias(f"radius_{c}")) for c in "ab"]
+    pairs = pairs.join(tops[0], "a").join(tops[1], "b").mapInArrow(_meeting(reach), "a long, b long")
+    pairs = materialise(pairs.withColumn("piece", F.xxhash64("a", "b")), "pieces")
+    sides = pairs.select("piece", F.col("a").alias("block")).unionByName(pairs.where("a != b").select("piece", F.col("b").alias("block")))
+    found = sides.join(trees.drop("tops", "top_radius"), "block").groupBy("piece").applyInArrow(_joiner(threshold, shared), "fp binary, links long, anchor binary")
     found = materialise(found, "links")
     return memberships(rows.select("vec_id", "fp"), classes.select("fp", "vec_id", "n"), found, "vec_id").drop("fp")
 
