@@ -56,6 +56,42 @@ def test_words_match_regular_expressions():
     assert words.distinct(np.array([3, 1, 3])).tolist() == [1, 3]
 
 
+def thue_morse(n):
+    """Two words of n letters that any polynomial hash modulo a power of two confuses from 1,024 letters on."""
+    return ["".join("ab"[(bin(i).count("1") + k) % 2] for i in range(n)) for k in (0, 1)]
+
+
+@pytest.mark.parametrize("n", [16, 1024, 8192])
+def test_words_of_many_letters_are_told_apart(spark, n):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    one, two = thue_morse(n)
+    for _, _, data, offsets in words.slices(pa.array([one, two, one])):
+        h = words.words(data, offsets, words.NOT_SPACE).hash
+        assert h[0] == h[2] != h[1]
+    d = spark.createDataFrame([(1, one), (2, two), (3, one)], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_links"] for r in jaccard.near_copies(d).collect()} == {1: 1, 2: 0, 3: 1}
+    assert {r["doc_id"] for r in jaccard.without_copies(d).collect()} == {1, 2}
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok = Tokenizer.from_file(path)
+    got = {r["doc_id"]: r["ids_crc32"] for r in tokens.read_tokens(tokens.write_tokens(d, path, 2)).collect()}
+    assert got == {i: zlib.crc32(np.array([*tok.encode(t, add_special_tokens=False).ids, 2], "<u4").tobytes()) for i, t in ((1, one), (2, two), (3, one))}
+    known = {r["doc_id"]: r["n_known"] for r in lm.language_scores(d, F.col("doc_id") == 1, F.lit(False)).collect()}
+    assert known == {1: 2, 2: 1, 3: 2}
+
+
+def test_pieces_under_one_hash_are_told_apart(monkeypatch):
+    import public_tokenizers
+
+    e = tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    monkeypatch.setattr(tokens, "hashes", lambda data, start, end, lower: np.zeros(len(start), np.uint64))
+    for _, _, data, offsets in words.slices(pa.array(["same same but quite another thing", "thing"])):
+        for _ in range(2):
+            got, cuts = e.encode(data, offsets)
+            assert [got[:cuts[1]].tolist(), got[cuts[1]:].tolist()] == e.plain(["same same but quite another thing", "thing"])
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 200), (200, 300), (5, 5), (None, 1)]
     got = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -265,6 +301,19 @@ def test_tokens_round_trip(spark, odd, empty):
             assert got[x:y].tolist() == tok.encode(data[a:b].tobytes().decode(), add_special_tokens=False).ids
 
 
+def test_token_ids_of_the_whole_table(spark, sf, docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok, start = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), 0
+    got = tokens.op6_token_planes(spark, sf).toPandas().set_index("doc_id")
+    assert len(got) == len(docs)
+    for d, t in docs.sort_values("doc_id").itertuples(index=False):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
+        assert got.loc[d, ["start", "n_tokens", "ids_crc32"]].tolist() == [start, len(ids), zlib.crc32(ids.tobytes())]
+        start += len(ids)
+
+
 def test_language_model(spark, sf, docs):
     import math
     from collections import Counter

@@ -1,7 +1,7 @@
 """Near copies: an n-gram Jaccard join whose candidates are pruned by Bayesian inference on MinHash values.
 
 A text is the set of its runs of five words (lower-cased A-Z, split at white space; a shorter text is one run). Texts
-with the same words in the same order form a class, and only classes are compared. ``HASHES`` MinHash values a class,
+with the same words in the same order (by a digest of 128 bits) form a class, and only classes are compared. ``HASHES`` MinHash values a class,
 cut into bands, bring classes into buckets. Within a bucket two classes' values are compared a few at a time: with a
 uniform prior, m agreements in n make the chance that their similarity reaches the threshold P(Bin(n + 1, t) <= m),
 and the pair is dropped when that falls below the tolerance. What is left is verified on the whole texts' sets.
@@ -19,6 +19,7 @@ while there is a row with one. Other columns are ignored; an empty table gives a
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import comb
 
 import numpy as np
@@ -31,27 +32,23 @@ from tidemill.llm.store import materialise, table, texts
 from tidemill.llm.words import NOT_SPACE, distinct, grams, mix, slices, words
 
 BANDS, ROWS, STEP, BLOCK = 24, 4, 16, 256
+FEW = 200_000  # rows of some 50 bytes that may be broadcast
 HASHES = BANDS * ROWS
 _RNG = np.random.default_rng(20)
 _XOR = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64)
 _MUL = _RNG.integers(0, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingles(column: pa.Array, n: int, most: int = (1 << 19) - 2) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of runs of texts: word hashes and bounds, shingle hashes and bounds."""
+def shingles(column: pa.Array, n: int, most: int = (1 << 19) - 2) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of runs of texts: shingle hashes and bounds."""
     for _, _, data, offsets in slices(column, most):
         w = words(data, offsets, NOT_SPACE)
-        yield w.hash, w.bounds, *grams(w.hash, w.bounds, n)
+        yield grams(w.hash, w.bounds, n)
 
 
-def fingerprints(h: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-    """Sixteen bytes for each text's sequence of words."""
-    place = (np.arange(len(h)) - np.repeat(bounds[:-1], np.diff(bounds))).astype(np.uint64)
-    out = np.zeros((len(bounds) - 1, 2), ">u8")
-    for k, mul in enumerate((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)):
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(h ^ mix((place + np.uint64(1)) * np.uint64(mul))))])
-        out[:, k] = sums[bounds[1:]] - sums[bounds[:-1]]
-    return [x.tobytes() for x in out]
+def fingerprints(column: pa.Array) -> list[bytes]:
+    """A cryptographic digest of each text's words, lower-cased A-Z, in their order."""
+    return [blake2b(b" ".join(t.as_py().encode().lower().split()), digest_size=16).digest() for t in column]
 
 
 def signatures(g: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
@@ -69,9 +66,8 @@ def signatures(g: np.ndarray, bounds: np.ndarray) -> list[bytes | None]:
 def _signer(n: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps, sigs = [], []
-            for h, hb, g, gb in shingles(b["text"], n):
-                fps += fingerprints(h, hb)
+            fps, sigs = fingerprints(b["text"]), []
+            for g, gb in shingles(b["text"], n):
                 sigs += signatures(g, gb)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["row"], pa.array(fps, pa.binary()), pa.array(sigs, pa.binary())], ["doc_id", "row", "fp", "sig"])
 
@@ -153,7 +149,7 @@ def _pruner(need: list[int], most: int = 65_536):
             used = np.unique(np.concatenate([left, other]))
             cut = np.searchsorted(left, used), np.searchsorted(left, used, side="right")
             rel = (other - start[other]).astype("<u4")
-            out = t.take(pa.array(used)).select(["piece", "fp", "doc_id", "n"])
+            out = t.take(pa.array(used)).select(["piece", "fp", "n"])
             out = out.append_column("place", pa.array(used - start[used], pa.int32())).append_column("others", pa.array([rel[a:b].tobytes() for a, b in zip(*cut, strict=True)], pa.binary()))
             yield from out.combine_chunks().to_batches()
 
@@ -166,15 +162,12 @@ def _verifier(n: int, threshold: float):
             piece, place = t["piece"].to_numpy(), t["place"].to_numpy()
             fps, counts, others = t["fp"].to_pylist(), t["n"].to_numpy(), t["others"].to_pylist()
             sets: list[np.ndarray] = []
-            now: list[bytes] = []
-            for h, hb, g, gb in shingles(t["text"].combine_chunks(), n):
-                now += fingerprints(h, hb)
+            for g, gb in shingles(t["text"].combine_chunks(), n):
                 sets += [distinct(g[a:b]) for a, b in zip(gb[:-1], gb[1:], strict=True)]
             cuts = [*np.flatnonzero(np.concatenate([[True], piece[1:] != piece[:-1]])), len(piece)]
             out: dict[str, list] = {"fp": [], "links": [], "anchor": []}
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                # a doc_id that stands in several rows brings other texts along: they have another fingerprint
-                at = {int(place[i]): i for i in range(a, b) if now[i] == fps[i]}
+                at = {int(place[i]): i for i in range(a, b)}
                 rows = sorted(at.values(), key=lambda i: place[i])
                 index = {i: k for k, i in enumerate(rows)}
                 pairs = [(index[i], index[at[int(p)]]) for i in rows for p in np.frombuffer(others[i], "<u4") if int(p) in at]
@@ -221,7 +214,9 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
     """One row for each of ``docs``: doc_id, row (a hash of its text), class_id, n_links, component_id, kept."""
     base = texts(docs).withColumn("row", F.xxhash64("text"))
     signed = materialise(base.mapInArrow(_signer(n), "doc_id long, row long, fp binary, sig binary"), "signatures")
-    classes = materialise(signed.where("sig is not null").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig")), "classes")
+    one = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))  # the row whose text stands for the class
+    classes = signed.where("sig is not null").groupBy("fp").agg(one.alias("one"), F.count(F.lit(1)).alias("n"), F.first("sig").alias("sig"))
+    classes = materialise(classes.select("fp", "one.doc_id", "one.row", "n", "sig"), "classes")
 
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.expr("sig").substr(b * 2 * ROWS + 1, F.lit(2 * ROWS))))
     banded = classes.select("fp", F.posexplode(band).alias("band", "bucket"))
@@ -233,14 +228,18 @@ def near_copies(docs: DataFrame, n: int = 5, threshold: float = 0.8, tolerance:
         F.xxhash64("bucket", "band", F.least("mine", "with"), F.greatest("mine", "with")).alias("piece"),
         (F.col("mine") > F.col("with")).cast("int").alias("side"),
         (F.col("mine") == F.col("with")).alias("whole"),
-        "band", "fp", "doc_id", "n", "sig",
+        "band", "fp", "n", "sig",
     )
     pieces = member.repartition("piece").sortWithinPartitions("piece", "side", "fp")
-    pruned = pieces.mapInArrow(_pruner(needed(threshold, tolerance)), "piece long, fp binary, doc_id long, n long, place int, others binary")
+    pruned = pieces.mapInArrow(_pruner(needed(threshold, tolerance)), "piece long, fp binary, n long, place int, others binary")
     pruned = materialise(pruned, "candidates")
 
-    full_text = base.select(F.col("doc_id").alias("id"), "text")
-    work = pruned.join(full_text, F.col("doc_id").eqNullSafe(F.col("id"))).drop("id")
+    # one text for each class that has a candidate: its row's, found by id and text
+    wanted = materialise(pruned.select("fp").distinct().join(classes, "fp").select("fp", F.col("doc_id").alias("id"), F.col("row").alias("text_row")), "wanted")
+    if wanted.count() <= FEW:
+        wanted = F.broadcast(wanted)
+    whole = base.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("row") == F.col("text_row"))).select("fp", "text").dropDuplicates(["fp"])
+    work = pruned.join(materialise(whole, "texts"), "fp")
     work = work.select("piece", "place", "fp", "n", "others", "text").repartition("piece").sortWithinPartitions("piece", "place")
     verified = materialise(work.mapInArrow(_verifier(n, threshold), "fp binary, links long, anchor binary"), "links")
 

@@ -7,7 +7,7 @@ transposed into byte planes (or bit planes), each plane compressed with zstandar
 Parquet writer stores the rows, so files are committed whole and any store that Spark reaches will do.
 
 A text is split before spaces that always begin a token of the byte-level pattern; each distinct piece is encoded by the
-tokenizer once a worker and looked up after that. A text that holds the string of a special token is encoded whole.
+tokenizer once a worker and looked up after that, by its hash and then its bytes. A text that holds the string of a special token is encoded whole.
 
 Defined results: a null text is an empty one and yields the end id alone; a row without doc_id comes first; repeated
 ids are documents of their own, in the order of their texts' hashes; other columns are ignored; an empty table gives
@@ -31,7 +31,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.llm.store import materialise, table, texts
-from tidemill.llm.words import between, prefix_sums, slices
+from tidemill.llm.words import equal, hashes, slices
 
 CHUNK, BUNDLE, MAGIC = 1 << 16, 1 << 20, b"BPS1"
 #: A token begins at a space before one of these bytes, whatever stands before: no white space begins with them.
@@ -52,17 +52,21 @@ class Encoder:
 
     def clear(self) -> None:
         self.known, self.begin, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.ids, self.bytes = np.zeros(0, np.uint32), np.zeros(0, np.uint8)
+        self.at, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def plain(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, h: np.ndarray, pieces: list[str]) -> None:
-        new = self.plain(pieces)
+    def _learn(self, h: np.ndarray, raw: list[bytes]) -> None:
+        new = self.plain([x.decode() for x in raw])
+        length = np.array([len(x) for x in raw], np.int64)
+        place = len(self.bytes) + np.cumsum(length) - length
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(raw), np.uint8)])
         size = np.array([len(x) for x in new], np.int64)
         begin = len(self.ids) + np.cumsum(size) - size
         at = np.searchsorted(self.known, h)
-        self.known, self.begin, self.size = (np.insert(x, at, y) for x, y in ((self.known, h), (self.begin, begin), (self.size, size)))
+        self.known, self.begin, self.size, self.at, self.length = (np.insert(x, at, y) for x, y in ((self.known, h), (self.begin, begin), (self.size, size), (self.at, place), (self.length, length)))
         self.ids = np.concatenate([self.ids, *[np.array(x, np.uint32) for x in new]])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +85,7 @@ class Encoder:
         opens[ends[data[ends] == 0x20]] = False
         start = np.flatnonzero(opens)
         end = np.append(start[1:], n)
-        h = between(prefix_sums(data, lower=False), start, end)
+        h = hashes(data, start, end, lower=False)
         u, first, inverse = np.unique(h, return_index=True, return_inverse=True)
         at = np.searchsorted(self.known, u)
         miss = np.ones(len(u), dtype=bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != u
@@ -89,12 +93,20 @@ class Encoder:
             self.clear()
             miss[:] = True
         if miss.any():
-            self._learn(u[miss], [raw[a:b].decode() for a, b in zip(start[first[miss]], end[first[miss]], strict=True)])
+            self._learn(u[miss], [raw[a:b] for a, b in zip(start[first[miss]], end[first[miss]], strict=True)])
             at = np.searchsorted(self.known, u)
-        begin, size = self.begin[at][inverse], self.size[at][inverse]
+        at, ids = at[inverse], self.ids
+        begin, size = self.begin[at], self.size[at]
+        # a hash alone proves nothing: a piece whose bytes are not those known under its hash is encoded by itself
+        other = np.flatnonzero((self.length[at] != end - start) | ~equal(self.bytes, self.at[at], data, start, np.minimum(end - start, self.length[at])))
+        if len(other):
+            own = [np.array(x, np.uint32) for x in self.plain([raw[start[i] : end[i]].decode() for i in other])]
+            size[other] = [len(x) for x in own]
+            begin[other] = len(ids) + np.cumsum(size[other]) - size[other]
+            ids = np.concatenate([ids, *own])
         total = np.cumsum(size)
         take = np.repeat(begin - (total - size), size) + np.arange(total[-1] if len(total) else 0)
-        return self.ids[take], np.concatenate([[0], total])[np.searchsorted(start, offsets)]
+        return ids[take], np.concatenate([[0], total])[np.searchsorted(start, offsets)]
 
 
 @lru_cache(2)

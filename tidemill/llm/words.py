@@ -1,20 +1,21 @@
 """Words of many texts at once: boundaries and 64-bit hashes by NumPy over an Arrow column's bytes.
 
-A word's hash is a polynomial over its bytes modulo 2**64, taken from prefix sums, so that hashing costs a few
-passes over the bytes and no Python object for each word.
+A word is read eight bytes at a time. Each eight are mixed, with their place in the word, by a non-linear bijection, and
+the results added up: words of up to eight bytes never share a hash except by the length's share in it, longer ones as
+random numbers would. No Python object is made for a word. Where two words taken for one would change a text or drop
+it, the callers compare bytes or a cryptographic digest besides.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 
-_BASE = 0x9E3779B97F4A7C15 | 1
 _U = np.uint64
+_PLACE, _LENGTH = _U(0x9E3779B97F4A7C15), _U(0xC2B2AE3D27D4EB4F)
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -30,14 +31,14 @@ class Words(NamedTuple):
     end: np.ndarray
     bounds: np.ndarray  # bounds[d]:bounds[d + 1] are the words of text d
     hash: np.ndarray  # uint64
-    sums: np.ndarray  # prefix sums over the bytes, for hashes of parts of words
+    data: np.ndarray  # the bytes, for hashes of parts of words
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.bounds) - 1), np.diff(self.bounds))
 
     def head(self, n: int) -> np.ndarray:
         """The hash of each word's first n bytes."""
-        return between(self.sums, self.start, np.minimum(self.start + n, self.end))
+        return hashes(self.data, self.start, np.minimum(self.start + n, self.end))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -54,26 +55,47 @@ def distinct(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
-@lru_cache(4)
-def _powers(n: int, base: int) -> np.ndarray:
-    return np.concatenate([np.ones(1, _U), np.cumprod(np.full(n, base, _U))])
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place on, as one number each."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,))
 
 
-def prefix_sums(data: np.ndarray, lower: bool = True) -> np.ndarray:
-    """Sums over the first bytes, from which between() has the hash of any stretch."""
-    sums = np.zeros(len(data) + 1, _U)
-    folded = LOWER[data] if lower else data
-    np.cumsum((folded.astype(_U) + _U(1)) * _powers(_room(len(data)), _BASE)[: len(data)], out=sums[1:])
-    return sums
+def _read(eight: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    return eight[at] & (~_U(0) >> (_U(64) - _U(8) * np.clip(left, 1, 8).astype(_U)))
 
 
-def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    back = _powers(_room(len(sums) - 1), pow(_BASE, -1, 1 << 64))
-    return mix((sums[end] - sums[start]) * back[start])
+def _beyond(length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Which stretches go on after eight bytes, where their parts of eight begin in the third, and the parts' numbers."""
+    long = np.flatnonzero(length > 8)
+    parts = (length[long] - 1) // 8
+    first = np.cumsum(parts) - parts
+    return long, first, 1 + np.arange(int(parts.sum())) - np.repeat(first, parts)
 
 
-def _room(n: int) -> int:
-    return 1 << max(16, int(n + 1).bit_length())
+def equal(a: np.ndarray, at_a: np.ndarray, b: np.ndarray, at_b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Whether stretches of the given lengths hold the same bytes."""
+    x, y = _eights(a), _eights(b)
+    out = _read(x, at_a, length) == _read(y, at_b, length)
+    long, first, k = _beyond(length)
+    if len(long):
+        n = np.diff([*first, len(k)])
+        left = length[long].repeat(n) - 8 * k
+        out[long] &= np.logical_and.reduceat(_read(x, at_a[long].repeat(n) + 8 * k, left) == _read(y, at_b[long].repeat(n) + 8 * k, left), first)
+    return out
+
+
+def hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of each stretch of the bytes."""
+    eight, length = _eights(LOWER[data] if lower else data), end - start
+    out = _read(eight, start, length)
+    long, first, k = _beyond(length)
+    if len(long):
+        n = np.diff([*first, len(k)])
+        value = _read(eight, start[long].repeat(n) + 8 * k, length[long].repeat(n) - 8 * k)
+        out[long] += np.add.reduceat(mix(value ^ mix(k.astype(_U) * _PLACE)), first)
+    return mix(out ^ (length.astype(_U) * _LENGTH))
 
 
 def slices(column: pa.Array, most: int = (1 << 20) - 2) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -106,8 +128,7 @@ def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray = WORD_BYTE)
     begins = is_in & (~before | first)
     ends = before & (~is_in | first)
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    sums = prefix_sums(data)
-    return Words(start, end, np.searchsorted(start, offsets), between(sums, start, end), sums)
+    return Words(start, end, np.searchsorted(start, offsets), hashes(data, start, end), data)
 
 
 def grams(hashes: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
