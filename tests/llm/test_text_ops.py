@@ -214,17 +214,25 @@ def test_held_out_accuracy(spark, name, label, least):
     assert (got.predicted == got[label]).mean() > least
 
 
-def test_pairs_that_linear_weights_miss(spark):
-    """The label is the exclusive or of two words: only their product tells."""
+def xor_texts(rng, n, words_each):
+    """Texts whose label is the exclusive or of two words, among common other words: only their product tells."""
+    y = rng.integers(0, 2, (n, 2))
+    other = lambda: [f"w{k}" for k in (rng.random(words_each) ** 2 * 300).astype(int)]
+    return (y[:, 0] ^ y[:, 1]), [" ".join(["insult"] * a + other() + ["group"] * b) for a, b in y]
+
+
+@pytest.mark.parametrize("words_each", [3, 60])
+def test_pairs_that_linear_weights_miss(words_each):
     rng = np.random.default_rng(3)
-    y = rng.integers(0, 2, (400, 2))
-    texts = [" ".join(["insult"] * a + ["group"] * b + [f"filler{i % 7}"]) for i, (a, b) in enumerate(y)]
-    batch = pa.RecordBatch.from_arrays([pa.array((y[:, 0] & y[:, 1]).astype(np.int32)), pa.array(texts)], ["y", "text"])
+    (y, texts), (held, unseen) = xor_texts(rng, 1000, words_each), xor_texts(rng, 500, words_each)
+    batch = pa.RecordBatch.from_arrays([pa.array(y.astype(np.int32)), pa.array(texts)], ["y", "text"])
     out = next(toxicity.place_sets(iter([batch])))
     sets = [np.frombuffer(p, "<u4") for p in out["places"].to_pylist()]
-    m = toxicity.fit(out["y"].to_numpy(), sets, np.ones(400), steps=400)
-    score = lambda t: toxicity._all_scores(m, pa.array([t]))[0]
-    assert score("insult group") > 0.5 > max(score("insult"), score("group"))
+    m = toxicity.fit(out["y"].to_numpy(), sets, np.ones(1000))
+    linear = toxicity.fit(out["y"].to_numpy(), sets, np.ones(1000), factors=0)
+    right = lambda model: ((toxicity._all_scores(model, pa.array(unseen)) > 0.5) == held).mean()
+    assert right(m) > 0.95
+    assert right(linear) < 0.65
 
 
 def test_classifiers_on_odd_rows(odd, empty, labels):

@@ -5,8 +5,11 @@ hits. The machine adds to linear weights a product of two small vectors for ever
 such as an insult and a group's mention counts for more than its two parts.
 
 Learning takes a bounded sample (``max_rows`` labelled rows a class, by smallest hash of the id): each task reduces a
-text to its set of places; the places that best tell the classes apart become features, and the machine is fitted by
-Adam on their presence. Scoring reads every text as a whole in Arrow batches, with the fitted arrays (about 1 MB,
+text to its set of places. A first machine is fitted by AdaGrad over all places that ``least`` texts of the sample hit,
+whatever they tell by themselves. Of its places, those with the largest pair parts are tested by pairs: a pair whose
+joint presence tells the classes apart far beyond chance stays, though either place alone may tell nothing (an exclusive
+or). Those, and the places that tell something by themselves, are the features on whose presence the final machine is
+fitted by Adam. Scoring reads every text as a whole in Arrow batches, with the fitted arrays (about 1 MB,
 whatever the input's size) broadcast.
 
 Defined results: a null text counts as empty; an empty text gets the machine's bias as score. A label that is null is
@@ -29,6 +32,8 @@ from tidemill.llm.store import fold, table, texts
 from tidemill.llm.words import distinct, slices, words
 
 BITS, HEADS = 18, (4, 5)
+#: What a pair must tell beyond its parts, as a squared number of standard deviations: words of one passage come together too.
+BEYOND = 90.0
 
 
 class Machine(NamedTuple):
@@ -70,37 +75,92 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_ro
     return texts(docs).join(few[0].unionByName(few[1]), "doc_id")
 
 
-def choose(y: np.ndarray, sets: list[np.ndarray], features: int, least: int, at_once: int = 500) -> np.ndarray:
-    """The places whose presence tells the classes apart best, by the chi-squared statistic."""
-    size = 1 << BITS
-    hit, pos = np.zeros(size), np.zeros(size)
-    for i in range(0, len(sets), at_once):
-        some = sets[i : i + at_once]
-        cols = np.concatenate(some)
-        hit += np.bincount(cols, minlength=size)
-        pos += np.bincount(cols, weights=np.repeat(y[i : i + at_once], [len(s) for s in some]), minlength=size)
+def telling(y: np.ndarray, sets: list[np.ndarray], hit: np.ndarray, features: int) -> np.ndarray:
+    """The places whose presence alone tells the classes apart best, by the chi-squared statistic."""
+    pos = sum((_hits(s) for s in _some([s for s, v in zip(sets, y, strict=True) if v])), np.zeros(1 << BITS))
     n, p = len(y), y.sum()
-    neg = hit - pos
-    det = pos * (n - p - neg) - neg * (p - pos)
+    det = pos * (n - p - hit + pos) - (hit - pos) * (p - pos)
     chi = n * det**2 / np.maximum(1.0, hit * (n - hit) * 1.0 * p * (n - p))
-    chi[(hit < least) | (chi < 10.83)] = 0  # below the 0.1 % point a difference counts as chance
+    chi[(hit < 5) | (chi < 10.83)] = 0  # below the 0.1 % point a difference counts as chance
     best = np.argsort(-chi, kind="stable")[:features]
-    return np.sort(best[chi[best] > 0])
+    return best[chi[best] > 0]
+
+
+def _some(sets: list[np.ndarray], at_once: int = 500) -> Iterator[list[np.ndarray]]:
+    return (sets[i : i + at_once] for i in range(0, len(sets), at_once))
+
+
+def _hits(sets: list[np.ndarray]) -> np.ndarray:
+    return np.bincount(np.concatenate(sets), minlength=1 << BITS)
+
+
+def sparse_machine(y: np.ndarray, rows: list[np.ndarray], size: int, weight: np.ndarray, factors: int, epochs: int = 5, batch: int = 128, rate: float = 0.1, decay: float = 0.02, seed: int = 7) -> np.ndarray:
+    """The pair vectors (size x factors) of a machine over sparse rows of features, fitted by AdaGrad on small batches."""
+    rng, share, c = np.random.default_rng(seed), float((y * weight).sum() / weight.sum()), weight / weight.mean()
+    b, w, v = np.log(share / (1 - share)), np.zeros(size), rng.normal(0, 0.05, (size, factors))
+    gb, gw, gv = 1e-3, np.full(size, 1e-3), np.full((size, factors), 1e-3)
+    for e in range(epochs):
+        order, step = rng.permutation(len(y)), rate * (1 - e / epochs)
+        for s in range(0, len(y), batch):
+            at = order[s : s + batch]
+            f, d = np.concatenate([rows[i] for i in at]), np.repeat(np.arange(len(at)), [len(rows[i]) for i in at])
+            add = lambda x: np.bincount(d, x, len(at))  # noqa: B023, E731
+            q = np.stack([add(v[f, j]) for j in range(factors)], axis=1)
+            z = b + add(w[f]) + 0.5 * ((q**2).sum(1) - add((v[f] ** 2).sum(1)))
+            g = c[at] * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[at]) / len(at)
+            u, inverse = np.unique(f, return_inverse=True)
+            dw = np.bincount(inverse, g[d], len(u))
+            dv = np.stack([np.bincount(inverse, (g[:, None] * q)[d, j], len(u)) for j in range(factors)], axis=1) - dw[:, None] * v[u]
+            gb, gw[u], gv[u] = gb + g.sum() ** 2, gw[u] + dw**2, gv[u] + dv**2
+            b, w[u], v[u] = b - step * g.sum() / np.sqrt(gb), w[u] - step * dw / np.sqrt(gw[u]), v[u] - step * dv / np.sqrt(gv[u])
+        w, v = w * (1 - decay), v * (1 - decay)
+    return v
+
+
+def pairing(y: np.ndarray, sets: list[np.ndarray], hit: np.ndarray, weight: np.ndarray, factors: int, least: int, candidates: int) -> np.ndarray:
+    """The places of pairs whose joint presence tells the classes apart, of those to which the sparse machine gives the largest pair parts."""
+    kept = np.flatnonzero(hit >= least)
+    slot = np.full(1 << BITS, -1, np.int32)
+    slot[kept] = np.arange(len(kept))
+    rows = [f[f >= 0] for f in (slot[s] for s in sets)]
+    v = sparse_machine(y, rows, len(kept), weight, factors)
+    best = np.argsort(-(v**2).sum(1) * hit[kept], kind="stable")[:candidates]
+    slot = np.full(len(kept), -1, np.int32)
+    slot[best] = np.arange(len(best))
+    x = _presence([slot[f] for f in rows], len(best))
+    share = y.mean()
+    joint, apart = x.T @ x, x.T @ (x * (y - share).astype(np.float32)[:, None])
+    # what the pair tells beyond its two parts: its difference less theirs, each by its own texts
+    own = np.diag(apart) / np.maximum(1, np.diag(joint))
+    beyond = apart - joint * (own[:, None] + own[None, :])
+    score = beyond**2 / np.maximum(1e-9, joint * share * (1 - share))
+    np.fill_diagonal(score, 0)
+    score[joint < 5] = 0
+    told = np.flatnonzero(score.max(1) > BEYOND)
+    return kept[best[told]]
+
+
+def _presence(rows: list[np.ndarray], size: int) -> np.ndarray:
+    x = np.zeros((len(rows), size), np.float32)
+    for i, f in enumerate(rows):
+        x[i, f[f >= 0]] = 1
+    return x
 
 
-def fit(y: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, features: int = 1024, factors: int = 4, steps: int = 300, l2: float = 5e-4, least: int = 5, seed: int = 7) -> Machine:
+def fit(y: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, features: int = 1024, factors: int = 4, steps: int = 300, l2: float = 5e-4, least: int = 3, seed: int = 7) -> Machine:
     y = y.astype(np.float64)
     slot = np.full(1 << BITS, -1, np.int32)
     share = float((y * weight).sum() / weight.sum()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         share = min(max(share, 0.0), 1.0)
         return Machine(slot, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(0), np.zeros((0, factors)))
-    best = choose(y, sets, features, least)
+    hit = sum((_hits(s) for s in _some(sets)), np.zeros(1 << BITS))
+    best = telling(y, sets, hit, features)
+    if factors:
+        best = np.union1d(best, pairing(y, sets, hit, weight, factors, least, features))
+    best = np.sort(best).astype(int)
     slot[best] = np.arange(len(best))
-    x = np.zeros((len(y), len(best)), np.float32)
-    for i, s in enumerate(sets):
-        f = slot[s]
-        x[i, f[f >= 0]] = 1
+    x = _presence([slot[s] for s in sets], len(best))
     rng = np.random.default_rng(seed)
     params = [np.full(1, np.log(share / (1 - share))), np.zeros(len(best)), rng.normal(0, 0.05, (len(best), factors))]
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
