@@ -371,6 +371,34 @@ def test_pages(spark, sf):
         assert got[r["page_id"]] == " ".join(b for b in blocks if b)
 
 
+def test_longest_common_lines():
+    rng = np.random.default_rng(0)
+    for most in (1, 16, 1 << 22):
+        for _ in range(60):
+            a, b = (rng.integers(0, 6, rng.integers(0, 25)).tolist() for _ in range(2))
+            t = np.zeros((len(a) + 1, len(b) + 1), int)
+            for i in range(len(a)):
+                for j in range(len(b)):
+                    t[i + 1, j + 1] = t[i, j] + 1 if a[i] == b[j] else max(t[i, j + 1], t[i + 1, j])
+            got = pages.shared(a, b, most)
+            assert len(got) == t[-1, -1] and sorted(set(got)) == got
+            rest = iter(b)
+            assert all(a[i] in rest for i in got)
+    assert len(pages.shared(list(range(30_000)), list(range(1, 30_001)))) == 29_999
+
+
+def test_differencing_decides_in_mixed_hosts(spark):
+    page = "<div>Menu</div>{}<div>Foot</div>"
+    rows = [
+        (1, "http://a.b/a/1", page.format("<article><p>one body</p></article>")), (2, "http://a.b/a/2", page.format("<p>two body</p>")),
+        (3, "http://m.m/a/1", page.format("<main><p>Share this</p><p>three</p></main>")), (4, "http://m.m/a/2", page.format("<main><p>Share this</p><p>four</p></main>")),
+        (5, "http://q.q/1", page.format("<article><p>same</p><p>five</p></article>")), (6, "http://q.q/2", page.format("<article><p>same</p><p>six</p></article>")),
+        *[(10 + i, "http://z.z/hot", page.format(f"<p>hot {i}</p>")) for i in range(40)], (60, "http://z.z/cold", page.format("<p>cold</p>")),
+    ]
+    got = {r["page_id"]: (r["text"], r["n_deleted"]) for r in pages.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: ("one body", 2), 2: ("two body", 2), 3: ("three", 3), 4: ("four", 3), 5: ("same five", 2), 6: ("same six", 2), **{10 + i: (f"hot {i}", 2) for i in range(40)}, 60: ("cold", 2)}
+
+
 def test_page_differencing(spark):
     rows = [
         (1, "http://a.b/x/1", "<div>Menu A</div><p>one</p><p>Foot</p>"), (2, "http://a.b/x/2#t", "<div>Menu A</div><p>two &amp; <i>t</i>hree</p><p>Foot</p>"),
