@@ -193,6 +193,52 @@ def test_decontamination_finds_long_items(spark):
     assert all(d // 10 == i for d, i in got)
 
 
+def test_decontamination_recall_on_paraphrases(spark):
+    """Items inside other texts: words dropped, words replaced, halves swapped; own texts give the verbatim ones alone."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    norm = lambda t: " ".join(re.findall(r"\w+", (t or "").lower()))
+    texts, items = {r["doc_id"]: r["text"] for r in docs.collect()}, {r["item_id"]: r["text"] for r in bench.collect()}
+    truth = {(d, i) for d, t in texts.items() for i, x in items.items() if f" {norm(x)} " in f" {norm(t)} "}
+    leaky = {d for d, _ in truth}
+    rng = np.random.default_rng(1)
+    fillers = [t.split() for d, t in texts.items() if d not in leaky and len((t or "").split()) > 200][:200]
+    other = lambda: (f := fillers[rng.integers(len(fillers))])[rng.integers(len(f))]
+    ways = {
+        "verbatim": lambda x: x, "swapped": lambda x: x[len(x) // 2 :] + x[: len(x) // 2],
+        "dropped": lambda x: [t for t in x if rng.random() >= 0.35], "replaced": lambda x: [other() if rng.random() < 0.35 else t for t in x],
+    }
+    planted, rows = {}, []
+    for way, change in ways.items():
+        for i, x in items.items():
+            f, k, d = fillers[rng.integers(len(fillers))], rng.integers(20, 150), 10**7 + len(planted)
+            planted[d] = way, i
+            rows.append((d, " ".join([*f[:k], *change(x.split()), *f[k:]])))
+    got = {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs.unionByName(spark.createDataFrame(rows, "doc_id long, text string")), bench).collect()}
+    for way, least in (("verbatim", 1), ("swapped", 0.95), ("dropped", 0.9), ("replaced", 0.9)):
+        assert np.mean([(d, i) in got for d, (w, i) in planted.items() if w == way]) >= least, way
+    assert {(d, i) for d, i in got if d < 10**7} == truth
+    assert sum(planted[d][1] != i for d, i in got if d >= 10**7) <= 2
+
+
+def test_short_items_are_found_word_for_word(spark):
+    bench = spark.createDataFrame([(1, "Too short!"), (2, "one"), (3, "a b c d")], "item_id long, text string")
+    d = spark.createDataFrame([(1, "this is too, short of it"), (2, "too very short"), (3, "a b c d"), (4, "a b c"), (5, "One")], "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(d, bench).collect()} == {(1, 1), (3, 3), (5, 2)}
+
+
+def test_heaviest_subsequence():
+    rng = np.random.default_rng(0)
+    for _ in range(50):
+        a, b = (rng.integers(0, 5, rng.integers(1, 20)) for _ in range(2))
+        v = rng.random(5)
+        t = np.zeros((len(a) + 1, len(b) + 1))
+        for i in range(len(a)):
+            for j in range(len(b)):
+                t[i + 1, j + 1] = max(t[i, j + 1], t[i + 1, j], t[i, j] + v[a[i]] if a[i] == b[j] else 0)
+        assert np.isclose(decontam.heaviest(a, b, v[a]), t[-1, -1])
+
+
 def test_subsequence():
     rng = np.random.default_rng(0)
     for _ in range(50):
