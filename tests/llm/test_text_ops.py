@@ -210,7 +210,7 @@ def test_decontamination_recall_on_paraphrases(spark):
     }
     planted, rows = {}, []
     for way, change in ways.items():
-        for i, x in items.items():
+        for i, x in list(items.items()) * 4:
             f, k, d = fillers[rng.integers(len(fillers))], rng.integers(20, 150), 10**7 + len(planted)
             planted[d] = way, i
             rows.append((d, " ".join([*f[:k], *change(x.split()), *f[k:]])))
