@@ -383,6 +383,50 @@ def test_language_model(spark, sf, docs):
         assert r.score <= 0
     held = got[got.held_out]
     assert held.score.sum() > held.base_score.sum()
+    # the model by brute force, with its weights learned from unrounded probabilities
+    fold = lambda d: zlib.crc32(str(d).encode()) % 7
+    grams = lambda t: list(zip(["<s>", *t[:-1]], t, strict=True))
+    bucket = lambda k: 0 if k == 0 else k.bit_length()
+
+    def model(learn):
+        words, pairs, before = Counter(), Counter(), Counter()
+        for d, t in text.items():
+            if learn(d):
+                words.update(t)
+                pairs.update(grams(t))
+                before.update(h for h, _ in grams(t))
+        total = sum(words.values())
+        return lambda h, w: (bucket(before[h]), np.array([pairs[h, w] / max(1, before[h]), words[w] / total, 1 / (v + 1)]))
+
+    kept, points = model(lambda d: fold(d) not in (2, 3)), {}
+    for d, t in text.items():
+        if fold(d) == 3:
+            for h, w in grams(t):
+                b, p = kept(h, w)
+                points.setdefault(b, []).append(p)
+    weights = {}
+    for b, p in points.items():
+        p, w = np.array(p), np.array([0.3, 0.6, 0.1])
+        for _ in range(200):
+            part = p * w
+            w = (part / part.sum(1, keepdims=True)).mean(0)
+        w = np.maximum(w, 1e-4) * [b > 0, 1, 1]
+        weights[b] = w / w.sum()
+    every = model(lambda d: fold(d) != 2)
+    for r in got.itertuples():
+        want = sum(math.log10(weights[b] @ p) for b, p in (every(h, w) for h, w in grams(text[r.doc_id])) if b in weights)
+        if all(every(h, w)[0] in weights for h, w in grams(text[r.doc_id])):
+            assert math.isclose(r.score, want, rel_tol=0.01, abs_tol=0.05), (r.doc_id, r.score, want)
+
+
+def test_language_model_packs_stay_bounded(monkeypatch):
+    monkeypatch.setattr(lm, "PACK", 1000)
+    monkeypatch.setattr(lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))
+    texts = ["x" * 90 if i % 64 else "" for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000)), pa.array(texts), pa.array([True] * 1000), pa.array([i % 7 == 3 for i in range(1000)])], ["doc_id", "text", "train", "deleted"])
+    out = [r for b in lm._packer(iter([batch])) for r in b.to_pylist()]
+    assert sorted(i for r in out for i in r["ids"]) == list(range(1000))
+    assert max(sum(r["sizes"]) for r in out) < 1100
 
 
 def test_language_model_weights_sum_to_one():

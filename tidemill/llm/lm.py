@@ -8,9 +8,11 @@ then use the counts of all training texts. Words are lower-cased A-Z, split at w
 token and starts from a start context.
 
 How it runs: texts are packed into blocks of some megabytes. A block asks for its distinct words and bigrams, sorted by
-hash and cut by hash range; a range's task adds up all blocks' counts and answers each block in the order asked. So a
+hash and cut by hash range; a range's group adds up all blocks' counts and answers each block in the order asked. So a
 word costs a few bytes for each block that has it, not for each time it occurs, and a word however frequent is one entry
-a block. Blocks and answers meet by block to learn the weights (fold blocks only) and to score. Words are told apart by
+a block. Blocks and answers meet by block to learn the weights (fold blocks only) and to score. For the weights, tasks
+count the fold's tokens by bucket and by both probabilities, rounded to an eighth of an octave; expectation-maximisation
+runs on those counts, in a task for each bucket. Scores use unrounded probabilities. Words are told apart by
 64-bit hashes; bigrams by as many bits as the corpus' size calls for, so that about one in 2**14 shares a count by chance.
 
 Defined results: a null text is an empty one and is scored as its end token alone; a null id counts as an empty text in
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.store import fold, materialise, table, texts
 from tidemill.llm.words import NOT_SPACE, mix, slices, words
 
-PACK = 24 << 20
+PACK, TEXTS = 24 << 20, 1 << 17
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 BINS, BUCKETS = 8, 40
 BLOCK = "block long, deleted boolean, ids array<long>, train array<boolean>, sizes array<long>, payload binary"
@@ -42,6 +44,7 @@ BLOCK = "block long, deleted boolean, ids array<long>, train array<boolean>, siz
 def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part, made, kinds = TaskContext.get().partitionId(), 0, [pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()]
     held: dict[bool, list] = {False: [[], [], [], []], True: [[], [], [], []]}
+    size = {False: 0, True: 0}
 
     def flush(deleted: bool) -> pa.RecordBatch:
         nonlocal made
@@ -56,7 +59,9 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = t.encode()
             for box, v in zip(held[de], (d, tr, len(raw), raw), strict=True):
                 box.append(v)
-            if sum(held[de][2][-1:]) and len(held[de][2]) % 64 == 0 and sum(held[de][2]) >= PACK:
+            size[de] += len(raw)
+            if size[de] >= PACK or len(held[de][0]) >= TEXTS:
+                size[de] = 0
                 yield flush(de)
     for de in (False, True):
         if held[de][0]:
@@ -221,6 +226,16 @@ def learn_weights(hist: np.ndarray, v: int, rounds: int = 200, least: float = 1e
     return out
 
 
+def _learner(v: int):
+    def learn(t: pa.Table) -> pa.Table:
+        hist = np.stack([t[c].to_numpy() for c in "bijn"], axis=1)
+        hist = hist[np.lexsort(hist.T[:3])]
+        b = int(hist[0, 0])
+        return pa.table({"b": pa.array([b] * 3, pa.int64()), "k": pa.array(range(3), pa.int64()), "w": learn_weights(hist, v)[b]})
+
+    return learn
+
+
 SCORE = "doc_id long, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -248,16 +263,21 @@ def language_scores(docs: DataFrame, train: Column, deleted: Column) -> DataFram
     ranges = max(8, min(1 << 14, -(-size // (PACK // 2))))
     packs = materialise(rows.mapInArrow(_packer, BLOCK), "packs", compression="uncompressed")
     asked = packs.mapInArrow(_asker(bits, ranges), "part int, block long, deleted boolean, words binary, word_n binary, pairs binary, pair_n binary")
-    answers = materialise(asked.groupBy("part").applyInArrow(answer, ANSWER), "counts", compression="uncompressed")
+    # as many tasks as ranges or blocks call for, so that a task's share stays the same however large the corpus is
+    by = lambda df, key: df.repartition(tasks, key)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges // 4)
+    answers = materialise(by(asked, "part").groupBy("part").applyInArrow(answer, ANSWER), "counts", compression="uncompressed")
     n, n_kept, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("n_kept"), F.sum("v")).first())
 
     kept = answers.where("word_kept is not null").select("part", "block", "word_kept", "pair_kept")
-    hist = packs.where("deleted").groupBy("block").cogroup(kept.groupBy("block")).applyInArrow(_held_out(bits, n_kept), "b long, i long, j long, n long")
-    found = hist.groupBy("b", "i", "j").agg(F.sum("n").alias("n")).orderBy("b", "i", "j").toArrow()
-    weights = learn_weights(np.stack([found[c].to_numpy() for c in "bijn"], axis=1), v)
+    hist = by(packs.where("deleted"), "block").groupBy("block").cogroup(by(kept, "block").groupBy("block")).applyInArrow(_held_out(bits, n_kept), "b long, i long, j long, n long")
+    learned = hist.groupBy("b", "i", "j").agg(F.sum("n").alias("n")).groupBy("b").applyInArrow(_learner(v), "b long, k long, w double").collect()  # three numbers a bucket
+    weights = learn_weights(np.zeros((0, 4)), v)
+    for r in learned:
+        weights[r["b"], r["k"]] = r["w"]
 
     every = answers.select("part", "block", "word_all", "pair_all")
-    out = packs.groupBy("block").cogroup(every.groupBy("block")).applyInArrow(_scorer(bits, n, v, weights), SCORE)
+    out = by(packs, "block").groupBy("block").cogroup(by(every, "block").groupBy("block")).applyInArrow(_scorer(bits, n, v, weights), SCORE)
     return out.select("doc_id", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
 
 
