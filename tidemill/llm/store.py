@@ -26,7 +26,13 @@ def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def one_thread(spark: SparkSession) -> None:
+    """Tasks multiply matrices with one thread each: Spark deals out the cores already, and idle threads of NumPy's spin."""
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    one_thread(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
