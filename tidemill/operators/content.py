@@ -11,8 +11,15 @@ from tidemill.functions.columns import slug
 FRONT = r"\A---[ \t]*\r?\n([\s\S]*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\z)"
 ZONED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})\z"
 IMAGE = r"!\[[^\]]*\]\([^)]*\)"
-#: Patterns of a style guide.
-STYLE = {"hashtag": r"(?:^|\s)#\p{L}\w*", "em_dash": "—", "numbering": r"(?:^|\s)\d+/(?:\d+)?(?:\s|$)", "emoji": r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]", "shouting": r"(?:^|\s)[A-Z]{4,}!!", "filler": r"(?i)\b(?:in order to|it is worth noting|at the end of the day)\b"}
+#: Patterns of a style guide, by rule. Another table of rules can be given instead.
+STYLE = {
+    "hashtag": r"(?:^|\s)#\p{L}\w*", "em_dash": "—", "numbering": r"(?:^|\s)\d+/(?:\d+)?(?:\s|$)", "emoji": r"[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]", "shouting": r"(?:^|\s)[A-Z]{4,}!!", "filler": r"(?i)\b(?:in order to|it is worth noting|at the end of the day)\b",
+    "stock_opener": r"(?i)(?:^|[.!?]\s+)(?:great question|it'?s worth noting|here'?s the thing|this is fascinating)\b",
+    "hedge_stack": r"(?i)\b(?:might|may|could|perhaps|maybe)\s+(?:possibly|perhaps|potentially|conceivably|arguably)\b",
+    "inflation": r"(?i)\b(?:game-?changer|incredible|huge)\b",
+    "launch_voice": r"(?i)\b(?:excited|thrilled|proud) to (?:share|announce)\b",
+    "reveal": r"(?i)\bthe (?:result|best part|catch)\?\s",
+}
 
 
 def extract_front_matter(df: DataFrame, text: str) -> DataFrame:
@@ -64,7 +71,7 @@ def raw_image_refs(df: DataFrame, text: str) -> DataFrame:
 
 
 def register_profile(posts: DataFrame, by: list[str], text: str, reply: Column, quote: Column) -> DataFrame:
-    """Shares and lengths of a group's posts; percentiles are exact."""
+    """Shares and lengths of a group's posts; percentiles are exact, from counts by length, of which there are few."""
     size = F.char_length(text)
     has = lambda p: F.avg(F.col(text).rlike(p).cast("int"))
     rates = {"hashtag": STYLE["hashtag"], "mention": r"(?:^|\s)@\w", "emoji": STYLE["emoji"], "link": "https?://", "line_break": "\n", "em_dash": "—", "hyphen": " - "}
@@ -116,13 +123,26 @@ def sync_diff(source: DataFrame, target: DataFrame, key: str, digest: str, delet
     return s.join(t, F.col("k") == F.col("k2"), "full_outer").select(F.coalesce("k", "k2").alias(key), action.alias("action"))
 
 
-def related_items(item_terms: DataFrame, item: str, weight: str, n: int, max_df: int) -> DataFrame:
-    """The n items that share most weight in terms with each item. Terms of more than ``max_df`` items tell nothing and are left out by rule."""
-    t = item_terms.groupBy(item, "term").agg(F.max(weight).alias("w"))
-    rare = t.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where(F.col("df").between(2, max_df)).select("term")
-    t = t.join(rare, "term")
-    pairs = t.alias("a").join(t.select("term", F.col(item).alias("related"), F.col("w").alias("w2")), "term").where(F.col(item) != F.col("related"))
-    score = pairs.groupBy(item, "related").agg(F.sum(F.least("w", "w2")).alias("score"))
+def related_items(item_terms: DataFrame, item: str, weight: str, n: int, queries: DataFrame | None = None, threshold: float = 0.0, newer: str | None = None) -> DataFrame:
+    """The n items that share most weight in terms with each item of ``queries`` (all items where it is None).
+
+    A pair's score is the sum over all shared terms, however frequent, of the lesser of the two weights; pairs under
+    ``threshold`` are left out. Where ``newer`` names a column of dates, items newer than the item itself are too. A term's items are dealt
+    to parts of some thousand, each of which meets the items that ask for the term, so that a frequent term is no single
+    task. Repeated (item, term) rows count once, by their greatest weight; null items and terms relate to nothing.
+    """
+    keep = [newer] if newer else []
+    rows = item_terms.where(F.col(item).isNotNull() & F.col("term").isNotNull())
+    t = rows.groupBy(item, "term").agg(F.max(weight).alias("w"), *[F.max(c).alias(c) for c in keep])
+    df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    parts = df.select("term", F.ceil(F.col("df") / 4096).alias("parts"))
+    there = t.join(parts, "term").withColumn("part", F.pmod(F.xxhash64(item), F.col("parts"))).select("term", "part", F.col(item).alias("related"), F.col("w").alias("w2"), *[F.col(c).alias("date2") for c in keep])
+    asking = t if queries is None else t.join(queries.select(item).distinct(), item, "left_semi")
+    asking = asking.join(parts, "term").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    pairs = asking.join(there, ["term", "part"]).where(F.col(item) != F.col("related"))
+    if newer:
+        pairs = pairs.where(F.col("date2") <= F.col(newer))
+    score = pairs.groupBy(item, "related").agg(F.sum(F.least("w", "w2")).alias("score")).where(F.col("score") >= threshold)
     return score.withColumn("rank", F.row_number().over(W.partitionBy(item).orderBy(F.desc("score"), "related"))).where(F.col("rank") <= n)
 
 

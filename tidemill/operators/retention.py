@@ -20,7 +20,9 @@ def retention_plan(inventory: DataFrame, sessions: DataFrame, policy: DataFrame,
     category without policy, or without time, are kept.
     """
     live = sessions.where(~F.col("is_archived").eqNullSafe(True)).select(F.col("session_id")).distinct().withColumn("live@", F.lit(True))
-    out = inventory.join(F.broadcast(policy), "category", "left").join(live, "session_id", "left")
+    # one rule a category, whatever the policy repeats: the shortest term, and protection if any rule gives it
+    rules = policy.groupBy("category").agg(F.min("days").alias("days"), F.max("protects").alias("protects"))
+    out = inventory.join(rules, "category", "left").join(live, "session_id", "left")
     due = F.coalesce(F.unix_seconds(as_of) - F.unix_seconds(F.col("mtime").cast("timestamp")) > F.col("days") * 86400, F.lit(False))
     safe = F.coalesce("protects", F.lit(False)) & F.coalesce("live@", F.lit(False))
     return out.withColumn("action", F.when(due & safe, "PROTECTED").when(due, "DELETE").otherwise("KEEP")).select(*inventory.columns, "action")
@@ -29,7 +31,7 @@ def retention_plan(inventory: DataFrame, sessions: DataFrame, policy: DataFrame,
 def retention_summary(plan: DataFrame, policy: DataFrame) -> DataFrame:
     """Planned and protected counts for every category of the policy, zeros included."""
     n = plan.groupBy("category").agg(F.count_if(F.col("action") == "DELETE").alias("planned"), F.count_if(F.col("action") == "PROTECTED").alias("protected"))
-    return policy.select("category").join(n, "category", "left").select("category", F.coalesce("planned", F.lit(0)).alias("planned"), F.coalesce("protected", F.lit(0)).alias("protected"))
+    return policy.select("category").distinct().join(n, "category", "left").select("category", F.coalesce("planned", F.lit(0)).alias("planned"), F.coalesce("protected", F.lit(0)).alias("protected"))
 
 
 def stale_empty_keys(inventory: DataFrame, keep: DataFrame, as_of: Column, min_age: int = 60) -> DataFrame:

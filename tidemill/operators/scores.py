@@ -33,11 +33,17 @@ def pareto_front(df: DataFrame, group: list[str], score: str, cost: str) -> Data
 def dominated_by(df: DataFrame, group: list[str], id_col: str, score: str, cost: str) -> DataFrame:
     """Each dominated row with one dominator of the front: the cheapest, then the one with the best score, then by id.
 
-    Any dominator at no greater cost is itself on the front or dominated by a row there, so the front is enough.
+    Any dominator at no greater cost is itself on the front or dominated by a row there, so the front is enough. On the
+    front the score rises with the cost, so that the cheapest that will do is the first at or after the row's score: both
+    are sorted together, and the next of the front carried back.
     """
-    front = pareto_front(df, group, score, cost).select(*group, F.col(id_col).alias("dominator"), F.col(score).alias("ds"), F.col(cost).alias("dc"))
-    pairs = df.join(front, group).where((F.col("ds") >= F.col(score)) & (F.col("dc") <= F.col(cost)) & ((F.col("ds") > F.col(score)) | (F.col("dc") < F.col(cost))))
-    return pairs.groupBy(*group, id_col).agg(F.min_by("dominator", F.struct("dc", (-F.col("ds")).alias("s"), "dominator")).alias("dominator"))
+    front = pareto_front(df, group, score, cost).groupBy(*group, score, cost).agg(F.min(id_col).alias("dominator"), F.count(F.lit(1)).alias("same"))
+    marks = front.select(*group, F.col(score).alias("at"), F.lit(1).alias("side"), F.struct(F.col(cost).alias("c"), F.col(score).alias("s"), F.col("dominator").alias("d")).alias("first"))
+    rows = df.where(F.col(score).isNotNull() & F.col(cost).isNotNull()).select(*group, F.col(score).alias("at"), F.lit(0).alias("side"), F.lit(None).cast(marks.schema["first"].dataType).alias("first"), id_col, cost)
+    ahead = W.partitionBy(*group).orderBy(F.desc("at"), F.desc("side")).rowsBetween(W.unboundedPreceding, 0)
+    found = rows.unionByName(marks, allowMissingColumns=True).withColumn("best", F.last("first", True).over(ahead)).where("side = 0")
+    ok = (F.col("best.c") <= F.col(cost)) & ((F.col("best.s") > F.col("at")) | (F.col("best.c") < F.col(cost)))
+    return found.where(ok).select(*group, id_col, F.col("best.d").alias("dominator"))
 
 
 def nearest_peer(df: DataFrame, other: DataFrame, id_col: str, score: str, cost: str, by: list[str] | None = None) -> DataFrame:
@@ -62,7 +68,7 @@ def nearest_peer(df: DataFrame, other: DataFrame, id_col: str, score: str, cost:
 
 def assign_challenger(df: DataFrame, pairs: DataFrame, available: Column) -> DataFrame:
     """``df`` (proposer, level) with challenger and escalation from ``pairs``; the fallback columns where not available."""
-    out = df.join(F.broadcast(pairs), ["proposer", "level"], "left")
+    out = df.join(pairs, ["proposer", "level"], "left")
     pick = lambda c: F.when(available, F.col(c)).otherwise(F.col(f"fallback_{c}"))
     return out.select(*df.columns, pick("challenger").alias("challenger"), pick("escalation").alias("escalation"))
 
@@ -93,7 +99,7 @@ def size_mix(df: DataFrame, size: str, classes: list[tuple[str, float, float]])
     for c, lo, hi in classes:
         name = F.when((F.col(size) >= lo) & (F.col(size) < hi), c).otherwise(name)
     counts = df.groupBy(name.alias("class")).agg(F.count(F.lit(1)).alias("n"))
-    return F.broadcast(table).join(counts, "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"))
+    return table.join(counts, "class", "left").select("class", F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def catalog_diff(old: DataFrame, new: DataFrame, id_col: str, name: str) -> DataFrame:

@@ -18,6 +18,7 @@ VALUED = ("--git-dir", "--work-tree", "--namespace")
 GLUED = ("--super-prefix=", "--config-env=", "--exec-path=")
 # Compiler options whose value is the next word.
 TAKES_NEXT = ("-p", "--project", "--outDir", "--outFile", "--rootDir", "--baseUrl", "--declarationDir", "--tsBuildInfoFile")
+COMPILERS, RUNNERS = ("tsc", "tsrs"), ("", "npx", "pnpm", "yarn")
 BOUNDARY = r"(?![\p{L}\p{Nd}_])"
 REASONS = {"checkout": "discards changes in the working tree", "restore": "overwrites files in the working tree", "reset": "a hard reset loses uncommitted work", "clean": "a forced clean deletes untracked files"}
 
@@ -29,14 +30,15 @@ def _ends_word(line: str, i: int) -> bool:
     return not (c == "_" or c.isalpha() or c.isdecimal())
 
 
+#: How many words an option takes, itself included, by its whole text.
+WIDTH = dict.fromkeys(ALONE, 1) | dict.fromkeys(("-C", "-c", *VALUED), 2)
+#: Options whose value is part of the word: how the word begins.
+WITHIN = ("-C", "-c", *GLUED, *(f"{name}=" for name in VALUED))
+
+
 def _option_width(token: str) -> int:
     """How many tokens a global option takes; 0 if it isn't one."""
-    if token in ("-C", "-c") or token in VALUED:
-        return 2
-    if token in ALONE or (token[:2] in ("-C", "-c") and len(token) > 2):
-        return 1
-    name, eq, value = token.partition("=")
-    return int(bool(eq and value) and (name in VALUED or name + "=" in GLUED))
+    return WIDTH.get(token) or int(any(len(token) > len(x) and token.startswith(x) for x in WITHIN))
 
 
 def subcommands(line: str) -> set[str]:
@@ -94,16 +96,23 @@ def screen_vcs_commands(df: DataFrame, cmd_col: str) -> DataFrame:
 
 
 def screen_compiler_commands(df: DataFrame, cmd_col: str) -> DataFrame:
-    """Adds denied and tool (the compiler named last) for compiler calls that name .ts or .tsx files."""
+    """Adds denied and tool (the compiler named last) for compiler calls that name .ts or .tsx files.
+
+    A command calls a compiler if the last part of some word (after a pipe, a semicolon or an ampersand) is one's name,
+    a runner's name before it or not. Of each line the words after its last compiler count, or all if it has none; a word that
+    is an option's value does not.
+    """
     cmd = F.coalesce(norm_command(cmd_col), F.lit(""))
-    gate = cmd.rlike(rf"(?:^|{SPACE}|[|;&])(?:npx|pnpm|yarn)?(?:tsc|tsrs)(?:{SPACE}|\z)")
-    strip = rf"^[\s\S]*(?:^|{SPACE})(?:npx{SPACE}+|pnpm{SPACE}+(?:dlx{SPACE}+)?|yarn{SPACE}+)?(?:tsc|tsrs)(?:{SPACE}|\z)"
-    lines = F.transform(F.split(cmd, "\n", -1), lambda x: F.regexp_replace(x, strip, ""))
-    words = F.filter(F.split(F.array_join(lines, "\n"), r"[ \t\n]+"), lambda w: w != "")
-    step = lambda a, w: F.when(a["skip"], F.struct(F.lit(False).alias("skip"), a["hit"].alias("hit"))).when(w.isin(*TAKES_NEXT), F.struct(F.lit(True).alias("skip"), a["hit"].alias("hit"))).otherwise(F.struct(F.lit(False).alias("skip"), (a["hit"] | (~w.startswith("-") & (w.endswith(".ts") | w.endswith(".tsx")))).alias("hit")))
-    state = F.aggregate(words, F.struct(F.lit(False).alias("skip"), F.lit(False).alias("hit")), step)
-    named = F.regexp_extract_all(cmd, F.lit(rf"(?:^|{SPACE}|[|;&])(?:npx|pnpm|yarn)?(tsc|tsrs)(?={SPACE}|\z)"), F.lit(1))
-    return df.withColumn("denied", gate & state["hit"]).withColumn("tool", F.when(F.col("denied"), F.coalesce(F.try_element_at(named, F.lit(-1)), F.lit("tsc"))))
+    ends = F.transform(F.split(cmd, SPACE), lambda w: F.element_at(F.split(w, "[|;&]", -1), -1))
+    called = F.filter(ends, lambda w: w.isin(*[r + t for r in RUNNERS for t in COMPILERS]))
+    after = F.transform(F.split(cmd, "\n", -1), lambda line: F.element_at(F.split(line, rf"(?<![^{SPACE[1:-1]}])(?:{'|'.join(COMPILERS)})(?:{SPACE}|\z)", -1), -1))
+    words = F.filter(F.split(F.array_join(after, "\n"), r"[ \t\n]+"), lambda w: w != "")
+    state = lambda skip, hit: F.struct(skip.alias("skip"), hit.alias("hit"))
+    source = lambda w: ~w.startswith("-") & (w.endswith(".ts") | w.endswith(".tsx"))
+    step = lambda a, w: F.when(a["skip"], state(F.lit(False), a["hit"])).otherwise(state(w.isin(*TAKES_NEXT), a["hit"] | (~w.isin(*TAKES_NEXT) & source(w))))
+    named = F.aggregate(words, state(F.lit(False), F.lit(False)), step)["hit"]
+    tool = F.when(F.element_at(called, -1).endswith(COMPILERS[1]), COMPILERS[1]).otherwise(COMPILERS[0])
+    return df.withColumn("denied", (F.size(called) > 0) & named).withColumn("tool", F.when(F.col("denied"), tool))
 
 
 def screen_deploys(df: DataFrame, cmd_col: str) -> DataFrame:

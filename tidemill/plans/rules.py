@@ -50,7 +50,7 @@ def audit_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 def allowlisted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers' names before the first colon against names of even and odd parts' brands and customers."""
     o = table(spark, sf_dir, "orders").select("o_orderkey", F.concat(F.regexp_replace("o_orderpriority", "[^A-Za-z0-9]", ""), F.lit(":"), F.col("o_orderstatus")).alias("name"))
-    pri = o.where("o_orderkey % 1000 < 20").select(F.substring_index("name", ":", 1).alias("name")).where("name < '3'")
+    pri = o.select(F.substring_index("name", ":", 1).alias("name")).where("name < '3'")
     sec = o.select(F.substring_index("name", ":", 1).alias("name")).where("name < '5'")
     return screening.allowlisted(o, pri, sec, ["3MEDIUM"], "name")
 
@@ -117,7 +117,7 @@ p AS (SELECT event_id, CASE WHEN routed AND entry IN (1, 2, 3) AND event_id % 4
 SELECT event_id, concat_ws('; ', a, b) AS problems, CASE WHEN a IS NULL AND b IS NULL THEN 'allow' ELSE 'deny' END AS decision FROM p""",
     "allowlisted": """
 WITH o AS (SELECT o_orderkey, regexp_replace(o_orderpriority, '[^A-Za-z0-9]', '', 'g') AS part, part || ':' || o_orderstatus AS name FROM orders),
-pri AS (SELECT DISTINCT part FROM o WHERE o_orderkey % 1000 < 20 AND part < '3')
+pri AS (SELECT DISTINCT part FROM o WHERE part < '3')
 SELECT o_orderkey, name, part IN (SELECT part FROM pri) OR (part < '5' AND part <> '3MEDIUM') AS allowed FROM o""",
     "retention_plan": f"""
 WITH p(category, days, protects) AS (VALUES ('view', 20, true), ('click', 20, false), ('signup', 3, true), ('purchase', 3, false)),

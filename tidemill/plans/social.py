@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -126,7 +128,7 @@ def read_state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     state = F.when(F.col("event_type") == "view", "start").when(F.col("event_type") == "click", "on").when(F.col("event_type") == "error", "off").otherwise("gone")
     start = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit("for_start="), iso)).otherwise("for_start=x")
     line = F.concat_ws(" ", iso, F.concat(F.lit("session="), F.when(F.col("event_id") % 7 != 0, F.col("user_id").cast("string")).otherwise("")), F.lit("a=1 =b a=2"), F.concat(F.lit("id="), F.col("event_id").cast("string")), start, state)
-    path = f"{shared_folder(spark)}/log-{id(line)}-{spark.sparkContext.startTime}"
+    path = f"{shared_folder(spark)}/log-{uuid.uuid4().hex}"
     lines = written(e.select(line.alias("value")), "lines")
     lines.write.mode("overwrite").text(path)
     entries, _ = logs.read_state_log(spark, path)
@@ -136,7 +138,7 @@ def read_state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of views, then of all events, appended by key: each user stands once."""
     e = table(spark, sf_dir, "events").select("user_id")
-    path = f"{shared_folder(spark)}/once-{id(e)}-{spark.sparkContext.startTime}"
+    path = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
     logs.append_once(e.where("user_id % 3 = 0"), path, ["user_id"])
     return logs.append_once(e, path, ["user_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 

@@ -17,7 +17,7 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _fronted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents behind a front matter made of their own columns."""
     date = F.when(F.col("doc_id") % 4 == 0, "2024-01-05").when(F.col("doc_id") % 4 != 1, F.concat(F.lit("2024-01-05T10:00:00"), F.when(F.col("doc_id") % 2 == 0, "Z").otherwise("+01:00")))
-    lines = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: doc "), F.col("doc_id").cast("string")), F.concat(F.lit("date: "), date), F.concat(F.lit("kind: "), F.col("lang")), F.when(F.col("doc_id") % 3 == 0, "effort: high"), F.when(F.col("doc_id") % 5 == 0, "model: m"), F.concat(F.lit("tags: [\""), F.col("source"), F.lit("\", "), F.col("lang"), F.lit("]")), F.lit("---"), F.lit("body"))
+    lines = F.concat_ws("\n", F.lit("---"), F.concat(F.lit("title: doc "), F.col("doc_id").cast("string")), F.concat(F.lit("date: "), date), F.concat(F.lit("kind: "), F.col("lang")), F.when(F.col("doc_id") % 3 == 0, "effort: high"), F.when(F.col("doc_id") % 5 == 0, "model: m"), F.concat(F.lit("tags: [\""), F.col("source"), F.lit("\", "), F.col("lang"), F.lit("]")), F.lit("---"), F.coalesce("text", F.lit("")))
     return _docs(spark, sf_dir).select("doc_id", F.when(F.col("doc_id") % 7 == 0, "no block").otherwise(lines).alias("md"))
 
 
@@ -44,18 +44,17 @@ def publish_states(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def style_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = {k: content.STYLE[k] for k in ("hashtag", "em_dash", "shouting", "filler")}
-    return content.style_flags(_docs(spark, sf_dir), "text", rules).select("doc_id", *rules)
+    return content.style_flags(_docs(spark, sf_dir), "text").select("doc_id", *content.STYLE)
 
 
 def raw_image_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    md = F.concat(F.substring("text", 1, 200), F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("![a](x.png) ![]("), F.col("source"), F.lit(")"))).otherwise(""))
+    md = F.concat("text", F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("![a](x.png) ![]("), F.col("source"), F.lit(")"))).otherwise(""))
     return content.raw_image_refs(_docs(spark, sf_dir).select("doc_id", md.alias("md")), "md").select("doc_id", "n_images", F.array_join("images", "|").alias("images"))
 
 
 def register_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = content.register_profile(_docs(spark, sf_dir), ["source"], "text", F.col("doc_id") % 3 == 0, F.col("doc_id") % 4 == 0)
-    return out.select("source", "n", "p25", "p50", "p90", F.round("reply_share", 9).alias("reply_share"), F.round("quote_share", 9).alias("quote_share"), F.round("line_break_rate", 9).alias("line_break_rate"), F.round("hyphen_rate", 9).alias("hyphen_rate"))
+    return out.select("source", "n", "p25", "p50", "p90", F.round("reply_share", 9).alias("reply_share"), F.round("quote_share", 9).alias("quote_share"), *[F.round(f"{c}_rate", 9).alias(f"{c}_rate") for c in ("hashtag", "mention", "emoji", "link", "line_break", "em_dash", "hyphen")])
 
 
 def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +66,7 @@ def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def term_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    terms = _terms(spark, sf_dir).select(F.explode("terms").alias("term")).where("term rlike '^[A-Za-z.,-]+$'")
+    terms = _terms(spark, sf_dir).select(F.explode("terms").alias("term")).where("term != ''")
     return content.term_variants(terms).select("slug", F.array_join("variants", "|").alias("variants"))
 
 
@@ -97,9 +96,9 @@ def sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders that share parts, by the smaller of the two quantities."""
+    """Orders that share parts, by the smaller of the two quantities: every order whose key is divisible by 20 against all."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("term"), F.col("l_quantity").alias("w"))
-    return content.related_items(items, "l_orderkey", "w", 3, 40)
+    return content.related_items(items, "l_orderkey", "w", 3, items.where("l_orderkey % 20 = 0").select("l_orderkey"))
 
 
 def layered_params(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,12 +127,12 @@ def first_matching_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def thread_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("uri"), F.concat_ws("/", "conv_id", F.col("turn") - 1).alias("parent_uri"), "turn")
-    return graphs.thread_view(turns, turns.where("turn = 2"), 3, 2)
+    return graphs.thread_view(turns, turns.where("turn = 2"))
 
 
 def connected_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers and parts of large line items as a graph."""
-    e = table(spark, sf_dir, "lineitem").where("l_quantity > 49").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
+    """Orders and parts of all line items as a graph."""
+    e = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_partkey") * 2 + 1).alias("b"))
     return graphs.connected_parts(e)
 
 
@@ -145,7 +144,7 @@ ORACLE_SQL = {
     "extract_front_matter": """
 SELECT doc_id, CASE WHEN doc_id % 7 <> 0 THEN 'doc ' || doc_id END AS title,
  CASE WHEN doc_id % 7 <> 0 THEN 3 + (doc_id % 4 <> 1)::INT + (doc_id % 3 = 0)::INT + (doc_id % 5 = 0)::INT END AS n_fields,
- CASE WHEN doc_id % 7 <> 0 THEN source || '|' || lang END AS tags, CASE WHEN doc_id % 7 = 0 THEN 'no block' ELSE 'body' END AS body FROM documents""",
+ CASE WHEN doc_id % 7 <> 0 THEN source || '|' || lang END AS tags, CASE WHEN doc_id % 7 = 0 THEN 'no block' ELSE coalesce(text, '') END AS body FROM documents""",
     "audit_front_matter": """
 SELECT doc_id, concat_ws('; ', CASE WHEN doc_id % 4 = 1 THEN 'missing date' END, CASE WHEN doc_id % 4 = 0 THEN 'date without zone' END,
  CASE WHEN lang = 'fr' AND doc_id % 5 <> 0 THEN 'fr needs model' END, CASE WHEN lang = 'fr' AND doc_id % 3 = 0 THEN 'fr forbids effort' END,
@@ -153,17 +152,20 @@ SELECT doc_id, concat_ws('; ', CASE WHEN doc_id % 4 = 1 THEN 'missing date' END,
 FROM documents WHERE doc_id % 7 <> 0""",
     "publishable": f"SELECT event_id FROM ({_DATED}) WHERE NOT draft AND date <= TIMESTAMP '2024-01-15' AND (expires IS NULL OR expires > TIMESTAMP '2024-01-15')",
     "publish_states": f"SELECT CASE WHEN draft THEN 'draft' WHEN expires <= TIMESTAMP '2024-01-15' THEN 'expired' WHEN date > TIMESTAMP '2024-01-15' THEN 'future' ELSE 'live' END AS state, count(*) AS n FROM ({_DATED}) GROUP BY 1",
-    "style_flags": r"""SELECT doc_id, len(regexp_extract_all(text, '(?:^|\s)#\p{L}[0-9A-Za-z_]*'))::INT AS hashtag, (length(text) - length(replace(text, '—', '')))::INT AS em_dash,
- len(regexp_extract_all(text, '(?:^|\s)[A-Z]{4,}!!'))::INT AS shouting, len(regexp_extract_all(text, '(?i)\b(?:in order to|it is worth noting|at the end of the day)\b'))::INT AS filler FROM documents""",
-    "raw_image_refs": "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 0 END AS n_images, CASE WHEN doc_id % 3 = 0 THEN '![a](x.png)|![](' || source || ')' ELSE '' END AS images FROM documents",
+    "style_flags": r"""SELECT doc_id, """ + ", ".join(f"len(regexp_extract_all(text, '{p.replace(chr(39), chr(39) * 2)}'))::INT AS {k}" for k, p in content.STYLE.items()) + " FROM documents",
+    "raw_image_refs": r"""
+WITH m AS (SELECT doc_id, regexp_extract_all(text || CASE WHEN doc_id % 3 = 0 THEN '![a](x.png) ![](' || source || ')' ELSE '' END, '!\[[^\]]*\]\([^)]*\)') AS l FROM documents)
+SELECT doc_id, len(l)::INT AS n_images, array_to_string(l, '|') AS images FROM m""",
     "register_profile": r"""
 SELECT source, count(*) AS n, quantile_cont(length(text), 0.25) AS p25, quantile_cont(length(text), 0.5) AS p50, quantile_cont(length(text), 0.9) AS p90,
  round(avg((doc_id % 3 = 0)::INT), 9) AS reply_share, round(avg((doc_id % 4 = 0)::INT) FILTER (doc_id % 3 <> 0), 9) AS quote_share,
- round(avg(contains(text, chr(10))::INT), 9) AS line_break_rate, round(avg(contains(text, ' - ')::INT), 9) AS hyphen_rate FROM documents GROUP BY 1""",
+ round(avg(regexp_matches(text, '(?:^|\s)#\p{L}')::INT), 9) AS hashtag_rate, round(avg(regexp_matches(text, '(?:^|\s)@\w')::INT), 9) AS mention_rate,
+ round(avg(regexp_matches(text, '[\x{1F300}-\x{1FAFF}\x{2600}-\x{27BF}]')::INT), 9) AS emoji_rate, round(avg(regexp_matches(text, 'https?://')::INT), 9) AS link_rate,
+ round(avg(contains(text, '—')::INT), 9) AS em_dash_rate, round(avg(contains(text, chr(10))::INT), 9) AS line_break_rate, round(avg(contains(text, ' - ')::INT), 9) AS hyphen_rate FROM documents GROUP BY 1""",
     "term_counts": r"SELECT term, count(DISTINCT doc_id) AS items FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[ \n]+')) AS term FROM documents) WHERE term <> '' GROUP BY 1",
     "term_variants": r"""
 WITH t AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[ \n]+')) AS term FROM documents),
-s AS (SELECT term, regexp_replace(lower(term), '[^a-z0-9_\s-]', '', 'g') AS slug FROM t WHERE regexp_matches(term, '^[A-Za-z.,-]+$'))
+s AS (SELECT term, regexp_replace(regexp_replace(lower(term), '[^A-Za-z0-9_\s-]', '', 'g'), '\s+', '-', 'g') AS slug FROM t WHERE term <> '')
 SELECT slug, string_agg(term, '|' ORDER BY term) AS variants FROM s GROUP BY 1 HAVING count(*) > 1""",
     "section_rollup": f"""
 WITH p AS (SELECT list_filter(string_split(path, '/'), lambda x: x <> '') AS l FROM ({_PATHS}))
@@ -178,8 +180,7 @@ SELECT page_id, target FROM l WHERE target NOT IN (SELECT '/' || regexp_extract(
 SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'DELETE' WHEN doc_id % 10 = 2 OR (doc_id % 10 = 3 AND upper(text) <> text) THEN 'UPLOAD' ELSE 'UNCHANGED' END AS action FROM documents""",
     "related_items": """
 WITH t AS (SELECT l_orderkey, l_partkey AS term, max(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
-r AS (SELECT * FROM t WHERE term IN (SELECT term FROM t GROUP BY 1 HAVING count(*) BETWEEN 2 AND 40)),
-s AS (SELECT a.l_orderkey, b.l_orderkey AS related, sum(least(a.w, b.w)) AS score FROM r a JOIN r b ON a.term = b.term AND a.l_orderkey <> b.l_orderkey GROUP BY 1, 2)
+s AS (SELECT a.l_orderkey, b.l_orderkey AS related, sum(least(a.w, b.w)) AS score FROM t a JOIN t b ON a.term = b.term AND a.l_orderkey <> b.l_orderkey WHERE a.l_orderkey % 20 = 0 GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, related)::INT AS rank FROM s QUALIFY rank <= 3""",
     "layered_params": """
 WITH o AS (SELECT c_custkey + 50 AS key, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS value FROM customer)
@@ -193,11 +194,12 @@ WITH RECURSIVE w AS (SELECT c_custkey AS start, c_custkey // 2 AS "at", 1 AS hop
  UNION ALL SELECT start, w."at" // 2, hops + 1 FROM w JOIN customer ON c_custkey = w."at" WHERE c_nationkey <> 3 AND w."at" // 2 <> 0 AND w."at" // 2 <> w."at" AND hops < 12)
 SELECT start, w."at" AS ancestor, hops FROM w JOIN customer ON c_custkey = w."at" WHERE c_nationkey = 3""",
     "connected_parts": """
-WITH RECURSIVE x AS (SELECT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem WHERE l_quantity > 49), e AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
-r AS (SELECT a AS node, a AS near FROM e UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.near)
-SELECT node, min(near) AS part FROM r GROUP BY 1""",
+WITH RECURSIVE x AS (SELECT l_orderkey * 2 AS a, l_partkey * 2 + 1 AS b FROM lineitem), e AS (SELECT a, b FROM x UNION SELECT b, a FROM x),
+r(node, part) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM e GROUP BY a
+ UNION (SELECT e.a, min(r.part) FROM r JOIN e ON e.b = r.node JOIN recurring.r AS old ON old.node = e.a WHERE r.part < old.part GROUP BY e.a))
+SELECT node, part FROM r""",
     "thread_view": """
 SELECT s.conv_id || '/' || s.turn AS start, t.conv_id || '/' || t.turn AS uri, (t.turn - s.turn)::INT AS level
-FROM conversations s JOIN conversations t ON s.conv_id = t.conv_id AND t.turn BETWEEN s.turn - 2 AND s.turn + 3 WHERE s.turn = 2
+FROM conversations s JOIN conversations t ON s.conv_id = t.conv_id AND t.turn BETWEEN s.turn - 80 AND s.turn + 6 WHERE s.turn = 2
 AND NOT EXISTS (SELECT 1 FROM range(least(s.turn, t.turn), greatest(s.turn, t.turn)) g(k) WHERE NOT EXISTS (SELECT 1 FROM conversations u WHERE u.conv_id = s.conv_id AND u.turn = g.k))""",
 }

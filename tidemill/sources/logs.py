@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import fnmatch
+import re
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,11 +44,23 @@ def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str
     return rows.where("r is not null").select("file", "r.*")
 
 
-def read_file_inventory(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
-    """path, name, parent, session_id (the name without its ending), mtime, length of files; contents are not read."""
+def read_file_inventory(spark: SparkSession, root: str, glob: str = "*", rules: list[tuple[str, str, int, int | None]] = ()) -> DataFrame:
+    """path, name, parent, session_id (the name without its ending), mtime, length, depth, category of files; contents are not read.
+
+    A rule (category, glob of names, least depth, greatest depth or None) holds for names that it matches that many folders
+    below the root; the first that holds gives the category, null where none does. Depth 1 is a file in the root itself.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "modificationTime", "length")
     name = F.regexp_extract("path", "([^/]*)$", 1)
-    return files.select("path", name.alias("name"), F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("parent"), F.regexp_replace(name, r"\.[^.]*$", "").alias("session_id"), F.col("modificationTime").alias("mtime"), "length")
+    home = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = home.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(home).toUri().getPath().rstrip("/")
+    inner = F.regexp_replace(F.regexp_replace("path", r"^[a-z0-9+.-]+:/*", "/"), f"^{re.escape(base)}/", "")
+    depth = F.size(F.split(inner, "/"))
+    category = F.lit(None).cast("string")
+    for kind, names, least, most in reversed(list(rules)):
+        fits = name.rlike(f"^(?:{fnmatch.translate(names)[:-2]})$") & (depth >= least)
+        category = F.when(fits if most is None else fits & (depth <= most), kind).otherwise(category)
+    return files.select("path", name.alias("name"), F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("parent"), F.regexp_replace(name, r"\.[^.]*$", "").alias("session_id"), F.col("modificationTime").alias("mtime"), "length", depth.alias("depth"), category.alias("category"))
 
 
 def append_once(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
@@ -55,18 +69,34 @@ def append_once(df: DataFrame, path: str, keys: list[str]) -> DataFrame:
     new = df.dropDuplicates(keys)
     folder = spark._jvm.org.apache.hadoop.fs.Path(path)
     if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        new = new.join(spark.read.parquet(path).select(*keys), keys, "left_anti")
+        known = spark.read.parquet(path).select(*[F.col(k).alias(f"{k}@") for k in keys])
+        same = F.lit(True)
+        for k in keys:
+            same = same & new[k].eqNullSafe(known[f"{k}@"])  # a null key is a key
+        new = new.join(known, same, "left_anti")
     new.write.mode("append").parquet(path)
     return spark.read.parquet(path)
 
 
 def rewrite_trimmed(spark: SparkSession, path: str, keep: Column) -> DataFrame:
-    """Replace the Parquet table at ``path`` by the rows that ``keep`` holds for: written beside, then swapped by renames."""
-    beside, old = (f"{path.rstrip('/')}.{word}-{uuid.uuid4().hex}" for word in ("new", "old"))
-    spark.read.parquet(path).where(keep).write.parquet(beside)
+    """Replace the Parquet table at ``path`` by the rows that ``keep`` holds for: written beside, then swapped by renames.
+
+    The rows set aside keep a name by which the next call finds them: if one was cut off between the two renames, the table is put
+    back before anything else. Readers that come between the renames must wait; a catalogue table has no such gap.
+    """
     to = spark._jvm.org.apache.hadoop.fs.Path
     fs = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    if not (fs.rename(to(path), to(old)) and fs.rename(to(beside), to(path))):
-        raise OSError(f"{path} could not be swapped; its rows are in {old}")
+    old, beside = f"{path.rstrip('/')}.old", f"{path.rstrip('/')}.new-{uuid.uuid4().hex}"
+    if fs.exists(to(old)):
+        if fs.exists(to(path)):
+            fs.delete(to(old), True)
+        elif not fs.rename(to(old), to(path)):
+            raise OSError(f"{path} could not be put back; its rows are in {old}")
+    spark.read.parquet(path).where(keep).write.parquet(beside)
+    if not fs.rename(to(path), to(old)):
+        raise OSError(f"{path} could not be set aside")
+    if not fs.rename(to(beside), to(path)):
+        fs.rename(to(old), to(path))
+        raise OSError(f"{path} could not be swapped")
     fs.delete(to(old), True)
     return spark.read.parquet(path)
