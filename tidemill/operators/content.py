@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import slug
+from tidemill.operators.ordering import percentiles
 
 FRONT = r"\A---[ \t]*\r?\n([\s\S]*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\z)"
 ZONED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})\z"
@@ -71,16 +72,21 @@ def raw_image_refs(df: DataFrame, text: str) -> DataFrame:
 
 
 def register_profile(posts: DataFrame, by: list[str], text: str, reply: Column, quote: Column) -> DataFrame:
-    """Shares and lengths of a group's posts; percentiles are exact, from counts by length, of which there are few."""
+    """Shares and lengths of a group's posts; percentiles are exact."""
     size = F.char_length(text)
     has = lambda p: F.avg(F.col(text).rlike(p).cast("int"))
     rates = {"hashtag": STYLE["hashtag"], "mention": r"(?:^|\s)@\w", "emoji": STYLE["emoji"], "link": "https?://", "line_break": "\n", "em_dash": "—", "hyphen": " - "}
     top = F.avg(F.when(~reply, quote.cast("int")))
-    return posts.groupBy(*by).agg(
+    out = posts.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(reply.cast("int")).alias("reply_share"), top.alias("quote_share"),
-        *[F.percentile(size, p).alias(f"p{int(p * 100)}") for p in (0.25, 0.5, 0.9)],
         *[has(p).alias(f"{k}_rate") for k, p in rates.items()],
     )
+    lengths = percentiles(posts.select(*by, size.alias("size@")), by, "size@", {"p25": 0.25, "p50": 0.5, "p90": 0.9})
+    lengths = lengths.select(*[F.col(c).alias(f"{c}@") for c in by], "p25", "p50", "p90")
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}@"))
+    return out.join(lengths, on, "left").drop(*[f"{c}@" for c in by])
 
 
 def term_counts(items: DataFrame, item: str, terms: Column) -> DataFrame:

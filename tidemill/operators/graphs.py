@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemill.plans.store import written
+from tidemill.sources.store import written
 
 
 def first_matching_ancestor(edges: DataFrame, starts: DataFrame, match: Column, max_hops: int = 12) -> DataFrame:
@@ -45,23 +45,71 @@ def thread_view(posts: DataFrame, starts: DataFrame, depth: int = 6, parent_heig
     return seen
 
 
-def connected_parts(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """(node, part): part is the smallest node it is joined with.
+def spread(rows: DataFrame, unique: DataFrame, key: str, most: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined (``inner`` or ``left``) with ``unique``, which has one row a key and the number of ``rows`` of it as ``n@``.
 
-    Labels are lowered to the least neighbouring label and then to their label's label, until none changes.
+    A key of more than ``most`` rows is dealt to as many tasks as that takes; such keys are at most rows / most, so
+    ``most`` bounds the broadcast list of them. Rows without a key are dealt to all tasks.
     """
-    both = edges.select("a", "b").where("a is not null and b is not null")
-    both = written(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    label = written(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("part")).withColumnRenamed("a", "node"), "label")
-    for _ in range(max_rounds):
-        near = both.join(label.select(F.col("node").alias("b"), "part"), "b").groupBy(F.col("a").alias("node")).agg(F.min("part").alias("near"))
-        low = label.join(near, "node").select("node", "part", F.least("part", "near").alias("low"))
-        jump = label.select(F.col("node").alias("low"), F.col("part").alias("far"))
-        new = written(low.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("part"), (F.col("part") != F.least("low", F.coalesce("far", "low"))).alias("moved")), "label")
-        label = new.select("node", "part")
-        if new.where("moved").isEmpty():
-            return label
-    raise RuntimeError("parts still change")
+    parts = unique.withColumn("parts@", F.ceil(F.col("n@") / most)).drop("n@")
+    hubs = parts.where("`parts@` > 1").select(key, "parts@")
+    h = F.xxhash64(*rows.columns)
+    salt = F.when(F.col(key).isNull(), -1 - F.pmod(h, F.lit(1 << 20))).otherwise(F.pmod(h, F.coalesce("parts@", F.lit(1))))
+    salted = rows.join(F.broadcast(hubs), key, "left").withColumn("salt@", salt).drop("parts@")
+    copies = parts.withColumn("salt@", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts@") - 1))).drop("parts@")
+    return salted.join(copies, [key, "salt@"], how).drop("salt@")
+
+
+def most_rows(rows: int) -> int:
+    """Rows of one key in a task: few enough that it stays small, so many that at most 100,000 keys have more."""
+    return max(1024, rows // 100_000)
+
+
+def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """(node, root) for every node of ``edges`` (a, b): root is the smallest node it is joined with.
+
+    Each round points every neighbour at its node's least neighbour, first the larger ones, then the smaller ones
+    (large star, small star), until the edges stay as they are. Neighbour lists are never gathered: a node's least
+    neighbour is a partial aggregate, joined back to the edges, those of a hub in parts. Loops, repeated edges and null
+    ends are ignored; an empty table gives an empty one.
+    """
+    now = written(_clean(edges), "edges")
+    mark = _mark(now)
+    most = most_rows(mark[0])
+    for _ in range(most_rounds):
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        large = _clean(_least(both, most).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
+        down = _least(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), most)
+        small = down.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        now = written(_clean(small), "edges")
+        was, mark = mark, _mark(now)
+        if was == mark:
+            break
+    else:
+        raise RuntimeError(f"components still change after {most_rounds} rounds")
+    greater, lesser = F.greatest("a", "b"), F.least("a", "b")
+    return now.select(greater.alias("node"), lesser.alias("root")).unionByName(now.select(lesser.alias("node"), lesser.alias("root"))).distinct()
+
+
+def _clean(edges: DataFrame) -> DataFrame:
+    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
+
+
+def _least(pairs: DataFrame, most: int) -> DataFrame:
+    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n@"))
+    return spread(pairs, least, "a", most).select("a", "b", F.least("a", "m").alias("m"))
+
+
+def _mark(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+
+def connected_parts(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+    """(node, part): part is the smallest node it is joined with; a node that is joined with itself alone is a part."""
+    rows = edges.select("a", "b").where("a is not null and b is not null")
+    parts = components(rows, max_rounds).select("node", F.col("root").alias("part"))
+    alone = rows.where("a = b").select(F.col("a").alias("node")).distinct().join(parts, "node", "left_anti")
+    return parts.unionByName(alone.select("node", F.col("node").alias("part")))
 
 
 def part_sizes(parts: DataFrame) -> DataFrame:

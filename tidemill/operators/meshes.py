@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemill.operators.ordering import percentiles
+from tidemill.sources.store import written
+
 
 def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Triangles with their corners' coordinates: ax … cz."""
@@ -69,10 +72,24 @@ def duplicate_faces(faces: DataFrame) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(W.partitionBy("model", "key").orderBy("face_id"))).where("rn > 1").select("model", "face_id")
 
 
-def tolerance_check(deviation: DataFrame, by: list[str], value: str, tol: float) -> DataFrame:
-    """p99 within tol and p99.9 within twice tol, with the largest; percentiles are exact."""
-    out = deviation.groupBy(*by).agg(F.percentile(value, 0.99).alias("p99"), F.percentile(value, 0.999).alias("p999"), F.max(value).alias("largest"))
-    return out.withColumn("status", F.when((F.col("p99") <= tol) & (F.col("p999") <= 2 * tol), "PASS").otherwise("FAIL"))
+def tolerance_check(deviation: DataFrame, by: list[str], value: str, tol: float, slack: float = 1.1, defects: DataFrame | None = None, extents: DataFrame | None = None, sizes: tuple[float, float] = (10.0, 300.0)) -> DataFrame:
+    """A group's exact p99 and p999, the largest value, and a status.
+
+    PASS where p99 is within ``slack`` times tol, p999 within twice that, and the group has no more defects than before
+    (``defects``: the group's columns, before, after); FAIL elsewhere, also without any value. A group whose greatest extent (``extents``: the group's
+    columns, extent) lies outside ``sizes`` is SKIPPED: its scale can't be right.
+    """
+    rows = deviation.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
+    out = deviation.groupBy(*by).agg(F.max(value).alias("largest")).join(percentiles(rows, by, value, {"p99": 0.99, "p999": 0.999}), by, "left")
+    ok = (F.col("p99") <= tol * slack) & (F.col("p999") <= 2 * tol * slack)
+    if defects is not None:
+        out = out.join(defects.select(*by, (F.col("after") <= F.col("before")).alias("clean@")), by, "left")
+        ok = ok & F.coalesce("clean@", F.lit(True))
+    status = F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL")
+    if extents is not None:
+        out = out.join(extents.select(*by, (~F.col("extent").between(*sizes)).alias("odd@")), by, "left")
+        status = F.when(F.col("odd@"), "SKIPPED").otherwise(status)
+    return out.select(*by, "p99", "p999", "largest", status.alias("status"))
 
 
 def cell(x: Column, size: float) -> Column:
@@ -124,8 +141,6 @@ def surface_distance(points: DataFrame, triangles: DataFrame, size: float, most_
     Triangles stand in every grid cell that their box touches, points look in the cells around their own. What is found
     within the cell size is exact; points with nothing so near look again on a grid twice as coarse, until none is left.
     """
-    from tidemill.plans.store import written
-
     left, out = points, None
     box = {c: (F.least(*[F.col(n + c) for n in "abc"]), F.greatest(*[F.col(n + c) for n in "abc"])) for c in "xyz"}
     known = written(triangles, "triangles")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemill.sources.store import written
+
 
 def keep_newest_rows(df: DataFrame, by: str, order: list[str], n: int = 2000) -> DataFrame:
     """The newest n rows of each log; Spark limits each task's groups before the shuffle."""
@@ -13,35 +15,81 @@ def keep_newest_rows(df: DataFrame, by: str, order: list[str], n: int = 2000) ->
     return df.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= n).drop("rn")
 
 
+def in_parts(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
+    """``df``, written, with part@: numbers that rise along (by, order) and each stand for one task's range of rows.
+
+    A key with very many rows falls into many parts; rows that are equal in key and order stay in one.
+    """
+    return written(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("part@", F.spark_partition_id()), "ranged")
+
+
+def earlier(parts: DataFrame, by: list[str], **values: tuple[str, Column]) -> DataFrame:
+    """Adds, for each (kind, aggregate of a part), that of the key's earlier parts: their sum, max, or last that isn't null."""
+    kinds = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, True)}
+    w = W.partitionBy(*by).orderBy("part@").rowsBetween(W.unboundedPreceding, -1)  # as many rows as a key has parts
+    each = parts.groupBy(*by, "part@").agg(*[v.alias(k) for k, (_, v) in values.items()])
+    each = each.select(*[F.col(c).alias(f"{c}@") for c in by], F.col("part@").alias("p@"), *[kinds[kind](k).over(w).alias(k) for k, (kind, _) in values.items()])
+    on = F.col("part@") == F.col("p@")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}@"))
+    return parts.join(each, on).drop("p@", *[f"{c}@" for c in by])
+
+
+def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+    """Exact percentiles of each group, interpolated, by ranks over ranges of values, so that no group is one task."""
+    parts = earlier(in_parts(df.select(*by, value).where(F.col(value).isNotNull()), by, [F.col(value)]), by, before=("sum", F.count(F.lit(1))))
+    rank = F.coalesce("before", F.lit(0)) + F.row_number().over(W.partitionBy(*by, "part@").orderBy(value)) - 1
+    ranked = parts.select(*by, value, rank.alias("rank@"))
+    n = parts.groupBy(*[F.col(c).alias(f"{c}@") for c in by]).agg(F.count(F.lit(1)).alias("n@"))
+    on = F.lit(True)
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}@"))
+    both = ranked.join(n, on)
+    out = []
+    for name, p in shares.items():
+        at = (F.col("n@") - 1) * p
+        share = F.when(F.floor(at) == F.ceil(at), 1.0).when(F.col("rank@") == F.floor(at), F.ceil(at) - at).otherwise(at - F.floor(at))
+        out.append(F.sum(F.when(F.col("rank@").isin(F.floor(at), F.ceil(at)), F.col(value) * share)).alias(name))
+    return both.groupBy(*by).agg(*out)
+
+
 def keep_newest_bytes(df: DataFrame, by: str, order: list[str], size: str, trigger: int, keep: int) -> DataFrame:
     """Of a log over ``trigger`` bytes the newest whole rows within ``keep`` bytes; of others all rows."""
     total = df.groupBy(F.col(by).alias("log")).agg(F.sum(size).alias("total"))
     both = df.join(total, F.col(by).eqNullSafe(F.col("log"))).drop("log")
-    large = both.where(F.col("total") > trigger)
-    w = W.partitionBy(by).orderBy(*[F.desc(c) for c in order]).rowsBetween(W.unboundedPreceding, 0)
-    return both.where(F.col("total") <= trigger).drop("total").unionByName(large.withColumn("run", F.sum(size).over(w)).where(F.col("run") <= keep).drop("run", "total"))
+    newest = [F.desc(c) for c in order]
+    large = earlier(in_parts(both.where(F.col("total") > trigger).drop("total"), [by], newest), [by], before=("sum", F.sum(size)))
+    w = W.partitionBy(by, "part@").orderBy(*newest).rowsBetween(W.unboundedPreceding, 0)
+    kept = large.withColumn("run", F.coalesce("before", F.lit(0)) + F.sum(size).over(w)).where(F.col("run") <= keep)
+    return both.where(F.col("total") <= trigger).drop("total").unionByName(kept.drop("run", "before", "part@"))
 
 
 def thread_refs(df: DataFrame, thread: str, pos: str, id_: str, outer: str | None = None) -> DataFrame:
     """Adds root and parent: each post replies to the one before, the first to the outer target, if there is one."""
-    w = W.partitionBy(thread).orderBy(pos)
-    target = F.first(outer).over(w) if outer else F.lit(None)
-    return df.withColumns({"root": F.coalesce(target, F.first(id_).over(w)), "parent": F.coalesce(F.lag(id_).over(w), target)})
+    heads = df.groupBy(F.col(thread).alias("thread@")).agg(F.min_by(F.struct(F.col(id_).alias("id"), (F.col(outer) if outer else F.lit(None).cast("string")).alias("outer")), pos).alias("head@"))
+    parts = earlier(in_parts(df, [thread], [F.col(pos)]), [thread], **{"before@": ("last", F.max_by(id_, pos))})
+    own = F.lag(id_).over(W.partitionBy(thread, "part@").orderBy(pos))
+    parts = parts.withColumn("before@", F.coalesce(own, "before@")).join(heads, F.col(thread).eqNullSafe(F.col("thread@")))
+    return parts.select(*df.columns, F.coalesce("head@.outer", "head@.id").alias("root"), F.coalesce("before@", "head@.outer").alias("parent"))
 
 
 def split_on_marker(df: DataFrame, by: str, order: list[str], marker, drop=None) -> tuple[DataFrame, DataFrame]:
     """Rows with group_no, which a marker row raises (rows before any marker are group one), and the dropped rows."""
     kept = df if drop is None else df.where(~F.coalesce(drop, F.lit(False)))
-    w = W.partitionBy(by).orderBy(*order)
-    hit = F.coalesce(marker, F.lit(False)).cast("int")
-    leads = 1 - F.first(hit).over(w)
-    out = kept.withColumn("group_no", F.sum(hit).over(w.rowsBetween(W.unboundedPreceding, 0)) + leads)
+    kept = kept.withColumn("hit@", F.coalesce(marker, F.lit(False)).cast("int"))
+    heads = kept.groupBy(F.col(by).alias("by@")).agg(F.min_by("hit@", F.struct(*order)).alias("head@"))
+    parts = earlier(in_parts(kept, [by], [F.col(c) for c in order]), [by], **{"before@": ("sum", F.sum("hit@"))})
+    run = F.sum("hit@").over(W.partitionBy(by, "part@").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    parts = parts.withColumn("run@", run).join(heads, F.col(by).eqNullSafe(F.col("by@")))
+    out = parts.select(*df.columns, (F.coalesce("before@", F.lit(0)) + F.col("run@") + 1 - F.col("head@")).alias("group_no"))
     return out, df.limit(0) if drop is None else df.where(F.coalesce(drop, F.lit(False)))
 
 
 def stride_gaps(df: DataFrame, by: str, offset: str, stride: int = 72) -> DataFrame:
     """Rows whose distance to the row before isn't the stride, with that distance as ``gap``."""
-    return df.withColumn("gap", F.col(offset) - F.lag(offset).over(W.partitionBy(by).orderBy(offset))).where(F.col("gap") != stride)
+    parts = earlier(in_parts(df, [by], [F.col(offset)]), [by], **{"before@": ("max", F.max(offset))})
+    before = F.coalesce(F.lag(offset).over(W.partitionBy(by, "part@").orderBy(offset)), "before@")
+    return parts.withColumn("gap", F.col(offset) - before).where(F.col("gap") != stride).drop("before@", "part@")
 
 
 def feed_page(posts: DataFrame, author: str, value, ts: str, id_: str, limit: int = 20, cursor: tuple | None = None, keep=None) -> DataFrame:

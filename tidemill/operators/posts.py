@@ -10,10 +10,10 @@ from tidemill.functions.columns import facet_spans, graphemes, mime_of, post_uri
 
 
 def flatten_posts(df: DataFrame, json: str) -> dict[str, DataFrame]:
-    """posts, images, links and quotes of nested post views in JSON; what can't be parsed contributes nothing.
+    """posts, images, videos, links, quotes and facets of nested post views in JSON; what can't be parsed contributes nothing.
 
-    Images stand in the embed itself, in a record's media and inside quoted records; each keeps its alt text and has
-    url = fullsize where both are texts.
+    Images and videos stand in the embed itself, in a record's media and in all embeds of quoted records, their media included; an image keeps its
+    alt text and has url = fullsize where both are texts. Facets keep their byte range, kind and whole target.
     """
     rows = df.select(F.try_parse_json(json).alias("v")).where("v is not null")
     text = lambda path, kind="string": F.try_variant_get("v", f"$.{path}", kind)
@@ -26,17 +26,28 @@ def flatten_posts(df: DataFrame, json: str) -> dict[str, DataFrame]:
         *[text(f"{c}Count", "long").alias(f"{c}_count") for c in ("like", "reply", "repost", "quote")],
     )
     kind = "array<struct<alt: string, fullsize: string, thumb: string>>"
-    places = ("embed.images", "embed.media.images", "embed.record.embeds[0].images", "embed.record.record.embeds[0].images")
-    every = F.flatten(F.array_compact(F.array(*[F.from_json(F.to_json(F.try_variant_get("v", f"$.{p}", "variant")), kind) for p in places])))
-    images = base.select("uri", F.posexplode(every).alias("pos", "image")).select("uri", "pos", "image.alt", "image.fullsize", F.when(F.col("image.alt").isNotNull(), F.col("image.fullsize")).alias("url"))
+    part = lambda path, kind: F.from_json(F.to_json(F.try_variant_get("v", f"$.{path}", "variant")), kind)
+    view = f"struct<images: {kind}, playlist: string, thumbnail: string, alt: string, media: struct<images: {kind}, playlist: string, thumbnail: string, alt: string>>"
+    outer = F.array(part("embed", view))
+    quoted = [F.coalesce(part(f"embed.{p}.embeds", f"array<{view}>"), F.array().cast(f"array<{view}>")) for p in ("record", "record.record")]
+    views = base.select("uri", F.filter(F.concat(outer, *quoted), lambda x: x.isNotNull()).alias("views"))
+    none = F.array().cast(kind)
+    every = F.flatten(F.transform("views", lambda x: F.concat(F.coalesce(x["images"], none), F.coalesce(x["media"]["images"], none))))
+    clips = F.flatten(F.transform("views", lambda x: F.array(*[F.struct(y["playlist"].alias("playlist"), y["thumbnail"].alias("thumbnail"), y["alt"].alias("alt")) for y in (x, x["media"])])))
+    videos = views.select("uri", F.explode(clips).alias("video")).where("video.playlist is not null").select("uri", "video.*")
+    spans = "array<struct<index: struct<byteStart: bigint, byteEnd: bigint>, features: array<struct<`$type`: string, uri: string, did: string, tag: string>>>>"
+    facets = base.select("uri", F.posexplode(part("record.facets", spans)).alias("facet", "f")).select("uri", "facet", F.col("f.index.byteStart").alias("byte_start"), F.col("f.index.byteEnd").alias("byte_end"), F.explode("f.features").alias("feature"))
+    facets = facets.select("uri", "facet", "byte_start", "byte_end", F.substring_index(F.col("feature.$type"), "#", -1).alias("kind"), F.coalesce("feature.uri", "feature.did", "feature.tag").alias("target"))
+    images = views.select("uri", F.posexplode(every).alias("pos", "image")).select("uri", "pos", "image.alt", "image.fullsize", F.when(F.col("image.alt").isNotNull(), F.col("image.fullsize")).alias("url"))
     links = base.select("uri", text("embed.external.uri").alias("link"), text("embed.external.title").alias("title")).where("link is not null")
     quotes = posts.where("quote_uri is not null").select("uri", "quote_uri")
-    return {"posts": posts, "images": images, "links": links, "quotes": quotes}
+    return {"posts": posts, "images": images, "videos": videos, "links": links, "quotes": quotes, "facets": facets}
 
 
 def validate_posts(df: DataFrame, thread: str) -> DataFrame:
     """Adds violations to posts (text, images array<struct<path, alt, data>>) of threads."""
-    n = F.count(F.lit(1)).over(W.partitionBy(thread))
+    counts = df.groupBy(F.col(thread).alias("thread@")).agg(F.count(F.lit(1)).alias("n@"))
+    n = F.coalesce("n@", F.lit(0))
     images = F.coalesce("images", F.array().cast("array<struct<path:string,alt:string,data:binary>>"))
     blank = lambda c: F.trim(F.coalesce(c, F.lit(""))) == ""
     found = [
@@ -48,7 +59,8 @@ def validate_posts(df: DataFrame, thread: str) -> DataFrame:
         F.when(F.exists(images, lambda i: F.coalesce(F.length(i["data"]), F.lit(0)) > 1_000_000), "image over 1,000,000 bytes"),
         F.when(F.exists(images, lambda i: i["data"].isNotNull() & mime_of(i["data"]).isNull()), "unknown image type"),
     ]
-    return df.withColumn("violations", F.array_compact(F.array(*found)))
+    out = df.join(counts, F.col(thread).eqNullSafe(F.col("thread@")), "left")
+    return out.withColumn("violations", F.array_compact(F.array(*found))).drop("thread@", "n@")
 
 
 def resolve_refs(df: DataFrame, ref: str, handles: DataFrame) -> DataFrame:

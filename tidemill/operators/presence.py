@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tidemill.operators.ordering import earlier, in_parts
+
 
 def micros(ts: Column | str) -> Column:
     return F.unix_micros((F.col(ts) if isinstance(ts, str) else ts).cast("timestamp"))
@@ -74,7 +76,9 @@ def first_start_per_process(starts: DataFrame, procs: DataFrame, slack: int = 5)
     """
     s = starts.where("pid is not null").select("pid", micros("ts").alias("at"), F.lit(1).alias("is_start"), F.struct("ts", "id").alias("row"), F.lit(None).cast("long").alias("launch"))
     p = procs.where("pid is not null").select("pid", (micros("launch") - slack * 1_000_000).alias("at"), F.lit(0).alias("is_start"), F.lit(None).cast(s.schema["row"].dataType).alias("row"), micros("launch").alias("launch"))
-    asof = s.unionByName(p).withColumn("launch", F.last("launch", ignorenulls=True).over(W.partitionBy("pid").orderBy("at", "is_start"))).where("is_start = 1")
+    both = earlier(in_parts(s.unionByName(p), ["pid"], [F.col("at"), F.col("is_start")]), ["pid"], **{"before@": ("max", F.max("launch"))})
+    along = W.partitionBy("pid", "part@").orderBy("at", "is_start")
+    asof = both.withColumn("launch", F.coalesce(F.last("launch", ignorenulls=True).over(along), "before@")).where("is_start = 1")
     first = asof.where("launch is not null").groupBy("pid", "launch").agg(F.min("row").alias("row"))
     keep = first.select("pid", "row").unionByName(asof.where("launch is null").select("pid", "row"))
     unknown = starts.where("pid is null").select("pid", "ts", "id")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import pct_of
+from tidemill.operators.ordering import earlier, in_parts
 
 CELL = r"^\s*(~?)\s*([0-9]+(?:\.[0-9]+)?)\s*@\s*(~?)\s*\$([0-9]+(?:\.[0-9]+)?)\s*$"
 
@@ -21,11 +22,13 @@ def unpivot_scores(df: DataFrame, id_col: str, level_cols: list[str]) -> DataFra
 def pareto_front(df: DataFrame, group: list[str], score: str, cost: str) -> DataFrame:
     """Rows that no other of their group dominates (score at least, cost at most, one of them strictly); ties survive.
 
-    The best score of each cost, and the running best over lower costs, take the place of a theta anti-join.
+    The best score of each cost, and the running best over lower costs, take the place of a theta anti-join. Costs go by
+    ranges, so that a large group is spread over tasks.
     """
     best = df.groupBy(*group, cost).agg(F.max(score).alias("best"))
-    lower = W.partitionBy(*group).orderBy(cost).rowsBetween(W.unboundedPreceding, -1)
-    best = best.withColumn("below", F.max("best").over(lower))
+    best = earlier(in_parts(best, group, [F.col(cost)]), group, **{"before@": ("max", F.max("best"))})
+    lower = W.partitionBy(*group, "part@").orderBy(cost).rowsBetween(W.unboundedPreceding, -1)
+    best = best.withColumn("below", F.greatest(F.max("best").over(lower), "before@"))
     front = best.where("below is null or best > below").select(*group, cost, "best")
     return df.join(front, [*group, cost]).where(F.col(score) == F.col("best")).drop("best").select(*df.columns)
 
@@ -40,8 +43,10 @@ def dominated_by(df: DataFrame, group: list[str], id_col: str, score: str, cost:
     front = pareto_front(df, group, score, cost).groupBy(*group, score, cost).agg(F.min(id_col).alias("dominator"), F.count(F.lit(1)).alias("same"))
     marks = front.select(*group, F.col(score).alias("at"), F.lit(1).alias("side"), F.struct(F.col(cost).alias("c"), F.col(score).alias("s"), F.col("dominator").alias("d")).alias("first"))
     rows = df.where(F.col(score).isNotNull() & F.col(cost).isNotNull()).select(*group, F.col(score).alias("at"), F.lit(0).alias("side"), F.lit(None).cast(marks.schema["first"].dataType).alias("first"), id_col, cost)
-    ahead = W.partitionBy(*group).orderBy(F.desc("at"), F.desc("side")).rowsBetween(W.unboundedPreceding, 0)
-    found = rows.unionByName(marks, allowMissingColumns=True).withColumn("best", F.last("first", True).over(ahead)).where("side = 0")
+    down = [F.desc("at"), F.desc("side")]
+    both = earlier(in_parts(rows.unionByName(marks, allowMissingColumns=True), group, down), group, **{"before@": ("last", F.min_by("first", F.when(F.col("side") == 1, F.col("at"))))})
+    ahead = W.partitionBy(*group, "part@").orderBy(*down).rowsBetween(W.unboundedPreceding, 0)
+    found = both.withColumn("best", F.coalesce(F.last("first", True).over(ahead), "before@")).where("side = 0")
     ok = (F.col("best.c") <= F.col(cost)) & ((F.col("best.s") > F.col("at")) | (F.col("best.c") < F.col(cost)))
     return found.where(ok).select(*group, id_col, F.col("best.d").alias("dominator"))
 
@@ -50,16 +55,19 @@ def nearest_peer(df: DataFrame, other: DataFrame, id_col: str, score: str, cost:
     """Each row with the row of ``other`` nearest by score: peer, gap, pct_cost (its cost as a percentage).
 
     Ties: smaller gap, then lower cost, then name. Both sides are sorted together, and the nearest below and above
-    carried along, so there is no cross join. Without ``by`` the sort is global; give a key to spread it.
+    carried along, so there is no cross join; the sort goes by ranges of scores, whose last peers are handed on, so that
+    neither a large group nor all rows (without ``by``) are one task.
     """
     by = by or []
     best = other.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.min(F.struct(cost, id_col)).alias("p"))
     right = best.select(*by, F.col(score).alias("at"), F.lit(0).alias("side"), F.struct(F.col(score).alias("s"), F.col(f"p.{cost}").alias("c"), F.col(f"p.{id_col}").alias("n")).alias("peer"))
-    left = df.select(*by, F.col(score).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.schema["peer"].dataType).alias("peer"), id_col, cost)
+    left = df.where(F.col(score).isNotNull()).select(*by, F.col(score).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.schema["peer"].dataType).alias("peer"), id_col, cost)
     both = left.unionByName(right, allowMissingColumns=True)
-    up = W.partitionBy(*by).orderBy("at", "side").rowsBetween(W.unboundedPreceding, 0)
-    down = W.partitionBy(*by).orderBy(F.desc("at"), "side").rowsBetween(W.unboundedPreceding, 0)
-    both = both.withColumns({"lo": F.last("peer", True).over(up), "hi": F.last("peer", True).over(down)}).where("side = 1")
+    for name, order, last in (("lo", [F.asc("at"), F.asc("side")], F.max_by), ("hi", [F.desc("at"), F.asc("side")], F.min_by)):
+        both = earlier(in_parts(both, by, order), by, **{"before@": ("last", last("peer", F.when(F.col("side") == 0, F.col("at"))))})
+        along = W.partitionBy(*by, "part@").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        both = both.withColumn(name, F.coalesce(F.last("peer", True).over(along), "before@")).drop("before@", "part@")
+    both = both.where("side = 1")
     choice = lambda p: F.struct(F.abs(F.col(f"{p}.s") - F.col("at")).alias("gap"), F.col(f"{p}.c").alias("c"), F.col(f"{p}.n").alias("n"))
     pick = F.when(F.col("lo").isNull(), choice("hi")).when(F.col("hi").isNull(), choice("lo")).otherwise(F.least(choice("lo"), choice("hi")))
     out = both.where("at is not null").withColumn("best", pick)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.operators import screening
-from tidemill.plans.store import shared_folder
+from tidemill.sources.store import shared_folder
 from tidemill.sources.logs import append_once
 
 
