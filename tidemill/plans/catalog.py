@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemill.plans import columns, events, numbers, rules, social, texts
+from tidemill.plans import columns, events, files, numbers, rules, social, texts
 
-_MODULES = (columns, events, numbers, rules, texts, social)
+_MODULES = (columns, events, numbers, rules, texts, social, files)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLE_SQL = {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}

@@ -16,6 +16,11 @@ HEAD, FACET = 84, 50
 def mesh_triage(spark: SparkSession, root: str, most: int = 500_000) -> DataFrame:
     """path, faces, large: the number of triangles from a file's size alone; contents are not read."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.stl").option("recursiveFileLookup", "true").load(root)
+    return triage(files, most)
+
+
+def triage(files: DataFrame, most: int = 500_000) -> DataFrame:
+    """The same for an inventory of files (path, length)."""
     faces = F.floor((F.col("length") - HEAD) / FACET)
     return files.select("path", faces.alias("faces"), (faces > most).alias("large"))
 
