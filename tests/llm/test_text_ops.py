@@ -8,9 +8,9 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tidemill.llm import covertree, decontam, graph, jaccard, lm, mixing, pages, pii, quality, tokens, toxicity, words
-from tidemill.llm.graph import components
+from tidemill.llm import covertree, decontam, jaccard, lm, mixing, pages, pii, quality, tokens, toxicity, words
 from tidemill.llm.registry import ORACLE_SQL, QUERIES
+from tidemill.operators.graphs import components, spread
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, fp string, n int, score double, sig string"
 LONG = " ".join(f"word{i % 997} x{i}" for i in range(30_000))
@@ -281,6 +281,48 @@ def test_pairs_that_linear_weights_miss(words_each):
     assert right(linear) < 0.65
 
 
+def test_quality_against_brute_force(spark):
+    """Differences from zstandard's own compressor a piece; the curve against means of all runs; held-out labels without effect."""
+    import zstandard
+
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learn = quality.fold("doc_id", 5) != 0
+    c = quality.train(d, labels, "quality", learn)
+    pack = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(x), write_content_size=False, write_checksum=False, write_dict_id=False) for x in (c.good, c.bad)]
+    got = {r["doc_id"]: r["score"] for r in quality.score(d, c).collect()}
+    for r in d.collect():
+        t = (r["text"] or "").encode()
+        cut = [t[i : i + 2048] for i in range(0, len(t), 2048)]
+        good, bad = (sum(len(p.compress(x)) for x in cut) for p in pack)
+        assert np.isclose(got[r["doc_id"]], np.interp((bad - good) / max(1, len(t)), c.x, c.p))
+    turned = labels.withColumn("quality", F.when(learn, F.col("quality")).otherwise(1 - F.col("quality")))
+    again = quality.train(d, turned, "quality", learn)
+    assert (again.good, again.bad) == (c.good, c.bad) and np.allclose(again.p, c.p)
+    rng = np.random.default_rng(1)
+    x, y = np.sort(rng.random(40)), (rng.random(40) < np.linspace(0.1, 0.9, 40)).astype(float)
+    at, p = quality.curve(x, y, np.ones(40))
+    best = [max(min(np.mean(y[i : k + 1]) for k in range(j, 40)) for i in range(j + 1)) for j in range(40)]  # isotonic regression by its definition
+    pools = np.searchsorted(at, x, side="right")
+    assert np.allclose(sorted(set(np.round(np.clip(best, 1e-3, 1 - 1e-3), 9))), np.round(p, 9))
+    assert pools.max() <= len(p)
+
+
+def test_toxicity_ignores_held_out_labels(spark):
+    sf = "/root/testdata/sf0.01"
+    d, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    learn = toxicity.fold("doc_id", 4) != 2
+    one, two = (toxicity.train(d, x, "toxic", learn) for x in (labels, labels.withColumn("toxic", F.when(learn, F.col("toxic")).otherwise(1 - F.col("toxic")))))
+    assert np.allclose(one.w, two.w) and np.allclose(one.v, two.v) and (one.slot == two.slot).all()
+    # the score by brute force, pair by pair
+    for t in [r["text"] or "" for r in d.limit(40).collect()]:
+        data = np.frombuffer(t.encode(), np.uint8)
+        _, place = toxicity.places(data, np.array([0, len(data)]))
+        f = sorted(set(one.slot[place].tolist()) - {-1})
+        z = one.bias + sum(one.w[i] for i in f) + sum(one.v[i] @ one.v[j] for i in f for j in f if i < j)
+        assert np.isclose(toxicity._all_scores(one, pa.array([t]))[0], 1 / (1 + np.exp(-np.clip(z, -40, 40))))
+
+
 def test_classifiers_on_odd_rows(odd, empty, labels):
     for module, label in ((toxicity, "toxic"), (quality, "quality")):
         model = module.train(odd, labels, label, F.lit(True))
@@ -309,6 +351,12 @@ def test_mixing(spark, odd, empty):
     out = mixing.mix(odd, entropy=0.0)
     assert set(odd.columns) <= set(out.columns)
     assert mixing.mix(odd.where("text is null or text = ''")).count() == 0
+    # rows that repeat, rows without an id, rows of one id: with room for each once, each comes once
+    twice = odd.select("doc_id", "text", F.lit("s").alias("source"), F.lit(7).alias("epoch")).where("text like 'one%' or text like '%id'")
+    twice = twice.unionByName(twice)
+    once = mixing.mix(twice, entropy=0.0)
+    assert once.columns == ["doc_id", "text", "source", "epoch", "block", "position", "n_tokens"]
+    assert sorted(map(str, once.where("epoch = 0").select("doc_id", "text").collect())) == sorted(map(str, twice.select("doc_id", "text").collect()))
 
 
 def test_exponent(spark):
@@ -568,7 +616,7 @@ def test_a_hub_is_dealt_to_several_tasks(spark):
     rows = spark.createDataFrame([(1 if i % 3 else i, i) for i in range(300)] + [(None, 5)], "k long, x long")
     unique = rows.where("k is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n@")).withColumn("y", F.col("k") * 2)
     for how, n in (("inner", 300), ("left", 301)):
-        got = graph.spread(rows, unique, "k", 10, how).collect()
+        got = spread(rows, unique, "k", 10, how).collect()
         assert len(got) == n
         assert all(r["y"] == (None if r["k"] is None else 2 * r["k"]) for r in got)
 

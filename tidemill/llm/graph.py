@@ -1,4 +1,4 @@
-"""Connected components by alternating star operations on an edge table."""
+"""Classes, links and components of rows, from links between classes."""
 
 from __future__ import annotations
 
@@ -7,31 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemill.llm.store import materialise
-
-
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of ``edges`` (a, b): root is the smallest node it is joined with.
-
-    Each round points every neighbour at its node's least neighbour, first the larger ones, then the smaller ones
-    (large star, small star), until the edges stay as they are. Neighbour lists are never gathered: a node's least
-    neighbour is a partial aggregate, joined back to the edges, those of a hub in parts. Loops, repeated edges and null ends are ignored; an
-    empty table gives an empty one.
-    """
-    now = materialise(_clean(edges), "edges")
-    mark = _mark(now)
-    most = _most(mark[0])
-    for _ in range(most_rounds):
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        large = _clean(_least(both, most).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
-        down = _least(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), most)
-        small = down.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        now = materialise(_clean(small), "edges")
-        was, mark = mark, _mark(now)
-        if was == mark:
-            break
-    else:
-        raise RuntimeError(f"components still change after {most_rounds} rounds")
-    return now.select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("root")).unionByName(now.select(F.least("a", "b").alias("node"), F.least("a", "b").alias("root"))).distinct()
+from tidemill.operators.graphs import components, most_rows, spread
 
 
 def memberships(rows: DataFrame, classes: DataFrame, links: DataFrame, name: str) -> DataFrame:
@@ -45,11 +21,11 @@ def memberships(rows: DataFrame, classes: DataFrame, links: DataFrame, name: str
     group = components(links.select(F.col("fp").alias("a"), F.col("anchor").alias("b")))
     rooted = materialise(classes.join(group.withColumnRenamed("node", "fp"), "fp").select("fp", "root", name), "rooted")
     least = rooted.groupBy("root").agg(F.min(name).alias("component_id"), F.count(F.lit(1)).alias("n@"))
-    joined = spread(rooted.select("fp", "root"), least, "root", _most(rooted.count())).select("fp", "component_id")
+    joined = spread(rooted.select("fp", "root"), least, "root", most_rows(rooted.count())).select("fp", "component_id")
     info = classes.join(total, "fp", "left").join(joined, "fp", "left").where("n > 1 or links is not null")
     info = info.select("fp", F.col(name).alias("class_id"), (F.col("n") - 1 + F.coalesce("links", F.lit(0))).cast("long").alias("n_links"), F.coalesce("component_id", name).alias("component_id"), F.lit(True).alias("linked"), F.col("n").alias("n@"))
     # copies of one text may be a large share of all rows
-    out = spread(rows, materialise(info, "info"), "fp", _most(rows.count()), "left")
+    out = spread(rows, materialise(info, "info"), "fp", most_rows(rows.count()), "left")
     mine = lambda c: F.when(F.col("linked"), F.col(c)).otherwise(F.col(name))
     out = out.withColumns({"class_id": mine("class_id"), "n_links": F.coalesce("n_links", F.lit(0).cast("long")), "component_id": mine("component_id")})
     return out.withColumn("kept", F.col(name).eqNullSafe(F.col("component_id"))).drop("linked")
@@ -85,36 +61,3 @@ class Groups:
     def roots(self) -> np.ndarray:
         left, right = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in self.pairs]]) for k in (0, 1))
         return local_groups(self.n, left, right)
-
-
-def _clean(edges: DataFrame) -> DataFrame:
-    return edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct()
-
-
-def spread(rows: DataFrame, unique: DataFrame, key: str, most: int, how: str = "inner") -> DataFrame:
-    """``rows`` joined (``inner`` or ``left``) with ``unique``, which has one row a key and the number of ``rows`` of it as ``n@``.
-
-    A key of more than ``most`` rows is dealt to as many tasks as that takes; such keys are at most rows / most, so
-    ``most`` bounds the broadcast list of them. Rows without a key are dealt to all tasks.
-    """
-    parts = unique.withColumn("parts@", F.ceil(F.col("n@") / most)).drop("n@")
-    hubs = parts.where("`parts@` > 1").select(key, "parts@")
-    h = F.xxhash64(*rows.columns)
-    salt = F.when(F.col(key).isNull(), -1 - F.pmod(h, F.lit(1 << 20))).otherwise(F.pmod(h, F.coalesce("parts@", F.lit(1))))
-    salted = rows.join(F.broadcast(hubs), key, "left").withColumn("salt@", salt).drop("parts@")
-    copies = parts.withColumn("salt@", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts@") - 1))).drop("parts@")
-    return salted.join(copies, [key, "salt@"], how).drop("salt@")
-
-
-def _most(rows: int) -> int:
-    """Rows of one key in a task: few enough that it stays small, so many that at most 100,000 keys have more."""
-    return max(1024, rows // 100_000)
-
-
-def _least(pairs: DataFrame, most: int) -> DataFrame:
-    least = pairs.groupBy("a").agg(F.min("b").alias("m"), F.count(F.lit(1)).alias("n@"))
-    return spread(pairs, least, "a", most).select("a", "b", F.least("a", "m").alias("m"))
-
-
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

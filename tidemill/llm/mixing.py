@@ -5,7 +5,7 @@ of 1e-6, is found by bisection: the largest at which the weights' entropy is sti
 or, where that would repeat some source more than ``repeats`` times within the budget, the smallest at which it does
 not. Each probe is a sum over the sources' table, 31 probes at a time, so sources are never gathered.
 
-The weights become a budget of tokens a source. Its documents, in the order of a keyed hash, fill the budget: whole
+The weights become a budget of tokens a source. Its documents, in the order of a keyed hash of id and text, fill the budget: whole
 epochs, then the documents of one more epoch while they fit. Running sums go over hashed buckets of a few thousand
 documents, so no source is ever one task. The stream is cut into blocks that each hold every source by its
 weight, and within a block documents stand in keyed random order.
@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.llm.store import materialise, table
+from tidemill.operators.ordering import earlier, in_parts
 
 STEPS, PROBES, BUCKET = 1_000_000, 31, 4096
 ENTROPY, REPEATS, BLOCK_TOKENS, SEED = 0.9, 4.0, 200_000, "mix"
@@ -62,18 +63,16 @@ def exponent(shares: DataFrame, entropy: float, repeats: float, budget_ratio: fl
     return max(0, min(STEPS, max(flat, kept))) / STEPS
 
 
-def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, seed: str = SEED) -> DataFrame:
-    """``docs`` with a row for each copy that the mix takes, and epoch, block, position in the block, n_tokens."""
-    names = [c for c in docs.columns if c not in MADE]
-    rows = docs.select(*names).withColumns({
-        "n_tokens": F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long"),
-        "key@": F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary")),
-    })
+def plan(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, seed: str = SEED, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row for each copy that the mix takes, without its text: key@ (of id and text), row@ (of all columns), source, the
+    columns in ``keep``, and epoch, block, position in the block, n_tokens."""
+    rows = _keyed(docs, seed).select("key@", "row@", F.col("source").alias("source@"), *keep, F.regexp_count(F.coalesce(F.col("text").cast("string"), F.lit("")), F.lit(r"[^\x20\x09-\x0D]+")).cast("long").alias("n_tokens"))
+    names = ["key@", "row@", "source@", *keep]
     rows = materialise(rows, "mixed")
-    sources = rows.groupBy(F.col("source").alias("s@")).agg(F.sum("n_tokens").alias("t@"), F.count(F.lit(1)).alias("c@")).where("`t@` > 0")
+    sources = rows.groupBy(F.col("source@").alias("s@")).agg(F.sum("n_tokens").alias("t@"), F.count(F.lit(1)).alias("c@")).where("`t@` > 0")
     total = sources.agg(F.sum("t@")).first()[0]
     if not total:
-        return rows.drop("key@").withColumns({"epoch": F.lit(0), "block": F.lit(0).cast("long"), "position": F.lit(0)}).select(*names, *MADE).where("false")
+        return rows.withColumns({"epoch": F.lit(0), "block": F.lit(0).cast("long"), "position": F.lit(0)}).select(*names, *MADE).where("false")
     budget = budget or total
     shares = sources.select((F.col("t@") / total).alias("p"))
     a = exponent(shares, entropy, repeats, budget / total)
@@ -81,10 +80,13 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     quota = sources.withColumn("q@", F.floor(F.pow(F.col("t@") / total, F.lit(a)) / z * budget * WHOLE).cast("long")).withColumn("b@", F.ceil(F.col("c@") / BUCKET).cast("long"))
 
     bucket = F.pmod(F.conv(F.substring("key@", 1, 8), 16, 10).cast("long"), F.col("b@"))
-    on = F.col("source").eqNullSafe(F.col("s@"))
+    on = F.col("source@").eqNullSafe(F.col("s@"))
     placed = rows.join(quota, on).withColumn("u@", bucket)
-    sums = rows.select("source", "n_tokens", "key@").join(quota, on).withColumn("u@", bucket).groupBy("s@", "u@").agg(F.sum("n_tokens").alias("n@"))
-    before = sums.select(F.col("s@").alias("s2@"), F.col("u@").alias("u2@"), (F.sum("n@").over(W.partitionBy("s@").orderBy("u@")) - F.col("n@")).alias("base@"))
+    # sums of buckets before each, over ranges of buckets, as a source may have very many
+    sums = in_parts(placed.groupBy("s@", "u@").agg(F.sum("n_tokens").alias("n@")), ["s@"], [F.col("u@")])
+    sums = earlier(sums, ["s@"], **{"far@": ("sum", F.sum("n@"))})
+    near = F.sum("n@").over(W.partitionBy("s@", "part@").orderBy("u@")) - F.col("n@")
+    before = sums.select(F.col("s@").alias("s2@"), F.col("u@").alias("u2@"), (F.coalesce("far@", F.lit(0)) + near).alias("base@"))
     placed = placed.join(before, F.col("s@").eqNullSafe(F.col("s2@")) & (F.col("u@") == F.col("u2@")))
     within = W.partitionBy("s@", "u@").orderBy("key@", "n_tokens").rowsBetween(W.unboundedPreceding, 0)
     placed = placed.withColumn("end@", F.col("base@") + F.sum("n_tokens").over(within))
@@ -99,15 +101,36 @@ def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, re
     return out.withColumn("position", F.row_number().over(W.partitionBy("block").orderBy(order, "n_tokens"))).select(*names, *MADE)
 
 
+def _keyed(docs: DataFrame, seed: str) -> DataFrame:
+    """``docs`` with key@, by which documents are ordered, and row@, which with it tells rows apart that differ anywhere."""
+    text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
+    key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).cast("binary"))
+    return docs.withColumns({"key@": key, "row@": F.xxhash64(*docs.columns)})
+
+
+def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, seed: str = SEED) -> DataFrame:
+    """``docs`` with a row for each copy that the mix takes, and epoch, block, position in the block, n_tokens.
+
+    Documents are placed by their keys and sizes alone; whole rows are joined once, at the end.
+    """
+    placed = materialise(plan(docs, budget, entropy, repeats, block_tokens, seed), "plan").drop("source@")
+    names = [c for c in docs.columns if c not in MADE]
+    rows = _keyed(docs, seed).select("key@", "row@", *names)
+    again = placed.where("epoch = 0").groupBy("key@", "row@").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    if not again.isEmpty():  # rows that repeat stand in the plan once each
+        rows = rows.dropDuplicates(["key@", "row@"])
+    return placed.join(rows, ["key@", "row@"]).select(*names, *MADE)
+
+
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix(docs).select("doc_id", "source", "epoch", "block", "position", "n_tokens")
+    return plan(docs, keep=("doc_id",)).select("doc_id", F.col("source@").alias("source"), "epoch", "block", "position", "n_tokens")
 
 
 OP4_SQL = rf"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens,
-         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS k
+         md5('{SEED}:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS k
   FROM documents),
 s AS (SELECT source, sum(n_tokens)::BIGINT AS t, count(*) AS c FROM d GROUP BY source HAVING sum(n_tokens) > 0),
 tot AS (SELECT sum(t)::BIGINT AS b, count(*) AS n FROM s),

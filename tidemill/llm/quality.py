@@ -44,13 +44,23 @@ def pieces(text: bytes) -> list[bytes]:
     return [text[i : i + PIECE] for i in range(0, len(text), PIECE)]
 
 
-def dictionary(texts_: list[bytes], each: int = 4) -> bytes:
-    """A dictionary trained on up to ``each`` evenly spaced pieces a text, so that long texts don't fill it; of samples too small to train on, the bytes."""
+def spaced(text: bytes, each: int = 4) -> list[bytes]:
+    """Up to ``each`` evenly spaced pieces, so that long texts don't fill a dictionary."""
+    p = pieces(text)
+    return [p[i * len(p) // each] for i in range(each)] if len(p) > each else p
+
+
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        yield pa.RecordBatch.from_arrays([b["y"], pa.array([spaced(t.encode()) for t in b["text"].to_pylist()], pa.list_(pa.binary()))], ["y", "pieces"])
+
+
+def dictionary(samples: list[bytes]) -> bytes:
+    """A dictionary trained on pieces of texts; of samples too small to train on, the bytes."""
     try:
-        parts = [[p[i * len(p) // each] for i in range(each)] if len(p := pieces(t)) > each else p for t in texts_]
-        return zstandard.train_dictionary(SIZE, [x for p in parts for x in p]).as_bytes()
+        return zstandard.train_dictionary(SIZE, samples).as_bytes()
     except zstandard.ZstdError:
-        return b"\n".join(texts_)[-SIZE:]
+        return b"\n".join(samples)[-SIZE:]
 
 
 def compressor(dictionary_: bytes) -> zstandard.ZstdCompressor:
@@ -87,9 +97,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_row
     rows = sample(docs, labels, label, learn, max_rows).withColumn("half", F.pmod(F.xxhash64("text"), F.lit(2)))
     flat = Classifier(b"", b"", np.zeros(1), np.array([share]))
     base = {0: [], 1: []}
-    for r in rows.where("half = 0").select("y", "text").collect():
-        base[r["y"]].append(r["text"].encode())
-    good, bad = (dictionary(sorted(base[k])) for k in (1, 0))
+    # four pieces a row at most come to the driver
+    for r in rows.where("half = 0").select("y", "text").mapInArrow(_cut, "y int, pieces array<binary>").collect():
+        base[r["y"]].append([bytes(p) for p in r["pieces"]])
+    good, bad = (dictionary([p for parts in sorted(base[k]) for p in parts]) for k in (1, 0))
     if not base[0] or not base[1]:
         return flat
     shared = docs.sparkSession.sparkContext.broadcast((good, bad))

@@ -1,29 +1,14 @@
-"""Where intermediate tables go: the folder the cluster names in ``spark.checkpoint.dir``."""
+"""What the corpus operators share: tables, folds, and intermediate tables in the folder of ``spark.checkpoint.dir``."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemill.sources import tables
+from tidemill.sources.store import written as materialise
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Only where the session names none (tests) a local one is set."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="tidemill-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path
-
-
-def materialise(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["fold", "materialise", "one_thread", "table", "texts"]
 
 
 def one_thread(spark: SparkSession) -> None:
@@ -33,7 +18,7 @@ def one_thread(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     one_thread(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.table(spark, sf_dir, name)
 
 
 def fold(doc_id: Column | str, modulus: int) -> Column:
