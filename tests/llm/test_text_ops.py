@@ -467,6 +467,18 @@ def test_language_model(spark, sf, docs):
             assert math.isclose(r.score, want, rel_tol=0.01, abs_tol=0.05), (r.doc_id, r.score, want)
 
 
+def test_language_model_in_two_steps(spark, sf, monkeypatch):
+    """Many small blocks ask in teams: the same scores as from one block a task."""
+    d = spark.read.parquet(f"{sf}/documents.parquet")
+    scores = lambda: lm.language_scores(d, F.col("doc_id") % 7 != 2, F.col("doc_id") % 7 == 3).orderBy("doc_id").toPandas()
+    whole = scores()
+    monkeypatch.setattr(lm, "PACK", 20_000)
+    monkeypatch.setattr(lm, "FAN", 4)
+    parts = scores()
+    assert (whole[["doc_id", "n_tokens", "n_known", "train_tokens"]] == parts[["doc_id", "n_tokens", "n_known", "train_tokens"]]).all().all()
+    assert np.allclose(whole.base_score, parts.base_score) and np.allclose(whole.score, parts.score)
+
+
 def test_language_model_packs_stay_bounded(monkeypatch):
     monkeypatch.setattr(lm, "PACK", 1000)
     monkeypatch.setattr(lm, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 0})())}))

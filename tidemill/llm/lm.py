@@ -10,7 +10,8 @@ token and starts from a start context.
 How it runs: texts are packed into blocks of some megabytes. A block asks for its distinct words and bigrams, sorted by
 hash and cut by hash range; a range's group adds up all blocks' counts and answers each block in the order asked. So a
 word costs a few bytes for each block that has it, not for each time it occurs, and a word however frequent is one entry
-a block. Blocks and answers meet by block to learn the weights (fold blocks only) and to score. For the weights, tasks
+a block. More than ``FAN`` blocks ask in two steps: teams of some ``FAN`` blocks merge their questions for each of ``FAN`` parts of
+the hashes, and ask in turn by finer parts, so that neither the rows exchanged nor a group's size grow with the square of the corpus. Blocks and answers meet by block to learn the weights (fold blocks only) and to score. For the weights, tasks
 count the fold's tokens by bucket and by both probabilities, rounded to an eighth of an octave; expectation-maximisation
 runs on those counts, in a task for each bucket. Scores use unrounded probabilities. Words are told apart by
 64-bit hashes; bigrams by as many bits as the corpus' size calls for, so that about one in 2**14 shares a count by chance.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from tidemill.llm.store import fold, materialise, table, texts
 from tidemill.llm.words import NOT_SPACE, mix, slices, words
 
-PACK, TEXTS = 24 << 20, 1 << 17
+PACK, TEXTS, FAN = 24 << 20, 1 << 17, 1024
 END, START = np.uint64(0x9D39247E33776D41), np.uint64(0x2AF7398005AAA5C7)
 BINS, BUCKETS = 8, 40
 BLOCK = "block long, deleted boolean, ids array<long>, train array<boolean>, sizes array<long>, payload binary"
@@ -160,6 +161,71 @@ def answer(t: pa.Table) -> pa.Table:
     return pa.table({c: pa.array(out[c], pa.binary() if "_all" in c or "_kept" in c and c != "n_kept" else pa.int32() if c == "part" else pa.int64()) for c in [x.split()[0] for x in ANSWER.split(", ")]})
 
 
+MERGED = "kind int, team long, part int, fine long, block long, deleted boolean, word_key binary, word_all binary, word_gone binary, pair_key binary, pair_all binary, pair_gone binary"
+TOTAL = "team long, part int, fine long, word_all binary, pair_all binary, word_kept binary, pair_kept binary, n long, n_kept long, v long"
+
+
+def _table(rows: list[dict], shape: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary()}
+    return pa.table({c: pa.array([r.get(c) for r in rows], kinds[t]) for c, t in (x.split() for x in shape.split(", "))})
+
+
+def _merger(bits: int, parts: int, fine: int):
+    """For a team of blocks and a part of the keys: each block's places among the team's keys (kind 0), and the team's own questions by finer parts (kind 1)."""
+
+    def merge(t: pa.Table) -> pa.Table:
+        blocks, deleted = t["block"].to_pylist(), np.array(t["deleted"].to_pylist())
+        team, part = t["team"][0].as_py(), t["part"][0].as_py()
+        routes = [{"kind": 0, "team": team, "part": part, "block": b, "deleted": bool(d)} for b, d in zip(blocks, deleted, strict=True)]
+        asks = [{"kind": 1, "team": team, "part": part, "fine": part * fine + j} for j in range(fine)]
+        for what, width in (("word", 64), ("pair", bits)):
+            keys = [np.cumsum(expand(x), dtype=np.uint64) for x in t[f"{what}s"].to_pylist()]
+            n = np.concatenate([expand(x).astype(np.int64) for x in t[f"{what}_n"].to_pylist()])
+            size = np.array([len(k) for k in keys])
+            u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+            gone = np.repeat(deleted, size)
+            every, less = np.bincount(inverse, n, len(u)).astype(np.int64), np.bincount(inverse[gone], n[gone], len(u)).astype(np.int64)
+            for r, e, z in zip(routes, np.cumsum(size), size, strict=True):
+                r[f"{what}_key"] = sorted_keys(inverse[e - z : e].astype(np.uint64))
+            cuts = np.searchsorted(u, np.array([((part * fine + j) << width) // (parts * fine) for j in range(1, fine)], np.uint64))
+            for r, x, y in zip(asks, [0, *cuts], [*cuts, len(u)], strict=True):
+                r |= {f"{what}_key": sorted_keys(u[x:y]), f"{what}_all": squeeze(every[x:y]), f"{what}_gone": squeeze(less[x:y])}
+        return _table(routes + asks, MERGED)
+
+    return merge
+
+
+def total(t: pa.Table) -> pa.Table:
+    """The teams' questions of one finer part, added up and answered in the order asked."""
+    out = [{"team": a, "part": p, "fine": f, "n": 0, "n_kept": 0, "v": 0} for a, p, f in zip(*[t[c].to_pylist() for c in ("team", "part", "fine")], strict=True)]
+    for what in ("word", "pair"):
+        keys = [np.cumsum(expand(x), dtype=np.uint64) for x in t[f"{what}_key"].to_pylist()]
+        size = np.array([len(k) for k in keys])
+        u, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        every, less = (np.bincount(inverse, np.concatenate([expand(x).astype(np.int64) for x in t[f"{what}_{c}"].to_pylist()]), len(u)).astype(np.int64) for c in ("all", "gone"))
+        if what == "word":
+            out[0] |= {"n": int(every.sum()), "n_kept": int((every - less).sum()), "v": int((every > 0).sum())}
+        for r, e, z in zip(out, np.cumsum(size), size, strict=True):
+            at = inverse[e - z : e]
+            r |= {f"{what}_all": squeeze(every[at]), f"{what}_kept": squeeze((every - less)[at])}
+    return _table(out, TOTAL)
+
+
+def hand_back(routes: pa.Table, totals: pa.Table) -> pa.Table:
+    """A team's answers, dealt to its blocks by their places."""
+    if not routes.num_rows:
+        return _table([], ANSWER)
+    totals = totals.sort_by("fine")
+    out = [{"part": p, "block": b, "n": 0, "n_kept": 0, "v": 0} for p, b in zip(routes["part"].to_pylist(), routes["block"].to_pylist(), strict=True)]
+    for what in ("word", "pair"):
+        for which in ("all", "kept"):
+            known = np.concatenate([expand(x) for x in totals[f"{what}_{which}"].to_pylist()])
+            for r, at, deleted in zip(out, routes[f"{what}_key"].to_pylist(), routes["deleted"].to_pylist(), strict=True):
+                if which == "all" or deleted:
+                    r[f"{what}_{which}"] = squeeze(known[np.cumsum(expand(at), dtype=np.uint64).astype(np.int64)])
+    return _table(out, ANSWER)
+
+
 def bucket(c: np.ndarray) -> np.ndarray:
     """0 for an unseen context, then by powers of two."""
     return np.minimum(np.frexp(c.astype(float))[1] * (c > 0), BUCKETS - 1)
@@ -260,14 +326,26 @@ def language_scores(docs: DataFrame, train: Column, deleted: Column) -> DataFram
     rows = texts(docs).withColumns({"train": yes(train), "deleted": yes(train & deleted)})
     size = texts(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
     bits = min(62, 14 + max(16, int(size).bit_length()))
-    ranges = max(8, min(1 << 14, -(-size // (PACK // 2))))
+    ranges = max(8, -(-size // (PACK // 2)))
     packs = materialise(rows.mapInArrow(_packer, BLOCK), "packs", compression="uncompressed")
-    asked = packs.mapInArrow(_asker(bits, ranges), "part int, block long, deleted boolean, words binary, word_n binary, pairs binary, pair_n binary")
+    by = lambda df, *key: df.repartition(tasks, *key)
     # as many tasks as ranges or blocks call for, so that a task's share stays the same however large the corpus is
-    by = lambda df, key: df.repartition(tasks, key)
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ranges // 4)
-    answers = materialise(by(asked, "part").groupBy("part").applyInArrow(answer, ANSWER), "counts", compression="uncompressed")
-    n, n_kept, v = (x or 0 for x in answers.agg(F.sum("n"), F.sum("n_kept"), F.sum("v")).first())
+    asking = "part int, block long, deleted boolean, words binary, word_n binary, pairs binary, pair_n binary"
+    count = packs.count()
+    if count <= FAN:
+        asked = packs.mapInArrow(_asker(bits, ranges), asking)
+        answers = materialise(by(asked, "part").groupBy("part").applyInArrow(answer, ANSWER), "counts", compression="uncompressed")
+        sums = answers
+    else:
+        # in two steps: blocks ask in teams, and teams ask by finer parts
+        parts = min(FAN, ranges)
+        asked = packs.mapInArrow(_asker(bits, parts), asking).withColumn("team", F.pmod(F.xxhash64("block"), F.lit(-(-count // FAN))))
+        merged = materialise(by(asked, "team", "part").groupBy("team", "part").applyInArrow(_merger(bits, parts, -(-ranges // parts)), MERGED), "merged", compression="uncompressed")
+        sums = materialise(by(merged.where("kind = 1"), "fine").groupBy("fine").applyInArrow(total, TOTAL), "totals", compression="uncompressed")
+        answers = by(merged.where("kind = 0"), "team", "part").groupBy("team", "part").cogroup(by(sums, "team", "part").groupBy("team", "part")).applyInArrow(hand_back, ANSWER)
+        answers = materialise(answers, "counts", compression="uncompressed")
+    n, n_kept, v = (x or 0 for x in sums.agg(F.sum("n"), F.sum("n_kept"), F.sum("v")).first())
 
     kept = answers.where("word_kept is not null").select("part", "block", "word_kept", "pair_kept")
     hist = by(packs.where("deleted"), "block").groupBy("block").cogroup(by(kept, "block").groupBy("block")).applyInArrow(_held_out(bits, n_kept), "b long, i long, j long, n long")
