@@ -354,6 +354,8 @@ def test_mixing(spark, odd, empty):
     # rows that repeat, rows without an id, rows of one id: with room for each once, each comes once
     twice = odd.select("doc_id", "text", F.lit("s").alias("source"), F.lit(7).alias("epoch")).where("text like 'one%' or text like '%id'")
     twice = twice.unionByName(twice)
+    plain = mixing.mix(twice, entropy=0.0, marks=False)
+    assert plain.columns == twice.columns and {r["epoch"] for r in plain.collect()} == {7}
     once = mixing.mix(twice, entropy=0.0)
     assert once.columns == ["doc_id", "text", "source", "epoch", "block", "position", "n_tokens"]
     assert sorted(map(str, once.where("epoch = 0").select("doc_id", "text").collect())) == sorted(map(str, twice.select("doc_id", "text").collect()))

@@ -105,21 +105,23 @@ def _keyed(docs: DataFrame, seed: str) -> DataFrame:
     """``docs`` with key@, by which documents are ordered, and row@, which with it tells rows apart that differ anywhere."""
     text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).cast("binary"))
-    return docs.withColumns({"key@": key, "row@": F.xxhash64(*docs.columns)})
+    return docs.withColumns({"key@": key, "row@": F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])})
 
 
-def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, seed: str = SEED, marks: bool = True) -> DataFrame:
     """``docs`` with a row for each copy that the mix takes, and epoch, block, position in the block, n_tokens.
 
-    Documents are placed by their keys and sizes alone; whole rows are joined once, at the end.
+    Documents are placed by their keys and sizes alone; whole rows are joined once, at the end. Without ``marks`` the rows
+    have the columns of ``docs`` and no others, whatever they are called.
     """
     placed = materialise(plan(docs, budget, entropy, repeats, block_tokens, seed), "plan").drop("source@")
-    names = [c for c in docs.columns if c not in MADE]
+    names = [c for c in docs.columns if not marks or c not in MADE]
     rows = _keyed(docs, seed).select("key@", "row@", *names)
     again = placed.where("epoch = 0").groupBy("key@", "row@").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     if not again.isEmpty():  # rows that repeat stand in the plan once each
         rows = rows.dropDuplicates(["key@", "row@"])
-    return placed.join(rows, ["key@", "row@"]).select(*names, *MADE)
+    placed = placed if marks else placed.select("key@", "row@")
+    return placed.join(rows, ["key@", "row@"]).select(*names, *(MADE if marks else ()))
 
 
 def op4_temperature_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
