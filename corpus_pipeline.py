@@ -27,7 +27,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return mixing.mix(docs).select(*docs.columns)
+    return mixing.mix(docs, marks=False)
 
 
 def write_token_file(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
