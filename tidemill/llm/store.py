@@ -17,8 +17,10 @@ def one_thread(spark: SparkSession) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table of the folder; one that its files would give to fewer tasks than there are cores is dealt to as many."""
     one_thread(spark)
-    return tables.table(spark, sf_dir, name)
+    df, cores = tables.table(spark, sf_dir, name), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
 def fold(doc_id: Column | str, modulus: int) -> Column:
