@@ -1,4 +1,4 @@
-"""Binary files: mesh triangles and fixed records, decoded by NumPy in batches of files."""
+"""Binary files: sizes, triangles and fixed records, from their contents as a column or, by byte ranges, from the files."""
 
 from __future__ import annotations
 
@@ -9,8 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Sizes of the binary triangle format.
-HEAD, FACET = 84, 50
+from tidemill.sources import ranges
+from tidemill.sources.ranges import FACET, HEAD
 
 
 def mesh_triage(spark: SparkSession, root: str, most: int = 500_000) -> DataFrame:
@@ -27,7 +27,7 @@ def triage(files: DataFrame, most: int = 500_000) -> DataFrame:
 
 def decode_mesh(files: DataFrame) -> DataFrame:
     """model, face_id, v (nine coordinates) of binary triangle files (path, content)."""
-    kind = np.dtype([("normal", "<f4", 3), ("v", "<f4", 9), ("attr", "<u2")])
+    kind = ranges.FACETS
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -40,7 +40,8 @@ def decode_mesh(files: DataFrame) -> DataFrame:
 
 
 def read_mesh_faces(spark: SparkSession, root: str) -> DataFrame:
-    return decode_mesh(spark.read.format("binaryFile").option("pathGlobFilter", "*.stl").option("recursiveFileLookup", "true").load(root))
+    """The same of the files below a folder, read by byte ranges."""
+    return ranges.read_facets(spark, root)
 
 
 def indexed_mesh(triangles: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -87,4 +88,5 @@ def decode_records(files: DataFrame, magic: bytes, fields: list[tuple[str, str |
 
 
 def read_fixed_records(spark: SparkSession, path: str, magic: bytes, fields: list[tuple[str, str | tuple[str, int]]], stride: int = 72) -> DataFrame:
-    return decode_records(spark.read.format("binaryFile").load(path), magic, fields, stride)
+    """The same of a file, or of the files below a folder, read by byte ranges."""
+    return ranges.read_records(spark, path, magic, fields, stride)
