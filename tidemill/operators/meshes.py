@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -75,15 +77,15 @@ def duplicate_faces(faces: DataFrame) -> DataFrame:
 def tolerance_check(deviation: DataFrame, by: list[str], value: str, tol: float, slack: float = 1.1, defects: DataFrame | None = None, extents: DataFrame | None = None, sizes: tuple[float, float] = (10.0, 300.0)) -> DataFrame:
     """A group's exact p99 and p999, the largest value, and a status.
 
-    PASS where p99 is within ``slack`` times tol, p999 within twice that, and the group has no more defects than before
-    (``defects``: the group's columns, before, after); FAIL elsewhere, also without any value. A group whose greatest extent (``extents``: the group's
+    PASS where p99 is within ``slack`` times tol, p999 within twice that, and the group has no more defects than before, of
+    any kind (``defects``: the group's columns, before, after, a row a kind); FAIL elsewhere, also without any value. A group whose greatest extent (``extents``: the group's
     columns, extent) lies outside ``sizes`` is SKIPPED: its scale can't be right.
     """
     rows = deviation.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     out = deviation.groupBy(*by).agg(F.max(value).alias("largest")).join(percentiles(rows, by, value, {"p99": 0.99, "p999": 0.999}), by, "left")
     ok = (F.col("p99") <= tol * slack) & (F.col("p999") <= 2 * tol * slack)
     if defects is not None:
-        out = out.join(defects.select(*by, (F.col("after") <= F.col("before")).alias("clean@")), by, "left")
+        out = out.join(defects.groupBy(*by).agg(F.bool_and(F.col("after") <= F.col("before")).alias("clean@")), by, "left")
         ok = ok & F.coalesce("clean@", F.lit(True))
     status = F.when(F.coalesce(ok, F.lit(False)), "PASS").otherwise("FAIL")
     if extents is not None:
@@ -108,10 +110,10 @@ def within_radius(points: DataFrame, seeds: DataFrame, r: float) -> DataFrame:
 
 
 def halo(points: DataFrame, seeds: DataFrame, strength: str, least: float, r: float, cap: float, tries: int = 3) -> tuple[DataFrame, float, float]:
-    """Points near strong seeds; while they are more than ``cap`` of all, twice the seeds' threshold and 0.6 of the radius."""
+    """Points near seeds stronger than ``least``; while they are more than ``cap`` of all, twice the seeds' threshold and 0.6 of the radius."""
     total = points.count()
     for k in range(tries):
-        out = within_radius(points, seeds.where(F.col(strength) >= least), r)
+        out = within_radius(points, seeds.where(F.col(strength) > least), r)
         if k == tries - 1 or out.count() <= cap * total:
             break
         least, r = 2 * least, 0.6 * r
@@ -135,40 +137,98 @@ def _to_triangle(p: list[Column], a: list[Column], b: list[Column], c: list[Colu
     return F.when((nn > 0) & within, h * h / nn).otherwise(F.least(*sides))
 
 
-def surface_distance(points: DataFrame, triangles: DataFrame, size: float, most_rounds: int = 24) -> DataFrame:
+#: Levels of cells: a cell of level L has sides of 2**L.
+LEAST_LEVEL, MOST_LEVEL = -60, 60
+
+
+def _at_level(x: Column, level: Column | int) -> Column:
+    return F.floor(x * F.pow(F.lit(2.0), -level if isinstance(level, Column) else F.lit(-level))).cast("long")
+
+
+def levelled(triangles: DataFrame) -> DataFrame:
+    """Triangles with their boxes (lo_, hi_) and the level of the smallest cells that are as wide as the box."""
+    out = triangles
+    for c in "xyz":
+        out = out.withColumns({f"lo_{c}": F.least(*[F.col(n + c) for n in "abc"]), f"hi_{c}": F.greatest(*[F.col(n + c) for n in "abc"])})
+    extent = F.greatest(*[F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"])
+    level = F.when(extent > 2.0**LEAST_LEVEL, F.ceil(F.log2(extent) - 1e-9)).otherwise(LEAST_LEVEL)
+    level = level + (extent > F.pow(F.lit(2.0), level)).cast("int")  # where the logarithm's rounding came out too low
+    return out.withColumn("level", F.least(level, F.lit(MOST_LEVEL)).cast("int"))
+
+
+def surface_distance(points: DataFrame, triangles: DataFrame, size: float | None = None, most_rounds: int = 120) -> DataFrame:
     """Each point (model, p_id, x, y, z) with its distance to the nearest of its model's triangles (ax … cz).
 
-    Triangles stand in every grid cell that their box touches, points look in the cells around their own. What is found
-    within the cell size is exact; points with nothing so near look again on a grid twice as coarse, until none is left.
+    A triangle stands once, in the cell that holds its box's middle, on the level of its own size or, if that is finer, on
+    the level twice as wide as the round's radius. So whatever is within the radius has its middle in the two or three
+    cells along each axis around a point, on each level there is. A pair whose box is farther than the radius is dropped before
+    its distance is computed. Points with nothing within the radius look again within twice of it, until none is left.
+    The first radius is about ``size``, or half the side of the cells of the middle triangle. Points of models without
+    triangles, or without finite coordinates, are left out.
     """
-    left, out = points, None
-    box = {c: (F.least(*[F.col(n + c) for n in "abc"]), F.greatest(*[F.col(n + c) for n in "abc"])) for c in "xyz"}
-    known = written(triangles, "triangles")
-    models = known.select("model").distinct()
-    left = left.join(models, "model", "left_semi")
-    for _ in range(most_rounds):
-        t = known
-        for c in "xyz":
-            lo, hi = box[c]
-            t = t.withColumn(f"g{c}", F.explode(F.sequence(cell(lo, size), cell(hi, size))))
-        p = left
+    finite = [F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")) for c in "xyz"]
+    known = written(levelled(triangles), "triangles")
+    left = points.where(finite[0] & finite[1] & finite[2]).join(known.select("model").distinct(), "model", "left_semi")
+    counts = sorted((r["level"], r["count"]) for r in known.groupBy("level").count().collect())  # at most as many rows as there are levels
+    if not counts:
+        return left.select("model", "p_id", F.lit(None).cast("double").alias("distance"))
+    half, levels = sum(n for _, n in counts) / 2, [k for k, _ in counts]
+    middle = next(k for i, (k, _) in enumerate(counts) if sum(n for _, n in counts[: i + 1]) >= half)
+    least = middle if size is None else max(LEAST_LEVEL, min(MOST_LEVEL, math.ceil(math.log2(size)) + 1))
+    d2 = _to_triangle(*[[F.col(n + c) for c in "xyz"] for n in ("", "a", "b", "c")])
+    outside = [F.greatest(F.col(f"lo_{c}") - F.col(c), F.col(c) - F.col(f"hi_{c}"), F.lit(0.0)) for c in "xyz"]
+    out = None
+    for level in range(least, least + most_rounds):
+        r = 2.0 ** (level - 1)
+        t = known.withColumn("level", F.greatest("level", F.lit(level)))
+        p = left.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sorted({max(k, level) for k in levels})])))
+        reach = r + F.pow(F.lit(2.0), F.col("level")) / 2
         for c in "xyz":
-            p = p.withColumn(f"g{c}", F.explode(F.sequence(cell(F.col(c) - size, size), cell(F.col(c) + size, size))))
-        d2 = _to_triangle(*[[F.col(n + c) for c in "xyz"] for n in ("", "a", "b", "c")])
-        near = p.join(t, ["model", "gx", "gy", "gz"]).groupBy("model", "p_id").agg(F.sqrt(F.min(d2)).alias("distance"))
+            t = t.withColumn(f"g{c}", _at_level((F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2, F.col("level")))
+            p = p.withColumn(f"g{c}", F.explode(F.sequence(_at_level(F.col(c) - reach, F.col("level")), _at_level(F.col(c) + reach, F.col("level")))))
+        near = p.join(t, ["model", "level", "gx", "gy", "gz"]).where(_dot(outside, outside) <= r * r)
+        near = near.groupBy("model", "p_id").agg(F.sqrt(F.min(d2)).alias("distance"))
         found = written(left.join(near, ["model", "p_id"], "left"), "distances")
-        sure = found.where(F.col("distance") <= size).select("model", "p_id", "distance")
+        sure = found.where(F.col("distance") <= r).select("model", "p_id", "distance")
         out = sure if out is None else out.unionByName(sure)
-        left = found.where(F.col("distance").isNull() | (F.col("distance") > size)).drop("distance")
+        left = found.where(F.col("distance").isNull() | (F.col("distance") > r)).drop("distance")
         if left.isEmpty():
             return out
-        size *= 2
-    raise RuntimeError("points are too far from every triangle; start with a larger cell")
+    raise RuntimeError("points are too far from every triangle; start with a larger size")
 
 
-def surface_deviation(faces_a: DataFrame, vertices_a: DataFrame, faces_b: DataFrame, vertices_b: DataFrame, size: float) -> DataFrame:
+def surface_deviation(faces_a: DataFrame, vertices_a: DataFrame, faces_b: DataFrame, vertices_b: DataFrame, size: float | None = None) -> DataFrame:
     """Both directions: the distance of each vertex of either mesh to the other's surface."""
     a, b = (v.withColumnRenamed("v_id", "p_id") for v in (vertices_a, vertices_b))
     forth = surface_distance(a, corners(faces_b, vertices_b), size).withColumn("direction", F.lit("a to b"))
     back = surface_distance(b, corners(faces_a, vertices_a), size).withColumn("direction", F.lit("b to a"))
     return forth.unionByName(back)
+
+
+def face_centres(faces: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(model, p_id, x, y, z): the middle of each triangle's corners, by its face_id."""
+    return corners(faces, vertices).select("model", F.col("face_id").alias("p_id"), *[((F.col(f"a{c}") + F.col(f"b{c}") + F.col(f"c{c}")) / 3).alias(c) for c in "xyz"])
+
+
+def change_deviation(faces_a: DataFrame, vertices_a: DataFrame, faces_b: DataFrame, vertices_b: DataFrame, size: float | None = None) -> DataFrame:
+    """What changing mesh a into mesh b did: model, p_id, distance, kind.
+
+    ``drift``: how far each face centre of b is from a's surface. ``loss``: how far each vertex of a is from b's surface, which
+    tells of details that are gone and that no point of b can show.
+    """
+    drift = surface_distance(face_centres(faces_b, vertices_b), corners(faces_a, vertices_a), size).withColumn("kind", F.lit("drift"))
+    loss = surface_distance(vertices_a.withColumnRenamed("v_id", "p_id"), corners(faces_b, vertices_b), size).withColumn("kind", F.lit("loss"))
+    return drift.unionByName(loss)
+
+
+def edge_defects(faces: DataFrame) -> DataFrame:
+    """A model's edges that are not of exactly two faces (nonmanifold), and those of one face alone (boundary)."""
+    uses = edges(faces).groupBy("model", "a", "b").agg(F.count(F.lit(1)).alias("uses"))
+    return uses.groupBy("model").agg(F.count_if(F.col("uses") != 2).alias("nonmanifold"), F.count_if(F.col("uses") == 1).alias("boundary"))
+
+
+def defect_pairs(before: DataFrame, after: DataFrame) -> DataFrame:
+    """(model, defect, before, after) of both meshes' edge defects, as ``tolerance_check`` takes them; a model without faces has none."""
+    flat = lambda df, name: df.unpivot("model", ["nonmanifold", "boundary"], "defect", name)
+    both = flat(edge_defects(before), "before").join(flat(edge_defects(after), "after"), ["model", "defect"], "full")
+    return both.select("model", "defect", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("before", "after")])
