@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemill.functions.columns import slug
 from tidemill.operators.ordering import percentiles
+from tidemill.sources.store import written
 
 FRONT = r"\A---[ \t]*\r?\n([\s\S]*?)(?:\r?\n)?---[ \t]*(?:\r?\n|\z)"
 ZONED = r"^\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}(?:\.\d+)?(?:Z|[+-]\d{2}:\d{2})\z"
@@ -129,27 +130,72 @@ def sync_diff(source: DataFrame, target: DataFrame, key: str, digest: str, delet
     return s.join(t, F.col("k") == F.col("k2"), "full_outer").select(F.coalesce("k", "k2").alias(key), action.alias("action"))
 
 
-def related_items(item_terms: DataFrame, item: str, weight: str, n: int, queries: DataFrame | None = None, threshold: float = 0.0, newer: str | None = None) -> DataFrame:
+def _shared(asking: DataFrame, there: DataFrame, item: str, newer: str | None) -> DataFrame:
+    """(item, related, score): the weight that items of ``asking`` share with others in its terms, which hold their number ``df`` of items.
+
+    A term's items are dealt to parts of some thousand, each of which meets the items that ask for the term.
+    """
+    parts = asking.select("term", F.ceil(F.col("df") / 4096).alias("parts")).distinct()
+    has = there.join(parts, "term").withColumn("part", F.pmod(F.xxhash64(item), F.col("parts"))).select("term", "part", F.col(item).alias("related"), F.col("w").alias("w2"), *([F.col(newer).alias("date2")] if newer else []))
+    asks = asking.join(parts, "term").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    pairs = asks.join(has, ["term", "part"]).where(F.col(item) != F.col("related"))
+    if newer:
+        pairs = pairs.where(F.col("date2") <= F.col(newer))
+    return pairs.groupBy(item, "related").agg(F.sum(F.least("w", "w2")).alias("score"))
+
+
+def related_items(item_terms: DataFrame, item: str, weight: str, n: int, queries: DataFrame | None = None, threshold: float = 0.0, newer: str | None = None, first: int = 64, step: int = 8, log: list | None = None) -> DataFrame:
     """The n items that share most weight in terms with each item of ``queries`` (all items where it is None).
 
     A pair's score is the sum over all shared terms, however frequent, of the lesser of the two weights; pairs under
-    ``threshold`` are left out. Where ``newer`` names a column of dates, items newer than the item itself are too. A term's items are dealt
-    to parts of some thousand, each of which meets the items that ask for the term, so that a frequent term is no single
-    task. Repeated (item, term) rows count once, by their greatest weight; null items and terms relate to nothing.
+    ``threshold`` are left out. Where ``newer`` names a column of dates, items newer than the item itself are too. Repeated
+    (item, term) rows count once, by their greatest weight; null items and terms relate to nothing.
+
+    Rare terms come first: those of up to ``first`` items, then of ``step`` times as many, and so on. What an item's terms that are
+    still to come can add is bounded by the greatest weight of each; once that is less than its n-th best score, no other item can
+    be among its best, so only the scores of those found are completed, item by item, and the items of its frequent terms
+    are never gone through. Items with too little in common by then take the next terms. ``log`` gets how many items each step left.
     """
     keep = [newer] if newer else []
     rows = item_terms.where(F.col(item).isNotNull() & F.col("term").isNotNull())
-    t = rows.groupBy(item, "term").agg(F.max(weight).alias("w"), *[F.max(c).alias(c) for c in keep])
-    df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
-    parts = df.select("term", F.ceil(F.col("df") / 4096).alias("parts"))
-    there = t.join(parts, "term").withColumn("part", F.pmod(F.xxhash64(item), F.col("parts"))).select("term", "part", F.col(item).alias("related"), F.col("w").alias("w2"), *[F.col(c).alias("date2") for c in keep])
+    t = written(rows.groupBy(item, "term").agg(F.max(weight).alias("w"), *[F.max(c).alias(c) for c in keep]), "terms")
+    df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("most"), F.min("w").alias("least")).where("df > 1")
     asking = t if queries is None else t.join(queries.select(item).distinct(), item, "left_semi")
-    asking = asking.join(parts, "term").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    pairs = asking.join(there, ["term", "part"]).where(F.col(item) != F.col("related"))
-    if newer:
-        pairs = pairs.where(F.col("date2") <= F.col(newer))
-    score = pairs.groupBy(item, "related").agg(F.sum(F.least("w", "w2")).alias("score")).where(F.col("score") >= threshold)
-    return score.withColumn("rank", F.row_number().over(W.partitionBy(item).orderBy(F.desc("score"), "related"))).where(F.col("rank") <= n)
+    asking = written(asking.join(df, "term"), "asking")
+    top = asking.agg(F.coalesce(F.max("df"), F.lit(0))).first()[0]
+    scores, out, done = None, [], 0
+    while asking is not None:
+        last, bound = first >= top, first
+        pairs = _shared(asking.where((F.col("df") > done) & (F.col("df") <= bound)), t, item, newer)
+        if scores is not None:
+            pairs = scores.unionByName(pairs).groupBy(item, "related").agg(F.sum("score").alias("score"))
+        if last:
+            out.append(pairs)
+            break
+        pairs = written(pairs, "scores")
+        to_come = asking.where(F.col("df") > bound)
+        bounds = to_come.groupBy(item).agg(F.sum(F.greatest(F.least("w", "most"), F.lit(0))).alias("up"), F.sum(F.least(F.least("w", "least"), F.lit(0))).alias("down"))
+        ranked = pairs.withColumn("at", F.row_number().over(W.partitionBy(item).orderBy(F.desc("score"), "related"))).where(F.col("at") == n).select(item, F.col("score").alias("nth"))
+        state = asking.select(item).distinct().join(bounds, item, "left").join(ranked, item, "left")
+        slack = (F.abs("up") + F.abs("nth")) * 1e-9
+        sure = F.col("up").isNull() | F.coalesce(F.col("nth") + F.col("down") > F.col("up") + slack, F.lit(False))
+        state = written(state.select(item, "nth", "up", "down", sure.alias("sure"), slack.alias("slack")), "state")
+        ended = state.where("sure").drop("sure")
+        able = F.col("up").isNull() | (F.col("score") + F.col("up") >= F.col("nth") + F.col("down") - F.col("slack"))
+        found = written(pairs.join(ended, item).where(able).select(item, "related", "score"), "found")
+        more = found.join(to_come.select(item, "term", "w"), item).join(t.select(F.col(item).alias("related"), "term", F.col("w").alias("w2")), ["related", "term"])
+        out.append(found.unionByName(more.select(item, "related", F.least("w", "w2").alias("score"))).groupBy(item, "related").agg(F.sum("score").alias("score")))
+        open_ = state.where("not sure").select(item)
+        left = open_.count()
+        if log is not None:
+            log.append(left)
+        asking = written(asking.join(open_, item, "left_semi"), "asking") if left else None
+        scores = pairs.join(open_, item, "left_semi")
+        done, first = bound, first * step
+    every = out[0]
+    for more in out[1:]:
+        every = every.unionByName(more)
+    return every.where(F.col("score") >= threshold).withColumn("rank", F.row_number().over(W.partitionBy(item).orderBy(F.desc("score"), "related"))).where(F.col("rank") <= n)
 
 
 def layered_params(base: DataFrame, override: DataFrame) -> DataFrame:
