@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -65,23 +70,79 @@ def most_rows(rows: int) -> int:
     return max(1024, rows // 100_000)
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+#: Edges that one task may hold: contracted on the way, and all that are left once they are so few.
+HELD, FEW = 1 << 20, 1 << 21
+
+
+def roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """For each of n points the smallest one that the given pairs join it with: larger roots are hooked to smaller ones, and paths halved."""
+    root = np.arange(n)
+    while len(left):
+        u, v = root[left], root[right]
+        apart = u != v
+        left, right, u, v = left[apart], right[apart], u[apart], v[apart]
+        np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+        while (root[root] != root).any():
+            root = root[root]
+    return root
+
+
+def _forest(edges: pa.Table) -> pa.Table:
+    """The same components as one edge from each node to the smallest of its component."""
+    both = pa.chunked_array([*edges["a"].chunks, *edges["b"].chunks]).combine_chunks()
+    coded = both.dictionary_encode()
+    nodes, code = coded.dictionary, coded.indices.to_numpy()
+    order = pc.sort_indices(nodes)
+    rank = np.empty(len(nodes), np.int64)
+    rank[order.to_numpy()] = np.arange(len(nodes))
+    nodes, code = nodes.take(order), rank[code]
+    root = roots(len(nodes), code[: edges.num_rows], code[edges.num_rows :])
+    far = np.flatnonzero(root != np.arange(len(root)))
+    return pa.table({"a": nodes.take(pa.array(far)), "b": nodes.take(pa.array(root[far]))})
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's edges as forests: what it holds is contracted whenever it has grown to ``HELD``, and let go of if that doesn't make it smaller."""
+    held, n = [], 0
+    for b in batches:
+        if b.num_rows:
+            held.append(b)
+            n += b.num_rows
+        if n >= HELD:
+            t = _forest(pa.Table.from_batches(held))
+            held, n = (t.to_batches(), t.num_rows) if t.num_rows < HELD // 2 else ([], 0)
+            if not held:
+                yield from t.to_batches()
+    if held:
+        yield from _forest(pa.Table.from_batches(held)).to_batches()
+
+
+def contracted(edges: DataFrame) -> DataFrame:
+    """Fewer edges (a, b) with the same components: each task's own are contracted to forests, before anything is shuffled."""
+    return edges.select("a", "b").mapInArrow(_contract, edges.select("a", "b").schema)
+
+
+def components(edges: DataFrame, most_rounds: int = 60, contract: bool = False) -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): root is the smallest node it is joined with.
 
     Each round points every neighbour at its node's least neighbour, first the larger ones, then the smaller ones
     (large star, small star), until the edges stay as they are. Neighbour lists are never gathered: a node's least
-    neighbour is a partial aggregate, joined back to the edges, those of a hub in parts. Loops, repeated edges and null
-    ends are ignored; an empty table gives an empty one.
+    neighbour is a partial aggregate, joined back to the edges, those of a hub in parts. With ``contract`` each task first makes a
+    forest of its own edges, and again after each round; once no more than ``FEW`` are left, one task ends the work. Loops,
+    repeated edges and null ends are ignored; an empty table gives an empty one.
     """
-    now = written(_clean(edges), "edges")
+    now = written(contracted(edges.where("a != b")) if contract else _clean(edges), "edges")
     mark = _mark(now)
     most = most_rows(mark[0])
     for _ in range(most_rounds):
+        if contract and mark[0] <= FEW:
+            now = written(contracted(now.coalesce(1)), "edges")
+            break
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = _clean(_least(both, most).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")))
         down = _least(large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), most)
-        small = down.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
-        now = written(_clean(small), "edges")
+        small = _clean(down.select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b")))
+        now = written(contracted(small) if contract else small, "edges")
         was, mark = mark, _mark(now)
         if was == mark:
             break
@@ -107,7 +168,7 @@ def _mark(edges: DataFrame) -> tuple:
 def connected_parts(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, part): part is the smallest node it is joined with; a node that is joined with itself alone is a part."""
     rows = edges.select("a", "b").where("a is not null and b is not null")
-    parts = components(rows, max_rounds).select("node", F.col("root").alias("part"))
+    parts = components(rows, max_rounds, contract=True).select("node", F.col("root").alias("part"))
     alone = rows.where("a = b").select(F.col("a").alias("node")).distinct().join(parts, "node", "left_anti")
     return parts.unionByName(alone.select("node", F.col("node").alias("part")))
 
