@@ -12,8 +12,9 @@ from pyspark.sql import functions as F
 from tidemill.functions import columns as c
 from tidemill.operators import meshes
 from tidemill.plans.rules import SLS, TSC, VCS, _commands_sql
-from tidemill.plans.social import _stream
-from tidemill.sources import binary, logs
+from tidemill.plans.social import _MESH, _mesh, _stream
+from tidemill.sources import binary, logs, ranges
+from tidemill.sources.snapshots import Snapshots
 from tidemill.sources.store import shared_folder
 from tidemill.sources.tables import table
 from tidemill.streaming import jobs
@@ -46,42 +47,74 @@ def read_file_inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rewrite_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events' log without what is older than the middle of the month; a row at the cut stays."""
-    path = _folder(spark, "trimmed")
-    table(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("day", "ts").alias("day")).write.parquet(path)
-    return logs.rewrite_trimmed(spark, path, F.col("day") >= F.lit("2024-01-15").cast("timestamp_ntz")).select("event_id", "user_id")
-
-
-def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers' balances as a binary triangle file a nation: path, content. A file holds one task's batch at most."""
+    log = Snapshots(spark, _folder(spark, "trimmed"))
+    log.append_once(table(spark, sf_dir, "events").select("event_id", "user_id", F.date_trunc("day", "ts").alias("day")), ["event_id"])
+    log.rewrite(F.col("day") >= F.lit("2024-01-15").cast("timestamp_ntz"))
+    return log.read().select("event_id", "user_id")
+
+
+def table_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users and types of every third event, then of all, then without errors: rows and first events of each version."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_type", "event_id")
+    first = lambda df: df.groupBy("user_id", "event_type").agg(F.min("event_id").alias("event_id"))
+    log = Snapshots(spark, _folder(spark, "history"))
+    log.append_once(first(e.where("event_id % 3 = 0")), ["user_id", "event_type"])
+    log.append_once(first(e), ["user_id", "event_type"])
+    log.rewrite(F.col("event_type") != "error")
+    every = [log.read(k).groupBy(F.lit(k).alias("version"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("events")) for k in log.versions()]
+    return every[0].unionByName(every[1]).unionByName(every[2])
+
+
+def append_reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders appended by their keys in three parts, then some of the first part again and some that are new: what was added, and whether a
+    file of another part was read for it."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    third = o.agg(F.max("o_orderkey")).first()[0] // 3 + 1
+    log = Snapshots(spark, _folder(spark, "orders"))
+    for k in range(3):
+        log.append_once(o.where(F.floor(F.col("o_orderkey") / third) == k), ["o_orderkey"])
+    some = o.where((F.col("o_orderkey") < third) & (F.col("o_orderkey") % 10 == 0)).select(F.when(F.col("o_orderkey") % 20 == 0, -F.col("o_orderkey")).otherwise(F.col("o_orderkey")).alias("o_orderkey"), "o_custkey")
+    others = log.files(some, ["o_orderkey"]).where(F.col("part").isin(log.version().parts[1:])).count()
+    report = log.append_once(some, ["o_orderkey"])
+    return log.read().agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("o_orderkey") < 0).alias("new")).withColumns({"added": F.lit(report.rows).cast("long"), "others_read": F.lit(others).cast("long")})
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> str:
+    """Customers' balances as binary triangle files, a nation and 2,000 keys each, below a folder."""
     t = table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), F.col("c_nationkey").cast("string")).alias("path"), F.col("c_custkey").alias("k"), F.floor(F.col("c_custkey") / 2000).alias("part"))
-    kind = np.dtype([("normal", "<f4", 3), ("v", "<f4", 9), ("attr", "<u2")])
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
         k = np.sort(f["k"].to_numpy())
-        rows = np.zeros(len(k), kind)
+        rows = np.zeros(len(k), ranges.FACETS)
         rows["v"] = k[:, None] % np.array([7, 11, 5, 13, 3, 9, 17, 2, 6])
         content = b"\0" * 80 + len(k).to_bytes(4, "little") + rows.tobytes()
-        return pd.DataFrame({"path": [f"{f['path'].iloc[0]}-{f['part'].iloc[0]}"], "content": [content]})
+        return pd.DataFrame({"name": [f"{f['path'].iloc[0]}-{f['part'].iloc[0]}.stl"], "content": [content]})
+
+    path = _folder(spark, "meshes")
+    ranges.write_files(t.groupBy("path", "part").applyInPandas(pack, "name string, content binary"), path)
+    return path
 
-    return t.groupBy("path", "part").applyInPandas(pack, "path string, content binary")
+
+def _base(path: str) -> F.Column:
+    return F.regexp_extract(path, r"([^/]*?)(?:\.[a-z]*)?$", 1)
 
 
 def mesh_triage(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes of the files tell their faces; the contents are not opened."""
-    return binary.triage(_packed(spark, sf_dir).select("path", F.octet_length("content").alias("length")), 50)
+    return binary.mesh_triage(spark, _packed(spark, sf_dir), 50).withColumn("path", _base("path"))
 
 
 def read_mesh_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = binary.decode_mesh(_packed(spark, sf_dir))
-    return out.select("model", "face_id", *[F.get("v", F.lit(i)).cast("long").alias(f"v{i}") for i in range(9)])
+    out = ranges.read_facets(spark, _packed(spark, sf_dir), split=1 << 12)  # many ranges a file, small as the files are
+    return out.select(_base("model").alias("model"), "face_id", *[F.get("v", F.lit(i)).cast("long").alias(f"v{i}") for i in range(9)])
 
 
 FIELDS = [("magic", "S4"), ("type", "<u4"), ("key", "<i8"), ("start", ("<f4", 3)), ("end", ("<f4", 3)), ("rest", "S32")]
 
 
 def read_fixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as runs of records of 72 bytes behind some junk, by customer."""
-    o = table(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("path"), "o_orderkey")
+    """Orders as runs of records of 72 bytes behind some junk, a file for each thousand keys."""
+    o = table(spark, sf_dir, "orders").select(F.floor(F.col("o_orderkey") / 1000).alias("batch"), "o_orderkey")
     kind = np.dtype([(n, *k) if isinstance(k, tuple) else (n, k) for n, k in FIELDS])
 
     def pack(f: pd.DataFrame) -> pd.DataFrame:
@@ -89,11 +122,12 @@ def read_fixed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = np.zeros(len(k), kind)
         rows["magic"], rows["type"], rows["key"] = b"MAGC", k % 9, k
         rows["start"] = k[:, None] % np.array([7, 11, 13])
-        return pd.DataFrame({"path": [f["path"].iloc[0]], "content": [b"x" * 5 + rows.tobytes() + b"tail"]})
+        return pd.DataFrame({"name": [f"{f['batch'].iloc[0]}.bin"], "content": [b"x" * 5 + rows.tobytes() + b"tail"]})
 
-    files = o.groupBy("path").applyInPandas(pack, "path string, content binary")
-    out = binary.decode_records(files, b"MAGC", FIELDS)
-    return out.select(F.col("path").cast("long").alias("customer"), "rec_no", "offset", "type", "key", *[F.get("start", F.lit(i)).cast("long").alias(f"s{i}") for i in range(3)])
+    path = _folder(spark, "records")
+    ranges.write_files(o.groupBy("batch").applyInPandas(pack, "name string, content binary"), path)
+    out = ranges.read_records(spark, path, b"MAGC", FIELDS, split=1 << 13)
+    return out.select(_base("path").cast("long").alias("batch"), "rec_no", "offset", "type", "key", *[F.get("start", F.lit(i)).cast("long").alias(f"s{i}") for i in range(3)])
 
 
 def halo(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -115,6 +149,29 @@ def surface_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return meshes.surface_deviation(f, v, f, raised, 2.0).select("model", "p_id", F.round("distance", 6).alias("distance"), "direction")
 
 
+def change_deviation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same squares over a wide plate of two triangles half below them, before and after the squares are raised."""
+    k = F.col("c_custkey")
+    at = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("model"), k.alias("k"), (k % 40 * 3).cast("double").alias("ox"), (F.floor(k / 40) % 40 * 3).cast("double").alias("oy"), (F.floor(k / 1600) * 30).cast("double").alias("oz"))
+    corner = lambda i: F.struct((F.col("k") * 4 + i).alias("v_id"), (F.col("ox") + i % 2).alias("x"), (F.col("oy") + i // 2).alias("y"), F.col("oz").alias("z"))
+    face = lambda n, *ids: F.struct((F.col("k") * 2 + n).alias("face_id"), F.array(*[F.col("k") * 4 + i for i in ids]).alias("v"))
+    v = at.select("model", F.explode(F.array(*[corner(i) for i in range(4)])).alias("p")).select("model", "p.*")
+    f = at.select("model", F.explode(F.array(face(0, 0, 1, 3), face(1, 0, 3, 2))).alias("f")).select("model", "f.*")
+    models, long = at.select("model").distinct(), lambda n: F.lit(n).cast("long")
+    plate = models.select("model", F.explode(F.array(*[F.struct(long(-1 - i).alias("v_id"), F.lit(-9.0 + i % 2 * 200).alias("x"), F.lit(-9.0 + i // 2 * 200).alias("y"), F.lit(-0.5).alias("z")) for i in range(4)])).alias("p")).select("model", "p.*")
+    sheet = models.select("model", F.explode(F.array(*[F.struct(long(-1 - n).alias("face_id"), F.array(*[long(-1 - i) for i in ids]).alias("v")) for n, ids in enumerate(((0, 1, 3), (0, 3, 2)))])).alias("f")).select("model", "f.*")
+    raised = v.withColumn("z", F.col("z") + (F.floor(F.col("v_id") / 4) % 4 + 1) / 4)
+    faces = f.unionByName(sheet)
+    out = meshes.change_deviation(faces, v.unionByName(plate), faces, raised.unionByName(plate))
+    return out.select("model", "p_id", F.round("distance", 6).alias("distance"), "kind")
+
+
+def defect_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edge defects of the customers' meshes, and of the same meshes without every seventh face."""
+    faces, _ = _mesh(spark, sf_dir)
+    return meshes.defect_pairs(faces, faces.where("face_id % 7 != 0"))
+
+
 def mime_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     heads = F.array(*[F.unhex(F.lit(h)) for h in ("89504E470D0A1A0A", "FFD8FFE0", "524946460000000057454250", "474946383961", "")])
     data = F.concat(F.element_at(heads, (F.col("doc_id") % 5 + 1).cast("int")), F.coalesce("text", F.lit("")).cast("binary"))
@@ -142,16 +199,16 @@ def append_once_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same stream appended twice, with a checkpoint each: every user stands once."""
     path = _folder(spark, "sink")
     for k in range(2):
-        jobs.append_once_sink(_stream(spark, sf_dir).select(F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("user_id")), path, ["user_id"], f"{path}.checkpoint-{k}").awaitTermination()
-    return spark.read.parquet(path).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+        jobs.versioned_sink(_stream(spark, sf_dir).select(F.when(F.col("user_id") % 10 != 0, F.col("user_id")).alias("user_id")), path, ["user_id"], f"{path}.checkpoint-{k}").awaitTermination()
+    return Snapshots(spark, path).read().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (read_json_records, read_file_inventory, rewrite_trimmed, mesh_triage, read_mesh_faces, read_fixed_records, halo, surface_deviation, mime_of, url_paths, screen_stream, append_once_sink)}
+QUERIES = {f.__name__: f for f in (read_json_records, read_file_inventory, rewrite_trimmed, table_history, append_reads, mesh_triage, read_mesh_faces, read_fixed_records, halo, surface_deviation, change_deviation, defect_pairs, mime_of, url_paths, screen_stream, append_once_sink)}
 
 _ALL = VCS + TSC + SLS
 _GIT = r"git(?:\s+(?:-C\s+\S+|-c\s+\S+|--git-dir=\S+))*\s+"
 _PACK = "SELECT 'n' || c_nationkey || '-' || (c_custkey // 2000) AS model, row_number() OVER (PARTITION BY c_nationkey, c_custkey // 2000 ORDER BY c_custkey) - 1 AS face_id, c_custkey AS k FROM customer"
-_NEAR = "SELECT p.vec_id FROM e p WHERE EXISTS (SELECT 1 FROM e s WHERE abs(s.w) >= {least} AND (s.x - p.x) ** 2 + (s.y - p.y) ** 2 + (s.z - p.z) ** 2 <= {r} * {r})"
+_NEAR = "SELECT p.vec_id FROM e p WHERE EXISTS (SELECT 1 FROM e s WHERE abs(s.w) > {least} AND (s.x - p.x) ** 2 + (s.y - p.y) ** 2 + (s.z - p.z) ** 2 <= {r} * {r})"
 ORACLE_SQL = {
     "read_json_records": "SELECT s_suppkey AS key, s_nationkey::BIGINT AS nation FROM supplier WHERE s_suppkey % 7 <> 3",
     "read_file_inventory": "SELECT s_nationkey::BIGINT AS nation, 'record' AS category, 3 AS depth, count(*) AS files, count(*) FILTER (s_suppkey % 7 = 3) AS malformed FROM supplier GROUP BY 1",
@@ -159,8 +216,16 @@ ORACLE_SQL = {
     "mesh_triage": f"SELECT model AS path, count(*) AS faces, count(*) > 50 AS large FROM ({_PACK}) GROUP BY 1",
     "read_mesh_faces": "SELECT model, face_id, " + ", ".join(f"k % {m} AS v{i}" for i, m in enumerate((7, 11, 5, 13, 3, 9, 17, 2, 6))) + f" FROM ({_PACK})",
     "read_fixed_records": """
-WITH o AS (SELECT o_custkey AS customer, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS rec_no, o_orderkey AS key FROM orders)
-SELECT customer, rec_no, 5 + 72 * rec_no AS "offset", key % 9 AS type, key, key % 7 AS s0, key % 11 AS s1, key % 13 AS s2 FROM o""",
+WITH o AS (SELECT o_orderkey // 1000 AS batch, row_number() OVER (PARTITION BY o_orderkey // 1000 ORDER BY o_orderkey) - 1 AS rec_no, o_orderkey AS key FROM orders)
+SELECT batch, rec_no, 5 + 72 * rec_no AS "offset", key % 9 AS type, key, key % 7 AS s0, key % 11 AS s1, key % 13 AS s2 FROM o""",
+    "table_history": """
+WITH f AS (SELECT user_id, event_type, min(event_id) AS event_id FROM events WHERE event_id % 3 = 0 GROUP BY ALL),
+g AS (SELECT * FROM f UNION ALL SELECT user_id, event_type, min(event_id) FROM events e WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.user_id = e.user_id AND f.event_type = e.event_type) GROUP BY ALL),
+v AS (SELECT 1 AS version, * FROM f UNION ALL SELECT 2, * FROM g UNION ALL SELECT 3, * FROM g WHERE event_type <> 'error')
+SELECT version, event_type, count(*) AS n, sum(event_id)::BIGINT AS events FROM v GROUP BY ALL""",
+    "append_reads": """
+WITH n AS (SELECT count(*) AS n FROM orders WHERE o_orderkey < (SELECT max(o_orderkey) // 3 + 1 FROM orders) AND o_orderkey % 20 = 0 AND o_orderkey > 0)
+SELECT (SELECT count(*) FROM orders) + n AS rows, n AS "new", n AS added, 0::BIGINT AS others_read FROM n""",
     "halo": f"""
 WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z, embedding[4]::DOUBLE AS w FROM embeddings),
 a AS ({_NEAR.format(least=0.1, r=0.2)}), b AS ({_NEAR.format(least=0.2, r=0.12)}), c AS ({_NEAR.format(least=0.4, r=0.072)}),
@@ -169,6 +234,13 @@ SELECT vec_id, 0.1::DOUBLE AS least, 0.2::DOUBLE AS r FROM a, k WHERE k = 0 UNIO
     "surface_deviation": """
 WITH s AS (SELECT c_nationkey AS model, c_custkey AS k, (c_custkey % 4 + 1) / 4.0 AS h FROM customer), d AS (SELECT unnest(['a to b', 'b to a']) AS direction)
 SELECT model, k * 4 + i AS p_id, round(h, 6)::DOUBLE AS distance, direction FROM s, range(4) r(i), d""",
+    "change_deviation": """
+WITH s AS (SELECT c_nationkey AS model, c_custkey AS k, (c_custkey % 4 + 1) / 4.0 AS h FROM customer), m AS (SELECT DISTINCT model FROM s)
+SELECT model, k * 4 + i AS p_id, CASE WHEN k < 1600 THEN least(h, 0.5) ELSE h END::DOUBLE AS distance, 'loss' AS kind FROM s, range(4) r(i) UNION ALL SELECT model, -1 - i, 0, 'loss' FROM m, range(4) r(i)
+UNION ALL SELECT model, k * 2 + i, h::DOUBLE, 'drift' FROM s, range(2) r(i) UNION ALL SELECT model, -1 - i, 0, 'drift' FROM m, range(2) r(i)""",
+    "defect_pairs": _MESH + """, u AS (SELECT model, a, b, count(*) AS n0, count(*) FILTER (face_id % 7 <> 0) AS n1 FROM e GROUP BY ALL)
+SELECT model, 'nonmanifold' AS defect, count(*) FILTER (n0 <> 2) AS before, count(*) FILTER (n1 NOT IN (0, 2)) AS after FROM u GROUP BY 1
+UNION ALL SELECT model, 'boundary', count(*) FILTER (n0 = 1), count(*) FILTER (n1 = 1) FROM u GROUP BY 1""",
     "mime_of": "SELECT doc_id, ['image/png', 'image/jpeg', 'image/webp', NULL, NULL][doc_id % 5 + 1] AS mime FROM documents",
     "url_paths": """
 SELECT event_id, '/' || event_type || '/' || CASE WHEN event_id % 3 = 2 THEN 'p' || event_id || '/' ELSE '' END AS page,

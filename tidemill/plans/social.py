@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.operators import meshes, posts
-from tidemill.sources.store import shared_folder, written
 from tidemill.sources import logs
+from tidemill.sources.snapshots import Snapshots
+from tidemill.sources.store import shared_folder, written
 from tidemill.sources.tables import table
 from tidemill.streaming import jobs
 
@@ -157,9 +158,10 @@ def read_state_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 def append_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Users of views, then of all events, appended by key: each user stands once."""
     e = table(spark, sf_dir, "events").select("user_id")
-    path = f"{shared_folder(spark)}/once-{uuid.uuid4().hex}"
-    logs.append_once(e.where("user_id % 3 = 0"), path, ["user_id"])
-    return logs.append_once(e, path, ["user_id"]).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    users = Snapshots(spark, f"{shared_folder(spark)}/once-{uuid.uuid4().hex}")
+    users.append_once(e.where("user_id % 3 = 0"), ["user_id"])
+    users.append_once(e, ["user_id"])
+    return users.read().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:

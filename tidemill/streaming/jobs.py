@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from tidemill.operators import screening
 from tidemill.sources.store import shared_folder
 from tidemill.sources.logs import append_once
+from tidemill.sources.snapshots import Snapshots
 
 
 def absent_partner_stream(starts: DataFrame, ons: DataFrame, key: str, before: int, after: int, lateness: int) -> DataFrame:
@@ -48,6 +49,11 @@ def append_once_sink(df: DataFrame, path: str, keys: list[str], checkpoint: str)
     return df.writeStream.foreachBatch(lambda batch, _: append_once(batch, path, keys) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def versioned_sink(df: DataFrame, path: str, keys: list[str], checkpoint: str):
+    """The same into a versioned table: several queries may append to it at once, and readers see whole batches."""
+    return df.writeStream.foreachBatch(lambda batch, _: Snapshots(batch.sparkSession, path).append_once(batch, keys) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def replay(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A table of the folder as a stream of its files."""
     path = f"{sf_dir}/{name}.parquet"
