@@ -173,6 +173,13 @@ def absent_partner_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.drained(jobs.absent_partner_stream(s.where("event_type = 'view'"), _stream(spark, sf_dir).where("event_type = 'click'"), "user_id", 30, 21600, 3600))
 
 
+def presence_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Views without a click around, told by timers."""
+    e = _stream(spark, sf_dir).select("user_id", "ts", "event_type")
+    with jobs.timers(spark):
+        return jobs.drained(jobs.presence_stream(e.where("event_type = 'view'"), e.where("event_type = 'click'"), "user_id", 30, 21600, 3600))
+
+
 def first_start_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The delay is longer than the table, so each user stands once; which event it is depends on arrival."""
     return jobs.drained(jobs.first_start_stream(_stream(spark, sf_dir).select("user_id", "ts"), ["user_id"], 90 * 86400)).select("user_id")
@@ -184,7 +191,7 @@ def daily_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("day").agg(*[F.max_by(c, "batch").alias(c) for c in ("starts", "ons", "offs")])
 
 
-QUERIES = {f.__name__: f for f in (flatten_posts, flatten_images, flatten_facets, flatten_videos, alt_text_coverage, quotes_of, write_outcome, validate_posts, resolve_refs, distinct_mentions, resolve_first, delete_plan, mesh_quality, mesh_measures, duplicate_faces, tolerance_check, within_radius, read_state_log, append_once, absent_partner_stream, first_start_stream, daily_states_stream)}
+QUERIES = {f.__name__: f for f in (flatten_posts, flatten_images, flatten_facets, flatten_videos, alt_text_coverage, quotes_of, write_outcome, validate_posts, resolve_refs, distinct_mentions, resolve_first, delete_plan, mesh_quality, mesh_measures, duplicate_faces, tolerance_check, within_radius, read_state_log, append_once, absent_partner_stream, presence_stream, first_start_stream, daily_states_stream)}
 
 _P = "SELECT *, conv_id || '/' || turn AS uri FROM conversations WHERE conv_id % 17 <> 5"
 _IMG = f"""SELECT uri, role AS handle, 0 AS pos, role AS alt, 'f/' || uri AS fullsize FROM ({_P}) WHERE turn % 3 = 0
@@ -251,6 +258,10 @@ FROM events WHERE event_id % 20 <> 1 AND event_id % 7 <> 0 AND (event_type IN ('
     "absent_partner_stream": """
 WITH w AS (SELECT min(m) AS wm FROM (SELECT max(ts) AS m FROM events WHERE event_type IN ('view', 'click') GROUP BY event_type))
 SELECT DISTINCT s.user_id, s.ts FROM events s, w WHERE s.event_type = 'view' AND s.ts + INTERVAL 25200 SECOND < wm
+AND NOT EXISTS (SELECT 1 FROM events o WHERE o.event_type = 'click' AND o.user_id = s.user_id AND o.ts BETWEEN s.ts - INTERVAL 30 SECOND AND s.ts + INTERVAL 21600 SECOND)""",
+    "presence_stream": """
+WITH w AS (SELECT epoch_us(max(ts)) // 1000 - 3600000 AS wm FROM events WHERE event_type IN ('view', 'click'))
+SELECT DISTINCT s.user_id, s.ts FROM events s, w WHERE s.event_type = 'view' AND (epoch_us(s.ts) + 21600000000) // 1000 + 1 <= wm
 AND NOT EXISTS (SELECT 1 FROM events o WHERE o.event_type = 'click' AND o.user_id = s.user_id AND o.ts BETWEEN s.ts - INTERVAL 30 SECOND AND s.ts + INTERVAL 21600 SECOND)""",
     "first_start_stream": "SELECT DISTINCT user_id FROM events",
     "daily_states_stream": "SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type = 'view') AS starts, count(*) FILTER (event_type = 'click') AS ons, count(*) FILTER (event_type = 'error') AS offs FROM events GROUP BY 1",

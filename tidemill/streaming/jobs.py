@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
 from tidemill.operators import screening
 from tidemill.sources.store import shared_folder
@@ -25,6 +30,84 @@ def absent_partner_stream(starts: DataFrame, ons: DataFrame, key: str, before: i
     return s.join(o, near, "leftOuter").where("okey is null").select(key, "ts")
 
 
+class Presence(StatefulProcessor):
+    """Starts of a key and a stretch of time, each told by a timer of its own unless an on came near it.
+
+    ``starts`` and ``ons`` are times in microseconds. A start's timer is due once the watermark has passed its range; rows that
+    come later than that are dropped before they get here, so what is told then holds. With its last start a stretch's
+    ons are let go of.
+    """
+
+    def __init__(self, before: int, after: int):
+        self.before, self.after = before * 1_000_000, after * 1_000_000
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.starts = handle.getMapState("starts", "at long", "open boolean")
+        self.ons = handle.getMapState("ons", "at long", "open boolean")
+
+    def due(self, at: int) -> int:
+        """Milliseconds, after every event of the start's range."""
+        return (at + self.after) // 1000 + 1
+
+    def told(self, key, at: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"key": pd.Series([key[0]] * len(at), dtype=object), "at": np.array(at, np.int64)})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        for f in rows:
+            for at in f.loc[f["is_start"], "at"].drop_duplicates().tolist():
+                if not self.starts.containsKey((at,)):
+                    self.starts.updateValue((at,), (True,))
+                    self.handle.registerTimer(self.due(at))
+            for at in f.loc[~f["is_start"], "at"].drop_duplicates().tolist():
+                self.ons.updateValue((at,), (True,))
+        yield self.told(key, [])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now, told, left = expiredTimerInfo.getExpiryTimeInMs(), [], 0
+        starts, ons = [k[0] for k in self.starts.keys()], np.array(sorted(k[0] for k in self.ons.keys()), np.int64)
+        for at in starts:
+            if self.due(at) > now:
+                left += 1
+                continue
+            self.starts.removeKey((at,))
+            i = np.searchsorted(ons, at - self.before)
+            if i == len(ons) or ons[i] > at + self.after:
+                told.append(at)
+        if not left:
+            self.ons.clear()
+        yield self.told(key, told)
+
+
+def presence_stream(starts: DataFrame, ons: DataFrame, key: str, before: int, after: int, lateness: int) -> DataFrame:
+    """The same rows as ``absent_partner_stream``, each told as soon as the watermark has passed its own range, by a timer.
+
+    Time is cut into stretches as wide as the range, and an on goes to each stretch that it may serve, so that a busy key is many
+    groups and no state outlives its stretch by more than the range. To be started within ``timers``.
+    """
+    width = max(1, (before + after) * 1_000_000)
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    s = starts.select(F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts"), micros.alias("at"), F.lit(True).alias("is_start")).withColumn("slot", F.floor(F.col("at") / width))
+    o = ons.select(F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts"), micros.alias("at"), F.lit(False).alias("is_start"))
+    o = o.withColumn("slot", F.explode(F.sequence(F.floor((F.col("at") - after * 1_000_000) / width), F.floor((F.col("at") + before * 1_000_000) / width))))
+    both = s.unionByName(o).where("key is not null and ts is not null").withWatermark("ts", f"{lateness} seconds")
+    kind = T.StructType([T.StructField("key", both.schema["key"].dataType), T.StructField("at", T.LongType())])
+    told = both.groupBy("key", "slot").transformWithStateInPandas(Presence(before, after), kind, "Append", "EventTime")
+    return told.select(F.col("key").alias(key), F.timestamp_micros("at").alias("ts"))
+
+
+@contextlib.contextmanager
+def timers(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started within have the state store that timers need."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, was)
+
+
 def first_start_stream(df: DataFrame, keys: list[str], lateness: int) -> DataFrame:
     """One row a key within the watermark's delay."""
     return df.withWatermark("ts", f"{lateness} seconds").dropDuplicatesWithinWatermark(keys)
