@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -72,8 +74,8 @@ def raw_image_refs(df: DataFrame, text: str) -> DataFrame:
     return df.withColumn("images", F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(IMAGE), F.lit(0))).withColumn("n_images", F.size("images"))
 
 
-def register_profile(posts: DataFrame, by: list[str], text: str, reply: Column, quote: Column) -> DataFrame:
-    """Shares and lengths of a group's posts; percentiles are exact."""
+def register_profile(posts: DataFrame, by: list[str], text: str, reply: Column, quote: Column, ranks: Callable = percentiles) -> DataFrame:
+    """Shares and lengths of a group's posts; percentiles are exact, or ``sketches.percentiles`` as ``ranks``."""
     size = F.char_length(text)
     has = lambda p: F.avg(F.col(text).rlike(p).cast("int"))
     rates = {"hashtag": STYLE["hashtag"], "mention": r"(?:^|\s)@\w", "emoji": STYLE["emoji"], "link": "https?://", "line_break": "\n", "em_dash": "—", "hyphen": " - "}
@@ -82,7 +84,7 @@ def register_profile(posts: DataFrame, by: list[str], text: str, reply: Column,
         F.count(F.lit(1)).alias("n"), F.avg(reply.cast("int")).alias("reply_share"), top.alias("quote_share"),
         *[has(p).alias(f"{k}_rate") for k, p in rates.items()],
     )
-    lengths = percentiles(posts.select(*by, size.alias("size@")), by, "size@", {"p25": 0.25, "p50": 0.5, "p90": 0.9})
+    lengths = ranks(posts.select(*by, size.alias("size@")), by, "size@", {"p25": 0.25, "p50": 0.5, "p90": 0.9})
     lengths = lengths.select(*[F.col(c).alias(f"{c}@") for c in by], "p25", "p50", "p90")
     on = F.lit(True)
     for c in by:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -74,15 +75,15 @@ def duplicate_faces(faces: DataFrame) -> DataFrame:
     return rows.withColumn("rn", F.row_number().over(W.partitionBy("model", "key").orderBy("face_id"))).where("rn > 1").select("model", "face_id")
 
 
-def tolerance_check(deviation: DataFrame, by: list[str], value: str, tol: float, slack: float = 1.1, defects: DataFrame | None = None, extents: DataFrame | None = None, sizes: tuple[float, float] = (10.0, 300.0)) -> DataFrame:
-    """A group's exact p99 and p999, the largest value, and a status.
+def tolerance_check(deviation: DataFrame, by: list[str], value: str, tol: float, slack: float = 1.1, defects: DataFrame | None = None, extents: DataFrame | None = None, sizes: tuple[float, float] = (10.0, 300.0), ranks: Callable = percentiles) -> DataFrame:
+    """A group's p99 and p999 (exact, or by ``sketches.percentiles`` as ``ranks``), the largest value, and a status.
 
     PASS where p99 is within ``slack`` times tol, p999 within twice that, and the group has no more defects than before, of
     any kind (``defects``: the group's columns, before, after, a row a kind); FAIL elsewhere, also without any value. A group whose greatest extent (``extents``: the group's
     columns, extent) lies outside ``sizes`` is SKIPPED: its scale can't be right.
     """
     rows = deviation.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    out = deviation.groupBy(*by).agg(F.max(value).alias("largest")).join(percentiles(rows, by, value, {"p99": 0.99, "p999": 0.999}), by, "left")
+    out = deviation.groupBy(*by).agg(F.max(value).alias("largest")).join(ranks(rows, by, value, {"p99": 0.99, "p999": 0.999}), by, "left")
     ok = (F.col("p99") <= tol * slack) & (F.col("p999") <= 2 * tol * slack)
     if defects is not None:
         out = out.join(defects.groupBy(*by).agg(F.bool_and(F.col("after") <= F.col("before")).alias("clean@")), by, "left")

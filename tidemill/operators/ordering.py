@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -92,19 +95,35 @@ def stride_gaps(df: DataFrame, by: str, offset: str, stride: int = 72) -> DataFr
     return parts.withColumn("gap", F.col(offset) - before).where(F.col("gap") != stride).drop("before@", "part@")
 
 
-def feed_page(posts: DataFrame, author: str, value, ts: str, id_: str, limit: int = 20, cursor: tuple | None = None, keep=None) -> DataFrame:
-    """A page of an author's posts, newest first; ``cursor`` is (ts, id) of the last row of the page before."""
+def feed_page(posts: DataFrame, author: str, value, ts: str, id_: str, limit: int = 20, cursor: tuple | str | None = None, keep=None) -> DataFrame:
+    """A page of an author's posts, newest first; ``cursor`` is that of the page before, or (ts, id) of its last row."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be from 1 to 100")
     out = posts.where(F.col(author) == value)
     if keep is not None:
         out = out.where(keep)
     if cursor:
-        at = F.lit(cursor[0]).cast(posts.schema[ts].dataType)
-        out = out.where((F.col(ts) < at) | ((F.col(ts) == at) & (F.col(id_) < cursor[1])))
+        last, key = cursor_row(cursor) if isinstance(cursor, str) else cursor
+        at, key = F.lit(last).cast(posts.schema[ts].dataType), F.lit(key).cast(posts.schema[id_].dataType)
+        out = out.where((F.col(ts) < at) | ((F.col(ts) == at) & (F.col(id_) < key)))
     return out.orderBy(F.desc(ts), F.desc(id_)).limit(limit)
 
 
+def next_cursor(page: DataFrame, ts: str, id_: str, limit: int) -> DataFrame:
+    """One row: the opaque ``cursor`` with which the page after goes on; null where this page has not its full number of rows."""
+    last = F.min_by(F.to_json(F.struct(F.col(ts).cast("string").alias("at"), F.col(id_).cast("string").alias("id")), {"ignoreNullFields": "false"}), F.struct(ts, id_))
+    return page.agg(F.when(F.count(F.lit(1)) >= limit, F.base64(F.encode(last, "UTF-8"))).alias("cursor"))
+
+
+def cursor_row(cursor: str) -> tuple[str, str]:
+    """The time and id that a cursor stands for, as text."""
+    try:
+        row = json.loads(base64.b64decode(cursor, validate=True))
+        return row["at"], row["id"]
+    except (ValueError, KeyError, TypeError) as e:
+        raise ValueError("not a cursor of a feed") from e
+
+
 def search_posts(posts: DataFrame, query: str, text: str, order: list[str], limit: int = 20) -> DataFrame:
     """Posts that hold every word of the query, whatever the case; newest first."""
     hit = F.lit(True)

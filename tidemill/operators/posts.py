@@ -12,8 +12,8 @@ from tidemill.functions.columns import facet_spans, graphemes, mime_of, post_uri
 def flatten_posts(df: DataFrame, json: str) -> dict[str, DataFrame]:
     """posts, images, videos, links, quotes and facets of nested post views in JSON; what can't be parsed contributes nothing.
 
-    Images and videos stand in the embed itself, in a record's media and in all embeds of quoted records, their media included; an image keeps its
-    alt text and has url = fullsize where both are texts. Facets keep their byte range, kind and whole target.
+    Images, videos and link cards stand in the embed itself, in a record's media and in all embeds of quoted records, their media included; an image keeps its
+    alt text and has url = fullsize where both are texts. A quote has the quoted post's author and text. Facets keep their byte range, kind and whole target.
     """
     rows = df.select(F.try_parse_json(json).alias("v")).where("v is not null")
     text = lambda path, kind="string": F.try_variant_get("v", f"$.{path}", kind)
@@ -27,7 +27,9 @@ def flatten_posts(df: DataFrame, json: str) -> dict[str, DataFrame]:
     )
     kind = "array<struct<alt: string, fullsize: string, thumb: string>>"
     part = lambda path, kind: F.from_json(F.to_json(F.try_variant_get("v", f"$.{path}", "variant")), kind)
-    view = f"struct<images: {kind}, playlist: string, thumbnail: string, alt: string, media: struct<images: {kind}, playlist: string, thumbnail: string, alt: string>>"
+    card = "struct<uri: string, title: string, description: string>"
+    plain = f"images: {kind}, playlist: string, thumbnail: string, alt: string, external: {card}"
+    view = f"struct<{plain}, media: struct<{plain}>>"
     outer = F.array(part("embed", view))
     quoted = [F.coalesce(part(f"embed.{p}.embeds", f"array<{view}>"), F.array().cast(f"array<{view}>")) for p in ("record", "record.record")]
     views = base.select("uri", F.filter(F.concat(outer, *quoted), lambda x: x.isNotNull()).alias("views"))
@@ -39,8 +41,10 @@ def flatten_posts(df: DataFrame, json: str) -> dict[str, DataFrame]:
     facets = base.select("uri", F.posexplode(part("record.facets", spans)).alias("facet", "f")).select("uri", "facet", F.col("f.index.byteStart").alias("byte_start"), F.col("f.index.byteEnd").alias("byte_end"), F.explode("f.features").alias("feature"))
     facets = facets.select("uri", "facet", "byte_start", "byte_end", F.substring_index(F.col("feature.$type"), "#", -1).alias("kind"), F.coalesce("feature.uri", "feature.did", "feature.tag").alias("target"))
     images = views.select("uri", F.posexplode(every).alias("pos", "image")).select("uri", "pos", "image.alt", "image.fullsize", F.when(F.col("image.alt").isNotNull(), F.col("image.fullsize")).alias("url"))
-    links = base.select("uri", text("embed.external.uri").alias("link"), text("embed.external.title").alias("title")).where("link is not null")
-    quotes = posts.where("quote_uri is not null").select("uri", "quote_uri")
+    cards = F.filter(F.flatten(F.transform("views", lambda x: F.array(x["external"], x["media"]["external"]))), lambda x: x["uri"].isNotNull())
+    links = views.select("uri", F.posexplode(cards).alias("pos", "card")).select("uri", "pos", F.col("card.uri").alias("link"), "card.title", "card.description")
+    of_quoted = lambda path: F.coalesce(text(f"embed.record.{path}"), text(f"embed.record.record.{path}"))
+    quotes = base.select("uri", of_quoted("uri").alias("quote_uri"), of_quoted("author.did").alias("quoted_did"), of_quoted("author.handle").alias("quoted_handle"), of_quoted("value.text").alias("quoted_text")).where("quote_uri is not null")
     return {"posts": posts, "images": images, "videos": videos, "links": links, "quotes": quotes, "facets": facets}
 
 

@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -37,12 +35,12 @@ WITHIN = ("-C", "-c", *GLUED, *(f"{name}=" for name in VALUED))
 
 
 def _option_width(token: str) -> int:
-    """How many tokens a global option takes; 0 if it isn't one."""
+    """The width of a token as an option, 0 for any other word."""
     return WIDTH.get(token) or int(any(len(token) > len(x) and token.startswith(x) for x in WITHIN))
 
 
 def subcommands(line: str) -> set[str]:
-    """Destructive subcommands that a line reaches from a token ending in ``git`` over global options only.
+    """Destructive subcommands that a line reaches from a token ending in ``git`` over global options only; what ``scanned`` is tested by.
 
     One pass from the left: a token is reached if the one before ends in ``git``, or if an option that was reached
     itself takes just the tokens between.
@@ -68,21 +66,41 @@ def subcommands(line: str) -> set[str]:
     return found
 
 
-def _scan(frames: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for s in frames:
-        yield s.map(lambda c: sorted(set().union(*(subcommands(x) for x in c.split("\n")))) if c and "git" in c else [])
+def _one_of(token: Column, words: list[str]) -> Column:
+    return token.isin(*sorted(words))
 
 
-def screen_vcs_commands(df: DataFrame, cmd_col: str) -> DataFrame:
-    """Adds rule and reason for destructive version-control commands; null where there is no objection.
+def scanned(cmd: Column) -> Column:
+    """The same as ``subcommands`` over all lines of a command, as one native expression: a struct of a flag a subcommand.
 
-    Modifiers are native expressions; only commands that name the tool reach the option scan in Python, by Arrow batch.
+    A fold over the tokens. Its state holds which of the next two tokens are reached, whether the last ended in ``git``,
+    and whether a reached ``checkout`` still waits for its ``--``; the end of a line takes all of that back.
     """
-    scan = F.pandas_udf(_scan, "array<string>")
+    tokens = F.flatten(F.transform(F.split(cmd, "\n", -1), lambda line: F.concat(F.filter(F.split(line, f"{SPACE}+", -1), lambda t: t != ""), F.array(F.lit("\n")))))
+    names = ("next", "second", "tool", "open", "checkout", "restore", "reset", "clean")
+    state = lambda *flags: F.struct(*[x.alias(n) for x, n in zip(flags, names, strict=True)])
+    no = F.lit(False)
+
+    def step(s: Column, t: Column) -> Column:
+        reached = s["next"] | s["tool"]
+        one = _one_of(t, [w for w, n in WIDTH.items() if n == 1])
+        two = _one_of(t, [w for w, n in WIDTH.items() if n == 2])
+        for x in WITHIN:
+            one = one | (t.startswith(x) & (F.length(t) > len(x)) & ~two)
+        begins = lambda name: s[name] | (reached & t.startswith(name) & t.rlike(f"^{name}{BOUNDARY}"))
+        found = s["checkout"] | (s["open"] & (t == "--"))
+        still = (s["open"] & ~t.rlike("[|&;]")) | (reached & (t == "checkout"))
+        on = state(s["second"] | (reached & one), reached & two, t.endswith("git"), still, found, *[begins(n) for n in names[5:]])
+        return F.when(t == "\n", state(no, no, no, no, *[s[n] for n in names[4:]])).otherwise(on)
+
+    return F.aggregate(tokens, state(*[no] * len(names)), step)
+
+
+def screen_vcs_commands(df: DataFrame, cmd_col: str) -> DataFrame:
+    """Adds rule and reason for destructive version-control commands; null where there is no objection. Native expressions only."""
     cmd = F.coalesce(norm_command(cmd_col), F.lit(""))
-    hits = F.when(cmd.contains("git") & cmd.rlike("checkout|restore|reset|clean"), scan(cmd)).otherwise(F.array().cast("array<string>"))
-    out = df.withColumn("hits@", hits)
-    has = lambda s: F.array_contains("hits@", s)
+    out = df.withColumn("hits@", F.when(cmd.contains("git") & cmd.rlike("checkout|restore|reset|clean"), scanned(cmd)))
+    has = lambda s: F.coalesce(F.col("hits@")[s], F.lit(False))
     words = F.split(cmd, SPACE)
     flag = lambda letter: F.exists(words, lambda w: w.rlike(f"^-[a-zA-Z]*{letter}[a-zA-Z]*\\z"))
     staged = cmd.rlike(rf"--staged{BOUNDARY}") & ~cmd.rlike(rf"--worktree{BOUNDARY}|-W{BOUNDARY}")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import ordering, presence
+from tidemill.operators import ordering, presence, sketches
 from tidemill.sources.tables import table
 
 AS_OF, BEFORE, AFTER, GRACE = "2024-02-01 00:00:00", 30, 21600, 120
@@ -78,11 +78,35 @@ def feed_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.feed_page(posts, "user_id", 7, "ts", "event_id", 20, ("2024-01-20 00:00:00", 1 << 40), F.col("event_type") != "error")
 
 
+def feed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three pages of a user's feed, each from the cursor that the one before returned."""
+    events, out, cursor = table(spark, sf_dir, "events").select("user_id", "ts", "event_id"), None, None
+    for k in range(3):
+        page = ordering.feed_page(events, "user_id", 7, "ts", "event_id", 10, cursor)
+        numbered = page.withColumn("page", F.lit(k))
+        out = numbered if out is None else out.unionByName(numbered)
+        cursor = ordering.next_cursor(page, "ts", "event_id", 10).first()["cursor"]
+        if cursor is None:
+            break
+    return out
+
+
+def day_quantiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values' quantiles over two weeks from daily sketches: how many values, and whether each quantile's true rank is near enough."""
+    e = table(spark, sf_dir, "events").select("event_type", "ts", "value")
+    two = sketches.over_days(sketches.daily_sketches(e, ["event_type"], "ts", "value"), ["event_type"], "2024-01-05", "2024-01-18")
+    q = sketches.quantiles(two, {"p50": 0.5, "p99": 0.99}).withColumnRenamed("event_type", "kind")
+    rows = e.where("value is not null and ts >= '2024-01-05' and ts < '2024-01-19'").join(q, F.col("event_type") == F.col("kind"))
+    share = lambda c: (F.avg((F.col("value") < F.col(c)).cast("int")), F.avg((F.col("value") <= F.col(c)).cast("int")))
+    near = [((share(c)[0] <= p + sketches.RANK_ERROR) & (share(c)[1] >= p - sketches.RANK_ERROR)).alias(f"{c}_near") for c, p in (("p50", 0.5), ("p99", 0.99))]
+    return rows.groupBy("event_type").agg(F.max("n").alias("n"), *near)
+
+
 def search_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.search_posts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "the with that", "text", ["doc_id"]).select("doc_id", "source")
 
 
-QUERIES = {f.__name__: f for f in (absent_partner, absent_partner_wildcard, daily_state_report, last_transition, first_occurrence, first_start_per_process, keep_newest_rows, keep_newest_bytes, thread_refs, split_on_marker, stride_gaps, feed_page, search_posts)}
+QUERIES = {f.__name__: f for f in (absent_partner, absent_partner_wildcard, daily_state_report, last_transition, first_occurrence, first_start_per_process, keep_newest_rows, keep_newest_bytes, thread_refs, split_on_marker, stride_gaps, feed_page, feed_pages, day_quantiles, search_posts)}
 
 _NEAR = f"o.ts BETWEEN s.ts - INTERVAL {BEFORE} SECOND AND s.ts + INTERVAL {AFTER} SECOND"
 _DUE = f"""SELECT DISTINCT s.user_id, s.ts FROM events s
@@ -126,5 +150,8 @@ SELECT user_id, ts, event_id, event_type, (sum(m) OVER w + 1 - first(m) OVER w):
 WITH d AS (SELECT DISTINCT l_suppkey, l_orderkey FROM lineitem), g AS (SELECT *, l_orderkey - lag(l_orderkey) OVER (PARTITION BY l_suppkey ORDER BY l_orderkey) AS gap FROM d)
 SELECT * FROM g WHERE gap <> 100""",
     "feed_page": "SELECT user_id, ts, event_id, event_type FROM events WHERE user_id = 7 AND event_type <> 'error' AND ts <= TIMESTAMP '2024-01-20 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 20",
+    "feed_pages": """
+WITH r AS (SELECT user_id, ts, event_id, (row_number() OVER (ORDER BY ts DESC, event_id DESC) - 1) // 10 AS page FROM events WHERE user_id = 7) SELECT user_id, ts, event_id, page::INTEGER AS page FROM r WHERE page < 3""",
+    "day_quantiles": "SELECT event_type, count(value) AS n, true AS p50_near, true AS p99_near FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-19' GROUP BY 1",
     "search_posts": "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'with') AND contains(lower(text), 'that') ORDER BY doc_id DESC LIMIT 20",
 }

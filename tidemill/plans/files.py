@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from tidemill.functions import columns as c
 from tidemill.operators import meshes
-from tidemill.plans.rules import SLS, TSC, VCS, _commands_sql
+from tidemill.plans import rules
+from tidemill.plans.rules import ENTRY, ROUTES, SLS, TSC, VCS, _commands_sql, calls_of
 from tidemill.plans.social import _MESH, _mesh, _stream
 from tidemill.sources import binary, logs, ranges
 from tidemill.sources.snapshots import Snapshots
@@ -195,6 +196,12 @@ def screen_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.drained(jobs.screen_stream(_stream(spark, sf_dir).select("event_id", text.alias("command")), "command")).select("event_id", "rule", "compiler", "deploy")
 
 
+def audit_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as calls, audited as they come."""
+    out = jobs.audit_stream(calls_of(_stream(spark, sf_dir)), ROUTES, ENTRY)
+    return jobs.drained(out.select("event_id", F.array_join("problems", "; ").alias("problems"), "decision"))
+
+
 def append_once_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same stream appended twice, with a checkpoint each: every user stands once."""
     path = _folder(spark, "sink")
@@ -203,7 +210,7 @@ def append_once_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Snapshots(spark, path).read().groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (read_json_records, read_file_inventory, rewrite_trimmed, table_history, append_reads, mesh_triage, read_mesh_faces, read_fixed_records, halo, surface_deviation, change_deviation, defect_pairs, mime_of, url_paths, screen_stream, append_once_sink)}
+QUERIES = {f.__name__: f for f in (read_json_records, read_file_inventory, rewrite_trimmed, table_history, append_reads, mesh_triage, read_mesh_faces, read_fixed_records, halo, surface_deviation, change_deviation, defect_pairs, mime_of, url_paths, screen_stream, audit_stream, append_once_sink)}
 
 _ALL = VCS + TSC + SLS
 _GIT = r"git(?:\s+(?:-C\s+\S+|-c\s+\S+|--git-dir=\S+))*\s+"
@@ -253,5 +260,6 @@ SELECT event_id, '/' || event_type || '/' || CASE WHEN event_id % 3 = 2 THEN 'p'
  CASE WHEN regexp_matches(command, '(^|[\s|;&])(npx|pnpm|yarn)?(tsc|tsrs)(\s|$)')
  AND regexp_matches(regexp_replace(' ' || regexp_replace(command, '^.*(tsc|tsrs)(\s|$)', ''), '\s(-p|--project)\s+\S+', ''), '\s[^-\s]\S*\.tsx?(\s|$)') THEN CASE WHEN contains(command, 'tsrs') THEN 'tsrs' ELSE 'tsc' END END AS compiler,
  regexp_matches(command, '(serverless|sls)\s+deploy') AS deploy FROM c""",
+    "audit_stream": rules.ORACLE_SQL["audit_calls"],
     "append_once_sink": "SELECT DISTINCT CASE WHEN user_id % 10 <> 0 THEN user_id END AS user_id, 1::BIGINT AS n FROM events",
 }

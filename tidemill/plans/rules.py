@@ -40,11 +40,14 @@ def screen_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.screen_report(screened, ["day", "user_id"], F.col("denied"))
 
 
-def audit_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+def calls_of(events: DataFrame) -> DataFrame:
     tool = F.when(F.col("event_id") % 3 == 0, "Agent").when(F.col("event_id") % 3 == 1, "Bash")
     effort, model = F.when(F.col("event_id") % 4 == 0, "high").when(F.col("event_id") % 4 == 1, ""), F.when(F.col("event_id") % 5 == 0, "m")
-    calls = table(spark, sf_dir, "events").select("event_id", tool.alias("tool_name"), (F.col("user_id") % 5).cast("string").alias("entrypoint"), F.struct(F.col("event_type").alias("subagent_type"), effort.alias("effort"), model.alias("model")).alias("tool_input"))
-    return screening.audit_calls(calls, ROUTES, ENTRY).select("event_id", F.array_join("problems", "; ").alias("problems"), "decision")
+    return events.select("event_id", tool.alias("tool_name"), (F.col("user_id") % 5).cast("string").alias("entrypoint"), F.struct(F.col("event_type").alias("subagent_type"), effort.alias("effort"), model.alias("model")).alias("tool_input"))
+
+
+def audit_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return screening.audit_calls(calls_of(table(spark, sf_dir, "events")), ROUTES, ENTRY).select("event_id", F.array_join("problems", "; ").alias("problems"), "decision")
 
 
 def allowlisted(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,11 +21,14 @@ def _views(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations").withColumn("uri", F.concat_ws("/", "conv_id", "turn"))
     image = lambda alt: F.struct(alt.alias("alt"), F.concat(F.lit("f/"), "uri").alias("fullsize"), F.lit("t").alias("thumb"))
     images = F.when(F.col("turn") % 3 == 0, F.array(image(F.col("role")), image(F.lit(None).cast("string"))))
-    media = F.when(F.col("turn") % 3 == 1, F.struct(F.array(image(F.lit("m"))).alias("images")))
-    inner = F.array(F.struct(F.lit("app.bsky.embed.external#view").alias("$type"), F.lit(None).cast("array<struct<alt:string,fullsize:string,thumb:string>>").alias("images")), F.struct(F.lit("app.bsky.embed.images#view").alias("$type"), F.array(image(F.lit("q"))).alias("images")))
-    record = F.when(F.col("turn") % 2 == 0, F.struct(F.concat_ws("/", F.col("conv_id") + 1, F.lit("0")).alias("uri"), F.when(F.col("turn") == 2, inner).alias("embeds")))
+    card = lambda turn, host: F.when(F.col("turn") == turn, F.struct(F.concat(F.lit(f"https://{host}.x/"), "uri").alias("uri"), F.col("role").alias("title"), F.lit("d").alias("description")))
+    media = F.when(F.col("turn") % 3 == 1, F.struct(F.array(image(F.lit("m"))).alias("images"), card(7, "m").alias("external")))
+    inner = F.array(F.struct(F.lit("app.bsky.embed.external#view").alias("$type"), F.lit(None).cast("array<struct<alt:string,fullsize:string,thumb:string>>").alias("images"), card(2, "q").alias("external")), F.struct(F.lit("app.bsky.embed.images#view").alias("$type"), F.array(image(F.lit("q"))).alias("images"), card(99, "").alias("external")))
+    said = lambda when: [F.when(when, F.concat_ws("/", F.col("conv_id") + 1, F.lit("0"))).alias("uri"), F.when(when, F.struct(F.concat(F.lit("did:"), (F.col("conv_id") + 1).cast("string")).alias("did"), F.concat(F.lit("q"), "role").alias("handle"))).alias("author"), F.when(when, F.struct(F.concat(F.lit("quoted "), "role").alias("text"))).alias("value")]
+    with_media = F.col("turn") == 6
+    record = F.when(F.col("turn") % 2 == 0, F.struct(*said(~with_media), F.when(F.col("turn") == 2, inner).alias("embeds"), F.when(with_media, F.struct(*said(with_media))).alias("record")))
     video = F.col("turn") == 5
-    embed = F.struct(F.when(video, "app.bsky.embed.video#view").alias("$type"), images.alias("images"), media.alias("media"), record.alias("record"), F.when(video, F.concat(F.lit("v/"), "uri")).alias("playlist"), F.when(video, F.col("role")).alias("alt"))
+    embed = F.struct(F.when(video, "app.bsky.embed.video#view").alias("$type"), images.alias("images"), media.alias("media"), record.alias("record"), card(4, "c").alias("external"), F.when(video, F.concat(F.lit("v/"), "uri")).alias("playlist"), F.when(video, F.col("role")).alias("alt"))
     reply = F.when(F.col("turn") > 0, F.struct(F.struct(F.concat_ws("/", "conv_id", F.col("turn") - 1).alias("uri")).alias("parent"), F.struct(F.concat_ws("/", "conv_id", F.lit("0")).alias("uri")).alias("root")))
     feature = F.struct(F.lit("app.bsky.richtext.facet#link").alias("$type"), F.concat(F.lit("https://e.x/"), "uri").alias("uri"))
     facets = F.array(F.struct(F.struct(F.lit(0).alias("byteStart"), F.octet_length("text").alias("byteEnd")).alias("index"), F.array(feature).alias("features")))
@@ -49,6 +52,14 @@ def flatten_videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     return posts.flatten_posts(_views(spark, sf_dir), "json")["videos"]
 
 
+def flatten_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posts.flatten_posts(_views(spark, sf_dir), "json")["links"]
+
+
+def flatten_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return posts.flatten_posts(_views(spark, sf_dir), "json")["quotes"]
+
+
 def alt_text_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     flat = posts.flatten_posts(_views(spark, sf_dir), "json")
     return posts.alt_text_coverage(flat["images"].join(flat["posts"].select("uri", "handle"), "uri"), ["handle"])
@@ -191,7 +202,7 @@ def daily_states_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.groupBy("day").agg(*[F.max_by(c, "batch").alias(c) for c in ("starts", "ons", "offs")])
 
 
-QUERIES = {f.__name__: f for f in (flatten_posts, flatten_images, flatten_facets, flatten_videos, alt_text_coverage, quotes_of, write_outcome, validate_posts, resolve_refs, distinct_mentions, resolve_first, delete_plan, mesh_quality, mesh_measures, duplicate_faces, tolerance_check, within_radius, read_state_log, append_once, absent_partner_stream, presence_stream, first_start_stream, daily_states_stream)}
+QUERIES = {f.__name__: f for f in (flatten_posts, flatten_images, flatten_facets, flatten_videos, flatten_links, flatten_quotes, alt_text_coverage, quotes_of, write_outcome, validate_posts, resolve_refs, distinct_mentions, resolve_first, delete_plan, mesh_quality, mesh_measures, duplicate_faces, tolerance_check, within_radius, read_state_log, append_once, absent_partner_stream, presence_stream, first_start_stream, daily_states_stream)}
 
 _P = "SELECT *, conv_id || '/' || turn AS uri FROM conversations WHERE conv_id % 17 <> 5"
 _IMG = f"""SELECT uri, role AS handle, 0 AS pos, role AS alt, 'f/' || uri AS fullsize FROM ({_P}) WHERE turn % 3 = 0
@@ -222,6 +233,8 @@ SELECT model, face_id FROM (SELECT g.model, g.face_id, row_number() OVER (PARTIT
     "flatten_images": f"SELECT uri, pos, alt, fullsize, CASE WHEN alt IS NOT NULL THEN fullsize END AS url FROM ({_IMG})",
     "flatten_facets": f"SELECT uri, 0 AS facet, 0::BIGINT AS byte_start, strlen(text)::BIGINT AS byte_end, 'link' AS kind, 'https://e.x/' || uri AS target FROM ({_P}) WHERE turn = 1",
     "flatten_videos": f"SELECT uri, 'v/' || uri AS playlist, NULL::VARCHAR AS thumbnail, role AS alt FROM ({_P}) WHERE turn = 5",
+    "flatten_links": f"SELECT uri, 0 AS pos, 'https://' || CASE turn WHEN 4 THEN 'c' WHEN 7 THEN 'm' ELSE 'q' END || '.x/' || uri AS link, role AS title, 'd' AS description FROM ({_P}) WHERE turn IN (2, 4, 7)",
+    "flatten_quotes": f"SELECT uri, (conv_id + 1) || '/0' AS quote_uri, 'did:' || (conv_id + 1) AS quoted_did, 'q' || role AS quoted_handle, 'quoted ' || role AS quoted_text FROM ({_P}) WHERE turn % 2 = 0",
     "alt_text_coverage": f"SELECT handle, count(*) AS images, count(*) FILTER (trim(coalesce(alt, '')) <> '') AS with_alt FROM ({_IMG}) GROUP BY 1",
     "quotes_of": f"""
 WITH p AS (SELECT uri, (conv_id + 1) || '/0' AS quote_uri, turn AS like_count FROM ({_P}) WHERE turn % 2 = 0)

@@ -127,6 +127,11 @@ def screen_stream(df: DataFrame, cmd_col: str) -> DataFrame:
     return screening.screen_deploys(out, cmd_col).withColumnRenamed("denied", "deploy")
 
 
+def audit_stream(df: DataFrame, routes: list[str], entrypoints: list[str]) -> DataFrame:
+    """Calls with their problems and decision, as they come. Stateless."""
+    return screening.audit_calls(df, routes, entrypoints)
+
+
 def append_once_sink(df: DataFrame, path: str, keys: list[str], checkpoint: str):
     """Start a query that appends each batch's new keys; a batch that is run again adds nothing."""
     return df.writeStream.foreachBatch(lambda batch, _: append_once(batch, path, keys) and None).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
