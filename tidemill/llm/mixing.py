@@ -18,9 +18,10 @@ is everything if there are no tokens; repeated rows are documents of their own;
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidemill.llm.store import materialise, table
 from tidemill.operators.ordering import earlier, in_parts
@@ -105,7 +106,18 @@ def _keyed(docs: DataFrame, seed: str) -> DataFrame:
     """``docs`` with key@, by which documents are ordered, and row@, which with it tells rows apart that differ anywhere."""
     text = F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), text).cast("binary"))
-    return docs.withColumns({"key@": key, "row@": F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"])})
+    return docs.withColumns({"key@": key, "row@": F.xxhash64(*[_plain(F.col(f"`{f.name}`"), f.dataType) for f in docs.schema.fields])})
+
+
+def _plain(c: Column, kind: T.DataType) -> Column:
+    """The same value without maps and variants, which have no hash: entries and JSON in their place."""
+    if isinstance(kind, T.MapType):
+        return F.transform(F.map_entries(c), lambda e: F.struct(_plain(e["key"], kind.keyType), _plain(e["value"], kind.valueType)))
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda e: _plain(e, kind.elementType))
+    if isinstance(kind, T.StructType):
+        return F.when(c.isNotNull(), F.struct(F.lit(0), *[_plain(c[f.name], f.dataType) for f in kind.fields]))
+    return F.to_json(c) if isinstance(kind, T.VariantType) else c
 
 
 def mix(docs: DataFrame, budget: int | None = None, entropy: float = ENTROPY, repeats: float = REPEATS, block_tokens: int = BLOCK_TOKENS, seed: str = SEED, marks: bool = True) -> DataFrame:
