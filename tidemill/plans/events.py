@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemill.operators import ordering, presence, sketches
+from tidemill.operators import ordering, presence, search, sketches
+from tidemill.sources.store import shared_folder
 from tidemill.sources.tables import table
 
 AS_OF, BEFORE, AFTER, GRACE = "2024-02-01 00:00:00", 30, 21600, 120
@@ -106,7 +109,23 @@ def search_posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordering.search_posts(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "the with that", "text", ["doc_id"]).select("doc_id", "source")
 
 
-QUERIES = {f.__name__: f for f in (absent_partner, absent_partner_wildcard, daily_state_report, last_transition, first_occurrence, first_start_per_process, keep_newest_rows, keep_newest_bytes, thread_refs, split_on_marker, stride_gaps, feed_page, feed_pages, day_quantiles, search_posts)}
+def _index(spark: SparkSession, sf_dir: str) -> search.Index:
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    search.build_index(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), "text", ["doc_id"], path, 8)
+    return search.Index(spark, path)
+
+
+def search_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search by an index of the documents."""
+    return _index(spark, sf_dir).search("The with that").select("doc_id", "source")
+
+
+def search_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest documents in which two words stand one after the other."""
+    return _index(spark, sf_dir).search("of the", 50, phrase=True).select("doc_id")
+
+
+QUERIES = {f.__name__: f for f in (absent_partner, absent_partner_wildcard, daily_state_report, last_transition, first_occurrence, first_start_per_process, keep_newest_rows, keep_newest_bytes, thread_refs, split_on_marker, stride_gaps, feed_page, feed_pages, day_quantiles, search_posts, search_index, search_phrase)}
 
 _NEAR = f"o.ts BETWEEN s.ts - INTERVAL {BEFORE} SECOND AND s.ts + INTERVAL {AFTER} SECOND"
 _DUE = f"""SELECT DISTINCT s.user_id, s.ts FROM events s
@@ -153,5 +172,7 @@ SELECT * FROM g WHERE gap <> 100""",
     "feed_pages": """
 WITH r AS (SELECT user_id, ts, event_id, (row_number() OVER (ORDER BY ts DESC, event_id DESC) - 1) // 10 AS page FROM events WHERE user_id = 7) SELECT user_id, ts, event_id, page::INTEGER AS page FROM r WHERE page < 3""",
     "day_quantiles": "SELECT event_type, count(value) AS n, true AS p50_near, true AS p99_near FROM events WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-19' GROUP BY 1",
+    "search_index": "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'with') AND contains(lower(text), 'that') ORDER BY doc_id DESC LIMIT 20",
+    "search_phrase": r"SELECT doc_id FROM documents WHERE regexp_matches(lower(text), '(^|[\x20\x09-\x0D])of[\x20\x09-\x0D]+the($|[\x20\x09-\x0D])') ORDER BY doc_id DESC LIMIT 50",
     "search_posts": "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'the') AND contains(lower(text), 'with') AND contains(lower(text), 'that') ORDER BY doc_id DESC LIMIT 20",
 }
