@@ -2,9 +2,10 @@
 
 import time
 
+import numpy as np
 import pytest
 
-from tidemill.llm import mixing, pages
+from tidemill.llm import decontam, mixing, pages
 
 
 def text(html):
@@ -46,3 +47,27 @@ def test_mixed_rows_that_differ_in_a_map_alone(spark):
     df = df.selectExpr("*", "struct(m as inner) as s", "parse_json(to_json(m)) as v")
     got = [(r["doc_id"], str(r["m"]), str(r["n"])) for r in mixing.mix(df, entropy=0, repeats=10.0, marks=False).select("doc_id", "m", "n").collect()]
     assert sorted(got) == sorted((r[0], str(r[3]), str(r[4])) for r in rows)
+
+
+@pytest.mark.parametrize("rank", [1, 12])
+def test_what_the_rank_leaves_out_loses_no_leak(spark, monkeypatch, rank):
+    """With spaces of few axes the bound of the rest lets the same leaks through as the full rank; with many spaces too."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet").where("doc_id < 400"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    found = lambda: {(r["doc_id"], r["item_id"]) for r in decontam.find_leaks(docs, bench).collect()}
+    full = found()
+    assert full
+    whole = decontam.latent_axes
+    monkeypatch.setattr(decontam, "latent_axes", lambda *a: whole(*a, rank=rank))
+    monkeypatch.setattr(decontam, "LOCAL", 30)
+    assert found() == full
+
+
+def test_a_space_holds_its_items(spark):
+    """At full rank next to nothing of an item lies outside its space, though the corpus' own directions are in it too."""
+    sf = "/root/testdata/sf0.01"
+    docs, bench = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/benchmark.parquet")
+    (some,) = decontam.spaces(docs, bench, decontam.REACH, decontam.LCS)
+    for s in some:
+        assert (s.rest <= 0.02 * s.size).all()
+        assert abs(s.axes.T @ s.axes - np.eye(s.axes.shape[1])).max() < 1e-3
