@@ -16,13 +16,14 @@ from tidemill.sources.store import written
 def first_matching_ancestor(edges: DataFrame, starts: DataFrame, match: Column, max_hops: int = 12) -> DataFrame:
     """(start, ancestor, hops): the first row of ``edges`` (id, parent_id, …) on the way up for which ``match`` holds.
 
-    The walk starts at the start's parent and ends at a missing row, a row that is its own parent, or the root 0.
+    The walk starts at the start's parent and ends at a missing row, a row that is its own parent, or the root 0. A row that very
+    many walks come by is dealt to several tasks. An id stands once in ``edges``.
     """
     rows = written(edges.select("id", "parent_id", F.coalesce(match, F.lit(False)).alias("match")), "edges")
     walk = starts.select(F.col("id").alias("start")).join(rows.select(F.col("id").alias("start"), F.col("parent_id").alias("at")), "start")
     walk, found = walk.where("at is not null and at != start and at != 0"), None
     for hop in range(1, max_hops + 1):
-        step = written(walk.join(rows, walk["at"] == rows["id"]).select("start", "id", "parent_id", "match"), "walk")
+        step = written(looked_up(walk, "at", rows.withColumnRenamed("id", "at")).where("match is not null").select("start", F.col("at").alias("id"), "parent_id", "match"), "walk")
         hit = step.where("match").select("start", F.col("id").alias("ancestor"), F.lit(hop).alias("hops"))
         found = hit if found is None else found.unionByName(hit)
         walk = step.where("not match and parent_id is not null and parent_id != id and parent_id != 0").select("start", F.col("parent_id").alias("at"))
@@ -58,13 +59,23 @@ def spread(rows: DataFrame, unique: DataFrame, key: str, most: int, how: str = "
     """
     parts = unique.withColumn("parts@", F.ceil(F.col("n@") / most)).drop("n@")
     hubs = parts.where("`parts@` > 1").select(key, "parts@")
-    h = F.xxhash64(*rows.columns)
+    h = F.xxhash64(*[F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and kind != "variant"])
     salt = F.when(F.col(key).isNull(), -1 - F.pmod(h, F.lit(1 << 20))).otherwise(F.pmod(h, F.coalesce("parts@", F.lit(1))))
     salted = rows.join(F.broadcast(hubs), key, "left").withColumn("salt@", salt).drop("parts@")
     copies = parts.withColumn("salt@", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts@") - 1))).drop("parts@")
     return salted.join(copies, [key, "salt@"], how).drop("salt@")
 
 
+#: Rows of one key in a task where counting all rows first is not worth it.
+HOT = 1_000_000
+
+
+def looked_up(rows: DataFrame, key: str, unique: DataFrame) -> DataFrame:
+    """``rows`` left-joined with ``unique``, one row a key, by ``spread``; how often each key is asked for is counted first."""
+    asked = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n@"))
+    return spread(rows, unique.join(asked, key), key, HOT, "left")
+
+
 def most_rows(rows: int) -> int:
     """Rows of one key in a task: few enough that it stays small, so many that at most 100,000 keys have more."""
     return max(1024, rows // 100_000)

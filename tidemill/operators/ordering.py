@@ -26,10 +26,13 @@ def in_parts(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return written(df.repartitionByRange(*[F.col(c) for c in by], *order).withColumn("part@", F.spark_partition_id()), "ranged")
 
 
-def earlier(parts: DataFrame, by: list[str], **values: tuple[str, Column]) -> DataFrame:
-    """Adds, for each (kind, aggregate of a part), that of the key's earlier parts: their sum, max, or last that isn't null."""
+def earlier(parts: DataFrame, by: list[str], backward: bool = False, **values: tuple[str, Column]) -> DataFrame:
+    """Adds, for each (kind, aggregate of a part), that of the key's earlier parts: their sum, max, or last that isn't null.
+
+    ``backward``: of its later parts, seen from the end.
+    """
     kinds = {"sum": F.sum, "max": F.max, "last": lambda c: F.last(c, True)}
-    w = W.partitionBy(*by).orderBy("part@").rowsBetween(W.unboundedPreceding, -1)  # as many rows as a key has parts
+    w = W.partitionBy(*by).orderBy(F.desc("part@") if backward else F.asc("part@")).rowsBetween(W.unboundedPreceding, -1)  # as many rows as a key has parts
     each = parts.groupBy(*by, "part@").agg(*[v.alias(k) for k, (_, v) in values.items()])
     each = each.select(*[F.col(c).alias(f"{c}@") for c in by], F.col("part@").alias("p@"), *[kinds[kind](k).over(w).alias(k) for k, (kind, _) in values.items()])
     on = F.col("part@") == F.col("p@")

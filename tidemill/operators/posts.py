@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import facet_spans, graphemes, mime_of, post_uri
+from tidemill.operators.graphs import looked_up
 
 
 def flatten_posts(df: DataFrame, json: str) -> dict[str, DataFrame]:
@@ -74,7 +75,7 @@ def resolve_refs(df: DataFrame, ref: str, handles: DataFrame) -> DataFrame:
     part = lambda i: F.regexp_extract(F.coalesce(at, F.lit("")), r"^at://([^/]+)/app\.bsky\.feed\.post/([^/?#]+)\z", i)
     out = df.withColumns({"actor@": F.nullif(F.coalesce(F.when(part(1).startswith("did:"), part(1)).otherwise(F.lower(part(1))), F.lit("")), F.lit("")), "key@": part(2)})
     known = handles.select(F.lower("handle").alias("actor@"), F.col("did").alias("did@")).dropDuplicates(["actor@"])
-    out = out.join(known, "actor@", "left")
+    out = looked_up(out, "actor@", known)  # a handle may be asked for very often
     did = F.when(F.col("actor@").startswith("did:"), F.col("actor@")).otherwise(F.col("did@"))
     error = F.when(F.col("actor@").isNull(), "not a post reference").when(did.isNull(), "unknown handle")
     return out.withColumn("uri", F.when(did.isNotNull(), F.concat(F.lit("at://"), did, F.lit("/app.bsky.feed.post/"), F.col("key@")))).withColumn("error", error).drop("actor@", "key@", "did@")
@@ -98,10 +99,10 @@ def mentions(posts: DataFrame, id_col: str, text: str) -> DataFrame:
 
 
 def distinct_mentions(posts: DataFrame, id_col: str, text: str, handles: DataFrame) -> DataFrame:
-    """(id, handle, did): each handle of the whole batch is looked up once."""
+    """(id, handle, did): each handle of the whole batch is looked up once, and one that very many posts name in several tasks."""
     each = mentions(posts, id_col, text)
-    found = each.select("handle").distinct().join(handles.select(F.lower("handle").alias("handle"), "did").dropDuplicates(["handle"]), "handle")
-    return each.join(found, "handle").select(id_col, "handle", "did")
+    known = handles.where("handle is not null").select(F.lower("handle").alias("handle"), "did", F.lit(True).alias("found@")).dropDuplicates(["handle"])
+    return looked_up(each, "handle", known).where("`found@`").select(id_col, "handle", "did")
 
 
 def resolve_first(df: DataFrame, candidates: DataFrame, keys: list[str], value: str, priority: str) -> DataFrame:

@@ -19,10 +19,12 @@ def retention_plan(inventory: DataFrame, sessions: DataFrame, policy: DataFrame,
     record isn't archived (null counts as not archived) protects its files where the category says so. Files of a
     category without policy, or without time, are kept.
     """
-    live = sessions.where(~F.col("is_archived").eqNullSafe(True)).select(F.col("session_id")).distinct().withColumn("live@", F.lit(True))
+    live = sessions.where(~F.col("is_archived").eqNullSafe(True)).select(F.col("session_id").cast("string").alias("key@")).distinct().withColumn("live@", F.lit(True))
     # one rule a category, whatever the policy repeats: the shortest term, and protection if any rule gives it
     rules = policy.groupBy("category").agg(F.min("days").alias("days"), F.max("protects").alias("protects"))
-    out = inventory.join(rules, "category", "left").join(live, "session_id", "left")
+    # files without a session are no session's: they go to all tasks, under keys that none has
+    spare = F.concat(F.lit("\0"), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c, kind in inventory.dtypes if "map<" not in kind and kind != "variant"]), F.lit(1 << 16)).cast("string"))
+    out = inventory.withColumn("key@", F.coalesce(F.col("session_id").cast("string"), spare)).join(rules, "category", "left").join(live, "key@", "left")
     due = F.coalesce(F.unix_seconds(as_of) - F.unix_seconds(F.col("mtime").cast("timestamp")) > F.col("days") * 86400, F.lit(False))
     safe = F.coalesce("protects", F.lit(False)) & F.coalesce("live@", F.lit(False))
     return out.withColumn("action", F.when(due & safe, "PROTECTED").when(due, "DELETE").otherwise("KEEP")).select(*inventory.columns, "action")

@@ -54,24 +54,27 @@ def dominated_by(df: DataFrame, group: list[str], id_col: str, score: str, cost:
 def nearest_peer(df: DataFrame, other: DataFrame, id_col: str, score: str, cost: str, by: list[str] | None = None) -> DataFrame:
     """Each row with the row of ``other`` nearest by score: peer, gap, pct_cost (its cost as a percentage).
 
-    Ties: smaller gap, then lower cost, then name. Both sides are sorted together, and the nearest below and above
-    carried along, so there is no cross join; the sort goes by ranges of scores, whose last peers are handed on, so that
-    neither a large group nor all rows (without ``by``) are one task.
+    Ties: smaller gap, then lower cost, then name. Each score of either side is sorted once, and the nearest peers below and above
+    are carried along, so there is no cross join; the sort goes by ranges of scores, whose last and first peers are handed on, so that
+    neither a large group nor all rows (without ``by``) are one task. Whole rows are joined with their score's peers at the end.
     """
     by = by or []
     best = other.where(F.col(score).isNotNull()).groupBy(*by, score).agg(F.min(F.struct(cost, id_col)).alias("p"))
     right = best.select(*by, F.col(score).alias("at"), F.lit(0).alias("side"), F.struct(F.col(score).alias("s"), F.col(f"p.{cost}").alias("c"), F.col(f"p.{id_col}").alias("n")).alias("peer"))
-    left = df.where(F.col(score).isNotNull()).select(*by, F.col(score).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.schema["peer"].dataType).alias("peer"), id_col, cost)
-    both = left.unionByName(right, allowMissingColumns=True)
-    for name, order, last in (("lo", [F.asc("at"), F.asc("side")], F.max_by), ("hi", [F.desc("at"), F.asc("side")], F.min_by)):
-        both = earlier(in_parts(both, by, order), by, **{"before@": ("last", last("peer", F.when(F.col("side") == 0, F.col("at"))))})
-        along = W.partitionBy(*by, "part@").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-        both = both.withColumn(name, F.coalesce(F.last("peer", True).over(along), "before@")).drop("before@", "part@")
-    both = both.where("side = 1")
+    left = df.where(F.col(score).isNotNull()).select(*by, F.col(score).alias("at"), F.lit(1).alias("side"), F.lit(None).cast(right.schema["peer"].dataType).alias("peer")).distinct()
+    both = in_parts(left.unionByName(right), by, [F.asc("at"), F.asc("side")])
+    here = F.when(F.col("side") == 0, F.col("at"))
+    both = earlier(earlier(both, by, **{"before@": ("last", F.max_by("peer", here))}), by, backward=True, **{"after@": ("last", F.min_by("peer", here))})
+    for name, order, far in (("lo", F.asc, "before@"), ("hi", F.desc, "after@")):
+        along = W.partitionBy(*by, "part@").orderBy(order("at"), "side").rowsBetween(W.unboundedPreceding, 0)
+        both = both.withColumn(name, F.coalesce(F.last("peer", True).over(along), far))
     choice = lambda p: F.struct(F.abs(F.col(f"{p}.s") - F.col("at")).alias("gap"), F.col(f"{p}.c").alias("c"), F.col(f"{p}.n").alias("n"))
     pick = F.when(F.col("lo").isNull(), choice("hi")).when(F.col("hi").isNull(), choice("lo")).otherwise(F.least(choice("lo"), choice("hi")))
-    out = both.where("at is not null").withColumn("best", pick)
-    return out.select(*by, id_col, F.col("best.n").alias("peer"), F.col("best.gap").alias("gap"), pct_of("best.c", cost).alias("pct_cost"))
+    peers = both.where("side = 1").select(*[F.col(c).alias(f"{c}@") for c in by], "at", pick.alias("best"))
+    on = F.col(score) == F.col("at")
+    for c in by:
+        on = on & F.col(c).eqNullSafe(F.col(f"{c}@"))
+    return df.join(peers, on).select(*by, id_col, F.col("best.n").alias("peer"), F.col("best.gap").alias("gap"), pct_of("best.c", cost).alias("pct_cost"))
 
 
 def assign_challenger(df: DataFrame, pairs: DataFrame, available: Column) -> DataFrame:

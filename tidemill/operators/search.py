@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from tidemill.operators.ordering import earlier, in_parts
 
 BLOCK, BUCKETS, FIRST, STEP = 4096, 64, 8, 8
+#: Places of a post that phrases are found at.
+MOST_PLACES = 1 << 26
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -83,11 +85,13 @@ class Index:
             here = mine.where(F.col("block").between(lo, lo + width - 1)).join(asked, ["token", "bucket"])
             if self.log is not None:
                 self.log.append(here.count())
-            item = F.flatten(F.transform(F.arrays_zip("numbers", "places"), lambda x: F.transform(x["places"], lambda p: F.struct(x["numbers"].alias("number"), (p - F.col("at")).alias("start"))))) if phrase else F.col("numbers")
+            # a phrase's words start at the same place; number and place are one long, as arrays of those are hashed
+            starts = F.flatten(F.transform(F.arrays_zip("numbers", "places"), lambda x: F.transform(F.filter(x["places"], lambda p: (p >= F.col("at")) & (p < MOST_PLACES)), lambda p: x["numbers"] * MOST_PLACES + p - F.col("at"))))
+            item = starts if phrase else F.col("numbers")
             lists = here.select("block", "at", item.alias("items")).groupBy("block", "at").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
             both = lists.groupBy("block").agg(F.array_sort(F.collect_list(F.struct(F.size("items").alias("n"), "items"))).alias("lists")).where(F.size("lists") == n)
             common = F.aggregate(F.slice("lists", 2, n), F.get("lists", F.lit(0))["items"], lambda a, x: F.array_intersect(a, x["items"]))
-            rows = both.select(F.explode(common).alias("item")).select((F.col("item.number") if phrase else F.col("item")).alias("number")).distinct()
+            rows = both.select(F.explode(common).alias("item")).select((F.shiftright("item", 26) if phrase else F.col("item")).alias("number")).distinct()
             found += [r["number"] for r in rows.orderBy("number").limit(limit - len(found)).collect()]
             lo, width = lo + width, width * STEP
         return found
