@@ -40,7 +40,7 @@ def odd_texts():
     return [None, "", " \n\t\x0b\x0c\r ", "a b", "ab", "a b", "A b", long, long.replace("  ", " "), long + "x", "日本 語𝒳é", "日本語𝒳é", "ab", "one two", "onetwo", "one  two", " ", "ab" * 9, "ba" * 9, "ab" * 8, "a" * 18]
 
 
-@pytest.mark.parametrize("size", [1, 2, 3, 7, naming.BLOCK])
+@pytest.mark.parametrize("size", [2, 7, naming.BLOCK])
 def test_copies_against_brute_force(spark, size):
     texts = odd_texts()
     if size < 7:
@@ -55,7 +55,7 @@ def test_copies_of_random_texts_over_two_letters(spark):
     rng = np.random.default_rng(0)
     rows = [(i, "".join(rng.choice(["a", "b", " "], int(rng.integers(0, 14))))) for i in range(600)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for size in (1, 2, 5):
+    for size in (1, 3):
         assert got_copies(df, size=size) == brute_copies(rows)
 
 
