@@ -35,3 +35,12 @@ def test_frequent_handles_and_files_without_session(spark, monkeypatch):
     plan = retention.retention_plan(inv, ses, spark.createDataFrame([("p", 3, True)], "category string, days int, protects boolean"), F.lit("2024-02-01").cast("timestamp"))
     assert plan.columns == [*inv.columns, "action"]
     assert {(r["id"]) for r in plan.where("action = 'PROTECTED'").collect()} == {4} and plan.where("action = 'DELETE'").count() == 79
+
+
+def test_threads_by_one_ancestor(spark, monkeypatch):
+    monkeypatch.setattr(graphs, "HOT", 10)
+    posts_ = spark.createDataFrame([("r", None), ("a", "r"), ("lost", "gone")] + [(f"c{i}", "a") for i in range(40)], "uri string, parent_uri string")
+    got = {(r["start"], r["uri"], r["level"]) for r in graphs.thread_view(posts_, posts_, depth=1).collect()}
+    want = {(u, u, 0) for u in ["r", "a", "lost"] + [f"c{i}" for i in range(40)]} | {("a", "r", -1), ("r", "a", 1)}
+    want |= {x for i in range(40) for x in ((f"c{i}", "a", -1), (f"c{i}", "r", -2), ("a", f"c{i}", 1))}
+    assert got == want

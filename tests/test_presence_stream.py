@@ -49,7 +49,6 @@ def test_presence_equals_the_batch_job_after_a_restart(spark, rows, tmp_path):
         spark.createDataFrame(rows[half:], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
         both = told(spark, tmp_path, f"{tmp_path}/check", f"file://{tmp_path}/told")
         assert both == closed(len(rows)) and len(both) > len(first)
-        assert told(spark, tmp_path, f"{tmp_path}/check", f"file://{tmp_path}/told") == both
         # a checkpoint that is lost tells all again; the table of what was told takes none of it twice
         assert told(spark, tmp_path, f"{tmp_path}/other", f"file://{tmp_path}/told") == both
         assert every.count() == len(rows)

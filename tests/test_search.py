@@ -36,7 +36,7 @@ def test_search_equals_the_scan(spark, index, query):
         assert [(r["id"], r["text"]) for r in search.Index(spark, path).search(query, limit).collect()] == want
 
 
-@pytest.mark.parametrize("query", ["of the", "the", "the of the", "rare rare", "é é", "the rare of"])
+@pytest.mark.parametrize("query", ["of the", "the of the", "rare rare", "é é"])
 def test_phrases(spark, index, rows, query):
     _, path = index
     pattern = re.compile(r"(?<![^ \t-\r])" + r"[ \t-\r]+".join(map(re.escape, query.split())) + r"(?![^ \t-\r])")

@@ -34,14 +34,17 @@ def first_matching_ancestor(edges: DataFrame, starts: DataFrame, match: Column,
 
 def thread_view(posts: DataFrame, starts: DataFrame, depth: int = 6, parent_height: int = 80) -> DataFrame:
     """(start, uri, level) of every start's ancestors (negative levels), itself (0) and descendants, within bounds."""
-    rows = written(posts.select("uri", "parent_uri"), "posts")
+    there = posts.select(F.col("uri").alias("parent_uri"), F.lit(True).alias("there"))
+    rows = looked_up(posts.select("uri", "parent_uri"), "parent_uri", there)  # a parent that is no post is none
+    rows = written(rows.select("uri", F.when(F.col("there"), F.col("parent_uri")).alias("parent_uri")), "posts")
     out = starts.select(F.col("uri").alias("start")).join(rows.select(F.col("uri").alias("start")), "start").select("start", F.col("start").alias("uri"), F.lit(0).alias("level"))
     seen = written(out, "thread")
     for direction, most in ((-1, parent_height), (1, depth)):
         front = out
         for k in range(1, most + 1):
             if direction < 0:
-                nxt = front.join(rows, "uri").select("start", F.col("parent_uri").alias("uri")).join(rows.select("uri"), "uri")
+                # many walks come by one ancestor
+                nxt = looked_up(front.select("start", "uri"), "uri", rows).where("parent_uri is not null").select("start", F.col("parent_uri").alias("uri"))
             else:
                 nxt = front.select("start", F.col("uri").alias("parent_uri")).join(rows, "parent_uri").select("start", "uri")
             front = written(nxt.distinct().join(seen, ["start", "uri"], "left_anti").select("start", "uri", F.lit(direction * k).alias("level")), "front")

@@ -60,14 +60,19 @@ def percentiles(df: DataFrame, by: list[str], value: str, shares: dict[str, floa
 
 
 def keep_newest_bytes(df: DataFrame, by: str, order: list[str], size: str, trigger: int, keep: int) -> DataFrame:
-    """Of a log over ``trigger`` bytes the newest whole rows within ``keep`` bytes; of others all rows."""
+    """Of a log over ``trigger`` bytes the newest whole rows within ``keep`` bytes; of others all rows.
+
+    Only order and size are sorted; they tell each log's oldest row that stays. Rows that are equal in ``order`` stay or go together.
+    """
     total = df.groupBy(F.col(by).alias("log")).agg(F.sum(size).alias("total"))
-    both = df.join(total, F.col(by).eqNullSafe(F.col("log"))).drop("log")
+    narrow = df.select(by, *order, F.col(size).alias("size@")).join(total.where(F.col("total") > trigger).select("log"), F.col(by).eqNullSafe(F.col("log"))).drop("log")
     newest = [F.desc(c) for c in order]
-    large = earlier(in_parts(both.where(F.col("total") > trigger).drop("total"), [by], newest), [by], before=("sum", F.sum(size)))
-    w = W.partitionBy(by, "part@").orderBy(*newest).rowsBetween(W.unboundedPreceding, 0)
-    kept = large.withColumn("run", F.coalesce("before", F.lit(0)) + F.sum(size).over(w)).where(F.col("run") <= keep)
-    return both.where(F.col("total") <= trigger).drop("total").unionByName(kept.drop("run", "before", "part@"))
+    parts = earlier(in_parts(narrow, [by], newest), [by], before=("sum", F.sum("size@")))
+    run = F.coalesce("before", F.lit(0)) + F.sum("size@").over(W.partitionBy(by, "part@").orderBy(*newest))  # with all that are equal
+    oldest = parts.withColumn("run", run).where(F.col("run") <= keep).groupBy(F.col(by).alias("log2")).agg(F.min(F.struct(*order)).alias("oldest"))
+    logs = total.join(oldest, F.col("log").eqNullSafe(F.col("log2")), "left").drop("log2")
+    both = df.join(logs, F.col(by).eqNullSafe(F.col("log")))
+    return both.where((F.coalesce("total", F.lit(0)) <= trigger) | (F.struct(*order) >= F.col("oldest"))).select(*df.columns)
 
 
 def thread_refs(df: DataFrame, thread: str, pos: str, id_: str, outer: str | None = None) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.operators.ordering import earlier, in_parts
+from tidemill.sources.store import written
 
 BLOCK, BUCKETS, FIRST, STEP = 4096, 64, 8, 8
 #: Places of a post that phrases are found at.
@@ -67,17 +68,14 @@ class Index:
             return self.posts.orderBy("number@").limit(limit).drop("number@")
         each = list(enumerate(words)) if phrase else list(enumerate(dict.fromkeys(words)))
         fits = F.filter(F.array(*[F.struct(F.lit(i).alias("at"), F.lit(w).alias("word")) for i, w in each]), lambda x: F.col("token") == x["word"] if phrase else F.contains(F.col("token"), x["word"]))
-        asked = self.tokens.select("token", "bucket", F.explode(F.transform(fits, lambda x: x["at"])).alias("at")).cache()
-        try:
-            found = self._found(asked, len(each), limit, phrase)
-        finally:
-            asked.unpersist()
+        asked = self.tokens.select("token", "bucket", F.explode(F.transform(fits, lambda x: x["at"])).alias("at"))
+        found = self._found(written(asked, "asked"), len(each), limit, phrase)
         return self.posts.where(F.col("number@").isin(found)).orderBy("number@").drop("number@")
 
     def _found(self, asked: DataFrame, n: int, limit: int, phrase: bool) -> list[int]:
-        if asked.select("at").distinct().count() < n:
+        words, buckets = asked.agg(F.count_distinct("at"), F.collect_set("bucket")).first()  # at most as many buckets as there are
+        if words < n:
             return []
-        buckets = [r["bucket"] for r in asked.select("bucket").distinct().collect()]  # at most as many as there are
         mine = self.postings.where(F.col("bucket").isin(buckets))
         last = self.posts.agg(F.max("number@")).first()[0] // BLOCK
         found, lo, width = [], 0, FIRST

@@ -127,7 +127,7 @@ def first_matching_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def thread_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select(F.concat_ws("/", "conv_id", "turn").alias("uri"), F.concat_ws("/", "conv_id", F.col("turn") - 1).alias("parent_uri"), "turn")
-    return graphs.thread_view(turns, turns.where("turn = 2"))
+    return graphs.thread_view(turns, turns)
 
 
 def connected_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -200,6 +200,6 @@ r(node, part) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM e GROUP BY a
 SELECT node, part FROM r""",
     "thread_view": """
 SELECT s.conv_id || '/' || s.turn AS start, t.conv_id || '/' || t.turn AS uri, (t.turn - s.turn)::INT AS level
-FROM conversations s JOIN conversations t ON s.conv_id = t.conv_id AND t.turn BETWEEN s.turn - 80 AND s.turn + 6 WHERE s.turn = 2
-AND NOT EXISTS (SELECT 1 FROM range(least(s.turn, t.turn), greatest(s.turn, t.turn)) g(k) WHERE NOT EXISTS (SELECT 1 FROM conversations u WHERE u.conv_id = s.conv_id AND u.turn = g.k))""",
+FROM conversations s JOIN conversations t ON s.conv_id = t.conv_id AND t.turn BETWEEN s.turn - 80 AND s.turn + 6
+WHERE NOT EXISTS (SELECT 1 FROM range(least(s.turn, t.turn), greatest(s.turn, t.turn)) g(k) WHERE NOT EXISTS (SELECT 1 FROM conversations u WHERE u.conv_id = s.conv_id AND u.turn = g.k))""",
 }

@@ -269,7 +269,7 @@ class Snapshots:
         near = index.where((F.col("low") <= high) & (F.col("high") >= low) & (F.coalesce(meets, F.lit(False)) | F.lit(nulls > 0) & (F.col("nulls") > 0)))
         if n > MOST_HASHES:
             return near.select("part", "file")
-        hashes = np.sort(np.array([r[0] for r in df.select(h).collect()], np.int64))
+        hashes = np.sort(df.select(h.alias("h")).toArrow()["h"].to_numpy())
         return near.select("part", "file", "low", "high", "bits", "bloom").mapInArrow(_maybe(self.spark.sparkContext.broadcast(hashes)), "part string, file string")
 
     def _lacking(self, batch: DataFrame, now: Version, parts: list[str]) -> tuple[DataFrame, int]:
