@@ -18,7 +18,7 @@ def corners(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     out = faces.where(F.size("v") == 3).select("model", "face_id", *[F.get("v", F.lit(i)).alias(f"v{i}") for i in range(3)])
     for i, n in enumerate("abc"):
         p = vertices.select("model", F.col("v_id").alias(f"v{i}"), *[F.col(c).alias(n + c) for c in "xyz"])
-        out = out.join(p, ["model", f"v{i}"])
+        out = out.join(p.hint("merge"), ["model", f"v{i}"])  # sizes guessed from Parquet are far too low for a broadcast
     return out
 
 
@@ -161,9 +161,9 @@ def surface_distance(points: DataFrame, triangles: DataFrame, size: float | None
     """Each point (model, p_id, x, y, z) with its distance to the nearest of its model's triangles (ax … cz).
 
     A triangle stands once, in the cell that holds its box's middle, on the level of its own size or, if that is finer, on
-    the level twice as wide as the round's radius. So whatever is within the radius has its middle in the two or three
-    cells along each axis around a point, on each level there is. A pair whose box is farther than the radius is dropped before
-    its distance is computed. Points with nothing within the radius look again within twice of it, until none is left.
+    the level twice as wide as the round's radius. Cells are twice as wide as their level, so whatever is within the radius has its
+    middle in the one or two cells along each axis around a point, on each level there is. A pair whose box is farther than the radius is dropped before
+    its distance is computed. Joins are by sorting: neither points nor triangles are ever broadcast, however small their files look. Points with nothing within the radius look again within twice of it, until none is left.
     The first radius is about ``size``, or half the side of the cells of the middle triangle. Points of models without
     triangles, or without finite coordinates, are left out.
     """
@@ -185,11 +185,11 @@ def surface_distance(points: DataFrame, triangles: DataFrame, size: float | None
         p = left.withColumn("level", F.explode(F.array(*[F.lit(k) for k in sorted({max(k, level) for k in levels})])))
         reach = r + F.pow(F.lit(2.0), F.col("level")) / 2
         for c in "xyz":
-            t = t.withColumn(f"g{c}", _at_level((F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2, F.col("level")))
-            p = p.withColumn(f"g{c}", F.explode(F.sequence(_at_level(F.col(c) - reach, F.col("level")), _at_level(F.col(c) + reach, F.col("level")))))
-        near = p.join(t, ["model", "level", "gx", "gy", "gz"]).where(_dot(outside, outside) <= r * r)
+            t = t.withColumn(f"g{c}", _at_level((F.col(f"lo_{c}") + F.col(f"hi_{c}")) / 2, F.col("level") + 1))
+            p = p.withColumn(f"g{c}", F.explode(F.sequence(_at_level(F.col(c) - reach, F.col("level") + 1), _at_level(F.col(c) + reach, F.col("level") + 1))))
+        near = p.join(t.hint("merge"), ["model", "level", "gx", "gy", "gz"]).where(_dot(outside, outside) <= r * r)
         near = near.groupBy("model", "p_id").agg(F.sqrt(F.min(d2)).alias("distance"))
-        found = written(left.join(near, ["model", "p_id"], "left"), "distances")
+        found = written(left.join(near.hint("merge"), ["model", "p_id"], "left"), "distances")
         sure = found.where(F.col("distance") <= r).select("model", "p_id", "distance")
         out = sure if out is None else out.unionByName(sure)
         left = found.where(F.col("distance").isNull() | (F.col("distance") > r)).drop("distance")
