@@ -1,9 +1,13 @@
 """What must not grow with the tables: broadcasts, tasks a file, groups a key, rows a shuffle."""
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from tidemill.operators import meshes
+from tidemill.streaming import jobs
 
 
 def plan(df):
@@ -50,3 +54,40 @@ def test_points_go_to_few_cells(spark, squares, monkeypatch):
     assert rows
     most = v.withColumn("level", F.lit(2)).select(*[F.max(F.size(x)).alias(f"n{i}") for i, x in enumerate(rows)]).first()
     assert max(most) <= 2
+
+
+class Calls:
+    """A state store that counts what it is asked."""
+
+    def __init__(self):
+        self.n, self.held, self.at = 0, [], []
+
+    def getListState(self, name, kind):
+        return self
+
+    getMapState = getValueState = lambda self, *a: self
+
+    def __getattr__(self, name):
+        def call(*args):
+            self.n += 1
+            if name in ("put", "clear"):
+                self.held = list(args[0]) if args else []
+            elif name == "appendList":
+                self.held += args[0]
+            elif name == "registerTimer":
+                self.at.append(args[0])
+            return {"exists": bool(self.held), "get": iter(self.held)}.get(name)
+
+        return call
+
+    def getCurrentWatermarkInMs(self):
+        return max(self.at)
+
+
+def test_presence_asks_the_state_store_by_groups_not_rows():
+    p, calls = jobs.Presence(1, 9, LongType()), Calls()
+    p.init(calls)
+    rows = pd.DataFrame({"key": np.arange(1000) % 500, "at": 20_000_000 + np.arange(1000), "is_start": np.arange(1000) < 700})
+    told = pd.concat([*p.handleInputRows((0, 2), iter([rows]), calls), *p.handleExpiredTimer((0, 2), calls, None)])
+    assert set(told["key"]) == set(range(200))
+    assert len(told) == 400 and calls.n < 12 and calls.held == []

@@ -31,68 +31,87 @@ def absent_partner_stream(starts: DataFrame, ons: DataFrame, key: str, before: i
 
 
 class Presence(StatefulProcessor):
-    """Starts of a key and a stretch of time, each told by a timer of its own unless an on came near it.
+    """Starts of a stretch of time and a share of the keys, each told once the watermark has passed its range unless an on came near it.
 
-    ``starts`` and ``ons`` are times in microseconds. A start's timer is due once the watermark has passed its range; rows that
-    come later than that are dropped before they get here, so what is told then holds. With its last start a stretch's
-    ons are let go of.
+    ``rows`` are the group's starts and ons (key, time in microseconds), added a batch at a time and gone through as arrays. A timer is
+    due with the earliest start's range, and tells whatever is due by then; rows that come later than that are dropped before they get
+    here, so what is told then holds. Ons are let go of with the last start, once the watermark has passed the stretch.
     """
 
-    def __init__(self, before: int, after: int):
-        self.before, self.after = before * 1_000_000, after * 1_000_000
+    def __init__(self, before: int, after: int, key: T.DataType):
+        self.before, self.after, self.width = before * 1_000_000, after * 1_000_000, _width(before, after)
+        self.kind = T.StructType([T.StructField("key", key), T.StructField("at", T.LongType()), T.StructField("is_start", T.BooleanType())])
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.starts = handle.getMapState("starts", "at long", "open boolean")
-        self.ons = handle.getMapState("ons", "at long", "open boolean")
+        self.rows = handle.getListState("rows", self.kind)
 
     def due(self, at: int) -> int:
         """Milliseconds, after every event of the start's range."""
         return (at + self.after) // 1000 + 1
 
-    def told(self, key, at: list[int]) -> pd.DataFrame:
-        return pd.DataFrame({"key": pd.Series([key[0]] * len(at), dtype=object), "at": np.array(at, np.int64)})
+    def over(self, key) -> int:
+        """Milliseconds, after every start of the stretch."""
+        return (int(key[1]) + 1) * self.width // 1000 + 1
+
+    def told(self, keys: list, at: list[int]) -> pd.DataFrame:
+        return pd.DataFrame({"key": pd.Series(keys, dtype=object), "at": np.array(at, np.int64)})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.rows.exists():
+            self.handle.registerTimer(self.over(key))
         for f in rows:
-            for at in f.loc[f["is_start"], "at"].drop_duplicates().tolist():
-                if not self.starts.containsKey((at,)):
-                    self.starts.updateValue((at,), (True,))
-                    self.handle.registerTimer(self.due(at))
-            for at in f.loc[~f["is_start"], "at"].drop_duplicates().tolist():
-                self.ons.updateValue((at,), (True,))
-        yield self.told(key, [])
+            f = f.drop_duplicates(["key", "at", "is_start"])
+            self.rows.appendList(list(zip(f["key"].tolist(), f["at"].tolist(), f["is_start"].tolist(), strict=True)))
+            starts = f.loc[f["is_start"], "at"]
+            if len(starts):
+                self.handle.registerTimer(self.due(int(starts.min())))
+        yield self.told([], [])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now, told, left = expiredTimerInfo.getExpiryTimeInMs(), [], 0
-        starts, ons = [k[0] for k in self.starts.keys()], np.array(sorted(k[0] for k in self.ons.keys()), np.int64)
-        for at in starts:
-            if self.due(at) > now:
-                left += 1
-                continue
-            self.starts.removeKey((at,))
-            i = np.searchsorted(ons, at - self.before)
-            if i == len(ons) or ons[i] > at + self.after:
-                told.append(at)
-        if not left:
-            self.ons.clear()
-        yield self.told(key, told)
-
-
-def presence_stream(starts: DataFrame, ons: DataFrame, key: str, before: int, after: int, lateness: int) -> DataFrame:
+        now = timerValues.getCurrentWatermarkInMs()
+        f = pd.DataFrame(list(self.rows.get()), columns=self.kind.names).drop_duplicates(ignore_index=True)
+        at, start = f["at"].to_numpy(np.int64), f["is_start"].to_numpy(bool)
+        due = start & (self.due(at) <= now)
+        # key and time as one number: a stretch's times lie within its width and the range on either side
+        first = int(key[1]) * self.width - self.before - self.after
+        place = pd.factorize(f["key"])[0].astype(np.int64) * (4 * self.width) + (at - first)
+        ons = np.append(np.sort(place[~start]), np.iinfo(np.int64).max)
+        alone = due.copy()
+        alone[due] = ons[np.searchsorted(ons, place[due] - self.before)] > place[due] + self.after
+        left = f[~due]
+        open_ = at[start & ~due]
+        if len(open_):
+            self.handle.registerTimer(self.due(int(open_.min())))
+        elif now >= self.over(key):
+            left = left[:0]
+        if not len(left):
+            self.rows.clear()
+        elif len(left) < len(f):
+            self.rows.put(list(zip(left["key"].tolist(), left["at"].tolist(), left["is_start"].tolist(), strict=True)))
+        yield self.told(f.loc[alone, "key"].tolist(), at[alone].tolist())
+
+
+def _width(before: int, after: int) -> int:
+    return max(1, (before + after) * 1_000_000)
+
+
+def presence_stream(starts: DataFrame, ons: DataFrame, key: str, before: int, after: int, lateness: int, shares: int = 32) -> DataFrame:
     """The same rows as ``absent_partner_stream``, each told as soon as the watermark has passed its own range, by a timer.
 
     Time is cut into stretches as wide as the range, and an on goes to each stretch that it may serve, so that a busy key is many
-    groups and no state outlives its stretch by more than the range. To be started within ``timers``.
+    groups and no state outlives its stretch by more than the range. Keys are dealt to ``shares`` by their hash, a group for each
+    share and stretch: calls to the state store grow with the time covered, not with keys or rows. To be started within ``timers``.
     """
-    width = max(1, (before + after) * 1_000_000)
+    width = _width(before, after)
     micros = F.unix_micros(F.col("ts").cast("timestamp"))
     s = starts.select(F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts"), micros.alias("at"), F.lit(True).alias("is_start")).withColumn("slot", F.floor(F.col("at") / width))
     o = ons.select(F.col(key).alias("key"), F.col("ts").cast("timestamp").alias("ts"), micros.alias("at"), F.lit(False).alias("is_start"))
     o = o.withColumn("slot", F.explode(F.sequence(F.floor((F.col("at") - after * 1_000_000) / width), F.floor((F.col("at") + before * 1_000_000) / width))))
     both = s.unionByName(o).where("key is not null and ts is not null").withWatermark("ts", f"{lateness} seconds")
     kind = T.StructType([T.StructField("key", both.schema["key"].dataType), T.StructField("at", T.LongType())])
-    told = both.groupBy("key", "slot").transformWithStateInPandas(Presence(before, after), kind, "Append", "EventTime")
+    groups = both.withColumn("share", F.pmod(F.xxhash64("key"), F.lit(shares)).cast("int")).groupBy("share", "slot")
+    told = groups.transformWithStateInPandas(Presence(before, after, both.schema["key"].dataType), kind, "Append", "EventTime")
     return told.select(F.col("key").alias(key), F.timestamp_micros("at").alias("ts"))
 
 
