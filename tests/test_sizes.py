@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidemill.operators import meshes
+from tidemill.sources import ranges
 from tidemill.streaming import jobs
 
 
@@ -91,3 +92,17 @@ def test_presence_asks_the_state_store_by_groups_not_rows():
     told = pd.concat([*p.handleInputRows((0, 2), iter([rows]), calls), *p.handleExpiredTimer((0, 2), calls, None)])
     assert set(told["key"]) == set(range(200))
     assert len(told) == 400 and calls.n < 12 and calls.held == []
+
+
+def test_small_files_are_few_tasks(spark, tmp_path):
+    for k in range(300):
+        (tmp_path / f"{k:03}.stl").write_bytes(b"\0" * 80 + (200).to_bytes(4, "little") + bytes(50 * 200))
+    got = ranges.read_facets(spark, str(tmp_path), "model string, face_id long", split=1 << 10)
+    assert got.count() == 300 * 200 == got.distinct().count()
+    assert got.rdd.getNumPartitions() <= 2 * 2 * spark.sparkContext.defaultParallelism
+
+
+def test_a_large_file_is_many_tasks(spark, tmp_path):
+    (tmp_path / "a.stl").write_bytes(b"\0" * 80 + (9_000_000).to_bytes(4, "little") + bytes(50 * 9_000_000))
+    got = ranges.read_facets(spark, str(tmp_path), "face_id long")
+    assert got.rdd.getNumPartitions() >= 7 and got.agg(F.count_distinct("face_id")).first()[0] == 9_000_000

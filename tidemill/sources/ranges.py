@@ -1,7 +1,8 @@
 """Binary files read by byte ranges: triangles and records as data sources whose tasks each take a part of a file.
 
-Ranges are planned from names and sizes alone and end where a row ends, so a file of any size is as many tasks as it has
-ranges, and a task holds one piece of a few MB at a time. Columns that the given schema leaves out are not decoded, and a
+Ranges are planned from names and sizes alone and end where a row ends, so a large file is many tasks, and a task holds one
+piece of a few MB at a time. A task takes ranges one after the other, of one file or of many, up to ``SPLIT`` bytes, of which each file
+counts for ``OPEN`` more: many small files are few tasks. Columns that the given schema leaves out are not decoded, and a
 schema of none of a record's fields reads places only. Folders are opened by Arrow's file systems (``file``, ``hdfs``, ``s3``, …).
 
 ``tidemill_facets``: binary triangle files. ``tidemill_places``: every place at which a record may begin, whatever its
@@ -25,9 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.types import StructType
 
+from tidemill.sources.store import written
+
 # Sizes of the binary triangle format.
 HEAD, FACET = 84, 50
-SPLIT, PIECE = 64 << 20, 4 << 20
+SPLIT, PIECE, OPEN = 64 << 20, 4 << 20, 1 << 18
 
 
 def opened(root: str) -> tuple[fs.FileSystem, str, str]:
@@ -51,25 +54,52 @@ def files(root: str, glob: str) -> list[tuple[str, int]]:
     return sorted((f.path, f.size) for f in found if f.type == fs.FileType.File and fnmatchcase(f.base_name, glob) and not f.base_name.startswith((".", "_")))
 
 
-class Range(InputPartition):
-    def __init__(self, path: str, size: int, lo: int, hi: int):
-        self.path, self.size, self.lo, self.hi = path, size, lo, hi
+class Range(NamedTuple):
+    path: str
+    size: int
+    lo: int
+    hi: int
+
+
+class Ranges(InputPartition):
+    """What one task reads: files, each from the beginning of a range to the end of the same one or a later."""
+
+    def __init__(self, spans: list[tuple[str, int, int, int]]):
+        self.spans = spans
 
 
 class RangeReader(DataSourceReader):
     def __init__(self, options: dict[str, str], schema: StructType):
         self.root, self.glob, self.split = options["path"], options.get("glob", "*"), int(options.get("split", SPLIT))
+        self.tasks = int(options.get("tasks", 1))  # so many at least, if there are as many ranges
         self.columns = schema.names
         self.types = {f.name: f.dataType.simpleString() for f in schema.fields}
 
     def partitions(self) -> list[InputPartition]:
-        return [Range(path, size, lo, hi) for path, size in files(self.root, self.glob) for lo, hi in self.cut(size)] or [Range("", 0, 0, 0)]
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
-        if part.path:
-            system, _, before = opened(self.root)
-            with system.open_input_file(part.path) as f:
-                yield from self.rows(f, part, before + part.path)
+        found = files(self.root, self.glob)
+        most = min(SPLIT, -(-sum(size + OPEN for _, size in found) // self.tasks))
+        out, held, spans = [], 0, []
+        for path, size in found:
+            for lo, hi in self.cut(size):
+                goes_on = bool(spans) and spans[-1][0] == path
+                cost = hi - lo + (0 if goes_on else OPEN)
+                if spans and held + cost > most:
+                    out.append(Ranges(spans))
+                    held, spans, goes_on, cost = 0, [], False, hi - lo + OPEN
+                if goes_on:
+                    spans[-1] = (*spans[-1][:3], hi)
+                else:
+                    spans.append((path, size, lo, hi))
+                held += cost
+        return [*out, Ranges(spans)]
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
+        system, _, before = opened(self.root)
+        for path, size, first, last in part.spans:
+            with system.open_input_file(path) as f:
+                for lo, hi in self.cut(size):
+                    if first <= lo < last:
+                        yield from self.rows(f, Range(path, size, lo, hi), before + path)
 
     def cut(self, size: int) -> list[tuple[int, int]]:
         return [(lo, min(size, lo + self.split)) for lo in range(0, size, self.split)]
@@ -210,10 +240,13 @@ class BlobWriter(DataSourceWriter):
 
     def write(self, rows) -> WriterCommitMessage:
         system, path, _ = opened(self.root)
+        last = None
         for r in rows:
             to = posixpath.join(path, r["name"])
             beside = posixpath.join(posixpath.dirname(to), f".{posixpath.basename(to)}-{uuid.uuid4().hex}")
-            system.create_dir(posixpath.dirname(to), recursive=True)
+            if posixpath.dirname(to) != last:
+                last = posixpath.dirname(to)
+                system.create_dir(last, recursive=True)
             with system.open_output_stream(beside) as f:
                 f.write(bytes(r["content"] or b""))
             system.move(beside, to)  # a task that runs again makes the same file again
@@ -238,9 +271,13 @@ def registered(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _tasks(spark: SparkSession) -> int:
+    return 2 * spark.sparkContext.defaultParallelism
+
+
 def read_facets(spark: SparkSession, root: str, columns: str = "model string, face_id long, v array<double>", glob: str = "*.stl", split: int = SPLIT) -> DataFrame:
     """Triangles of the binary triangle files below ``root``; ``columns`` may also name normal and attr."""
-    return registered(spark).read.format("tidemill_facets").schema(columns).option("glob", glob).option("split", split).load(root)
+    return registered(spark).read.format("tidemill_facets").schema(columns).options(glob=glob, split=split, tasks=_tasks(spark)).load(root)
 
 
 def read_records(spark: SparkSession, root: str, magic: bytes, fields: list[tuple[str, str | tuple[str, int]]], stride: int = 72, glob: str = "*", split: int = SPLIT) -> DataFrame:
@@ -250,13 +287,13 @@ def read_records(spark: SparkSession, root: str, magic: bytes, fields: list[tupl
     follow while each begins with it. Where they begin and end are aggregates over the places that tasks have found.
     """
     layout = Layout.of(magic, stride, fields)
-    reader = registered(spark).read.format("tidemill_places").options(magic=magic.hex(), stride=stride, fields=json.dumps(fields), glob=glob, split=split)
-    found = reader.schema("path string, offset long, leads_ boolean, whole_ boolean, goes_on_ boolean").load(root)
+    reader = registered(spark).read.format("tidemill_places").options(magic=magic.hex(), stride=stride, fields=json.dumps(fields), glob=glob, split=split, tasks=_tasks(spark))
+    found = written(reader.schema("path string, offset long, leads_ boolean, whole_ boolean, goes_on_ boolean").load(root), "places")
     start = found.where("leads_").groupBy("path").agg(F.min("offset").alias("first_"))
-    in_line = lambda df: df.join(start, "path").where(F.col("whole_") & (F.col("offset") >= F.col("first_")) & ((F.col("offset") - F.col("first_")) % stride == 0))
-    end = in_line(found).where("not goes_on_").groupBy(F.col("path").alias("in_")).agg(F.min("offset").alias("last_"))
-    rows = in_line(reader.schema(", ".join(["path string, offset long, whole_ boolean", *layout.ddl()])).load(root))
-    rows = rows.join(end, (F.col("path") == F.col("in_")) & (F.col("offset") <= F.col("last_")))
+    # a row a file: hashed, as paths are slow to sort by
+    in_line = lambda df, files: df.join(files.hint("shuffle_hash"), "path").where(F.col("whole_") & (F.col("offset") >= F.col("first_")) & ((F.col("offset") - F.col("first_")) % stride == 0))
+    bounds = in_line(found.where("not goes_on_"), start).groupBy("path").agg(F.first("first_").alias("first_"), F.min("offset").alias("last_"))
+    rows = in_line(reader.schema(", ".join(["path string, offset long, whole_ boolean", *layout.ddl()])).load(root), bounds).where("offset <= last_")
     return rows.select("path", F.floor((F.col("offset") - F.col("first_")) / stride).cast("long").alias("rec_no"), "offset", *layout.kind.names)
 
 
