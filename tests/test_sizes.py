@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from tidemill.operators import meshes
-from tidemill.sources import ranges
+from tidemill.sources import logs, ranges
 from tidemill.streaming import jobs
 
 
@@ -106,3 +106,24 @@ def test_a_large_file_is_many_tasks(spark, tmp_path):
     (tmp_path / "a.stl").write_bytes(b"\0" * 80 + (9_000_000).to_bytes(4, "little") + bytes(50 * 9_000_000))
     got = ranges.read_facets(spark, str(tmp_path), "face_id long")
     assert got.rdd.getNumPartitions() >= 7 and got.agg(F.count_distinct("face_id")).first()[0] == 9_000_000
+
+
+def test_files_are_listed_and_read_by_tasks(spark, tmp_path, monkeypatch):
+    """Folders far more than a listing job's threshold: neither listing nor reading goes through Spark's file index."""
+    for k in range(120):
+        (tmp_path / f"a{k % 3}" / f"b{k}").mkdir(parents=True)
+        (tmp_path / f"a{k % 3}" / f"b{k}" / "r.txt").write_text("{oops" if k % 7 == 3 else f'{{"key":\n {k}}}')
+    (tmp_path / "top.txt").write_text('{"key": -1}')
+    (tmp_path / "_hidden.txt").write_text('{"key": -2}')
+    (tmp_path / "a0" / "other.md").write_text("x")
+    plans, write = [], logs.written
+    monkeypatch.setattr(logs, "written", lambda df, name: plans.append(plan(df)) or write(df, name))
+    got = logs.read_json_records(spark, str(tmp_path), "key long", "*.txt")
+    assert sorted(r["key"] for r in got.collect()) == [-1, *[k for k in range(120) if k % 7 != 3]]
+    inventory = logs.read_file_inventory(spark, str(tmp_path), "*.txt").collect()
+    assert sorted({r["depth"] for r in inventory}) == [1, 3] and len(inventory) == 121
+    one = next(r for r in inventory if r["depth"] == 1)
+    seen = spark.read.format("binaryFile").load(f"{tmp_path}/top.txt").select("path", "modificationTime", "length").first()
+    assert (one["path"], one["mtime"], one["length"]) == tuple(seen)
+    assert len(plans) == 6 and all("MapInArrow" in p and "binaryFile" not in p for p in plans)
+    assert logs.read_file_inventory(spark, f"{tmp_path}/top.txt").select("name").first()[0] == "top.txt"

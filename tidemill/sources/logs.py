@@ -5,12 +5,17 @@ from __future__ import annotations
 import fnmatch
 import re
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemill.functions.columns import INSTANT, parse_instant
+from tidemill.sources import ranges
+from tidemill.sources.store import written
 
 STATES = ("start", "on", "off")
 
@@ -38,9 +43,64 @@ def read_state_log(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     return parse_state_log(spark.read.text(path))
 
 
-def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """A record a file; a malformed one contributes nothing and hides no other. Pretty-printed files are fine."""
-    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.from_json(F.when(F.try_parse_json("value").isNotNull(), F.col("value")), schema).alias("r"))
+def _children(tables: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What lies in each folder; names that begin with a dot or an underscore are none of it."""
+    kinds = pa.schema([("path", pa.string()), ("is_folder", pa.bool_()), ("modificationTime", pa.timestamp("us", "UTC")), ("length", pa.int64())])
+    for b in tables:
+        for folder in b["path"].to_pylist():
+            system, path, _ = ranges.opened(folder)
+            before = folder[: len(folder) - len(path)] if folder.endswith(path) else ""
+            itself = system.get_file_info(path)
+            found = [itself] if itself.type == fs.FileType.File else [f for f in system.get_file_info(fs.FileSelector(path)) if not f.base_name.startswith((".", "_"))]
+            for k in range(0, len(found), 10_000):
+                some = found[k : k + 10_000]
+                times = [(f.mtime_ns or 0) // 1_000_000 * 1000 for f in some]  # Hadoop's are of milliseconds
+                yield pa.RecordBatch.from_arrays([pa.array([before + f.path for f in some], pa.string()), pa.array([f.type == fs.FileType.Directory for f in some]), pa.array(times, pa.timestamp("us", "UTC")), pa.array([f.size or 0 for f in some], pa.int64())], schema=kinds)
+
+
+def files_below(spark: SparkSession, root: str, glob: str = "*") -> DataFrame:
+    """path, modificationTime, length of the files at any depth whose names match (as ``fnmatch`` has it): a round for each level, whose folders tasks list."""
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    home = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = home.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(home).toString()
+    level, out = spark.createDataFrame([(base,)], "path string"), None
+    while True:
+        listed = written(level.repartition(tasks, "path").mapInArrow(_children, "path string, is_folder boolean, modificationTime timestamp, length long"), "listed")
+        here = listed.where("not is_folder").drop("is_folder")
+        out = here if out is None else out.unionByName(here)
+        level = listed.where("is_folder").select("path")
+        if level.isEmpty():
+            return out.where(F.regexp_extract("path", "([^/]*)$", 1).rlike(f"^(?:{fnmatch.translate(glob)[:-2]})$"))
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Files' whole texts, some MB at a time."""
+    for b in batches:
+        paths, texts, held = [], [], 0
+        for path in b["path"].to_pylist():
+            system, at, _ = ranges.opened(path)
+            with system.open_input_stream(at) as f:
+                texts.append(f.read().decode("utf-8", "replace"))
+            paths.append(path)
+            held += len(texts[-1])
+            if held > 4 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["file", "value"])
+                paths, texts, held = [], [], 0
+        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(texts, pa.string())], ["file", "value"])
+
+
+def read_json_records(spark: SparkSession, path: str, schema: T.StructType | str, glob: str | None = None) -> DataFrame:
+    """A record a file; a malformed one contributes nothing and hides no other. Pretty-printed files are fine.
+
+    ``path`` is what Spark reads; with ``glob`` it is a folder of any number of files, at any depth, of which those whose names
+    match are listed and read by tasks.
+    """
+    if glob is None:
+        rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    else:
+        files = files_below(spark, path, glob).select("path").repartition(4 * spark.sparkContext.defaultParallelism, "path")
+        rows = files.mapInArrow(_contents, "file string, value string")
+    rows = rows.select("file", F.from_json(F.when(F.try_parse_json("value").isNotNull(), F.col("value")), schema).alias("r"))
     return rows.where("r is not null").select("file", "r.*")
 
 
@@ -50,7 +110,7 @@ def read_file_inventory(spark: SparkSession, root: str, glob: str = "*", rules:
     A rule (category, glob of names, least depth, greatest depth or None) holds for names that it matches that many folders
     below the root; the first that holds gives the category, null where none does. Depth 1 is a file in the root itself.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(root).select("path", "modificationTime", "length")
+    files = files_below(spark, root, glob)
     name = F.regexp_extract("path", "([^/]*)$", 1)
     home = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = home.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(home).toUri().getPath().rstrip("/")
