@@ -1,11 +1,12 @@
 """Rows that differ in maps alone, elements that HTML ends without a tag, and names of classes inside articles."""
 
 import time
+import tracemalloc
 
 import numpy as np
 import pytest
 
-from tidemill.llm import decontam, mixing, pages
+from tidemill.llm import decontam, mixing, pages, toxicity
 
 
 def text(html):
@@ -71,3 +72,15 @@ def test_a_space_holds_its_items(spark):
     for s in some:
         assert (s.rest <= 0.02 * s.size).all()
         assert abs(s.axes.T @ s.axes - np.eye(s.axes.shape[1])).max() < 1e-3
+
+
+def test_training_holds_no_matrix_of_all_texts_and_candidates():
+    """The driver's Python counts pairs by blocks of texts; 6,000 texts and 1,024 candidates were two matrices of 25 MB."""
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 3000, 40)).astype("<u4") for _ in range(6000)]
+    y = rng.integers(0, 2, 6000)
+    tracemalloc.start()
+    machine = toxicity.fit(y, sets, np.ones(6000), steps=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(machine.w) < 500 and peak < 45e6

@@ -34,6 +34,8 @@ from tidemill.llm.words import distinct, slices, words
 BITS, HEADS = 18, (4, 5)
 #: What a pair must tell beyond its parts, as a squared number of standard deviations: words of one passage come together too.
 BEYOND = 90.0
+#: Texts that are made a matrix at once where pairs are counted.
+AT_ONCE = 1024
 
 
 class Machine(NamedTuple):
@@ -75,9 +77,45 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_ro
     return texts(docs).join(few[0].unionByName(few[1]), "doc_id")
 
 
-def telling(y: np.ndarray, sets: list[np.ndarray], hit: np.ndarray, features: int) -> np.ndarray:
+class Sets(NamedTuple):
+    """Texts' places as one array, of which text i has flat[bounds[i]:bounds[i + 1]]: no object for each text."""
+
+    flat: np.ndarray
+    bounds: np.ndarray
+
+    @classmethod
+    def of(cls, rows: list[np.ndarray]) -> Sets:
+        return cls(np.concatenate([np.zeros(0, np.uint32), *rows]), np.cumsum([0, *map(len, rows)]))
+
+    def __len__(self) -> int:
+        return len(self.bounds) - 1
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return self.flat[self.bounds[i] : self.bounds[i + 1]]
+
+    def mapped(self, slot: np.ndarray) -> Sets:
+        """The slots of the places that have one."""
+        cut, out = [0], np.empty(int((slot >= 0)[self.flat].sum()), np.int32)
+        for i in range(len(self)):
+            f = slot[self[i]]
+            f = f[f >= 0]
+            out[cut[-1] : cut[-1] + len(f)] = f
+            cut.append(cut[-1] + len(f))
+        return Sets(out, np.array(cut))
+
+
+def _hits(sets: Sets, of: np.ndarray | None = None) -> np.ndarray:
+    """By place, how many texts (of those marked) have it."""
+    out = np.zeros(1 << BITS)
+    for i in range(len(sets)):
+        if of is None or of[i]:
+            out[sets[i]] += 1  # a text has a place once
+    return out
+
+
+def telling(y: np.ndarray, sets: Sets, hit: np.ndarray, features: int) -> np.ndarray:
     """The places whose presence alone tells the classes apart best, by the chi-squared statistic."""
-    pos = sum((_hits(s) for s in _some([s for s, v in zip(sets, y, strict=True) if v])), np.zeros(1 << BITS))
+    pos = _hits(sets, y > 0)
     n, p = len(y), y.sum()
     det = pos * (n - p - hit + pos) - (hit - pos) * (p - pos)
     chi = n * det**2 / np.maximum(1.0, hit * (n - hit) * 1.0 * p * (n - p))
@@ -86,15 +124,7 @@ def telling(y: np.ndarray, sets: list[np.ndarray], hit: np.ndarray, features: in
     return best[chi[best] > 0]
 
 
-def _some(sets: list[np.ndarray], at_once: int = 500) -> Iterator[list[np.ndarray]]:
-    return (sets[i : i + at_once] for i in range(0, len(sets), at_once))
-
-
-def _hits(sets: list[np.ndarray]) -> np.ndarray:
-    return np.bincount(np.concatenate(sets), minlength=1 << BITS)
-
-
-def sparse_machine(y: np.ndarray, rows: list[np.ndarray], size: int, weight: np.ndarray, factors: int, epochs: int = 5, batch: int = 128, rate: float = 0.1, decay: float = 0.02, seed: int = 7) -> np.ndarray:
+def sparse_machine(y: np.ndarray, rows: Sets, size: int, weight: np.ndarray, factors: int, epochs: int = 5, batch: int = 128, rate: float = 0.1, decay: float = 0.02, seed: int = 7) -> np.ndarray:
     """The pair vectors (size x factors) of a machine over sparse rows of features, fitted by AdaGrad on small batches."""
     rng, share, c = np.random.default_rng(seed), float((y * weight).sum() / weight.sum()), weight / weight.mean()
     b, w, v = np.log(share / (1 - share)), np.zeros(size), rng.normal(0, 0.05, (size, factors))
@@ -117,19 +147,22 @@ def sparse_machine(y: np.ndarray, rows: list[np.ndarray], size: int, weight: np.
     return v
 
 
-def pairing(y: np.ndarray, sets: list[np.ndarray], hit: np.ndarray, weight: np.ndarray, factors: int, least: int, candidates: int) -> np.ndarray:
+def pairing(y: np.ndarray, sets: Sets, hit: np.ndarray, weight: np.ndarray, factors: int, least: int, candidates: int) -> np.ndarray:
     """The places of pairs whose joint presence tells the classes apart, of those to which the sparse machine gives the largest pair parts."""
     kept = np.flatnonzero(hit >= least)
     slot = np.full(1 << BITS, -1, np.int32)
     slot[kept] = np.arange(len(kept))
-    rows = [f[f >= 0] for f in (slot[s] for s in sets)]
+    rows = sets.mapped(slot)
     v = sparse_machine(y, rows, len(kept), weight, factors)
     best = np.argsort(-(v**2).sum(1) * hit[kept], kind="stable")[:candidates]
     slot = np.full(len(kept), -1, np.int32)
     slot[best] = np.arange(len(best))
-    x = _presence([slot[f] for f in rows], len(best))
-    share = y.mean()
-    joint, apart = x.T @ x, x.T @ (x * (y - share).astype(np.float32)[:, None])
+    share, rows = y.mean(), rows.mapped(slot)
+    joint, apart = np.zeros((len(best), len(best)), np.float32), np.zeros((len(best), len(best)), np.float32)
+    for i in range(0, len(y), AT_ONCE):
+        x = _presence(rows, len(best), i, i + AT_ONCE)
+        joint += x.T @ x
+        apart += x.T @ (x * (y[i : i + AT_ONCE] - share).astype(np.float32)[:, None])
     # what the pair tells beyond its two parts: its difference less theirs, each by its own texts
     own = np.diag(apart) / np.maximum(1, np.diag(joint))
     beyond = apart - joint * (own[:, None] + own[None, :])
@@ -140,27 +173,30 @@ def pairing(y: np.ndarray, sets: list[np.ndarray], hit: np.ndarray, weight: np.n
     return kept[best[told]]
 
 
-def _presence(rows: list[np.ndarray], size: int) -> np.ndarray:
-    x = np.zeros((len(rows), size), np.float32)
-    for i, f in enumerate(rows):
-        x[i, f[f >= 0]] = 1
+def _presence(rows: Sets, size: int, first: int, last: int) -> np.ndarray:
+    """Which of the features texts first to last have, as a matrix."""
+    last = min(last, len(rows))
+    x = np.zeros((last - first, size), np.float32)
+    for i in range(first, last):
+        x[i - first, rows[i]] = 1
     return x
 
 
-def fit(y: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, features: int = 1024, factors: int = 4, steps: int = 300, l2: float = 5e-4, least: int = 3, seed: int = 7) -> Machine:
-    y = y.astype(np.float64)
+def fit(y: np.ndarray, sets: list[np.ndarray] | Sets, weight: np.ndarray, features: int = 1024, factors: int = 4, steps: int = 300, l2: float = 5e-4, least: int = 3, seed: int = 7) -> Machine:
+    y, sets = y.astype(np.float64), sets if isinstance(sets, Sets) else Sets.of(sets)
     slot = np.full(1 << BITS, -1, np.int32)
     share = float((y * weight).sum() / weight.sum()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
         share = min(max(share, 0.0), 1.0)
         return Machine(slot, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(0), np.zeros((0, factors)))
-    hit = sum((_hits(s) for s in _some(sets)), np.zeros(1 << BITS))
+    hit = _hits(sets)
     best = telling(y, sets, hit, features)
     if factors:
         best = np.union1d(best, pairing(y, sets, hit, weight, factors, least, features))
     best = np.sort(best).astype(int)
     slot[best] = np.arange(len(best))
-    x = _presence([slot[s] for s in sets], len(best))
+    x = _presence(sets.mapped(slot), len(best), 0, len(sets))
+    del sets
     rng = np.random.default_rng(seed)
     params = [np.full(1, np.log(share / (1 - share))), np.zeros(len(best)), rng.normal(0, 0.05, (len(best), factors))]
     m, s = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
@@ -180,15 +216,24 @@ def fit(y: np.ndarray, sets: list[np.ndarray], weight: np.ndarray, features: int
     return Machine(slot, float(params[0][0]), params[1], params[2])
 
 
+def joined(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """A column of places as one array, and each text's bounds in it."""
+    runs = [(data.view("<u4"), np.diff(offsets) // 4) for chunk in column.chunks for _, _, data, offsets in slices(chunk, 1 << 40)]
+    flat = np.concatenate([np.zeros(0, np.uint32), *[data for data, _ in runs]])
+    return flat, np.concatenate([[0], np.cumsum(np.concatenate([np.zeros(0, np.int64), *[n for _, n in runs]]))])
+
+
 def train(docs: DataFrame, labels: DataFrame, label: str, learn: Column, max_rows: int = 6000) -> Machine:
     """Fit on at most ``max_rows`` labelled rows a class for which ``learn`` (of doc_id) holds; classes count by their share of all labels."""
     counts = dict(labels.where(learn & F.col(label).isNotNull()).groupBy((F.col(label) == 1).cast("int").alias("y")).count().collect())
     got = sample(docs, labels, label, learn, max_rows).select("y", "text").mapInArrow(place_sets, "y int, places binary").toArrow()
     y = got["y"].to_numpy().astype(int)
-    sets = [np.frombuffer(p, "<u4") for p in got["places"].to_pylist()]
+    flat, bounds = joined(got["places"])
     del got
+    sets = Sets(flat, bounds)
     order = sorted(range(len(y)), key=lambda i: (y[i], len(sets[i]), zlib.crc32(sets[i])))  # the same machine however rows arrive
-    y, sets = y[order], [sets[i] for i in order]
+    y, sets = y[order], Sets.of([sets[i] for i in order])
+    del flat
     seen = np.bincount(y, minlength=2) if len(y) else np.ones(2)
     weight = np.array([counts.get(k, 0) / max(1, seen[k]) for k in (0, 1)])[y] if len(y) else np.zeros(0)
     return fit(y, sets, weight)
