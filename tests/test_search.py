@@ -57,3 +57,22 @@ def test_only_what_is_needed_is_read(spark, index):
     assert sum(log) < 0.15 * total
     plan = i.postings.where("bucket = 3")._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+
+
+def test_posts_are_shuffled_once_and_words_by_the_post(spark, rows, tmp_path, monkeypatch):
+    """The index's jobs exchange whole posts once, and no row for each time a word stands; a task that makes few words at once gives the same lists."""
+    monkeypatch.setattr(search, "WORDS", 50)
+    posts = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    ranged = search.ranged(posts, ["id"])
+    assert ranged._jdf.queryExecution().executedPlan().toString().count("Exchange rangepartitioning") == 1
+    search.build_index(posts, "text", ["id"], f"file://{tmp_path}/i")
+    index = search.Index(spark, f"file://{tmp_path}/i")
+    numbered = {r["number"]: r["id"] for r in index.posts.select(search.number(index.first).alias("number"), "id").collect()}
+    assert [numbered[n] for n in range(len(rows))] == sorted((i for i, _ in rows), reverse=True)
+    got = {(r["token"], numbered[n]): p for r in index.postings.collect() for n, p in zip(r["numbers"], r["places"], strict=True)}
+    want = {}
+    for i, t in rows:
+        for at, w in enumerate(x for x in re.split(r"[ \t-\r]+", (t or "").lower()) if x):
+            want.setdefault((w, i), []).append(at)
+    assert got == want
+    assert [r["id"] for r in index.search("the", 3).collect()] == [i for i, t in sorted(rows, reverse=True) if t and "the" in t.lower()][:3]
