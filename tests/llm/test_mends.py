@@ -84,3 +84,13 @@ def test_training_holds_no_matrix_of_all_texts_and_candidates():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert len(machine.w) < 500 and peak < 45e6
+
+
+def test_axes_come_from_all_passages(spark, sf, monkeypatch):
+    """The axes are fitted on every text of the table, not on some."""
+    docs, bench = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "benchmark"))
+    seen, whole = [], decontam.latent_axes
+    monkeypatch.setattr(decontam, "PASSAGES", 100)
+    monkeypatch.setattr(decontam, "latent_axes", lambda corpus, *a: seen.append(corpus.count()) or whole(corpus, *a))
+    list(decontam.spaces(docs, bench, decontam.REACH, decontam.LCS))
+    assert seen and set(seen) == {docs.count()}

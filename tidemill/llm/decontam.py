@@ -5,8 +5,8 @@
 2. The latent spaces: the vectors of the items (of items of more than ``WINDOW`` words, of their pieces: runs of ``STRIDE`` words,
    half overlapping, of which each lies whole in some window of a verbatim copy, and of which some piece keeps at least the share
    that the item does) are dealt to spaces of at most ``LOCAL``. Each space is a randomised singular value
-   decomposition, of rank ``RANK``, of TF-IDF passages over the terms of its items: those of a sample of about ``PASSAGES`` passages of the corpus (all of
-   texts whose hash falls into a share, stored once), and the items' own, which weigh ``BOOST`` times as much. Tasks multiply their passages
+   decomposition, of rank ``RANK``, of TF-IDF passages over the terms of its items: those of all passages of the corpus, and the items' own, which weigh ``BOOST`` times as much for
+   each ``PASSAGES`` passages (so that the items' share of a space doesn't fall as the corpus grows). Tasks multiply their passages
    by a random sign matrix and by their own transpose, and Spark adds the products up; the driver sees a row for each of the
    space's terms, and has the axes by the Nystrom formula. So a space keeps the rare terms that tell its items, in the corpus' own directions.
 3. Search: every window of every text (two cells of ``STRIDE`` words, half overlapping) is projected on each space. It is a candidate
@@ -169,10 +169,10 @@ def _add_products(sums: np.ndarray, omega: np.ndarray, row: np.ndarray, slot: np
     sums[slot[order][first]] += np.add.reduceat(z, first)
 
 
-def latent_axes(sample: DataFrame, idf, known: np.ndarray, row: np.ndarray, place: np.ndarray, v: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """known places x rank: the leading right singular vectors of the sample's passages and of the items' vectors (row, place, v)."""
+def latent_axes(corpus: DataFrame, idf, known: np.ndarray, row: np.ndarray, place: np.ndarray, v: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """known places x rank: the leading right singular vectors of the corpus' passages and of the items' vectors (row, place, v)."""
     n = min(rank + OVER, len(known))
-    got = add_blocks(sample.mapInArrow(_sketcher(idf, known, n), "block int, salt int, payload binary"), "latent")
+    got = add_blocks(corpus.mapInArrow(_sketcher(idf, known, n), "block int, salt int, payload binary"), "latent")
     sums = np.concatenate([got[k] for k in sorted(got)]).reshape(-1, n) if got else np.zeros((len(known), n))
     omega = signs(known, n)
     _add_products(sums, omega, row, np.searchsorted(known, place), BOOST * v)
@@ -227,7 +227,7 @@ def spaces(docs: DataFrame, bench: DataFrame, reach: float, lcs: float, least: i
     spark = docs.sparkSession
     idf, total = inverse_frequencies(docs)
     shared = spark.sparkContext.broadcast(idf)
-    sample = materialise(texts(docs).where(F.pmod(F.xxhash64("text"), F.lit(max(1, total // PASSAGES))) == 0).select("text"), "sample")
+    every, share = texts(docs).select("text"), max(1.0, total / PASSAGES) ** 0.5  # squares are added up
     for k in range(blocks):
         block = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
         items, made = [x for x in read_items(block) if len(x.words)], []
@@ -239,7 +239,7 @@ def spaces(docs: DataFrame, bench: DataFrame, reach: float, lcs: float, least: i
         for x in [x for x in items if len(x.words) >= least] + [None]:
             n = max(1, len(pieces(len(x.words)))) if x else 0
             if long and (x is None or held + n > LOCAL):
-                made.append(_space(sample, shared, idf, long, reach, lcs))
+                made.append(_space(every, share, shared, idf, long, reach, lcs))
                 long, held = [], 0
             if x:
                 long.append(x)
@@ -259,8 +259,8 @@ def _numbered(short: dict[tuple[int, ...], list[Item]]) -> dict[tuple[int, ...],
     return out
 
 
-def _space(sample: DataFrame, shared, idf: np.ndarray, items: list[Item], reach: float, lcs: float) -> Space:
-    """The latent space of some items, none of them short."""
+def _space(corpus: DataFrame, share: float, shared, idf: np.ndarray, items: list[Item], reach: float, lcs: float) -> Space:
+    """The latent space of some items, none of them short, whose vectors weigh ``share`` times ``BOOST``."""
     runs = [(i, x.words) for i, x in enumerate(items) if len(x.words) <= WINDOW]
     need = [reach * min(1.0, (WINDOW - STRIDE // 2) / len(x)) for _, x in runs]
     cut = [(i, x.words[p : p + STRIDE]) for i, x in enumerate(items) for p in pieces(len(x.words))]
@@ -273,7 +273,7 @@ def _space(sample: DataFrame, shared, idf: np.ndarray, items: list[Item], reach:
     own[slot] = terms
     own[np.bincount(slot, minlength=len(known)) > 1] = 0
     row, place, v = weights(np.concatenate([(x >> _SHIFT).astype(np.int64) for _, x in runs]), np.repeat(np.arange(len(runs)), [len(x) for _, x in runs]), idf)
-    axes = latent_axes(sample, shared, known, row, place, v)
+    axes = latent_axes(corpus, shared, known, row, place, share * v)
     latent = project(axes, np.searchsorted(known, place), v, row, len(runs))
     size = np.sqrt(np.bincount(row, v**2, len(runs)))
     rest = np.sqrt(np.maximum(0, size**2 - (latent.astype(float) ** 2).sum(1)))
