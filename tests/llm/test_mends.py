@@ -94,3 +94,26 @@ def test_axes_come_from_all_passages(spark, sf, monkeypatch):
     monkeypatch.setattr(decontam, "latent_axes", lambda corpus, *a: seen.append(corpus.count()) or whole(corpus, *a))
     list(decontam.spaces(docs, bench, decontam.REACH, decontam.LCS))
     assert seen and set(seen) == {docs.count()}
+
+
+def test_products_of_passages_take_no_arrays_of_terms_times_axes():
+    """The same sums as by whole dense matrices, and little memory beside them however many rows there are."""
+    rng = np.random.default_rng(8)
+    n, terms, axes = 20_000, 400, 272
+    key = np.unique(rng.integers(0, n, 200_000) * terms + (rng.random(200_000) ** 3 * terms).astype(int))
+    row, slot, x = key // terms, key % terms, rng.random(len(key))
+    omega, sums = decontam.signs(np.arange(terms), axes), np.zeros((terms, axes))
+    tracemalloc.start()
+    decontam._add_products(sums, omega, row, slot, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    dense = np.zeros((n, terms))
+    dense[row, slot] = x
+    assert np.allclose(sums, dense.T @ (dense @ omega))
+    assert peak < 32 << 20  # the terms' axes take 8 * len(key) * axes, over 300 MB
+    some = np.sort(rng.integers(0, len(key), 5000))
+    latent = decontam.project(omega.astype(np.float32), slot[some], x[some], row[some], n)
+    want = np.zeros((n, axes))
+    np.add.at(want, row[some], omega[slot[some]] * x[some][:, None])
+    assert latent.shape == want.shape and np.allclose(latent, want, atol=1e-4)
+    assert not decontam.project(omega.astype(np.float32), slot[:0], x[:0], row[:0], 3).any()

@@ -44,6 +44,8 @@ from tidemill.llm.store import texts as whole_texts
 from tidemill.llm.words import distinct, mix, slices, words
 
 BITS, WINDOW, STRIDE, RANK, OVER, LOCAL, ITEMS, BLOCKS = 18, 64, 32, 256, 16, 224, 1792, 64
+#: Rows that are multiplied at once: so few that the products are too small for OpenBLAS to start (and wait in) threads.
+TOGETHER = 8
 PASSAGES, BOOST, HEAVY = 20_000, 100.0, 0.8
 _PER_BLOCK = (1 << BITS) // BLOCKS
 _SHIFT = np.uint64(64 - BITS)
@@ -134,23 +136,30 @@ def weights(place: np.ndarray, row: np.ndarray, idf: np.ndarray) -> tuple[np.nda
     return key >> BITS, place, np.sqrt(count) * idf[place]
 
 
+def slots(known: np.ndarray) -> np.ndarray:
+    """By place its number among the known ones; -1 for others."""
+    out = np.full(1 << BITS, -1, np.int32)
+    out[known] = np.arange(len(known))
+    return out
+
+
 def _sketcher(idf, known: np.ndarray, n: int):
     """Sums over the task's passages of their transpose times themselves times the random matrix, a row for each known place."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        omega, sums = signs(known, n), None
+        omega, sums, slot = signs(known, n), None, slots(known)
         for b in batches:
-            for _, _, data, offsets in slices(b["text"], 1 << 14):
+            for _, _, data, offsets in slices(b["text"], 1 << 18):
                 passage, place, count = passages(data, offsets)
-                slot = np.minimum(np.searchsorted(known, place), len(known) - 1)
-                passage, place = passage[known[slot] == place], place[known[slot] == place]
+                there = slot[place] >= 0
+                passage, place = passage[there], place[there]
                 if not count or not len(place):
                     continue
                 row, place, x = weights(place, passage, idf.value)
                 sums = np.zeros((len(known), n)) if sums is None else sums
-                _add_products(sums, omega, row, np.searchsorted(known, place), x)
+                _add_products(sums, omega, row, slot[place], x)
         if sums is not None:
             salt, step = TaskContext.get().partitionId() % 64, max(1, -(-len(known) // BLOCKS))
             parts = [sums[k : k + step].ravel() for k in range(0, len(known), step)]
@@ -160,13 +169,19 @@ def _sketcher(idf, known: np.ndarray, n: int):
 
 
 def _add_products(sums: np.ndarray, omega: np.ndarray, row: np.ndarray, slot: np.ndarray, x: np.ndarray) -> None:
-    """Adds to ``sums`` the rows' transpose times themselves times ``omega``, for rows in ascending order."""
-    cut = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
-    y = np.add.reduceat(x[:, None] * omega[slot], cut)
-    order = np.argsort(slot, kind="stable")
-    z = (x[:, None] * np.repeat(y, np.diff([*cut, len(row)]), axis=0))[order]
-    first = np.flatnonzero(np.concatenate([[True], slot[order][1:] != slot[order][:-1]]))
-    sums[slot[order][first]] += np.add.reduceat(z, first)
+    """Adds to ``sums`` the rows' transpose times themselves times ``omega``, for rows in ascending order.
+
+    ``TOGETHER`` rows at a time are a small dense matrix over the terms they hold: no array of terms times axes is made.
+    """
+    first = np.flatnonzero(np.concatenate([[True], row[1:] != row[:-1]]))
+    of = np.repeat(np.arange(len(first)), np.diff([*first, len(row)]))
+    at, cuts = np.empty(len(sums), np.int64), [*first[::TOGETHER].tolist(), len(row)]
+    for k, (s, e) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
+        here = distinct(slot[s:e])
+        at[here] = np.arange(len(here))
+        some = np.zeros((of[e - 1] + 1 - k * TOGETHER, len(here)))
+        some[of[s:e] - k * TOGETHER, at[slot[s:e]]] = x[s:e]
+        sums[here] += some.T @ (some @ omega[here])
 
 
 def latent_axes(corpus: DataFrame, idf, known: np.ndarray, row: np.ndarray, place: np.ndarray, v: np.ndarray, rank: int = RANK) -> np.ndarray:
@@ -208,12 +223,14 @@ def pieces(n: int) -> list[int]:
 
 def project(axes: np.ndarray, slot: np.ndarray, weight: np.ndarray, row: np.ndarray, n: int) -> np.ndarray:
     """n latent vectors: the sums of their terms' axes, for rows in ascending order."""
-    out = np.zeros((n, axes.shape[1]), np.float32)
-    step = 1 << 11
-    for s in range(0, len(slot), step):
-        r = row[s : s + step]
-        cut = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-        out[r[cut]] += np.add.reduceat(axes[slot[s : s + step]] * weight[s : s + step, None].astype(np.float32), cut)
+    out, at = np.zeros((n, axes.shape[1]), np.float32), np.empty(len(axes), np.int64)
+    block = row // TOGETHER
+    cuts = [*np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])).tolist(), len(row)] if len(row) else []
+    for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+        here, begin = distinct(slot[s:e]), int(block[s]) * TOGETHER
+        at[here] = np.arange(len(here))
+        some = np.bincount((row[s:e] - begin) * len(here) + at[slot[s:e]], weight[s:e], TOGETHER * len(here)).astype(np.float32)
+        out[begin : begin + TOGETHER] = (some.reshape(TOGETHER, -1) @ axes[here])[: n - begin]
     return out
 
 
@@ -342,8 +359,8 @@ def leaks(each: list[Space], data: np.ndarray, offsets: np.ndarray, lcs: float,
         if s.short:
             _exact(s, w, found)
         else:
-            slot = np.minimum(np.searchsorted(s.known, place), len(s.known) - 1)
-            known = (s.known[slot] == place) & ((s.own[slot] == w.hash) | (s.own[slot] == 0))
+            slot = slots(s.known)[place]
+            known = (slot >= 0) & ((s.own[slot] == w.hash) | (s.own[slot] == 0))
             at = np.flatnonzero(known)
             latent_cells = project(s.axes, slot[at], weight[at], cell[at], n_cells)
             full, size = (s.need * s.size**2).astype(np.float32), (s.need * s.size).astype(np.float32)
