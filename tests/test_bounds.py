@@ -75,6 +75,27 @@ def test_components_of_contracted_edges(spark, monkeypatch, few):
     assert {r["node"]: r["root"] for r in graphs.components(names.where("a != b"), contract=True).collect()} == brute_components([(f"n{a}", f"n{b}") for a, b in edges[:100] if a != b])
 
 
+def test_the_task_that_ends_components_keeps_all_edges(spark):
+    """Over a million edges that no forest makes fewer, whose second half joins on to the first."""
+    n = 600_000
+    edges = spark.range(0, 2 * n, 1, 4).select(F.col("id").alias("a"), (F.col("id") + n).alias("b"))
+    got = graphs.connected_parts(edges)
+    assert got.agg(F.count("node"), F.sum((F.col("part") == F.col("node") % n).cast("long"))).first() == (3 * n, 3 * n)
+
+
+def test_components_by_rounds(spark, monkeypatch):
+    """A tangle, a hub, a path and a loop: ended by one task, by rounds alone, and with roots looked up by joins; each node once."""
+    rng = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 8000, (6000, 2))] + [(20_000, k) for k in range(100, 8000, 50)] + [(25_000, 25_000), (7, 7)]
+    edges += [(k, k + 1) for k in rng.permutation(np.arange(30_000, 30_200)).tolist()]
+    df, want = spark.createDataFrame(edges, "a long, b long").repartition(5), brute_components(edges)
+    for few, small in ((1 << 21, 200_000), (0, 200_000), (300, 0)):
+        monkeypatch.setattr(graphs, "FEW", few)
+        monkeypatch.setattr(graphs, "SMALL", small)
+        got = [(r["node"], r["part"]) for r in graphs.connected_parts(df).collect()]
+        assert len(got) == len(want) and dict(got) == want
+
+
 def test_forests():
     rng = np.random.default_rng(0)
     for n, m in ((1, 0), (50, 20), (50, 200), (3000, 3000)):
