@@ -45,6 +45,19 @@ def test_related_items_of_nothing(spark):
     assert content.related_items(df.limit(0), "item", "w", 3).count() == 0
 
 
+def test_tasks_of_related_items_grow_with_the_pairs(spark, monkeypatch):
+    """Tasks are as many as rows and pairs take, an item of very many pairs is parted, and the scores stay."""
+    monkeypatch.setattr(content, "ROWS", 100)
+    rng = np.random.default_rng(6)
+    rows = [(i, f"t{int(t)}", float(rng.integers(1, 9)), 0) for i in range(120) for t in rng.integers(0, 40, 4)]
+    df = spark.createDataFrame(rows, "item long, term string, w double, d int")
+    for whole in (1 << 20, 10):
+        monkeypatch.setattr(content, "WHOLE", whole)
+        got = content.related_items(df, "item", "w", 3)
+        assert got.rdd.getNumPartitions() > 4 or whole == 10
+        assert {(r["item"], r["related"], round(r["score"], 9), r["rank"]) for r in got.collect()} == brute_related(rows, 3, range(120))
+
+
 def brute_components(edges):
     root = {}
 

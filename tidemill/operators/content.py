@@ -132,18 +132,31 @@ def sync_diff(source: DataFrame, target: DataFrame, key: str, digest: str, delet
     return s.join(t, F.col("k") == F.col("k2"), "full_outer").select(F.coalesce("k", "k2").alias(key), action.alias("action"))
 
 
-def _shared(asking: DataFrame, there: DataFrame, item: str, newer: str | None) -> DataFrame:
+#: Rows or pairs of a task of ``related_items``, and the pairs of one item that a task may get whole.
+ROWS, WHOLE = 1 << 19, 1 << 20
+
+
+def _tasks(df: DataFrame, rows: int) -> int:
+    """As many tasks as keep each at about ``ROWS`` rows, at least the session's number."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows // ROWS))
+
+
+def _shared(asking: DataFrame, there: DataFrame, item: str, newer: str | None, rows: int) -> DataFrame:
     """(item, related, score): the weight that items of ``asking`` share with others in its terms, which hold their number ``df`` of items.
 
-    A term's items are dealt to parts of some thousand, each of which meets the items that ask for the term.
+    A term's items are dealt to parts of some thousand, each of which meets the items that ask for the term. Tasks are as many as the
+    ``rows`` of ``there`` and the pairs take, which are counted before; an item's pairs go to one task, unless they are too many.
     """
+    n, widest = asking.groupBy(item).agg(F.sum("df").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
+    tasks = _tasks(asking, rows + n)
     parts = asking.select("term", F.ceil(F.col("df") / 4096).alias("parts")).distinct()
-    has = there.join(parts, "term").withColumn("part", F.pmod(F.xxhash64(item), F.col("parts"))).select("term", "part", F.col(item).alias("related"), F.col("w").alias("w2"), *([F.col(newer).alias("date2")] if newer else []))
+    has = there.repartition(tasks, "term").join(parts, "term").withColumn("part", F.pmod(F.xxhash64(item), F.col("parts"))).select("term", "part", F.col(item).alias("related"), F.col("w").alias("w2"), *([F.col(newer).alias("date2")] if newer else []))
     asks = asking.join(parts, "term").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
-    pairs = asks.join(has, ["term", "part"]).where(F.col(item) != F.col("related"))
+    pairs = asks.repartition(tasks, "term", "part").join(has.repartition(tasks, "term", "part"), ["term", "part"]).where(F.col(item) != F.col("related"))
     if newer:
         pairs = pairs.where(F.col("date2") <= F.col(newer))
-    return pairs.groupBy(item, "related").agg(F.sum(F.least("w", "w2")).alias("score"))
+    pairs = pairs.select(item, "related", F.least("w", "w2").alias("score")).repartition(tasks, *([item] if widest <= WHOLE else [item, "related"]))
+    return pairs.groupBy(item, "related").agg(F.sum("score").alias("score"))
 
 
 def related_items(item_terms: DataFrame, item: str, weight: str, n: int, queries: DataFrame | None = None, threshold: float = 0.0, newer: str | None = None, first: int = 64, step: int = 8, log: list | None = None) -> DataFrame:
@@ -160,15 +173,16 @@ def related_items(item_terms: DataFrame, item: str, weight: str, n: int, queries
     """
     keep = [newer] if newer else []
     rows = item_terms.where(F.col(item).isNotNull() & F.col("term").isNotNull())
-    t = written(rows.groupBy(item, "term").agg(F.max(weight).alias("w"), *[F.max(c).alias(c) for c in keep]), "terms")
+    t = written(rows.repartition(_tasks(rows, rows.count()), item, "term").groupBy(item, "term").agg(F.max(weight).alias("w"), *[F.max(c).alias(c) for c in keep]), "terms")
     df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("most"), F.min("w").alias("least")).where("df > 1")
-    asking = t if queries is None else t.join(queries.select(item).distinct(), item, "left_semi")
+    n_rows = t.count()
+    asking = t if queries is None else t.repartition(_tasks(t, n_rows), item).join(queries.select(item).distinct(), item, "left_semi")
     asking = written(asking.join(df, "term"), "asking")
     top = asking.agg(F.coalesce(F.max("df"), F.lit(0))).first()[0]
     scores, out, done = None, [], 0
     while asking is not None:
         last, bound = first >= top, first
-        pairs = _shared(asking.where((F.col("df") > done) & (F.col("df") <= bound)), t, item, newer)
+        pairs = _shared(asking.where((F.col("df") > done) & (F.col("df") <= bound)), t, item, newer, n_rows)
         if scores is not None:
             pairs = scores.unionByName(pairs).groupBy(item, "related").agg(F.sum("score").alias("score"))
         if last:
