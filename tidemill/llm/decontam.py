@@ -29,6 +29,7 @@ letters and digits, lower-cased; other columns are ignored; an empty table gives
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -47,6 +48,8 @@ BITS, WINDOW, STRIDE, RANK, OVER, LOCAL, ITEMS, BLOCKS = 18, 64, 32, 256, 16, 22
 #: Rows that are multiplied at once: so few that the products are too small for OpenBLAS to start (and wait in) threads.
 TOGETHER = 8
 PASSAGES, BOOST, HEAVY = 20_000, 100.0, 0.8
+#: A task of the latent spaces sends an array of terms times axes, whatever it reads: it takes as many passages as this (some 50 MB), if all cores have tasks.
+SHARE, SALTS = 1 << 17, 16
 _PER_BLOCK = (1 << BITS) // BLOCKS
 _SHIFT = np.uint64(64 - BITS)
 
@@ -109,7 +112,7 @@ def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             key = distinct(passage << BITS | place)
             counts += np.bincount(key & ((1 << BITS) - 1), minlength=1 << BITS)
             n += more
-    salt = TaskContext.get().partitionId() % 64
+    salt = TaskContext.get().partitionId() % SALTS
     parts = [counts[k * _PER_BLOCK : (k + 1) * _PER_BLOCK] for k in range(BLOCKS)] + [np.array([float(n)])]
     if n:
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS + 1), pa.int32()), pa.array([salt] * (BLOCKS + 1), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["block", "salt", "payload"])
@@ -143,7 +146,7 @@ def slots(known: np.ndarray) -> np.ndarray:
     return out
 
 
-def _sketcher(idf, known: np.ndarray, n: int):
+def _sketcher(idf, known: np.ndarray, n: int, salts: int):
     """Sums over the task's passages of their transpose times themselves times the random matrix, a row for each known place."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,7 +164,7 @@ def _sketcher(idf, known: np.ndarray, n: int):
                 sums = np.zeros((len(known), n)) if sums is None else sums
                 _add_products(sums, omega, row, slot[place], x)
         if sums is not None:
-            salt, step = TaskContext.get().partitionId() % 64, max(1, -(-len(known) // BLOCKS))
+            salt, step = TaskContext.get().partitionId() % salts, max(1, -(-len(known) // BLOCKS))
             parts = [sums[k : k + step].ravel() for k in range(0, len(known), step)]
             yield pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([salt] * len(parts), pa.int32()), pa.array([zlib.compress(p.tobytes(), 1) for p in parts], pa.binary())], ["block", "salt", "payload"])
 
@@ -184,10 +187,10 @@ def _add_products(sums: np.ndarray, omega: np.ndarray, row: np.ndarray, slot: np
         sums[here] += some.T @ (some @ omega[here])
 
 
-def latent_axes(corpus: DataFrame, idf, known: np.ndarray, row: np.ndarray, place: np.ndarray, v: np.ndarray, rank: int = RANK) -> np.ndarray:
-    """known places x rank: the leading right singular vectors of the corpus' passages and of the items' vectors (row, place, v)."""
+def latent_axes(corpus: DataFrame, tasks: int, idf, known: np.ndarray, row: np.ndarray, place: np.ndarray, v: np.ndarray, rank: int = RANK) -> np.ndarray:
+    """known places x rank: the leading right singular vectors of the corpus' passages, read by so many tasks at most, and of the items' vectors (row, place, v)."""
     n = min(rank + OVER, len(known))
-    got = add_blocks(corpus.mapInArrow(_sketcher(idf, known, n), "block int, salt int, payload binary"), "latent")
+    got = add_blocks(corpus.coalesce(tasks).mapInArrow(_sketcher(idf, known, n, math.isqrt(tasks - 1) + 1), "block int, salt int, payload binary"), "latent")
     sums = np.concatenate([got[k] for k in sorted(got)]).reshape(-1, n) if got else np.zeros((len(known), n))
     omega = signs(known, n)
     _add_products(sums, omega, row, np.searchsorted(known, place), BOOST * v)
@@ -244,6 +247,7 @@ def spaces(docs: DataFrame, bench: DataFrame, reach: float, lcs: float, least: i
     spark = docs.sparkSession
     idf, total = inverse_frequencies(docs)
     shared = spark.sparkContext.broadcast(idf)
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-total // SHARE))
     every, share = texts(docs).select("text"), max(1.0, total / PASSAGES) ** 0.5  # squares are added up
     for k in range(blocks):
         block = bench if blocks == 1 else bench.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k)
@@ -256,7 +260,7 @@ def spaces(docs: DataFrame, bench: DataFrame, reach: float, lcs: float, least: i
         for x in [x for x in items if len(x.words) >= least] + [None]:
             n = max(1, len(pieces(len(x.words)))) if x else 0
             if long and (x is None or held + n > LOCAL):
-                made.append(_space(every, share, shared, idf, long, reach, lcs))
+                made.append(_space(every, tasks, share, shared, idf, long, reach, lcs))
                 long, held = [], 0
             if x:
                 long.append(x)
@@ -276,7 +280,7 @@ def _numbered(short: dict[tuple[int, ...], list[Item]]) -> dict[tuple[int, ...],
     return out
 
 
-def _space(corpus: DataFrame, share: float, shared, idf: np.ndarray, items: list[Item], reach: float, lcs: float) -> Space:
+def _space(corpus: DataFrame, tasks: int, share: float, shared, idf: np.ndarray, items: list[Item], reach: float, lcs: float) -> Space:
     """The latent space of some items, none of them short, whose vectors weigh ``share`` times ``BOOST``."""
     runs = [(i, x.words) for i, x in enumerate(items) if len(x.words) <= WINDOW]
     need = [reach * min(1.0, (WINDOW - STRIDE // 2) / len(x)) for _, x in runs]
@@ -290,7 +294,7 @@ def _space(corpus: DataFrame, share: float, shared, idf: np.ndarray, items: list
     own[slot] = terms
     own[np.bincount(slot, minlength=len(known)) > 1] = 0
     row, place, v = weights(np.concatenate([(x >> _SHIFT).astype(np.int64) for _, x in runs]), np.repeat(np.arange(len(runs)), [len(x) for _, x in runs]), idf)
-    axes = latent_axes(corpus, shared, known, row, place, share * v)
+    axes = latent_axes(corpus, tasks, shared, known, row, place, share * v)
     latent = project(axes, np.searchsorted(known, place), v, row, len(runs))
     size = np.sqrt(np.bincount(row, v**2, len(runs)))
     rest = np.sqrt(np.maximum(0, size**2 - (latent.astype(float) ** 2).sum(1)))

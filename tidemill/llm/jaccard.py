@@ -110,7 +110,7 @@ def runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def _pruner(need: list[int], most: int = 65_536):
+def _pruner(need: list[int], most: int = 16_384):
     def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "piece"):
             t = t.combine_chunks()

@@ -277,7 +277,7 @@ def clean(docs: DataFrame, machine: Machine, threshold: float = 0.3) -> DataFram
 
 
 def _all_scores(machine: Machine, column: pa.Array) -> np.ndarray:
-    return np.concatenate([np.zeros(0), *[scores(machine, data, offsets) for _, _, data, offsets in slices(column)]])
+    return np.concatenate([np.zeros(0), *[scores(machine, data, offsets) for _, _, data, offsets in slices(column, 1 << 18)]])
 
 
 def predict(docs: DataFrame, labels: DataFrame, learn: Callable[[], Column], threshold: float = 0.3) -> DataFrame:
