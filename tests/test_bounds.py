@@ -58,6 +58,34 @@ def test_tasks_of_related_items_grow_with_the_pairs(spark, monkeypatch):
         assert {(r["item"], r["related"], round(r["score"], 9), r["rank"]) for r in got.collect()} == brute_related(rows, 3, range(120))
 
 
+def test_related_items_asks_for_every_order(spark, sf):
+    """The registered query has rows for all orders that share a part with another one, whatever their key."""
+    from tidemill.plans.texts import related_items
+
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_quantity").collect()
+    rows = [(r["l_orderkey"], r["l_partkey"], r["l_quantity"], 0) for r in lines]
+    got = {(r["l_orderkey"], r["related"], round(r["score"], 9), r["rank"]) for r in related_items(spark, sf).collect()}
+    assert got == brute_related(rows, 3, {r[0] for r in rows})
+    assert any(q % 20 for q, *_ in got)
+
+
+@pytest.mark.parametrize("weights, ask, n", [(2, None, 1), (9, None, 3), (9, 7, 40)])
+def test_related_items_leaves_out_only_pairs_that_are_not_among_the_best(spark, weights, ask, n):
+    """Items of one to 300 terms, ties of weights, copies, terms that many or all have: as by brute force, of fewer pairs."""
+    rng = np.random.default_rng(weights)
+    rows = [(i, f"t{int(t)}", float(rng.integers(0, weights)), 0) for i in range(300) for t in rng.integers(0, 150, rng.integers(1, 7))]
+    rows += [(i, "all", 1.0, 0) for i in range(0, 300, 2)] + [(i, "only", float(i % 3), 0) for i in range(300, 330)]
+    rows += [(400 + k, f"t{t}", float(t % weights), 0) for k in range(3) for t in range(300)] + [(500, "alone", 5.0, 0)]
+    df = spark.createDataFrame(rows, "item long, term string, w double, d int")
+    asked = None if ask is None else df.where(F.col("item") % ask == 0).select("item")
+    got = content.related_items(df, "item", "w", n, asked)
+    assert {(r["item"], r["related"], round(r["score"], 9), r["rank"]) for r in got.collect()} == brute_related(rows, n, {r[0] for r in rows if not r[0] % (ask or 1)})
+    few = df.where("item < 300 and term != 'all'").groupBy("item", "term").agg(F.max("w").alias("w"))
+    few = few.join(few.groupBy("term").agg(F.count(F.lit(1)).alias("df")).where("df > 1"), "term")
+    every, some = content._shared(few, few, "item", None, 1000), content._shared_best(few, None, "item", 1, 64, 1000)
+    assert some.count() < 0.6 * every.count()
+
+
 def brute_components(edges):
     root = {}
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidemill.functions.columns import slug
+from tidemill.operators.graphs import spread
 from tidemill.operators.ordering import percentiles
 from tidemill.sources.store import written
 
@@ -134,6 +137,8 @@ def sync_diff(source: DataFrame, target: DataFrame, key: str, digest: str, delet
 
 #: Rows or pairs of a task of ``related_items``, and the pairs of one item that a task may get whole.
 ROWS, WHOLE = 1 << 19, 1 << 20
+#: Words of 64 bits in the mark of an item's terms.
+WORDS = 4
 
 
 def _tasks(df: DataFrame, rows: int) -> int:
@@ -159,6 +164,37 @@ def _shared(asking: DataFrame, there: DataFrame, item: str, newer: str | None, r
     return pairs.groupBy(item, "related").agg(F.sum("score").alias("score"))
 
 
+def _shared_best(shared: DataFrame, asked: DataFrame | None, item: str, n: int, most: int, rows: int) -> DataFrame:
+    """As ``_shared`` in the terms of up to ``most`` items, without pairs that can't be among an item's n best; weights are not negative.
+
+    A pair with one term alone in common scores there what it scores at all, so it needs to be among the term's n best for the item.
+    Pairs with more in common are told before any is moved: an item's row has a bit for each of its other terms, and two rows
+    of a term without a common bit have no other term in common (by chance they may have such a bit, and are kept).
+    """
+    each = shared if asked is None else shared.join(asked, item, "left_semi")
+    each = each.repartition(_tasks(shared, rows), item).groupBy(item).agg(F.sum(F.when(F.col("df") <= most, F.col("df")).otherwise(0)).alias("n"), F.count(F.lit(1)).alias("k"))
+    pairs, widest, k, k2 = each.agg(*[F.coalesce(x, F.lit(0)) for x in (F.sum("n"), F.max("n"), F.sum("k"), F.sum(F.col("k") * F.col("k")))]).first()
+    chance = min(1.0, (k2 / max(k, 1)) ** 2 / (64 * WORDS))
+    tasks, then = _tasks(shared, 2 * rows), _tasks(shared, min(pairs, rows * n + int(chance * pairs)))
+    marks = shared.repartition(tasks, item).withColumn("bit", F.pmod(F.xxhash64("term"), F.lit(64 * WORDS))).withColumn("again", F.count(F.lit(1)).over(W.partitionBy(item, "bit")) > 1)
+    for k in range(WORDS):
+        own = F.expr(f"if(bit div 64 = {k}, shiftleft(1L, cast(bit % 64 as int)), 0L)")
+        every = F.bit_or(own).over(W.partitionBy(item))
+        marks = marks.withColumn(f"m{k}", F.when(F.col("again"), every).otherwise(every.bitwiseAND(F.bitwise_not(own))))
+    own = [f"m{k}" for k in range(WORDS)]
+    rare = marks.where(F.col("df") <= most).select("term", item, "w", *own).repartition(tasks, "term")
+    down = W.partitionBy("term").orderBy(F.desc("w"))
+    has = rare.withColumn("place", F.row_number().over(W.partitionBy("term").orderBy(F.desc("w"), item))).select("term", F.col(item).alias("related"), F.col("w").alias("w2"), "place", *[F.col(m).alias(f"o{m}") for m in own])
+    asks = rare.withColumn("nth", F.get(F.sort_array(F.collect_list(item).over(down)), F.lit(n)))  # of the items that weigh as much or more, in order
+    if asked is not None:
+        asks = asks.join(asked, item, "left_semi").repartition(tasks, "term")
+    more = functools.reduce(operator.or_, (F.col(m).bitwiseAND(F.col(f"o{m}")) != 0 for m in own))
+    best = F.when(F.col("nth").isNull(), F.col("place") <= n + 1).otherwise((F.col("w2") >= F.col("w")) & (F.col("related") <= F.col("nth")))
+    pairs = asks.join(has.hint("merge"), "term").where((F.col(item) != F.col("related")) & (more | best))
+    pairs = pairs.select(item, "related", F.least("w", "w2").alias("score")).repartition(then, *([item] if widest <= WHOLE else [item, "related"]))
+    return pairs.groupBy(item, "related").agg(F.sum("score").alias("score"))
+
+
 def related_items(item_terms: DataFrame, item: str, weight: str, n: int, queries: DataFrame | None = None, threshold: float = 0.0, newer: str | None = None, first: int = 64, step: int = 8, log: list | None = None) -> DataFrame:
     """The n items that share most weight in terms with each item of ``queries`` (all items where it is None).
 
@@ -170,19 +206,27 @@ def related_items(item_terms: DataFrame, item: str, weight: str, n: int, queries
     still to come can add is bounded by the greatest weight of each; once that is less than its n-th best score, no other item can
     be among its best, so only the scores of those found are completed, item by item, and the items of its frequent terms
     are never gone through. Items with too little in common by then take the next terms. ``log`` gets how many items each step left.
+    Where no weight is negative or missing and no dates are asked for, the first step leaves out pairs that have one term in common
+    and are not among its best (``_shared_best``).
     """
     keep = [newer] if newer else []
     rows = item_terms.where(F.col(item).isNotNull() & F.col("term").isNotNull())
     t = written(rows.repartition(_tasks(rows, rows.count()), item, "term").groupBy(item, "term").agg(F.max(weight).alias("w"), *[F.max(c).alias(c) for c in keep]), "terms")
-    df = t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("most"), F.min("w").alias("least")).where("df > 1")
-    n_rows = t.count()
-    asking = t if queries is None else t.repartition(_tasks(t, n_rows), item).join(queries.select(item).distinct(), item, "left_semi")
-    asking = written(asking.join(df, "term"), "asking")
+    df = written(t.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.max("w").alias("most"), F.min("w").alias("least")).where("df > 1"), "df")
+    adds = F.coalesce((F.col("w") >= 0) & ~F.isnan(F.col("w").cast("double")), F.lit(False))
+    n_rows, all_add = t.agg(F.count(F.lit(1)), F.bool_and(adds)).first()
+    t = asking = written(spread(t, df.withColumn("n@", F.col("df")), "term", ROWS, tasks=_tasks(t, n_rows)), "shared")
+    asked = None if queries is None else queries.select(item).distinct()
+    if asked is not None:
+        asking = written(t.repartition(_tasks(t, n_rows), item).join(asked, item, "left_semi"), "asking")
     top = asking.agg(F.coalesce(F.max("df"), F.lit(0))).first()[0]
     scores, out, done = None, [], 0
     while asking is not None:
         last, bound = first >= top, first
-        pairs = _shared(asking.where((F.col("df") > done) & (F.col("df") <= bound)), t, item, newer, n_rows)
+        if all_add and not newer and not done:
+            pairs = _shared_best(t, asked, item, n, bound, n_rows)
+        else:
+            pairs = _shared(asking.where((F.col("df") > done) & (F.col("df") <= bound)), t, item, newer, n_rows)
         if scores is not None:
             pairs = scores.unionByName(pairs).groupBy(item, "related").agg(F.sum("score").alias("score"))
         if last:

@@ -96,9 +96,9 @@ def sync_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def related_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders that share parts, by the smaller of the two quantities: every order whose key is divisible by 20 against all."""
+    """The three orders that share most parts with each order, by the smaller of the two quantities."""
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("term"), F.col("l_quantity").alias("w"))
-    return content.related_items(items, "l_orderkey", "w", 3, items.where("l_orderkey % 20 = 0").select("l_orderkey"))
+    return content.related_items(items, "l_orderkey", "w", 3)
 
 
 def layered_params(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,7 +180,7 @@ SELECT page_id, target FROM l WHERE target NOT IN (SELECT '/' || regexp_extract(
 SELECT doc_id, CASE WHEN doc_id % 10 = 1 THEN 'DELETE' WHEN doc_id % 10 = 2 OR (doc_id % 10 = 3 AND upper(text) <> text) THEN 'UPLOAD' ELSE 'UNCHANGED' END AS action FROM documents""",
     "related_items": """
 WITH t AS (SELECT l_orderkey, l_partkey AS term, max(l_quantity) AS w FROM lineitem GROUP BY 1, 2),
-s AS (SELECT a.l_orderkey, b.l_orderkey AS related, sum(least(a.w, b.w)) AS score FROM t a JOIN t b ON a.term = b.term AND a.l_orderkey <> b.l_orderkey WHERE a.l_orderkey % 20 = 0 GROUP BY 1, 2)
+s AS (SELECT a.l_orderkey, b.l_orderkey AS related, sum(least(a.w, b.w)) AS score FROM t a JOIN t b ON a.term = b.term AND a.l_orderkey <> b.l_orderkey GROUP BY 1, 2)
 SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, related)::INT AS rank FROM s QUALIFY rank <= 3""",
     "layered_params": """
 WITH o AS (SELECT c_custkey + 50 AS key, CASE WHEN c_custkey % 2 = 0 THEN c_acctbal END AS value FROM customer)
